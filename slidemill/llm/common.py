@@ -125,11 +125,14 @@ FOLD[65:91] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, number of words up to each offset).  Words are runs of digits, letters and non-ASCII bytes, case of A-Z ignored."""
+def words(data: np.ndarray, offsets: np.ndarray, stem: int = 0) -> tuple[np.ndarray, ...]:
+    """(64-bit hash of each word, number of words up to each offset).  Words are runs of digits, letters and non-ASCII bytes, case of A-Z ignored.
+
+    With ``stem``, a third array has the hash of each word's first ``stem`` bytes.
+    """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))[: 2 + bool(stem)]
     folded = FOLD[data]
     inside = folded > 0
     edge = np.zeros(n + 1, bool)
@@ -145,6 +148,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     with np.errstate(over="ignore"):
         np.cumsum(np.where(inside, BYTE[folded], np.uint64(0)) * up[:n], out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * down[starts])
+        if stem:
+            return hashes, np.searchsorted(starts, offsets), mix((sums[np.minimum(ends, starts + stem)] - sums[starts]) * down[starts])
     return hashes, np.searchsorted(starts, offsets)
 
 
@@ -201,3 +206,17 @@ def map_text(df: DataFrame, score: Callable[[np.ndarray, np.ndarray], dict[str,
                 yield pa.RecordBatch.from_arrays(columns, [*carry, *added])
 
     return df.select(*carry, "text").mapInArrow(run, f"{kinds}, {schema}")
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """(intercept, weights) of a logistic regression by Newton's method, with a ridge on the weights in units of each column's spread."""
+    scale = x.std(axis=0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), x / scale])
+    b, penalty = np.zeros(z.shape[1]), np.diag([1e-6] + [ridge] * x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty, z.T @ (y - p) - penalty @ b)
+        b += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return np.concatenate([b[:1], b[1:] / scale])
