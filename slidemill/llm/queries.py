@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, toxicity
+from . import language, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": language.query,
+    "op6_quality": quality.query,
     "op10_toxicity": toxicity.query,
 }
 
