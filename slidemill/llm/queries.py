@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, quality, toxicity
+from . import bpe, fingerprint, language, licenses, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": language.query,
     "op2_bpe": bpe.query,
+    "op4_licenses": licenses.query,
     "op5_fingerprints": fingerprint.query,
     "op6_quality": quality.query,
     "op10_toxicity": toxicity.query,
