@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, licenses, quality, toxicity
+from . import ann, bpe, fingerprint, language, licenses, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": language.query,
+    "op1_ann": ann.query,
     "op2_bpe": bpe.query,
     "op4_licenses": licenses.query,
     "op5_fingerprints": fingerprint.query,
@@ -17,4 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": toxicity.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ann": ann.ORACLE,
+}
