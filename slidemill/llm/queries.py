@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprint, language, licenses, quality, toxicity
+from . import ann, bpe, fingerprint, language, licenses, mixing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": language.query,
     "op1_ann": ann.query,
     "op2_bpe": bpe.query,
+    "op3_mixing": mixing.query,
     "op4_licenses": licenses.query,
     "op5_fingerprints": fingerprint.query,
     "op6_quality": quality.query,
@@ -20,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_ann": ann.ORACLE,
+    "op3_mixing": mixing.ORACLE,
 }
