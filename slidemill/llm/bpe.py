@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-#: Pieces whose ids a task keeps, at most.
+#: Pieces after which the table of those seen is renewed.
 KEPT = 300_000
 #: Letters and numbers of Unicode versions after 16.0, which the tokenizer's tables do not know as such.
 LATER = (
@@ -37,6 +38,30 @@ LATER = (
 _LATER = regex.compile(f"[{LATER}]")
 
 
+#: Code points below this one are split by Python's own regular expressions, which are faster.
+_NEAR = 0x250
+_BEYOND = re.compile(f"[^\\x00-{chr(_NEAR - 1)}]")
+
+
+def near(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts of code points below _NEAR, its classes \\p{L}, \\p{N}, \\s and \\S spelled out; None if it has others."""
+    spelled = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        spelled[name] = "".join(re.escape(chr(c)) for c in range(_NEAR) if regex.match(name, chr(c)))
+
+    def inside(m: re.Match) -> str:
+        out = m[0]
+        for name, signs in spelled.items():
+            out = out.replace(name, signs)
+        return out.replace("[", "\x00")
+
+    out = re.sub(r"\[[^\]]*\]", inside, pattern)
+    for name, signs in spelled.items():
+        out = out.replace(name, f"[{signs}]")
+    out = out.replace(r"\S", f"[^{spelled[chr(92) + 's']}]").replace("\x00", "[")
+    return None if re.search(r"\\[pPwWdDbBX]", out) else re.compile(out)
+
+
 def _halves(token: bytes, rank: int, ranks: dict[bytes, int]) -> list[bytes]:
     """What merging by rank makes of a token's bytes if only lower ranks may be used."""
     parts = [token[i : i + 1] for i in range(len(token))]
@@ -56,6 +81,7 @@ class Vocabulary:
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.text_of = {r: str(r) for r in self.bytes_of}
         self.pattern = regex.compile(pattern)
+        self.near = near(pattern)
         self.longest = max(map(len, ranks))
         self.made_of: dict[int, tuple[int, int]] = {}
         self.reachable = dict(ranks)
@@ -152,22 +178,68 @@ class PrefixTable:
         return out[::-1]
 
 
-class Seen(dict):
-    """Ids of pieces, made when first asked for."""
+class Prefixes(dict):
+    """The last token of byte prefixes, of all pieces together: made when first asked for, and each from the shorter ones it needs."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
+    def __missing__(self, prefix: bytes) -> int:
+        v, n = self.vocabulary, len(prefix)
+        get = v.reachable.get
+        for j in range(max(0, n - v.longest), n):
+            t = get(prefix[j:])
+            if t is not None:
+                if not j:
+                    break
+                left = self[prefix[:j]]
+                known = v.beside[left]
+                fits = known.get(t)
+                if fits is None:
+                    fits = known[t] = v._never_joined(left, t)
+                if fits:
+                    break
+        self[prefix] = t
+        return t
+
+
+class Seen(dict):
+    """Ids of pieces, made when first asked for; those asked for since the last renewal, and those of the time before, are at hand."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary, self.before = vocabulary, {}
+        self.prefixes = Prefixes(vocabulary)
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = self[piece] = (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).ids())
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self._made(piece.encode())
+        self[piece] = ids
         return ids
 
+    def _made(self, data: bytes) -> tuple[int, ...]:
+        whole = self.vocabulary.ranks.get(data)
+        if whole is not None:
+            return (whole,)
+        if len(data) > 200:
+            return tuple(PrefixTable(self.vocabulary, data).ids())
+        last, bytes_of, out = self.prefixes, self.vocabulary.bytes_of, []
+        while data:
+            t = last[data]
+            out.append(t)
+            data = data[: -len(bytes_of[t])]
+        return tuple(out[::-1])
+
+    def renew(self) -> None:
+        self.before = dict(self)
+        self.clear()
+        self.prefixes.clear()
+
 
 class Encoder:
-    """Texts to ids and back; pieces that were seen are kept, about ``KEPT`` at most."""
+    """Texts to ids and back; of the pieces that were seen, about twice ``KEPT`` are kept at most."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -175,14 +247,16 @@ class Encoder:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text."""
-        if text.isascii() or not _LATER.search(text):
+        if self.vocabulary.near and (text.isascii() or not _BEYOND.search(text)):
+            return self.vocabulary.near.findall(text)
+        if not _LATER.search(text):
             return self.vocabulary.pattern.findall(text)
         shown = _LATER.sub("\\ue000", text)  # neither letter nor number, as the tables of the ranks have it
         return [text[m.start() : m.end()] for m in self.vocabulary.pattern.finditer(shown)]
 
     def encode(self, text: str) -> list[int]:
         if len(self.seen) > KEPT:
-            self.seen.clear()
+            self.seen.renew()
         return list(chain.from_iterable(map(self.seen.__getitem__, self.split(text))))
 
     def decode(self, ids: list[int]) -> bytes:
