@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprint, language, licenses, minhash, mixing, quality, toxicity
+from . import ann, bpe, fingerprint, language, licenses, minhash, mixing, quality, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": language.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": licenses.query,
     "op5_fingerprints": fingerprint.query,
     "op6_quality": quality.query,
+    "op8_repeats": repeats.query,
     "op9_near_dedup": minhash.query,
     "op10_toxicity": toxicity.query,
 }
