@@ -111,14 +111,14 @@ def _mark() -> Column:
 def scan(docs: DataFrame, key: str = "doc_id", templates: list[Template] | None = None) -> DataFrame:
     """(key, n_words, spans) for each row of docs; a span is (label, phrase, template, first word, words, share of the template)."""
     table = positions(docs.sparkSession, PHRASES + NOTICES if templates is None else templates)
-    read = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), words(F.col("text")).alias("w"))
-    read = read.select("key", "h", F.size("w").alias("n_words"), F.concat(F.array(_mark()), grams(F.col("w"))).alias("grams"))
-    rolling = read.select("key", "h", "n_words", F.posexplode("grams").alias("pos", "gram"))
+    # the words are bound once, as w; the mark comes last, so that its position is their number
+    read = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.transform(F.array(words(F.col("text"))), lambda w: F.concat(grams(w), F.array(_mark())))[0].alias("grams"))
+    rolling = read.select("key", "h", F.posexplode("grams").alias("pos", "gram"))
     hits = rolling.join(F.broadcast(table), "gram")
     # the few hits of a text meet in one place; a text that is repeated with its id gives each hit several times
-    text = ["key", "h", "n_words"]
+    text = ["key", "h"]
     about = [*text, "template", "label", "phrase", "size"]
-    hits = hits.select(*about, "at", (F.col("pos") - 1).alias("pos")).repartition("key", "h").groupBy(*about, "at", "pos").agg(F.count("*").alias("copies"))
+    hits = hits.select(*about, "at", "pos").repartition("key", "h").groupBy(*about, "at", "pos").agg(F.count("*").alias("copies"))
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("at"))
     hits = hits.withColumn("votes", F.count("*").over(Window.partitionBy(*about, "diagonal")))
     need = F.when(F.col("phrase") | (F.col("template") < 0), F.col("size")).otherwise(F.least(F.lit(VOTES), F.col("size")))
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, key: str = "doc_id", templates: list[Template] | None
     long = F.col("last") - F.col("first") + K
     good = (F.col("template") >= 0) & (F.col("cover") >= COVER) & (long <= STRETCH * (F.col("size") + K - 1))
     span = F.struct("label", "phrase", "template", F.col("first").alias("start"), long.alias("words"), "cover")
-    done = spans.groupBy(*text).agg(F.array_sort(F.collect_list(F.when(good, span))).alias("spans"), F.max(F.when(F.col("template") < 0, F.col("copies"))).alias("copies"))
+    done = spans.groupBy(*text).agg(F.array_sort(F.collect_list(F.when(good, span))).alias("spans"), *(F.max(F.when(F.col("template") < 0, F.col(c))).alias(a) for c, a in (("first", "n_words"), ("copies", "copies"))))
     return done.select(F.col("key").alias(key), "n_words", "spans", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__one")).drop("__one")
 
 
