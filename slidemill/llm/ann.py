@@ -1,12 +1,11 @@
 """Operator 1, approximate nearest neighbours by randomly rotated one-bit codes.
 
 A vector v is rotated at random (the same way for all) and kept as the signs of its coordinates, packed into 64-bit words, with
-two scalars: its length and <v/|v|, code>, the cosine between v and the unit vector of its signs.  For a query q the inner
-product with the signs is found from the packed bits and the bit planes of q's quantised coordinates, by population counts;
-divided by the cosine it estimates <q, v> without bias, within |q| |v| sqrt((1 - c^2) / c^2) * EPS / sqrt(dim - 1) with high
-probability.  Only rows whose upper bound reaches the score that a query is known to need are scored exactly (in double
-precision, on the original vectors): first the needed score is that of a bounded sample of rows, then that of the best rows so
-far.
+two scalars: its length and <v/|v|, code>, the cosine c between v and the unit vector of its signs.  A rotated query's inner
+product with the signs, unpacked a block at a time, divided by c estimates <q, v> without bias, within
+|q| |v| sqrt((1 - c^2) / c^2) * EPS / sqrt(dim - 1) with high probability.  Only rows whose upper bound reaches the score that a
+query is known to need, that of its best rows in a bounded sample, are scored exactly (in double precision, on the original
+vectors).
 
 Rows and queries are packed into blocks of bounded size, and every block of queries meets every block of rows in a task of its
 own; a block gives its best ``top`` rows of each query that reach the needed score, and these meet by query.  Nothing depends on
@@ -29,11 +28,9 @@ from .common import cut
 #: Rows and queries in a block.
 ROWS, QUERIES = 8192, 512
 #: Rows of the sample from which the first needed scores come.
-SAMPLE = 4096
+SAMPLE = 8192
 #: Width of the error bound, in standard deviations of the estimate.
 EPS = 3.0
-#: Bits of a query's coordinate.
-PLANES = 6
 SEED = 20
 
 
@@ -55,39 +52,23 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return wide.view(np.uint64), length, cosine
 
 
-def bounds(queries: np.ndarray, codes: tuple[np.ndarray, np.ndarray, np.ndarray], turn: np.ndarray, eps: float = EPS) -> tuple[np.ndarray, np.ndarray]:
-    """(estimates of the inner products, their error bounds) of queries by rows, from the packed bits alone."""
+def bounds(codes: tuple[np.ndarray, np.ndarray, np.ndarray], dim: int, eps: float = EPS) -> np.ndarray:
+    """A matrix of dim + 1 columns by which rotated queries, with their lengths as a last component, are multiplied for upper bounds.
+
+    A row's signs, scaled by length / (cosine sqrt(dim)), give the estimate; its last component is the error bound of a unit query.
+    """
     packed, length, cosine = codes
-    turned = queries @ turn
-    dim = turned.shape[1]
-    low = turned.min(axis=1)
-    unit = np.maximum((turned.max(axis=1) - low) / ((1 << PLANES) - 1), 1e-30)
-    level = np.rint((turned - low[:, None]) / unit[:, None]).astype(np.uint8)
-    total = np.zeros((len(queries), len(packed)), np.int32)
-    for p in range(PLANES):
-        plane = np.packbits((level >> p) & 1, axis=1, bitorder="little")
-        wide = np.zeros((len(plane), packed.shape[1] * 8), np.uint8)
-        wide[:, : plane.shape[1]] = plane
-        words = wide.view(np.uint64)
-        for w in range(packed.shape[1]):
-            total += np.bitwise_count(words[:, w, None] & packed[None, :, w]).astype(np.int32) << p
-    ones = np.bitwise_count(packed).sum(axis=1).astype(np.float64)
-    # <q, signs> = 2 * (sum of q over the ones) - sum of q
-    shown = level * unit[:, None] + low[:, None]
-    signed = 2 * (total * unit[:, None] + low[:, None] * ones) - shown.sum(axis=1)[:, None]
-    estimate = signed * (length / (cosine * np.sqrt(dim)))
-    size = np.sqrt((turned * turned).sum(axis=1))
+    bits = np.unpackbits(packed.view(np.uint8), axis=1, bitorder="little")[:, :dim]
+    out = np.empty((len(bits), dim + 1), np.float32)
+    out[:, :dim] = (2.0 * bits - 1.0) * (length / (cosine * np.sqrt(dim)))[:, None]
     spread = length * np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine / np.sqrt(max(dim - 1, 1))
-    rounding = unit[:, None] / 2 * np.sqrt(dim) * length  # of the quantised query
-    return estimate, eps * size[:, None] * spread + rounding
+    out[:, dim] = eps * spread + 1e-5 * length / cosine  # and what single precision may lose
+    return out
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows of a and b, summed from the first component to the last."""
-    total = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        total += a[:, d] * b[:, d]
-    return total
+    return np.add.reduce(np.ascontiguousarray((a * b).T), axis=0)
 
 
 def valid(column: Column, dim: int | None = None) -> Column:
@@ -175,13 +156,20 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, id: str = "vec
                 q, v = (np.frombuffer(r[k], kind).reshape(-1, dim).astype(np.float64) for k in ("q_vectors", "vectors"))
                 codes = np.frombuffer(r["codes"], np.uint64).reshape(len(ids), -1), np.frombuffer(r["lengths"]), np.frombuffer(r["cosines"])
                 needed = np.frombuffer(r["needed"])
-                for i in range(0, len(q), 64):
-                    part = slice(i, i + 64)
-                    estimate, error = bounds(q[part], codes, turn)
-                    a, b = np.nonzero((estimate + error >= needed[part, None]) & (q_ids[part, None] != ids[None, :]))
+                upper = bounds(codes, dim).T
+                single, narrow = q.astype(np.float32), v.astype(np.float32).T
+                slack = (1e-5 * np.sqrt((q * q).sum(axis=1)) * codes[1].max()).astype(np.float32)[:, None]
+                turned = np.concatenate([q @ turn, np.sqrt((q * q).sum(axis=1))[:, None]], axis=1).astype(np.float32)
+                for i in range(0, len(q), 128):
+                    part = slice(i, i + 128)
+                    least = needed[part, None].astype(np.float32)
+                    chosen = turned[part] @ upper >= least
+                    if chosen.mean() > 0.01:  # many to rerank: single precision, all together, leaves few for the double one
+                        chosen &= single[part] @ narrow >= least - slack[part]
+                    a, b = np.nonzero(chosen)
                     a += i
-                    score = np.concatenate([exact(q[a[j : j + 65536]], v[b[j : j + 65536]]) for j in range(0, len(a), 65536)] or [np.zeros(0)])
-                    good = score >= needed[a]
+                    score = np.concatenate([exact(q[a[j : j + 4096]], v[b[j : j + 4096]]) for j in range(0, len(a), 4096)] or [np.zeros(0)])
+                    good = (score >= needed[a]) & (q_ids[a] != ids[b])
                     a, b, score = a[good], b[good], score[good]
                     if len(a):
                         k = _best(a, ids[b], score, top)

@@ -34,6 +34,8 @@ NEAR = 0.8
 SURE = 6.0
 #: Texts that are compared to a leader in one run.
 RUN = 200
+#: Rows up to which the table of documents to remove is broadcast; a larger one is joined by shuffling.
+SMALL = 100_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -150,7 +152,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def signed(docs: DataFrame, id: str) -> DataFrame:
-    """(id, node, bands, slots) of each row: slots are kept as 16 bits each, for telling pairs far apart; null bands without words."""
+    """(id, th, node, bands, slots) of each row: slots are kept as 16 bits each, for telling pairs far apart; null bands without words."""
 
     def run(batches):
         for batch in batches:
@@ -164,10 +166,10 @@ def signed(docs: DataFrame, id: str) -> DataFrame:
                 for k, (h, _) in enumerate(found):
                     many.append(keys[k] if len(h) else None)
                     short.append(low[k].tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(many, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "node", "bands", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(many, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "th", "node", "bands", "slots"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), "text").mapInArrow(run, f"id {kind}, node long, bands array<long>, slots binary")
+    return docs.select(F.col(id).alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).mapInArrow(run, f"id {kind}, th long, node long, bands array<long>, slots binary")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, near: float = NEAR) -> DataFrame:
@@ -228,7 +230,12 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
 
 def groups(docs: DataFrame, id: str = "doc_id", near: float = NEAR) -> DataFrame:
     """(id, node, class_id) for each row of docs: near-duplicates have the same class_id, equal multisets the same node."""
-    texts = docs.select(id, "text")
+    rows = _labelled(docs.select(id, "text"), id, near)
+    return rows.select(F.col("id").alias(id), "node", "class_id")
+
+
+def _labelled(texts: DataFrame, id: str, near: float) -> DataFrame:
+    """(id, th, node, label, class_id) for each row of texts; th is a hash of the text, label the smallest node of the group."""
     rows = cut(signed(texts, id))
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("slots").alias("slots")))
     buckets = nodes.select("node", F.explode("bands").alias("band"))
@@ -253,8 +260,23 @@ def groups(docs: DataFrame, id: str = "doc_id", near: float = NEAR) -> DataFrame
     labels = connected(links)
     whole = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = whole.groupBy("label").agg(F.min("id").alias("class_id"))
-    named = whole.join(least, "label").select("node", "class_id")
-    return rows.select(F.col("id").alias(id), "node").join(named, "node").select(id, "node", "class_id")
+    named = whole.join(least, "label").select("node", "label", "class_id")
+    return rows.select("id", "th", "node").join(named, "node").select("id", "th", "node", "label", "class_id")
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", near: float = NEAR) -> DataFrame:
+    """One row of docs for each group of near-duplicates: that of the smallest id, then of the smallest text hash; of equal rows one."""
+    rows = cut(_labelled(docs.select(id, "text"), id, near))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    kept = rows.groupBy("label").agg(F.min(order).alias("x"))
+    gone = cut(rows.join(kept, "label").filter(order != F.col("x")).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct())
+    shown = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    small = gone.limit(SMALL + 1).count() <= SMALL
+    left = shown.join(F.broadcast(gone) if small else gone, F.col(id).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__th")), "left_anti")
+    twice = rows.groupBy("id", "th").count().filter("count > 1").limit(1).count()
+    if twice:
+        left = left.dropDuplicates([id, "__text"])
+    return left.drop("__text")
 
 
 def _agreeing(pairs: DataFrame, near: float) -> DataFrame:
