@@ -7,9 +7,9 @@ value; two texts agree in a slot with the probability of their weighted Jaccard
 only up to the time at which all slots are filled, so that a long text costs no more than a short one beyond its first points.
 
 Texts of equal multisets become one node.  Nodes that agree in a band meet in its bucket.  There each is checked against one
-leader, the node that meets most others in all its buckets, by exact overlap of multisets; then nodes of a bucket which are not
-connected yet are checked against each other, so that no link of a bucket is lost, whatever its size; of these only pairs whose
-signatures don't already tell that they are far apart (``SURE`` standard deviations).  Nothing is capped.
+leader, the node that meets most others in all its buckets, by exact overlap of multisets.  Nodes that stay outside of their
+leader's component are then compared, a block at a time, with all that the leader has met, so that no link of a bucket is lost,
+whatever its size: nothing is capped, and of a block of pairs only links that join components leave the task.
 
 Defined cases: a null text is empty; a text of 1 to 4 words has one shingle; texts without words are near each other only if they
 are equal.  Rows that repeat are in one group.  A null id is allowed; a group's class_id is its smallest id that is not null.
@@ -30,10 +30,10 @@ IN_BAND, BANDS = 5, 30
 SLOTS = IN_BAND * BANDS
 #: Likeness from which texts are near-duplicates.
 NEAR = 0.8
-#: Standard deviations below NEAR at which a pair's signatures rule it out.
-SURE = 6.0
 #: Texts that are compared to a leader in one run.
 RUN = 200
+#: Nodes in a block.
+BLOCK = 256
 #: Rows up to which the table of documents to remove is broadcast; a larger one is joined by shuffling.
 SMALL = 100_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -152,24 +152,20 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def signed(docs: DataFrame, id: str) -> DataFrame:
-    """(id, th, node, bands, slots) of each row: slots are kept as 16 bits each, for telling pairs far apart; null bands without words."""
+    """(id, th, node, bands) of each row; bands are null without words."""
 
     def run(batches):
         for batch in batches:
-            nodes, many, short = [], [], []
+            nodes, many = [], []
             for _, data, offsets in pieces(batch.column(1)):
                 found = bags(data, offsets)
                 nodes += [node_of(b, data[i:j]) for b, i, j in zip(found, offsets[:-1], offsets[1:], strict=True)]
-                full = signatures(found)
-                keys = bands(full).view(np.int64)
-                low = full.astype(np.uint16)
-                for k, (h, _) in enumerate(found):
-                    many.append(keys[k] if len(h) else None)
-                    short.append(low[k].tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(many, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "th", "node", "bands", "slots"])
+                keys = bands(signatures(found)).view(np.int64)
+                many += [keys[k] if len(h) else None for k, (h, _) in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(many, pa.list_(pa.int64()))], ["id", "th", "node", "bands"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).mapInArrow(run, f"id {kind}, th long, node long, bands array<long>, slots binary")
+    return docs.select(F.col(id).alias("id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).mapInArrow(run, f"id {kind}, th long, node long, bands array<long>")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, near: float = NEAR) -> DataFrame:
@@ -181,9 +177,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, near:
     asked = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"), "b")
     heads = runs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), F.col("a").alias("b"))
     wanted = asked.withColumn("head", F.lit(False)).unionByName(heads.withColumn("head", F.lit(True)))
-    wanted = wanted.join(nodes.select(F.col("node").alias("b"), "id"), "b")
-    texts = docs.select(F.col(id).alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
-    met = wanted.join(texts, wanted["id"].eqNullSafe(texts["text_id"])).select("a", "run", "head", "b", "text")
+    met = _with_texts(wanted, "b", nodes, docs, id)
     met = met.repartition("a", "run").sortWithinPartitions("a", "run", F.desc("head"))
 
     def run(batches):
@@ -205,6 +199,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, near:
     return met.mapInArrow(run, "a long, b long, likeness double")
 
 
+def _with_texts(wanted: DataFrame, node: str, nodes: DataFrame, docs: DataFrame, id: str) -> DataFrame:
+    """wanted with the text of the node in a column.  Texts that nobody wants are left out before texts are shuffled, where few are wanted."""
+    named = wanted.join(nodes.select(F.col("node").alias(node), F.col("id").alias("__id")), node)
+    texts = docs.select(F.col(id).alias("__text_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = cut(named.select(F.col("__id").alias("__wanted")).distinct())
+    if ids.limit(SMALL + 1).count() <= SMALL:
+        texts = texts.join(F.broadcast(ids), texts["__text_id"].eqNullSafe(ids["__wanted"]), "left_semi")
+    return named.join(texts, named["__id"].eqNullSafe(texts["__text_id"])).select(*wanted.columns, "text")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of edges (a, b): label is the smallest node of its component.  Alternates large and small stars."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -237,7 +241,7 @@ def groups(docs: DataFrame, id: str = "doc_id", near: float = NEAR) -> DataFrame
 def _labelled(texts: DataFrame, id: str, near: float) -> DataFrame:
     """(id, th, node, label, class_id) for each row of texts; th is a hash of the text, label the smallest node of the group."""
     rows = cut(signed(texts, id))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("slots").alias("slots")))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     sizes = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     met = cut(buckets.join(sizes, "band").select("band", "node", "n"))
@@ -248,15 +252,7 @@ def _labelled(texts: DataFrame, id: str, near: float) -> DataFrame:
     pairs = led.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(verified(pairs, nodes, texts, id, near))
     labels = connected(links)
-    # what a bucket holds beside the largest component: these are compared with all that is not connected to them yet
-    parts = met.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    parts = cut(parts)
-    several = parts.groupBy("band").agg(F.count_distinct("label").alias("k")).filter("k > 1").select("band")
-    open_ = cut(parts.join(several, "band").join(nodes.select("node", "slots"), "node"))
-    more = open_.alias("x").join(open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node")))
-    more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.slots").alias("s"), F.col("y.slots").alias("t"))
-    checked = cut(_agreeing(more, near).distinct())
-    links = links.select("a", "b").unionByName(verified(checked, nodes, texts, id, near).select("a", "b"))
+    links = links.select("a", "b").unionByName(_open_links(led.select("leader", "node"), links, labels, nodes, texts, id, near))
     labels = connected(links)
     whole = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = whole.groupBy("label").agg(F.min("id").alias("class_id"))
@@ -279,19 +275,84 @@ def keep_one(docs: DataFrame, id: str = "doc_id", near: float = NEAR) -> DataFra
     return left.drop("__text")
 
 
-def _agreeing(pairs: DataFrame, near: float) -> DataFrame:
-    """(a, b) of pairs with signatures s and t that do not rule out likeness ``near``."""
-    least = near * SLOTS - SURE * np.sqrt(near * (1 - near) * SLOTS)
+def _open_links(led: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, near: float) -> DataFrame:
+    """(a, b): links that join components, between nodes of one leader's buckets that are not in the leader's component and all others there.
+
+    led: (leader, node) as they met.  The nodes of a leader are dealt to blocks of BLOCK; each block of open nodes meets each block
+    of all its nodes in one place, where overlaps are counted as products of incidence matrices, and gives one link at most for each
+    open node and other component.
+    """
+    met = led.filter("node <> leader").distinct().join(labels.withColumnRenamed("label", "l"), "node", "left").select("leader", "node", F.coalesce("l", "node").alias("label"))
+    met = met.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("of_leader")), "leader", "left")
+    met = cut(met.withColumn("open", F.col("label") != F.coalesce("of_leader", "leader")).drop("of_leader"))
+    sizes = met.groupBy("leader").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("long")).alias("k"), F.count_distinct("label").alias("labels"))
+    sizes = cut(sizes.filter("k > 0 AND n > 1 AND labels > 1").select("leader", F.ceil(F.col("n") / BLOCK).alias("n_blocks"), F.ceil(F.col("k") / BLOCK).alias("k_blocks")))
+    met = met.join(sizes, "leader")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), n)
+    left = met.filter("open").select("leader", "node", "label", F.lit(True).alias("open"), place(F.col("k_blocks"), 1).alias("i"), every(F.col("n_blocks")).alias("j"))
+    right = met.select("leader", "node", "label", F.lit(False).alias("open"), place(F.col("n_blocks"), 2).alias("j"), every(F.col("k_blocks")).alias("i"))
+    dealt = _with_texts(left.unionByName(right), "node", nodes, docs, id).repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
 
     def run(batches):
+        at, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SLOTS) for k in ("s", "t"))
-            keep = pa.array((s == t).sum(axis=1) >= least)
-            yield batch.select(["a", "b"]).filter(keep)
-
-    return pairs.mapInArrow(run, "a long, b long")
+            keys = list(zip(*(batch.column(k).to_pylist() for k in ("leader", "i", "j")), strict=True))
+            node, label, open_ = (batch.column(k).to_pylist() for k in ("node", "label", "open"))
+            for first, data, offsets in pieces(batch.column("text")):
+                for k, bag in enumerate(bags(data, offsets), first):
+                    if keys[k] != at:
+                        if held:
+                            yield _links(held, near)
+                        at, held = keys[k], []
+                    if node_of(bag, data[offsets[k - first] : offsets[k - first + 1]]) == node[k]:
+                        held.append((node[k], label[k], open_[k], bag))
+        if held:
+            yield _links(held, near)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def overlaps(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], width: int = 4096) -> np.ndarray:
+    """Sizes of the multiset intersections of each of left with each of right."""
+
+    def units(found):  # the c-th copy of a shingle is an element of its own
+        with np.errstate(over="ignore"):
+            each = [np.repeat(h, c) for h, c in found]
+            copy = [np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c in found]
+            flat = [mix(h + k.astype(np.uint64) * _C) for h, k in zip(each, copy, strict=True)]
+        return np.repeat(np.arange(len(found)), [len(x) for x in flat]), np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+
+    (i, a), (j, b) = units(left), units(right)
+    shared = np.intersect1d(a, b)
+    keep_a, keep_b = np.isin(a, shared), np.isin(b, shared)
+    i, a, j, b = i[keep_a], np.searchsorted(shared, a[keep_a]), j[keep_b], np.searchsorted(shared, b[keep_b])
+    out = np.zeros((len(left), len(right)), np.float32)
+    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    for start in range(0, len(shared), width):
+        some_a = order_a[np.searchsorted(a, start, sorter=order_a) : np.searchsorted(a, start + width, sorter=order_a)]
+        some_b = order_b[np.searchsorted(b, start, sorter=order_b) : np.searchsorted(b, start + width, sorter=order_b)]
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        x[i[some_a], a[some_a] - start] = 1
+        y[j[some_b], b[some_b] - start] = 1
+        out += x @ y.T
+    return np.rint(out).astype(np.int64)
+
+
+def _links(held: list[tuple], near: float) -> pa.RecordBatch:
+    """One link for each open node and other component among nodes (node, label, open, bag) that are near."""
+    left, right = [x for x in held if x[2]], [x for x in held if not x[2]]
+    a, b = [], []
+    if left and right:
+        shared = overlaps([x[3] for x in left], [x[3] for x in right])
+        size = [np.array([x[3][1].sum() for x in side]) for side in (left, right)]
+        total = size[0][:, None] + size[1][None, :] - shared
+        for i, j in zip(*np.nonzero((shared >= near * total) & (total > 0)), strict=True):
+            if left[i][1] != right[j][1] and (not a or (a[-1], known) != (left[i][0], right[j][1])):
+                known = right[j][1]
+                a.append(left[i][0])
+                b.append(right[j][0])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
