@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE, Powers, cut, mix, pieces
+from .common import BYTE, Powers, cut, extended, mix, pieces
 
 WIDTH, GRAM = 400, 128
 #: Different stretches of an anchor up to which they are sorted in one task.
-MANY = 300
+MANY = 1000
 #: Windows sorted at a time, about.
 BATCH = 16_384
 #: Stretches, or texts with spans, up to which their table is broadcast; a larger one is joined by shuffling.
@@ -172,7 +172,8 @@ def spans(docs: DataFrame, id: str = "doc_id", first: bool = False, width: int =
     texts = _keyed(docs, id)
     rows = _rows(texts, width, gram)
     # anchors that occur twice at least, whether or not their stretches are all equal
-    twice = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # (written, here and below, so that the join shuffles both sides anew and a frequent anchor's rows can be split)
+    twice = cut(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     met = cut(rows.join(twice, "h"))
     kinds = met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi")).alias("one"))
     by_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
@@ -182,7 +183,7 @@ def spans(docs: DataFrame, id: str = "doc_id", first: bool = False, width: int =
     few = _few(sent.filter("NOT many"), width, first)
     many = _many(sent.filter("many"), width, first)
     parts = cut(few.unionByName(many)).groupBy("h", "c").agg(F.collect_list(F.struct("from", "to")).alias("parts"))
-    known = kinds.select("h", "c", "n", "one").join(parts, ["h", "c"], "left")
+    known = cut(kinds.select("h", "c", "n", "one").join(parts, ["h", "c"], "left"))
     each = met.join(known, ["h", "c"])
     whole = F.array(F.struct(F.lit(0).alias("from"), (F.col("hi") - F.col("lo")).alias("to")))
     none = F.array().cast("array<struct<from:int,to:int>>")
@@ -324,7 +325,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id") -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for text, found in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            for text, found in zip(batch.column(len(others)), batch.column(len(others) + 1).to_pylist(), strict=True):
                 data, kept, at = text.as_py().encode(), [], 0
                 for a, b in cover(found, WIDTH):
                     while a < len(data) and data[a] & 0xC0 == 0x80:
@@ -334,13 +335,12 @@ def without_repeats(docs: DataFrame, id: str = "doc_id") -> DataFrame:
                     kept.append(data[at:a])
                     at = max(a, b)
                 out.append(b"".join([*kept, data[at:]]).decode() if kept else text.as_py())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array(out, pa.string())], [*others, "__text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(out, pa.string())], [*others, "__text"])
 
     others = [c for c in docs.columns if c != "text"]
     found = cut(spans(docs, id, first=True)).withColumnsRenamed({"id": "__id", "th": "__th", "spans": "__spans"})
     shown = docs.withColumn("__given", F.coalesce("text", F.lit("")))
     small = found.limit(SMALL + 1).count() <= SMALL
     on = F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64("__given") == F.col("__th"))
-    met = shown.join(F.broadcast(found) if small else found, on, "left").select(*others, F.col("__given").alias("text"), F.col("__spans").alias("spans"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
-    return met.mapInArrow(run, f"{kinds}, __text string").withColumnRenamed("__text", "text").select(*docs.columns)
+    met = shown.join(F.broadcast(found) if small else found, on, "left").select(*others, "__given", "__spans")
+    return met.mapInArrow(run, extended(docs.select(*others).schema, "__text string")).withColumnRenamed("__text", "text").select(*docs.columns)
