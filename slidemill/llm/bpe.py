@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import extended, others
+
 #: Pieces after which the table of those seen is renewed.
 KEPT = 300_000
 #: Letters and numbers of Unicode versions after 16.0, which the tokenizer's tables do not know as such.
@@ -319,7 +321,8 @@ def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], ids: bool
 
     ``path`` is that of an installed vocabulary, which every executor has.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    carry = others(carry, added)
     names = [*carry, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
 
     def run(batches):
@@ -337,7 +340,7 @@ def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], ids: bool
             made = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), *[pa.array(out[3], pa.list_(pa.int32()))] * ids]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], names)
 
-    return docs.select(*carry, docs["text"].alias("__text")).mapInArrow(run, kinds + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return docs.select(*carry, docs["text"].alias("__text")).mapInArrow(run, extended(docs.select(*carry).schema, added))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

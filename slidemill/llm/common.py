@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that numpy handles at a time; a longer document is a piece of its own.
 PIECE = 1 << 20
@@ -180,22 +181,33 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[
     return out
 
 
+def extended(schema: StructType, added: str) -> StructType:
+    """A schema with columns, given as DDL, added at its end."""
+    return StructType([*schema.fields, *StructType.fromDDL(added).fields])
+
+
+def others(carry: list[str], added: str) -> list[str]:
+    """Columns to carry along, but for those whose names are among the columns added (DDL): an added column takes the place of its namesake."""
+    new = set(StructType.fromDDL(added).names)
+    return [c for c in carry if c not in new]
+
+
 def map_text(df: DataFrame, score: Callable[[np.ndarray, np.ndarray], dict[str, object]], schema: str, carry: list[str]) -> DataFrame:
-    """Apply ``score(bytes, offsets) -> column name: values`` to column text of df, batch by batch; columns ``carry`` go along.
+    """Apply ``score(bytes, offsets) -> column name: values`` to column text of df, batch by batch; columns ``carry`` go along (see ``others``).
 
     ``schema`` is that of the added columns.
     """
-    added = [x.split()[0] for x in schema.split(", ")]
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*carry).schema)
+    carry, added = others(carry, schema), StructType.fromDDL(schema).names
+    shape = extended(df.select(*carry).schema, schema)
 
     def run(batches):
         for batch in batches:
             parts: dict[str, list] = {k: [] for k in added}
-            for _, data, offsets in pieces(batch.column("text")):
+            for _, data, offsets in pieces(batch.column(len(carry))):
                 got = score(data, offsets)
                 for k in added:
                     parts[k].append(got[k])
-            columns = [batch.column(c) for c in carry]
+            columns = [batch.column(i) for i in range(len(carry))]
             for k in added:
                 whole = parts[k]
                 if whole and isinstance(whole[0], np.ndarray):
@@ -205,7 +217,7 @@ def map_text(df: DataFrame, score: Callable[[np.ndarray, np.ndarray], dict[str,
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays(columns, [*carry, *added])
 
-    return df.select(*carry, "text").mapInArrow(run, f"{kinds}, {schema}")
+    return df.select(*carry, F.col("text").alias("__text")).mapInArrow(run, shape)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shingles
+from .common import extended, others, pieces, shingles
 
 K = 128
 _TOP = float(1 << 64)
@@ -81,7 +81,8 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 def fingerprint(docs: DataFrame, carry: list[str], k: int = K) -> DataFrame:
     """Columns ``carry`` of docs with fingerprint and n_distinct (estimated) of column text."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    added = "fingerprint string, n_distinct double"
+    carry = others(carry, added)
 
     def run(batches):
         for batch in batches:
@@ -89,7 +90,7 @@ def fingerprint(docs: DataFrame, carry: list[str], k: int = K) -> DataFrame:
             made = [pa.array([pack(x) for x in got], pa.string()), pa.array([distinct(x, k) for x in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], [*carry, "fingerprint", "n_distinct"])
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, fingerprint string, n_distinct double")
+    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, extended(docs.select(*carry).schema, added))
 
 
 def merge(parts: DataFrame, key: str, k: int = K) -> DataFrame:

@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_of
+from .common import bounded_sample, extended, fold_of, others
 
 BITS = 16
 #: Documents of each language to learn from, at most (about).
 SAMPLE = 3000
+_ADDED = "lang_pred string, score double"
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -101,15 +102,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, smoothing: float = 0.05) -> Lan
 
 def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, carry: list[str]) -> DataFrame:
     """Columns ``carry`` of docs with lang_pred and score for column text."""
+    carry = others(carry, _ADDED)
     held = spark.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
 
     def run(batches):
         for batch in batches:
             names, sure = held.value.scores(batch.column(len(carry)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(sure, pa.float64())], [*carry, "lang_pred", "score"])
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, extended(docs.select(*carry).schema, _ADDED))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, labelled, map_text, mix, words
+from .common import cut, fold_of, labelled, map_text, mix, others, words
 
 #: Labelled documents to learn from, at most (about), of each label.
 SAMPLE = 4000
@@ -140,6 +140,7 @@ def train(rows: DataFrame) -> QualityModel:
 
 def score(docs: DataFrame, model: QualityModel, carry: list[str]) -> DataFrame:
     """Columns ``carry`` of docs with the score of column text and predicted, 1 from ACCEPT on."""
+    carry = others(carry, "score double, predicted int")
     return with_statistics(docs, carry).withColumn("__score", model.score()).select(*carry, F.col("__score").alias("score"), (F.col("__score") >= ACCEPT).cast("int").alias("predicted"))
 
 
