@@ -88,32 +88,25 @@ def from_hsl(colour: Column) -> Column:
     return let(made(colour), lambda x: F.struct(channel(x, 1 / 3).alias("r"), channel(x, 0.0).alias("g"), channel(x, -1 / 3).alias("b")))
 
 
-def _with_hsl(rgb: Column, **change: Callable[[Column], Column]) -> Column:
-    cut = lambda c, v: v if c == "h" else F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-    return let(hsl(rgb), lambda x: from_hsl(F.struct(*((cut(c, change[c](x[c])) if c in change else x[c]).alias(c) for c in "hsl"))))
-
-
 def modified(hex: Column, mods: Column) -> Column:
     """A struct hex, alpha: the colour after modifiers, an array of (name, val), in their order; unknown names change nothing.
 
     Without a change of colour the string stays as it was given.
     """
+    clear = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+
+    def turned(x: Column, m: Column, val: Column) -> Column:
+        """Channels after a modifier of hue, saturation or lightness; x is a struct h, s, l."""
+        name = m["name"]
+        h = F.when(name == "hueMod", F.pmod(x["h"] * val, F.lit(360.0))).when(name == "hueOff", F.pmod(x["h"] + m["val"].cast("double") / 60000.0, F.lit(360.0))).otherwise(x["h"])
+        part = lambda c, kind: F.when(name == f"{kind}Mod", clear(x[c] * val)).when(name == f"{kind}Off", clear(x[c] + val)).otherwise(x[c])
+        return from_hsl(F.struct(h.alias("h"), part("s", "sat").alias("s"), part("l", "lum").alias("l")))
 
     def step(now: Column, m: Column) -> Column:
         name, val = m["name"], m["val"].cast("double") / 100000.0
-        rgb = channels(now["hex"])
-        new = (
-            F.when(name == "tint", to_hex(tint(rgb, val)))
-            .when(name == "shade", to_hex(shade(rgb, val)))
-            .when(name == "lumMod", to_hex(_with_hsl(rgb, l=lambda x: x * val)))
-            .when(name == "lumOff", to_hex(_with_hsl(rgb, l=lambda x: x + val)))
-            .when(name == "satMod", to_hex(_with_hsl(rgb, s=lambda x: x * val)))
-            .when(name == "satOff", to_hex(_with_hsl(rgb, s=lambda x: x + val)))
-            .when(name == "hueMod", to_hex(_with_hsl(rgb, h=lambda x: F.pmod(x * val, F.lit(360.0)))))
-            .when(name == "hueOff", to_hex(_with_hsl(rgb, h=lambda x: F.pmod(x + m["val"].cast("double") / 60000.0, F.lit(360.0)))))
-            .otherwise(now["hex"])
-        )
-        clear = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+        in_light = let(channels(now["hex"]), lambda rgb: F.when(name == "tint", to_hex(tint(rgb, val))).otherwise(to_hex(shade(rgb, val))))
+        in_hsl = let(let(hsl(channels(now["hex"])), lambda x: turned(x, m, val)), to_hex)
+        new = F.when(name.isin("tint", "shade"), in_light).when(name.isin("lumMod", "lumOff", "satMod", "satOff", "hueMod", "hueOff"), in_hsl).otherwise(now["hex"])
         alpha = F.when(name == "alpha", clear(val)).when(name == "alphaOff", clear(now["alpha"] + val)).otherwise(now["alpha"])
         return F.struct(new.alias("hex"), alpha.alias("alpha"))
 
@@ -122,14 +115,19 @@ def modified(hex: Column, mods: Column) -> Column:
 
 def css(colour: Column) -> Column:
     """#hex, or rgba() where the colour of a struct hex, alpha lets something through."""
-    c = channels(colour["hex"])
-    opaque = F.when(colour["hex"].startswith("#"), colour["hex"]).otherwise(F.concat(F.lit("#"), colour["hex"]))
-    return F.when(colour["alpha"] >= 1, opaque).otherwise(F.format_string("rgba(%d,%d,%d,%.3f)", c["r"].cast("int"), c["g"].cast("int"), c["b"].cast("int"), colour["alpha"]))
+
+    def made(x: Column) -> Column:
+        opaque = F.when(x["hex"].startswith("#"), x["hex"]).otherwise(F.concat(F.lit("#"), x["hex"]))
+        clear = let(channels(x["hex"]), lambda c: F.format_string("rgba(%d,%d,%d,%.3f)", c["r"].cast("int"), c["g"].cast("int"), c["b"].cast("int"), x["alpha"]))
+        return F.when(x["alpha"] >= 1, opaque).otherwise(clear)
+
+    return let(colour, made)
 
 
 def on_white(colour: Column) -> Column:
     """The colour of a struct hex, alpha laid on white."""
-    return to_hex(_each(channels(colour["hex"]), lambda c: c * colour["alpha"] + (F.lit(1.0) - colour["alpha"]) * 255.0))
+    laid = lambda x: let(channels(x["hex"]), lambda c: to_hex(_each(c, lambda v: v * x["alpha"] + (F.lit(1.0) - x["alpha"]) * 255.0)))
+    return let(colour, laid)
 
 
 def scheme(name: Column, override: Column, mapped: Column, theme: Column) -> Column:
