@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import colors, outlines, text, units
-from ..operators import frames, package, shapes
+from ..operators import frames, package, shapes, styles
 from ..sources import archive, builder, xmltree
 from ..sources.builder import text as put
 from .document import Deck, as_json, documents
@@ -436,6 +436,155 @@ def unit_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.round(units.emu_to_px(s * 12700), 6).alias("px"), units.emu_to_pt(s * 12700).alias("pt"), F.round(units.angle_to_deg(s * 1000), 6).alias("degrees"))
 
 
+# ---- looks
+
+
+@_query(
+    """SELECT n_nationkey AS nation, CASE n_nationkey % 3 WHEN 0 THEN 'fade' WHEN 1 THEN 'push' ELSE 'none' END AS type, CAST(CASE n_regionkey % 4 WHEN 0 THEN 500 WHEN 1 THEN 800 ELSE 1000 END AS BIGINT) AS duration,
+    CASE WHEN n_nationkey % 3 = 1 THEN 'l' END AS direction FROM nation"""
+)
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    speed = F.element_at(F.array(*map(F.lit, ("fast", "med", "slow", "other"))), (F.col("n_regionkey") % 4 + 1).cast("int"))
+    kind = F.when(k % 3 == 0, "<p:fade/>").when(k % 3 == 1, "<p:push/><p:cut/>").otherwise("")
+    each = put('<p:transition spd="', speed, '"', F.when(k % 3 == 1, ' dir="l"').otherwise(""), ">", kind, "</p:transition>")
+    slides = nation.select(F.col("n_regionkey").cast("string").alias("deck_id"), k.alias("n"), k.alias("at"), builder.page("", extra=each).alias("xml"))
+    found = styles.transitions(Deck(builder.decks(slides)).nodes)
+    return found.select(_whole(F.regexp_extract("part_path", r"(\d+)\.xml$", 1)).alias("nation"), "type", _whole(F.col("duration")).alias("duration"), "direction")
+
+
+@_query(
+    """SELECT p_partkey AS part, CASE p_size % 3 WHEN 0 THEN 'mid' WHEN 1 THEN 'down' ELSE 'up' END AS valign, CASE p_size % 4 WHEN 0 THEN 'shape' WHEN 3 THEN NULL ELSE 'text' END AS autofit,
+    CASE WHEN p_size % 4 = 1 THEN CAST(p_size AS DOUBLE) END AS font_scale, CASE p_size % 4 WHEN 0 THEN 'noFill' WHEN 1 THEN 'solidFill' ELSE 'gradFill' END AS fill FROM part"""
+)
+def bodies_and_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment, autofit and the fill that counts of shapes with several."""
+    part, s = _table(spark, sf_dir, "part"), F.col("p_size")
+    fit = F.when(s % 4 == 0, F.lit("<a:spAutoFit/><a:normAutofit/>")).when(s % 4 == 1, put('<a:normAutofit fontScale="', s * 1000, '"/>')).when(s % 4 == 2, "<a:normAutofit/>").otherwise("")
+    anchor = F.when(s % 3 == 0, ' anchor="ctr"').when(s % 3 == 1, ' anchor="b"').otherwise("")
+    fill = F.when(s % 4 == 0, "<a:noFill/>").when(s % 4 == 1, "<a:gradFill/><a:solidFill/>").otherwise("<a:noFill/><a:gradFill/>")
+    shape = put('<p:sp><p:nvSpPr><p:cNvPr id="', F.col("p_partkey"), '" name="s"/></p:nvSpPr><p:spPr>', fill, "</p:spPr><p:txBody><a:bodyPr", anchor, ">", fit, "</a:bodyPr></p:txBody></p:sp>")
+    nodes = Deck(builder.decks(_one_slide(part, F.col("p_partkey") % 100, shape, "p_partkey"))).nodes
+    keys = ["deck_id", "part_path", "owner"]
+    ids = shapes.shapes(nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id")
+    met = ids.join(styles.bodies(nodes), keys).join(styles.fills(nodes), keys)
+    return met.select(_whole(F.col("id")).alias("part"), "valign", "autofit", "font_scale", "fill")
+
+
+@_query(
+    """SELECT p_partkey AS part, p_size % 2 = 1 AS inset, round(CASE WHEN p_size % 2 = 1 THEN 0 ELSE p_size * cos(radians(p_size * 7)) END, 6) + 0.0 AS h, round(CASE WHEN p_size % 2 = 1 THEN 0 ELSE p_size * sin(radians(p_size * 7)) END, 6) + 0.0 AS v, 4.0 AS blur FROM part"""
+)
+def shadow_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shadows from direction and distance."""
+    part, s = _table(spark, sf_dir, "part"), F.col("p_size")
+    tag = F.when(s % 2 == 1, "innerShdw").otherwise("outerShdw")
+    effect = put("<a:effectLst><a:", tag, ' dir="', s * 7 * 60000, '" dist="', s * 12700, '" blurRad="50800"/></a:effectLst>')
+    shape = builder.shape(F.col("p_partkey"), F.lit("s"), geometry=effect)
+    nodes = Deck(builder.decks(_one_slide(part, F.col("p_partkey") % 100, shape, "p_partkey"))).nodes
+    ids = shapes.shapes(nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id")
+    met = ids.join(styles.shadows(nodes), ["deck_id", "part_path", "owner"])
+    return met.select(_whole(F.col("id")).alias("part"), "inset", (F.round("h", 6) + 0.0).alias("h"), (F.round("v", 6) + 0.0).alias("v"), "blur")
+
+
+@_query("SELECT n_nationkey AS nation, CASE n_nationkey % 3 WHEN 0 THEN '#808080' WHEN 1 THEN '#112233' ELSE '#ffffff' END AS fill FROM nation")
+def background_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backgrounds: a slide's own (half of it let through), its layout's, or white."""
+    nation, k = _table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    deck = F.col("n_regionkey").cast("string").alias("deck_id")
+    bg = lambda c: f'<p:bg><p:bgPr><a:solidFill>{c}</a:solidFill></p:bgPr></p:bg>'
+    page = lambda inner, kind="sld": put(f'<p:{kind} xmlns:p="urn:p" xmlns:a="urn:a"><p:cSld>', inner, f"</p:cSld></p:{kind}>")
+    own = F.when(k % 3 == 0, bg('<a:srgbClr val="000000"><a:alpha val="50000"/></a:srgbClr>')).otherwise("")
+    slides = nation.select(deck, k.alias("n"), k.alias("at"), page(own).alias("xml"))
+    layouts = nation.select(deck).distinct().select("deck_id", F.lit("ppt/slideLayouts/slideLayout1.xml").alias("part_path"), page(bg('<a:srgbClr val="112233"/>'), "sldLayout").alias("content"))
+    rels = nation.filter(k % 3 != 2).select(deck, put("ppt/slides/_rels/slide", k, ".xml.rels").alias("part_path"), builder.relationships(builder.relationship("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml")).alias("content"))
+    made = Deck(builder.decks(slides, layouts.unionByName(rels)))
+    found = styles.backgrounds(package.chain(made.slides(), made.rels), made.nodes)
+    return found.select(_whole(F.regexp_extract("slide_part", r"(\d+)\.xml$", 1)).alias("nation"), "fill")
+
+
+@_query("SELECT n_nationkey AS nation, CASE n_nationkey % 3 WHEN 0 THEN '#slide-' || n_nationkey WHEN 1 THEN 'https://example.org/' || n_nationkey END AS link FROM nation")
+def shape_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of shapes: jumps to slides, safe addresses outside, and none."""
+    nation, k = _table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    deck = F.col("n_regionkey").cast("string").alias("deck_id")
+    action = F.when(k % 3 == 0, ' action="ppaction://hlinksldjump"').otherwise("")
+    shape = put('<p:sp><p:nvSpPr><p:cNvPr id="', k, '" name="s"><a:hlinkClick r:id="rId1"', action, "/></p:cNvPr></p:nvSpPr><p:spPr/></p:sp>")
+    slides = nation.select(deck, k.alias("n"), k.alias("at"), builder.page(shape).alias("xml"))
+    link = F.when(k % 3 == 0, builder.relationship("rId1", "slide", put("slide", k, ".xml"))).when(k % 3 == 1, builder.relationship("rId1", "hyperlink", put("https://example.org/", k), "External")).otherwise(builder.relationship("rId1", "hyperlink", "javascript:x", "External"))
+    rels = nation.select(deck, put("ppt/slides/_rels/slide", k, ".xml.rels").alias("part_path"), builder.relationships(link).alias("content"))
+    made = Deck(builder.decks(slides, rels))
+    found = styles.links(shapes.shapes(made.nodes), made.rels)
+    return found.select(_whole(F.col("id")).alias("nation"), "link")
+
+
+@_query("SELECT n_nationkey AS nation FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0")
+def decorations_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of a master that show: no placeholders, none without extent."""
+    nation, k = _table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    ph = F.when(k % 2 == 1, '<p:ph type="body"/>').otherwise("")
+    size = F.when(k % 3 == 0, 0).otherwise(12700)
+    shape = builder.shape(k, F.col("n_name"), box=builder.xfrm(F.lit(0), F.lit(0), size, F.lit(0)), ph=ph)
+    body = builder.gathered(nation.select(F.col("n_regionkey").cast("string").alias("deck_id"), "n_nationkey", shape.alias("xml")), ["deck_id"], "n_nationkey", "xml")
+    files = body.select("deck_id", F.lit("ppt/slideMasters/slideMaster1.xml").alias("part_path"), builder.page(F.col("xml"), "sldMaster").alias("content"))
+    return styles.decorations(shapes.shapes(Deck(archive.pack(files)).nodes)).select(_whole(F.col("id")).alias("nation"))
+
+
+@_query(
+    """SELECT p_partkey AS part, CASE WHEN p_size % 5 = 0 THEN '#' || lpad(CAST(p_size AS VARCHAR), 6, '0') ELSE list_extract(['#a', '#b', '#c', '#d', '#e', '#f'], CAST(p_partkey % 6 + 1 AS INTEGER)) END AS color FROM part"""
+)
+def series_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of series: their own, or accents in turn."""
+    part, s = _table(spark, sf_dir, "part"), F.col("p_size")
+    own = F.when(s % 5 == 0, F.concat(F.lit("#"), F.lpad(s.cast("string"), 6, "0")))
+    accents = F.array(*(F.lit(f"#{c}") for c in "abcdef"))
+    return part.select(F.col("p_partkey").alias("part"), styles.series_color(own, F.col("p_partkey"), accents).alias("color"))
+
+
+@_query(
+    """SELECT p_partkey AS part, CASE WHEN box OR ph = 'title' THEN TRUE WHEN custom THEN FALSE WHEN (prst IS NOT NULL AND prst <> 'rect') OR ph IS NULL THEN
+    CASE WHEN prst IS NOT NULL AND NOT txt AND painted THEN FALSE WHEN prst IS NOT NULL AND prst <> 'rect' THEN FALSE WHEN prst IS NULL AND NOT txt THEN FALSE WHEN prst IS NOT NULL AND painted THEN FALSE ELSE TRUE END ELSE TRUE END AS is_text
+    FROM (SELECT p_partkey, p_partkey % 7 = 0 AS box, CASE p_partkey % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'pic' END AS ph, p_partkey % 11 = 0 AS custom, CASE p_partkey % 4 WHEN 0 THEN 'rect' WHEN 1 THEN 'star5' END AS prst, p_partkey % 2 = 0 AS txt, p_partkey % 5 < 2 AS painted FROM part)"""
+)
+def shape_or_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is given out as a text and what as a shape."""
+    part, k = _table(spark, sf_dir, "part"), F.col("p_partkey")
+    ph = F.when(k % 3 == 0, "title").when(k % 3 == 1, "pic")
+    prst = F.when(k % 4 == 0, "rect").when(k % 4 == 1, "star5")
+    return part.select(k.alias("part"), styles.is_text(k % 7 == 0, ph, k % 11 == 0, prst, k % 2 == 0, k % 5 < 2).alias("is_text"))
+
+
+@_query("SELECT CAST(s_nationkey AS BIGINT) AS nation, CAST(count(*) AS BIGINT) AS uses, CAST(count(DISTINCT s_suppkey % 3) AS BIGINT) AS media FROM supplier GROUP BY s_nationkey")
+def media_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of a deck and the media they share, by relationships."""
+    s, k = _table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    pic = put('<p:pic><p:nvPicPr><p:cNvPr id="', k, '" name="p"/></p:nvPicPr><p:blipFill><a:blip r:embed="rId', k, '"/></p:blipFill></p:pic>')
+    deck = F.col("s_nationkey").cast("string").alias("deck_id")
+    slides = _one_slide(s, F.col("s_nationkey"), pic, "s_suppkey")
+    link = builder.relationship(put("rId", k), "image", put("../media/m", k % 3, ".png"))
+    rels = builder.gathered(s.select(deck, "s_suppkey", link.alias("xml")), ["deck_id"], "s_suppkey", "xml").select("deck_id", F.lit("ppt/slides/_rels/slide1.xml.rels").alias("part_path"), builder.relationships(F.col("xml")).alias("content"))
+    files = s.select(deck, put("ppt/media/m", k % 3, ".png").alias("part_path"), F.lit("image").alias("content")).distinct()
+    made = Deck(builder.decks(slides, rels.unionByName(files)))
+    pics = shapes.shapes(made.nodes).filter("shape = 'pic'").join(made.rels.withColumnRenamed("source_part", "part_path"), ["deck_id", "part_path", "rid"])
+    media = made.parts.filter("kind = 'media'").select("deck_id", F.col("part_path").alias("resolved"))
+    met = pics.join(media, ["deck_id", "resolved"])
+    return met.groupBy(_whole(F.col("deck_id")).alias("nation")).agg(F.count("*").alias("uses"), F.count_distinct("resolved").alias("media"))
+
+
+@_query(
+    """SELECT p_partkey AS part, CAST(coalesce(CASE WHEN p_size % 2 = 0 THEN p_size END, CASE WHEN p_size % 3 = 0 THEN 30 END, CASE WHEN p_size % 5 = 0 THEN 50 END, 18) AS DOUBLE) AS size FROM part"""
+)
+def font_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's size, or that of the nearest level that has one: layout, master, and the default."""
+    part, s = _table(spark, sf_dir, "part"), F.col("p_size")
+    run = builder.run(F.col("p_partkey"), F.when(s % 2 == 0, put('sz="', s * 100, '"')).otherwise(""))
+    shape = builder.shape(F.col("p_partkey"), F.lit("s"), body=builder.paragraph(run))
+    nodes = Deck(builder.decks(_one_slide(part, F.col("p_partkey") % 100, shape, "p_partkey"))).nodes
+    levels = part.select(F.col("p_partkey").cast("string").alias("text"), F.when(s % 3 == 0, 3000.0).alias("layout"), F.when(s % 5 == 0, 5000.0).alias("master"))
+    met = shapes.runs(nodes).join(levels, "text")
+    return met.select(_whole(F.col("text")).alias("part"), units.hundredth_pt_to_pt(F.coalesce("size", "layout", "master", F.lit(1800.0))).alias("size"))
+
+
 # ---- documents
 
 
