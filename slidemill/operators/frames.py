@@ -86,3 +86,32 @@ def baked(left: Column, top: Column, width: Column, height: Column, rotate: Colu
     return F.struct(
         F.when(turned, x2).otherwise(x).alias("left"), F.when(turned, y2).otherwise(y).alias("top"), F.pmod(turn + group["rotate"], F.lit(360.0)).alias("rotate"), one(flip_h, h, v).alias("flip_h"), one(flip_v, v, h).alias("flip_v")
     )
+
+
+def style_sections(row: Column, col: Column, rows: Column, cols: Column, flags: dict[str, Column], there: Column) -> Column:
+    """Sections of a table's style that hold for a cell, later ones before earlier ones in force: those among ``there``, an array of names.
+
+    flags: bandRow, bandCol, firstRow, lastRow, firstCol, lastCol.  A first row that is set apart shifts the bands of rows.
+    """
+    band = row - flags["firstRow"].cast("int")
+    named = [
+        (F.lit(True), "wholeTbl"), (flags["bandRow"] & (band >= 0) & (F.pmod(band, F.lit(2)) == 1), "band2H"), (flags["bandRow"] & (band >= 0) & (F.pmod(band, F.lit(2)) == 0), "band1H"),
+        (flags["bandCol"] & (col % 2 == 1), "band2V"), (flags["bandCol"] & (col % 2 == 0), "band1V"), (flags["firstRow"] & (row == 0), "firstRow"), (flags["lastRow"] & (row == rows - 1), "lastRow"),
+        (flags["firstCol"] & (col == 0), "firstCol"), (flags["lastCol"] & (col == cols - 1), "lastCol"),
+    ]
+    chosen = F.array_compact(F.array(*(F.when(on, F.lit(name)) for on, name in named)))
+    return F.filter(chosen, lambda x: F.array_contains(there, x))
+
+
+def table_flags(nodes: DataFrame) -> DataFrame:
+    """(deck_id, part_path, frame, bandRow, bandCol, firstRow, lastRow, firstCol, lastCol, style_id) of tables, by attributes of tblPr."""
+    pr = nodes.filter(F.col("tag") == "tblPr").select("deck_id", "part_path", F.col("parent").alias("frame"), F.col("nid").alias("pr"), *(F.coalesce(attr(c).isin("1", "true"), F.lit(False)).alias(c) for c in ("bandRow", "bandCol", "firstRow", "lastRow", "firstCol", "lastCol")))
+    style = nodes.filter(F.col("tag") == "tableStyleId").select("deck_id", "part_path", F.col("parent").alias("pr"), F.trim("text").alias("style_id"))
+    return pr.join(style, ["deck_id", "part_path", "pr"], "left").drop("pr")
+
+
+def table_styles(nodes: DataFrame) -> DataFrame:
+    """(deck_id, style_id, sections): names of the sections that each table style has."""
+    styles = nodes.filter((F.col("tag") == "tblStyle") & (F.col("part_path") == "ppt/tableStyles.xml")).select("deck_id", F.col("nid").alias("parent"), attr("styleId").alias("style_id"))
+    section = nodes.filter(F.col("part_path") == "ppt/tableStyles.xml").select("deck_id", "parent", "tag")
+    return styles.join(section, ["deck_id", "parent"]).groupBy("deck_id", "style_id").agg(F.collect_set("tag").alias("sections"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.colors import modified, on_white, scheme
+from ..functions.colors import css, modified, on_white, scheme
 from ..functions.text import safe_link
 from ..sources.xmltree import at, attr, number
 
@@ -51,7 +51,7 @@ def colors(nodes: DataFrame) -> DataFrame:
     return c.join(mods, [*keys, "c"], "left").select(*keys, "holder", "tag", "value", F.coalesce("mods", none).alias("mods"))
 
 
-def resolved(found: DataFrame, override: Column, mapped: Column, theme: Column) -> Column:
+def resolved(override: Column, mapped: Column, theme: Column) -> Column:
     """A struct hex, alpha of a row of colors(): names of a scheme by maps, then the modifiers; black where nothing is known."""
     base = F.when(F.col("tag") == "schemeClr", scheme(F.col("value"), override, mapped, theme)).otherwise(F.col("value"))
     return modified(F.coalesce(base, F.lit("000000")), F.col("mods"))
@@ -82,7 +82,7 @@ def backgrounds(chain: DataFrame, nodes: DataFrame) -> DataFrame:
     shown = bg.join(solid, keys, "left").withColumn("holder", F.when((F.col("holder") > F.col("bg")) & (F.col("holder") <= F.col("last")), F.col("holder")))
     shown = shown.groupBy(*keys, "bg").agg(F.min("holder").alias("holder")).join(colors(nodes), [*keys, "holder"], "left")
     none = F.create_map().cast("map<string,string>")
-    value = F.when(F.col("tag").isNotNull(), on_white(resolved(shown, none, none, none))).otherwise("#ffffff")
+    value = F.when(F.col("tag").isNotNull(), on_white(resolved(none, none, none))).otherwise("#ffffff")
     own = shown.select(*keys, value.alias("fill"))
     out = chain
     for level in ("slide_part", "layout_part", "master_part"):
@@ -121,3 +121,26 @@ def is_text(text_box: Column, ph_type: Column, custom: Column, prst: Column, has
         .otherwise(True)
     )
 
+
+
+def gradients(nodes: DataFrame) -> DataFrame:
+    """(deck_id, part_path, holder, type, angle, cx, cy, path, stops) of gradients with stops: (position in percent, colour) by position.
+
+    Colours are those written out; names of a scheme count as black here.
+    """
+    keys = ["deck_id", "part_path"]
+    none = F.create_map().cast("map<string,string>")
+    grad = nodes.filter(F.col("tag") == "gradFill").select(*keys, F.col("nid").alias("holder"), F.col("last").alias("end"))
+    shown = css(resolved(none, none, none))
+    gs = nodes.filter(F.col("tag") == "gs").select(*keys, F.col("nid").alias("gs"), (F.coalesce(number(attr("pos")), F.lit(0.0)) / 1000.0).alias("position"))
+    stop = gs.join(colors(nodes).withColumnRenamed("holder", "gs"), [*keys, "gs"]).select(*keys, "gs", "position", shown.alias("color"))
+    stops = grad.join(stop, keys).filter("gs > holder AND gs <= end").groupBy(*keys, "holder").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "gs", "color"))), lambda s: F.struct(s["position"].alias("position"), s["color"].alias("color"))).alias("stops"))
+    inner = nodes.filter(F.col("tag").isin("lin", "path", "fillToRect")).select(*keys, F.col("nid").alias("at"), "tag", "attrs")
+    way = grad.join(inner, keys).filter("at > holder AND at <= end").groupBy(*keys, "holder").agg(*(F.min_by("attrs", F.when(F.col("tag") == t, F.col("at"))).alias(t) for t in ("lin", "path", "fillToRect")))
+    side = lambda c: F.coalesce(number(F.col("fillToRect")[c]), F.lit(0.0)) / 100000.0
+    kind = F.col("path")["path"]
+    radial = F.col("lin").isNull() & F.coalesce(kind.isin("circle", "shape", "rect"), F.lit(False))
+    middle = lambda a, b: F.when(radial, (side(a) + (F.lit(1.0) - side(b))) / 2.0)
+    return stops.join(way, [*keys, "holder"], "left").select(
+        *keys, "holder", F.when(radial, "radial").otherwise("linear").alias("type"), F.coalesce(number(F.col("lin")["ang"]) / 60000.0, F.lit(0.0)).alias("angle"), middle("l", "r").alias("cx"), middle("t", "b").alias("cy"), F.when(radial, kind).alias("path"), "stops"
+    )

@@ -12,6 +12,7 @@ from ..operators import frames, package, shapes, styles
 from ..sources import archive, builder, xmltree
 from ..sources.builder import text as put
 from .document import Deck, as_json, documents
+from .structure import structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -585,9 +586,60 @@ def font_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(_whole(F.col("text")).alias("part"), units.hundredth_pt_to_pt(F.coalesce("size", "layout", "master", F.lit(1800.0))).alias("size"))
 
 
+@_query(
+    """SELECT p_partkey AS part, CASE p_size % 3 WHEN 2 THEN 'radial' ELSE 'linear' END AS type, CASE p_size % 3 WHEN 0 THEN p_size * 1.0 ELSE 0.0 END AS angle, CASE p_size % 3 WHEN 2 THEN 0.25 END AS cx,
+    '0:#000001,' || CASE WHEN p_size % 2 = 0 THEN '50' ELSE '25' END || ':#00ff00,100:rgba(255,0,0,0.500)' AS stops FROM part"""
+)
+def gradient_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients with stops out of order, along a line or around a point."""
+    part, s = _table(spark, sf_dir, "part"), F.col("p_size")
+    gs = lambda pos, c: put('<a:gs pos="', pos, f'">{c}</a:gs>')
+    stops = put(gs(F.lit(100000), '<a:srgbClr val="ff0000"><a:alpha val="50000"/></a:srgbClr>'), gs(F.lit(0), '<a:srgbClr val="000001"/>'), gs(F.when(s % 2 == 0, 50000).otherwise(25000), '<a:srgbClr val="00ff00"/>'))
+    way = F.when(s % 3 == 0, put('<a:lin ang="', s * 60000, '"/>')).when(s % 3 == 2, F.lit('<a:path path="circle"><a:fillToRect l="0" r="50000" t="50000" b="50000"/></a:path>')).otherwise("")
+    shape = builder.shape(F.col("p_partkey"), F.lit("s"), geometry=put("<a:gradFill><a:gsLst>", stops, "</a:gsLst>", way, "</a:gradFill>"))
+    nodes = Deck(builder.decks(_one_slide(part, F.col("p_partkey") % 100, shape, "p_partkey"))).nodes
+    keys = ["deck_id", "part_path"]
+    owner = nodes.filter(F.col("tag") == "gradFill").select(*keys, F.col("nid").alias("holder"), F.col("owner").alias("nid"))
+    met = styles.gradients(nodes).join(owner, [*keys, "holder"]).join(shapes.shapes(nodes).select(*keys, "nid", "id"), [*keys, "nid"])
+    shown = F.array_join(F.transform("stops", lambda x: F.concat(units.js_number(x["position"]), F.lit(":"), x["color"])), ",")
+    return met.select(_whole(F.col("id")).alias("part"), "type", "angle", "cx", shown.alias("stops"))
+
+
+@_query(
+    f"""SELECT CAST(s_nationkey AS BIGINT) AS nation, row, c.col AS col, 'wholeTbl' || CASE WHEN row = 0 THEN '' WHEN row % 2 = 0 THEN ',band2H' ELSE ',band1H' END || CASE WHEN row = 0 THEN ',firstRow' ELSE '' END || CASE WHEN c.col = 1 THEN ',lastCol' ELSE '' END AS sections
+    FROM ({_ROWS}), (VALUES (0), (1)) c(col)"""
+)
+def table_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of a style that hold for each cell: the first row apart, bands of rows, the last column; the style has no last row."""
+    sup = _table(spark, sf_dir, "supplier")
+    cell = lambda v: put("<a:tc><a:txBody>", builder.paragraph(builder.run(v)), "</a:txBody></a:tc>")
+    row = put('<a:tr h="0">', cell(F.col("s_suppkey")), cell(F.col("s_name")), "</a:tr>")
+    rows = builder.gathered(sup.select("s_nationkey", "s_suppkey", row.alias("xml")), ["s_nationkey"], "s_suppkey", "xml")
+    table = put('<a:tbl><a:tblPr firstRow="1" bandRow="1" lastRow="1" lastCol="true"><a:tableStyleId>{S}</a:tableStyleId></a:tblPr>', F.col("xml"), "</a:tbl>")
+    deck = F.col("s_nationkey").cast("string").alias("deck_id")
+    slides = rows.select(deck, F.lit(1).alias("n"), F.lit(1).alias("at"), builder.page(builder.frame(F.lit(1), table, "table")).alias("xml"))
+    sections = "".join(f"<a:{x}/>" for x in ("wholeTbl", "band1H", "band2H", "firstRow", "lastCol", "band1V"))
+    style = rows.select(deck, F.lit("ppt/tableStyles.xml").alias("part_path"), F.lit(f'<a:tblStyleLst xmlns:a="urn:a"><a:tblStyle styleId="{{S}}">{sections}</a:tblStyle></a:tblStyleLst>').alias("content"))
+    nodes = Deck(builder.decks(slides, style)).nodes
+    cells = frames.cells(nodes).withColumns({"rows": F.max("row").over(Window.partitionBy("deck_id", "part_path", "frame")) + 1, "cols": F.max("col").over(Window.partitionBy("deck_id", "part_path", "frame")) + 1})
+    met = cells.join(frames.table_flags(nodes), ["deck_id", "part_path", "frame"]).join(frames.table_styles(nodes), ["deck_id", "style_id"])
+    flags = {c: F.col(c) for c in ("bandRow", "bandCol", "firstRow", "lastRow", "firstCol", "lastCol")}
+    found = frames.style_sections(F.col("row"), F.col("col"), F.col("rows"), F.col("cols"), flags, F.col("sections"))
+    return met.select(_whole(F.col("deck_id")).alias("nation"), _whole(F.col("row")).alias("row"), F.col("col").cast("int").alias("col"), F.array_join(found, ",").alias("sections"))
+
+
 # ---- documents
 
 
+@_query(
+    """SELECT CAST(s_nationkey AS BIGINT) AS nation, 'table' AS node_type, CAST(NULL AS VARCHAR) AS text, CAST(2 * count(*) AS BIGINT) AS cells FROM supplier GROUP BY s_nationkey"""
+)
+def deck_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks without looks: kinds, texts and cells."""
+    found = structure(_supplier_tables(spark, sf_dir))
+    return found.select(_whole(F.col("deck_id")).alias("nation"), "node_type", "text", _whole(F.size("cells")).alias("cells"))
+
+
 @_query("SELECT CAST(n_regionkey AS BIGINT) AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS slide_index, 'text' AS type, n_name AS name, '<p>' || n_name || '</p>' AS content, 720.0 AS width, '#000000' AS accent FROM nation")
 def deck_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of whole documents, slide by slide."""
