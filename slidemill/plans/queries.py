@@ -74,7 +74,7 @@ def slide_order_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slide_texts(builder.decks(_nations(spark, sf_dir), listed=False))
 
 
-@_query("SELECT CAST(r_regionkey AS BIGINT) AS region, 720.0 + r_regionkey AS width, 540.0 AS height FROM region")
+@_query("SELECT CAST(r_regionkey AS BIGINT) AS region, CAST(720 + r_regionkey AS DOUBLE) AS width, CAST(540 AS DOUBLE) AS height FROM region")
 def slide_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("deck_id"), F.lit(1).alias("n"), F.lit(1).alias("at"), builder.page("").alias("xml"), F.col("r_regionkey").alias("k"))
     files = region.select("deck_id", F.lit("ppt/presentation.xml").alias("part_path"), put("<p:presentation xmlns:p=\"urn:p\"><p:sldSz cx=\"", F.col("k") * 12700 + 9144000, "\" cy=\"6858000\"/></p:presentation>").alias("content"))
@@ -298,8 +298,8 @@ def chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT n_nationkey AS nation, CASE WHEN n_nationkey % 3 = 0 THEN 10.0 + n_nationkey WHEN n_nationkey % 3 = 1 THEN 100.0 ELSE 200.0 END AS "left",
-    CASE WHEN n_nationkey % 3 = 0 THEN 20.0 WHEN n_nationkey % 3 = 1 THEN 30.0 ELSE 40.0 END AS width FROM nation"""
+    """SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 10 + n_nationkey WHEN n_nationkey % 3 = 1 THEN 100 ELSE 200 END AS DOUBLE) AS "left",
+    CAST(CASE WHEN n_nationkey % 3 = 0 THEN 20 WHEN n_nationkey % 3 = 1 THEN 30 ELSE 40 END AS DOUBLE) AS width FROM nation"""
 )
 def placeholder_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of placeholders: their own, the layout's of that type and index, or the master's of that type."""
@@ -374,7 +374,7 @@ def diagram_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     k AS (SELECT c_custkey, hex, i, ((v >> (16 - 8 * i)) & 255) / 255.0 AS s FROM c, (VALUES (0), (1), (2)) t(i)),
     l AS (SELECT c_custkey, hex, i, 0.5 * CASE WHEN s <= 0.04045 THEN s / 12.92 ELSE pow((s + 0.055) / 1.055, 2.4) END AS x FROM k),
     o AS (SELECT c_custkey, i, CAST(floor(255 * CASE WHEN x <= 0.0031308 THEN x * 12.92 ELSE 1.055 * pow(x, 1 / 2.4) - 0.055 END + 0.5) AS BIGINT) AS b FROM l)
-    SELECT c_custkey AS customer, '#' || string_agg(printf('%02x', b), '' ORDER BY i) AS shaded, 0.25 AS alpha FROM o GROUP BY c_custkey"""
+    SELECT c_custkey AS customer, '#' || string_agg(printf('%02x', b), '' ORDER BY i) AS shaded, CAST(0.25 AS DOUBLE) AS alpha FROM o GROUP BY c_custkey"""
 )
 def color_shade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours half way to black in linear light, and a quarter opaque."""
@@ -393,7 +393,7 @@ def border_dash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("part"), text.border_type(kind).alias("border_type"), text.dash_array(kind, F.col("p_size")).alias("dash_array"))
 
 
-@_query("SELECT n_nationkey AS nation, CASE n_nationkey % 3 WHEN 0 THEN '4472C4' WHEN 1 THEN printf('%06d', n_regionkey) ELSE 'FFFFFF' END AS color FROM nation")
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS nation, CASE n_nationkey % 3 WHEN 0 THEN '4472C4' WHEN 1 THEN printf('%06d', n_regionkey) ELSE 'FFFFFF' END AS color FROM nation")
 def scheme_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of scheme colours through a layout's override or a master's map to a theme."""
     k = F.col("n_nationkey")
@@ -441,7 +441,7 @@ def unit_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT n_nationkey AS nation, CASE n_nationkey % 3 WHEN 0 THEN 'fade' WHEN 1 THEN 'push' ELSE 'none' END AS type, CAST(CASE n_regionkey % 4 WHEN 0 THEN 500 WHEN 1 THEN 800 ELSE 1000 END AS BIGINT) AS duration,
+    """SELECT CAST(n_nationkey AS BIGINT) AS nation, CASE n_nationkey % 3 WHEN 0 THEN 'fade' WHEN 1 THEN 'push' ELSE 'none' END AS type, CAST(CASE n_regionkey % 4 WHEN 0 THEN 500 WHEN 1 THEN 800 ELSE 1000 END AS BIGINT) AS duration,
     CASE WHEN n_nationkey % 3 = 1 THEN 'l' END AS direction FROM nation"""
 )
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -474,7 +474,7 @@ def bodies_and_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT p_partkey AS part, p_size % 2 = 1 AS inset, round(CASE WHEN p_size % 2 = 1 THEN 0 ELSE p_size * cos(radians(p_size * 7)) END, 6) + 0.0 AS h, round(CASE WHEN p_size % 2 = 1 THEN 0 ELSE p_size * sin(radians(p_size * 7)) END, 6) + 0.0 AS v, 4.0 AS blur FROM part"""
+    """SELECT p_partkey AS part, p_size % 2 = 1 AS inset, round(CASE WHEN p_size % 2 = 1 THEN 0 ELSE p_size * cos(radians(p_size * 7)) END, 6) + 0.0 AS h, round(CASE WHEN p_size % 2 = 1 THEN 0 ELSE p_size * sin(radians(p_size * 7)) END, 6) + 0.0 AS v, CAST(4 AS DOUBLE) AS blur FROM part"""
 )
 def shadow_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shadows from direction and distance."""
@@ -488,7 +488,7 @@ def shadow_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(_whole(F.col("id")).alias("part"), "inset", (F.round("h", 6) + 0.0).alias("h"), (F.round("v", 6) + 0.0).alias("v"), "blur")
 
 
-@_query("SELECT n_nationkey AS nation, CASE n_nationkey % 3 WHEN 0 THEN '#808080' WHEN 1 THEN '#112233' ELSE '#ffffff' END AS fill FROM nation")
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS nation, CASE n_nationkey % 3 WHEN 0 THEN '#808080' WHEN 1 THEN '#112233' ELSE '#ffffff' END AS fill FROM nation")
 def background_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backgrounds: a slide's own (half of it let through), its layout's, or white."""
     nation, k = _table(spark, sf_dir, "nation"), F.col("n_nationkey")
@@ -504,7 +504,7 @@ def background_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_whole(F.regexp_extract("slide_part", r"(\d+)\.xml$", 1)).alias("nation"), "fill")
 
 
-@_query("SELECT n_nationkey AS nation, CASE n_nationkey % 3 WHEN 0 THEN '#slide-' || n_nationkey WHEN 1 THEN 'https://example.org/' || n_nationkey END AS link FROM nation")
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS nation, CASE n_nationkey % 3 WHEN 0 THEN '#slide-' || n_nationkey WHEN 1 THEN 'https://example.org/' || n_nationkey END AS link FROM nation")
 def shape_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of shapes: jumps to slides, safe addresses outside, and none."""
     nation, k = _table(spark, sf_dir, "nation"), F.col("n_nationkey")
@@ -519,7 +519,7 @@ def shape_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_whole(F.col("id")).alias("nation"), "link")
 
 
-@_query("SELECT n_nationkey AS nation FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0")
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS nation FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0")
 def decorations_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes of a master that show: no placeholders, none without extent."""
     nation, k = _table(spark, sf_dir, "nation"), F.col("n_nationkey")
@@ -587,7 +587,7 @@ def font_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT p_partkey AS part, CASE p_size % 3 WHEN 2 THEN 'radial' ELSE 'linear' END AS type, CASE p_size % 3 WHEN 0 THEN p_size * 1.0 ELSE 0.0 END AS angle, CASE p_size % 3 WHEN 2 THEN 0.25 END AS cx,
+    """SELECT p_partkey AS part, CASE p_size % 3 WHEN 2 THEN 'radial' ELSE 'linear' END AS type, CAST(CASE p_size % 3 WHEN 0 THEN p_size ELSE 0 END AS DOUBLE) AS angle, CAST(CASE p_size % 3 WHEN 2 THEN 0.25 END AS DOUBLE) AS cx,
     '0:#000001,' || CASE WHEN p_size % 2 = 0 THEN '50' ELSE '25' END || ':#00ff00,100:rgba(255,0,0,0.500)' AS stops FROM part"""
 )
 def gradient_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -640,7 +640,7 @@ def deck_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_whole(F.col("deck_id")).alias("nation"), "node_type", "text", _whole(F.size("cells")).alias("cells"))
 
 
-@_query("SELECT CAST(n_regionkey AS BIGINT) AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS slide_index, 'text' AS type, n_name AS name, '<p>' || n_name || '</p>' AS content, 720.0 AS width, '#000000' AS accent FROM nation")
+@_query("SELECT CAST(n_regionkey AS BIGINT) AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS slide_index, 'text' AS type, n_name AS name, '<p>' || n_name || '</p>' AS content, CAST(720 AS DOUBLE) AS width, '#000000' AS accent FROM nation")
 def deck_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of whole documents, slide by slide."""
     docs = documents(builder.decks(_nations(spark, sf_dir)))
