@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import extended, others
 
 #: Pieces after which the table of those seen is renewed.
-KEPT = 300_000
+KEPT = 150_000
 #: Letters and numbers of Unicode versions after 16.0, which the tokenizer's tables do not know as such.
 LATER = (
     "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf"

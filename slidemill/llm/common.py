@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that numpy handles at a time; a longer document is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
