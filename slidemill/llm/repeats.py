@@ -32,8 +32,8 @@ WIDTH, GRAM = 400, 128
 MANY = 1000
 #: Windows sorted at a time, about.
 BATCH = 16_384
-#: Stretches, or texts with spans, up to which their table is broadcast; a larger one is joined by shuffling.
-SMALL = 100_000
+#: Bytes, about, up to which the table of spans of texts is broadcast; a larger one is joined by shuffling.
+SMALL = 16 << 20
 _PLACE = 24
 _STEP = 1 << 22
 
@@ -179,7 +179,7 @@ def spans(docs: DataFrame, id: str = "doc_id", first: bool = False, width: int =
     by_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
     kinds = cut(kinds.join(by_anchor, "h"))
     single = kinds.filter("kinds > 1").select("h", "c", "one.*", (F.col("kinds") > MANY).alias("many"))
-    sent = _with_text(single, texts).select("h", "c", "many", "id", "th", "lo", "data")
+    sent = _with_text(single, texts, width).select("h", "c", "many", "id", "th", "lo", "data")
     few = _few(sent.filter("NOT many"), width, first)
     many = _many(sent.filter("many"), width, first)
     parts = cut(few.unionByName(many)).groupBy("h", "c").agg(F.collect_list(F.struct("from", "to")).alias("parts"))
@@ -198,15 +198,21 @@ def _keyed(docs: DataFrame, id: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _met(texts: DataFrame, table: DataFrame, how: str) -> DataFrame:
-    """texts joined to a table by (id, th): broadcast if its rows are few, else by shuffling both."""
+def _small(table: DataFrame, array: str) -> bool:
+    """Whether a table of rows with an array may be broadcast, by a count of its rows and their elements."""
+    rows, elements = table.agg(F.count("*"), F.sum(F.size(array))).first()
+    return 64 * rows + 48 * (elements or 0) <= SMALL
+
+
+def _met(texts: DataFrame, table: DataFrame, array: str, how: str) -> DataFrame:
+    """texts joined to a table with an array by (id, th): broadcast if it is small, else by shuffling both."""
     other = table.withColumnsRenamed({"id": "__id", "th": "__th"})
-    small = other.limit(SMALL + 1).count() <= SMALL
+    small = _small(table, array)
     on = texts["id"].eqNullSafe(other["__id"]) & (texts["th"] == other["__th"])
     return texts.join(F.broadcast(other) if small else other, on, how).drop("__id", "__th")
 
 
-def _with_text(single: DataFrame, texts: DataFrame) -> DataFrame:
+def _with_text(single: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Stretches with their bytes, as column data."""
     wanted = cut(single.groupBy("id", "th").agg(F.collect_list(F.struct("h", "c", "many", "lo", "hi")).alias("want")))
 
@@ -218,14 +224,14 @@ def _with_text(single: DataFrame, texts: DataFrame) -> DataFrame:
                 data = text.as_py().encode()
                 for x in want:
                     rows.append(k)
-                    for c, v in zip(out, (x["h"], x["c"], x["many"], x["lo"], data[x["lo"] : x["hi"] + WIDTH]), strict=False):
+                    for c, v in zip(out, (x["h"], x["c"], x["many"], x["lo"], data[x["lo"] : x["hi"] + width]), strict=False):
                         c.append(v)
             at = pa.array(rows, pa.int64())
             made = [pa.array(c, k) for c, k in zip(out[:5], (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), *made], ["id", "th", "h", "c", "many", "lo", "data"])
 
     # equal rows give their stretch once
-    met = _met(texts, wanted, "inner").select("id", "th", "text", "want")
+    met = _met(texts, wanted, "want", "inner").select("id", "th", "text", "want")
     kind = texts.schema["id"].dataType.simpleString()
     return met.mapInArrow(run, f"id {kind}, th long, h long, c long, many boolean, lo int, data binary")
 
@@ -312,12 +318,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names)
 
-    met = _met(_keyed(docs, "doc_id"), cut(spans(docs)), "left").select("id", "text", "spans")
+    met = _met(_keyed(docs, "doc_id"), cut(spans(docs)), "spans", "left").select("id", "text", "spans")
     return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id") -> DataFrame:
-    """docs whose text lacks the later copies of repeated strings; the first copy stays.
+def without_repeats(docs: DataFrame, id: str = "doc_id", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """docs whose text lacks the later copies of repeated strings of ``width`` bytes; the first copy stays.
 
     Bytes of a character are removed or kept together: one that a span covers in part is kept.
     """
@@ -327,7 +333,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id") -> DataFrame:
             out = []
             for text, found in zip(batch.column(len(others)), batch.column(len(others) + 1).to_pylist(), strict=True):
                 data, kept, at = text.as_py().encode(), [], 0
-                for a, b in cover(found, WIDTH):
+                for a, b in cover(found, width):
                     while a < len(data) and data[a] & 0xC0 == 0x80:
                         a += 1
                     while b < len(data) and data[b] & 0xC0 == 0x80:
@@ -338,9 +344,9 @@ def without_repeats(docs: DataFrame, id: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(out, pa.string())], [*others, "__text"])
 
     others = [c for c in docs.columns if c != "text"]
-    found = cut(spans(docs, id, first=True)).withColumnsRenamed({"id": "__id", "th": "__th", "spans": "__spans"})
+    found = cut(spans(docs, id, True, width, gram)).withColumnsRenamed({"id": "__id", "th": "__th", "spans": "__spans"})
     shown = docs.withColumn("__given", F.coalesce("text", F.lit("")))
-    small = found.limit(SMALL + 1).count() <= SMALL
+    small = _small(found, "__spans")
     on = F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64("__given") == F.col("__th"))
     met = shown.join(F.broadcast(found) if small else found, on, "left").select(*others, "__given", "__spans")
     return met.mapInArrow(run, extended(docs.select(*others).schema, "__text string")).withColumnRenamed("__text", "text").select(*docs.columns)

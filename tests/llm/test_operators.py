@@ -344,20 +344,20 @@ def test_lpf_by_brute_force():
         assert repeats.longest_previous_factor(*repeats.suffix_order(m)).tolist() == want
 
 
-@pytest.mark.parametrize("many", [1000, 3])
+@pytest.mark.parametrize("many, width, gram", [(1000, 400, 128), (3, 400, 128), (20, 90, 30)])
 @pytest.mark.parametrize("first", [False, True])
-def test_repeats_by_brute_force(spark, docs, texts, monkeypatch, many, first):
+def test_repeats_by_brute_force(spark, docs, monkeypatch, many, width, gram, first):
     monkeypatch.setattr(repeats, "MANY", many)
     table = docs.dropDuplicates(["doc_id"]) if first else docs
     rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, (r["text"] or "").encode()) for r in table.collect()), key=lambda r: r[0])
     got = {}
-    for r in repeats.spans(table, first=first).collect():
-        got[-1 if r["id"] is None else r["id"]] = repeats.cover([x.asDict() for x in r["spans"]], 400)
-    for (k, t), at in zip(rows, repeated([t for _, t in rows], 400, first), strict=True):
+    for r in repeats.spans(table, "doc_id", first, width, gram).collect():
+        got[-1 if r["id"] is None else r["id"]] = repeats.cover([x.asDict() for x in r["spans"]], width)
+    for (k, t), at in zip(rows, repeated([t for _, t in rows], width, first), strict=True):
         flags = np.zeros(len(t), bool)
         for a, b in got.get(k, []):
             flags[a:b] = True
-        assert (flags == covered(t, at, 400)).all(), k
+        assert (flags == covered(t, at, width)).all(), k
 
 
 def test_repeats_keep_the_first_copy_and_all_columns(docs, empty, texts):
