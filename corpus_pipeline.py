@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from slidemill.llm import bpe, common, minhash, mixing, quality, repeats
 
 
+#: Bytes of a string that counts as repeated: a passage of fifty words is longer.
+PASSAGE = 240
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels of documents that came in."""
     model = quality.learned(spark, sf_dir, docs)
@@ -30,8 +34,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of strings of 400 bytes; n_chars follows.  Documents of which nothing is left go."""
-    left = repeats.without_repeats(docs)
+    """Texts without later copies of strings of PASSAGE bytes; n_chars follows.  Documents of which nothing is left go."""
+    left = repeats.without_repeats(docs, width=PASSAGE, gram=PASSAGE // 3)
     if "n_chars" in left.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.filter(F.length("text") > 0)
