@@ -210,26 +210,32 @@ def _with_texts(wanted: DataFrame, node: str, nodes: DataFrame, docs: DataFrame,
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label) for the nodes of edges (a, b): label is the smallest node of its component.  Alternates large and small stars."""
+    """(node, label) for the nodes of edges (a, b): label is the smallest node of its component.  Alternates large and small stars.
+
+    A graph of ``SMALL`` edges at most is held in one partition, where nothing is shuffled; a larger one is spread out.
+    """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    state = _state(now)
+    held = (lambda x: x.coalesce(1)) if state[0] <= SMALL else (lambda x: x)
+    while state[0]:
+        edge = held(now)
+        both = held(edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        small = cut(small)
-        if _same(now, small):
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v")
+        small = cut(held(small).distinct())
+        before, state, now = state, _state(small), small
+        if before == state:
             break
-        now = small
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return held(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")))).distinct()
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (a, b)]
-    return sums[0] == sums[1]
+def _state(edges: DataFrame) -> tuple:
+    """How many edges there are, and a sum over their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def groups(docs: DataFrame, id: str = "doc_id", near: float = NEAR) -> DataFrame:
@@ -251,9 +257,16 @@ def _labelled(texts: DataFrame, id: str, near: float) -> DataFrame:
     led = met.join(leaders, "band")
     pairs = led.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(verified(pairs, nodes, texts, id, near))
-    labels = connected(links)
-    links = links.select("a", "b").unionByName(_open_links(led.select("leader", "node"), links, labels, nodes, texts, id, near))
-    labels = connected(links)
+    labels = cut(connected(links))
+    more = cut(_open_links(led.select("leader", "node"), labels, nodes, texts, id, near))
+    if more.limit(1).count():
+        # links between components: their labels are joined, and nodes follow their labels
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+        between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
+        last = cut(connected(between).select(F.col("node").alias("label"), F.col("label").alias("last")))
+        alone = last.select(F.col("label").alias("node"), "last")
+        labels = labels.join(last, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+        labels = labels.unionByName(alone.select("node", F.col("last").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
     whole = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = whole.groupBy("label").agg(F.min("id").alias("class_id"))
     named = whole.join(least, "label").select("node", "label", "class_id")
@@ -275,7 +288,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", near: float = NEAR) -> DataFra
     return left.drop("__text")
 
 
-def _open_links(led: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, near: float) -> DataFrame:
+def _open_links(led: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, near: float) -> DataFrame:
     """(a, b): links that join components, between nodes of one leader's buckets that are not in the leader's component and all others there.
 
     led: (leader, node) as they met.  The nodes of a leader are dealt to blocks of BLOCK; each block of open nodes meets each block

@@ -23,7 +23,7 @@ from .common import cut
 ROUNDS = 6
 #: Powers of a category's tokens to which target shares are proportional.
 POWERS = {"source": 0.9, "lang": 0.8, "topic": 0.9}
-#: Cells up to which their table is broadcast; a larger one is joined by shuffling.
+#: Cells up to which their table is raked in one partition and broadcast; a larger one is spread out and joined by shuffling.
 SMALL = 100_000
 
 
@@ -49,8 +49,12 @@ def with_margins(docs: DataFrame) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Cells (__source, __lang, __topic, tokens) with column w: weights whose margins are the target shares."""
-    cells = cells.withColumn("w", F.col("tokens").cast("double"))
+    """Cells (__source, __lang, __topic, tokens) with column w: weights whose margins are the target shares.
+
+    ``SMALL`` cells at most are held in one partition, where nothing is shuffled; more are spread out.
+    """
+    held = (lambda x: x.coalesce(1)) if cells.limit(SMALL + 1).count() <= SMALL else (lambda x: x)
+    cells = held(cells).withColumn("w", F.col("tokens").cast("double"))
     for name, power in POWERS.items():
         d, by = f"__{name}", f"share_{name}"
         sums = cells.groupBy(d).agg(F.sum("tokens").alias("t"))
@@ -64,9 +68,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     cells = cut(cells)
     for _ in range(rounds):
         for name in POWERS:
-            sums = cells.groupBy(f"__{name}").agg(F.sum("w").alias("held"))
-            scaled = F.when(F.col("held") > 0, F.col("w") * F.col(f"share_{name}") / F.col("held")).otherwise(0.0)
-            cells = cut(cells.join(sums, f"__{name}").withColumn("w", scaled).drop("held"))
+            sums = held(cells).groupBy(f"__{name}").agg(F.sum("w").alias("sum"))
+            scaled = F.when(F.col("sum") > 0, F.col("w") * F.col(f"share_{name}") / F.col("sum")).otherwise(0.0)
+            cells = cut(held(cells).join(sums, f"__{name}").withColumn("w", scaled).drop("sum"))
     return cells
 
 
