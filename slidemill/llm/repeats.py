@@ -189,8 +189,9 @@ def spans(docs: DataFrame, id: str = "doc_id", first: bool = False, width: int =
     none = F.array().cast("array<struct<from:int,to:int>>")
     is_one = F.struct("id", "th", "lo", "hi").eqNullSafe(F.col("one"))
     is_whole = ~is_one if first else F.col("n") > 1
-    each = each.select("id", "th", "lo", F.explode(F.when(is_whole, whole).otherwise(F.coalesce("parts", none))).alias("x"))
-    return each.groupBy("id", "th").agg(F.collect_list(F.struct((F.col("lo") + F.col("x.from")).alias("from"), (F.col("lo") + F.col("x.to")).alias("to"))).alias("spans"))
+    found = F.transform(F.when(is_whole, whole).otherwise(F.coalesce("parts", none)), lambda x: F.struct((F.col("lo") + x["from"]).alias("from"), (F.col("lo") + x["to"]).alias("to")))
+    each = each.select("id", "th", found.alias("found")).filter(F.size("found") > 0)
+    return each.groupBy("id", "th").agg(F.flatten(F.collect_list("found")).alias("spans"))
 
 
 def _keyed(docs: DataFrame, id: str) -> DataFrame:
