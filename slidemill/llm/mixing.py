@@ -2,8 +2,11 @@
 
 Documents are summed to cells (source, language, topic) of tokens.  Each round scales the cells' weights so that the sums by
 source, then by language, then by topic are the target shares; after ``ROUNDS`` rounds all three hold closely.  A document's
-probability is its cell's weight by token over the largest such, so that no document is wanted more than once and the expected
-tokens of the sample have the raked shares.  Documents are drawn by a hash of their id: the same ones each time.
+probability is min(1, c * its cell's weight by token).  With ``kept``, a share of the corpus' tokens, c is such that the expected
+tokens of the sample are that share: scarce cells are taken whole, and what they cannot give is given by the others, so that one
+odd document changes nothing elsewhere; ``margins`` tells which shares are then missed.  Without it, as query op3 and its SQL
+have it, c is the inverse of the largest weight by token: no cell is wanted beyond what it holds and the shares are the raked
+ones, but the rarest cell sets the rate of all.  Documents are drawn by a hash of their id: the same ones each time.
 
 Target shares follow from the corpus by default: proportional to a power of a category's tokens, below 1, which lifts what is
 rare (``POWERS``); or they are given as a DataFrame (category, share) for each margin, shares of categories that are absent
@@ -15,6 +18,8 @@ id are drawn as the id ''.  Rows repeated are drawn or not together.  An empty t
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +30,9 @@ ROUNDS = 6
 POWERS = {"source": 0.9, "lang": 0.8, "topic": 0.9}
 #: Cells up to which their table is raked in one partition and broadcast; a larger one is spread out and joined by shuffling.
 SMALL = 100_000
+#: A share missed by more is named in the log.
+GAP = 0.001
+LOG = logging.getLogger(__name__)
 
 
 def tokens(text: Column) -> Column:
@@ -74,14 +82,54 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     return cells
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, id: str = "doc_id") -> DataFrame:
-    """The documents drawn, with columns __source, __lang, __topic, __tokens and __probability beside their own."""
+def scale(cells: DataFrame, kept: float) -> float:
+    """The c for which sum(least(tokens, c * w)) is the share ``kept`` of all tokens, or of those in cells of any weight if these are fewer.
+
+    The sum is concave in c and made of straight pieces: tangents from the left reach it in a few aggregations.
+    """
+    total, reach, weight = cells.agg(F.sum("tokens"), F.sum(F.when(F.col("w") > 0, F.col("tokens"))), F.sum("w")).first()
+    if not weight:
+        return 0.0
+    if kept * total >= reach:
+        return float("inf")
+    c, full = kept * total / weight, 0
+    while True:
+        whole = F.col("w") * F.lit(c) >= F.col("tokens")
+        held, left = cells.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(whole, 0.0).otherwise(F.col("w")))).first()
+        if held == full or not left:
+            return c
+        c, full = max(c, (kept * total - held) / left), held
+
+
+def margins(cells: DataFrame) -> DataFrame:
+    """(margin, category, wanted, expected): target shares, and those of the expected tokens, of cells with column __probability."""
+    found = None
+    for name in POWERS:
+        sums = cells.groupBy(F.col(f"__{name}").alias("category")).agg(F.max(f"share_{name}").alias("wanted"), F.sum(F.col("tokens") * F.col("__probability")).alias("t"))
+        sums = sums.crossJoin(F.broadcast(cells.agg(F.sum(F.col("tokens") * F.col("__probability")).alias("all"))))
+        sums = sums.select(F.lit(name).alias("margin"), "category", "wanted", F.try_divide("t", "all").alias("expected"))
+        found = sums if found is None else found.unionByName(sums)
+    return found
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, id: str = "doc_id", kept: float | None = None) -> DataFrame:
+    """The documents drawn, with columns __source, __lang, __topic, __tokens and __probability beside their own; the shares missed most go to the log."""
     shown = with_margins(docs)
     cells = cut(shown.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens")))
     cells = rake(cells, targets, rounds)
     by_token = F.col("w") / F.col("tokens")
     most, n = cells.agg(F.max(by_token), F.count("*")).first()
-    drawn = cells.select("__source", "__lang", "__topic", (by_token / F.lit(most or 1.0)).alias("__probability"))
+    if kept is None:
+        chance = by_token / F.lit(most or 1.0)
+    else:
+        c = scale(cells, kept)
+        chance = F.when(F.col("w") > 0, F.least(F.lit(1.0), by_token * F.lit(c))).otherwise(0.0)
+    cells = cells.withColumn("__probability", chance)
+    if kept is not None:
+        gap = F.abs(F.col("wanted") - F.col("expected"))
+        for r in margins(cells).filter(gap > GAP).orderBy(gap.desc(), "margin", "category").limit(20).collect():
+            LOG.warning("mixing: %s %r has %.4f of the expected tokens instead of %.4f", r["margin"], r["category"], r["expected"], r["wanted"])
+    drawn = cells.select("__source", "__lang", "__topic", "__probability")
     met = shown.join(F.broadcast(drawn) if n <= SMALL else drawn, ["__source", "__lang", "__topic"])
     return met.filter(unit(F.col(id)) < F.col("__probability"))
 

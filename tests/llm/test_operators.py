@@ -183,6 +183,29 @@ def test_mixing_reaches_the_targets(spark, empty):
     assert np.allclose(raked.groupby("__source").w.sum() / raked.w.sum(), [0.5, 0.5], atol=1e-6)
 
 
+def test_mixing_keeps_its_share_beside_one_odd_document(spark):
+    rng = random.Random(4)
+    rows = [(k, "x" * rng.randint(200, 400), rng.choice(["en", "en", "de"]), rng.choice(["a", "a", "b"]), "", "", "") for k in range(4000)]
+    odd = (-1, "y" * 400, "xx", "odd", "", "", "")
+    for table in (rows, [*rows, odd]):
+        shown = mixing.mix(spark.createDataFrame(table, SCHEMA), kept=0.5).toPandas()
+        total = sum(max(1, -(-len(r[1]) // 4)) for r in table)
+        assert abs(shown.__tokens.sum() / total - 0.5) < 0.03 and set(shown.doc_id) <= {r[0] for r in table}
+    assert -1 in set(shown.doc_id)
+
+
+def test_mixing_scale_and_margins(spark):
+    cells = [("a", "x", "t", 1000, 0.5), ("a", "y", "t", 10, 0.2), ("b", "x", "t", 100, 0.3), ("c", "x", "t", 50, 0.0)]
+    table = spark.createDataFrame(cells, "__source string, __lang string, __topic string, tokens long, w double")
+    for kept in (0.01, 0.1, 0.5, 0.9):
+        c = mixing.scale(table, kept)
+        assert abs(sum(min(r[3], c * r[4]) for r in cells) - kept * 1160) < 1e-6
+    assert mixing.scale(table, 1.0) == float("inf") and mixing.scale(table.limit(0), 0.5) == 0.0
+    p = F.when(F.col("w") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(mixing.scale(table, 0.5)) / F.col("tokens"))).otherwise(0.0)
+    got = {(r["margin"], r["category"]): r for r in mixing.margins(table.withColumns({"__probability": p, "share_source": F.lit(0.5), "share_lang": F.lit(0.5), "share_topic": F.lit(1.0)})).collect()}
+    assert len(got) == 6 and abs(got["source", "a"]["expected"] - 480 / 580) < 1e-9 and abs(got["lang", "y"]["expected"] - 10 / 580) < 1e-9 and got["source", "a"]["wanted"] == 0.5
+
+
 # ---- 4
 
 
