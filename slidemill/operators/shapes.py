@@ -124,21 +124,25 @@ def inherited(on_slide: DataFrame, on_layout: DataFrame, on_master: DataFrame) -
     return met.withColumns({c: F.coalesce(c, f"from_layout.o_{c}", f"from_master.o_{c}") for c in ("x", "y", "cx", "cy")}).drop("from_layout", "from_master")
 
 
-def flattened(found: DataFrame, depth: int = 10) -> DataFrame:
-    """Shapes with x, y, cx, cy as seen from the slide: each group's offset and scale applied, from the nearest group outwards.
+def flattened(found: DataFrame) -> DataFrame:
+    """Shapes with x, y, cx, cy as seen from the slide: offsets and scales of all groups around applied, however deep these lie in each other.
 
-    Groups lie in each other ``depth`` deep at most.
+    Each round puts a group's map together with that of the group it points to, and lets it point to where that one points: as
+    many rounds as the depth has binary digits.
     """
     found = found.persist()
-    g = found.filter(F.col("shape") == "grpSp").select("deck_id", "part_path", F.col("nid").alias("at"), F.col("group_nid").alias("g_up"), *(F.coalesce(c, F.lit(0.0)).alias(f"g_{c}") for c in ("x", "y", "cx", "cy", "ch_x", "ch_y")), *(F.col(c).alias(f"g_{c}") for c in ("ch_cx", "ch_cy")))
-    now = found.withColumn("at", F.col("group_nid"))
-    scale = lambda c: F.when(F.col(f"g_ch_{c}") > 0, F.col(f"g_{c}") / F.col(f"g_ch_{c}")).otherwise(1.0)
-    for _ in range(depth):
-        if now.filter("at > 0").limit(1).count() == 0:
-            break
-        met = now.join(g, ["deck_id", "part_path", "at"], "left")
-        inside = F.col("at") > 0
-        changed = {c: F.when(inside, F.col(f"g_{c}") + (F.col(c) - F.col(f"g_ch_{c}")) * scale(f"c{c}")).otherwise(F.col(c)) for c in "xy"}
-        changed |= {c: F.when(inside, F.col(c) * scale(c)).otherwise(F.col(c)) for c in ("cx", "cy")}
-        now = met.withColumns(changed | {"at": F.coalesce("g_up", F.lit(0))}).select(*found.columns, "at")
-    return now.drop("at")
+    length = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    scale = lambda c: F.when(F.col(f"ch_{c}") > 0, length(c) / F.col(f"ch_{c}")).otherwise(1.0)
+    maps = found.filter(F.col("shape") == "grpSp").select("deck_id", "part_path", F.col("nid").alias("at"), F.col("group_nid").alias("up"), *(scale(f"c{c}").alias(f"s{c}") for c in "xy"), *((length(c) - length(f"ch_{c}") * scale(f"c{c}")).alias(f"t{c}") for c in "xy"))
+    maps = maps.persist()
+    while maps.filter("up > 0").limit(1).count():
+        outer = maps.select("deck_id", "part_path", F.col("at").alias("up"), F.col("up").alias("o_up"), *(F.col(f"{k}{c}").alias(f"o_{k}{c}") for k in "st" for c in "xy"))
+        met = maps.join(outer, ["deck_id", "part_path", "up"], "left")
+        own = lambda c, e: F.when(F.col("o_up").isNull(), F.col(c)).otherwise(e)
+        maps = met.select("deck_id", "part_path", "at", F.coalesce("o_up", F.lit(0)).alias("up"), *(own(f"s{c}", F.col(f"s{c}") * F.col(f"o_s{c}")).alias(f"s{c}") for c in "xy"), *(own(f"t{c}", F.col(f"t{c}") * F.col(f"o_s{c}") + F.col(f"o_t{c}")).alias(f"t{c}") for c in "xy")).persist()
+    maps = maps.select("deck_id", "part_path", F.col("at").alias("group_nid"), *(f"{k}{c}" for k in "st" for c in "xy"))
+    met = found.join(maps, ["deck_id", "part_path", "group_nid"], "left")
+    inside = F.col("sx").isNotNull()
+    changed = {c: F.when(inside, F.col(c) * F.col(f"s{c}") + F.col(f"t{c}")).otherwise(F.col(c)) for c in "xy"}
+    changed |= {f"c{c}": F.when(inside, F.col(f"c{c}") * F.col(f"s{c}")).otherwise(F.col(f"c{c}")) for c in "xy"}
+    return met.withColumns(changed).select(*found.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.outlines import preset_path
 from ..functions.text import run_html
+from ..llm.common import cut
 from ..operators import package, shapes
 from ..sources import archive, xmltree
 
@@ -27,8 +28,16 @@ class Deck:
 def documents(decks: DataFrame) -> DataFrame:
     """(deck_id, size, theme_colors, slides): slides in order, each with its elements in document order; texts as HTML."""
     deck = Deck(decks)
-    order = package.chain(deck.slides(), deck.rels)
-    found = shapes.boxes(shapes.flattened(shapes.shapes(deck.nodes))).filter("NOT ph OR x IS NOT NULL")
+    # lineage is cut where several steps go on from a table: plans would hold the way there once for each
+    deck.parts, deck.nodes = cut(deck.parts.drop("content")), cut(deck.nodes)
+    deck.rels = cut(package.relationships(deck.nodes))
+    order = cut(package.chain(deck.slides(), deck.rels))
+    found = cut(shapes.flattened(cut(shapes.shapes(deck.nodes))))
+    # a slide may stand in the list twice: its shapes are placed once
+    own = found.withColumnRenamed("part_path", "slide_part").join(order.select("deck_id", "slide_part", "layout_part", "master_part").distinct(), ["deck_id", "slide_part"])
+    of = lambda part: found.filter(F.col("part_path").startswith(part))
+    # placeholders that nothing places stay, at 0
+    found = shapes.boxes(shapes.inherited(cut(own), of("ppt/slideLayouts/"), of("ppt/slideMasters/"))).withColumnRenamed("slide_part", "part_path")
     lines = shapes.runs(deck.nodes).withColumn("html", run_html(F.col("text")))
     lines = shapes.joined(lines, ["deck_id", "part_path", "owner", "para"], "run_ord", "html")
     bodies = shapes.joined(lines.withColumn("html", F.concat(F.lit("<p>"), "html", F.lit("</p>"))), ["deck_id", "part_path", "owner"], "para", "html")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from slidemill.plans import queries
+from slidemill.plans.document import documents
 from slidemill.sources import archive, xmltree
 from slidemill.streaming import landing
 
@@ -84,6 +85,48 @@ def test_documents_as_json(spark):
     assert got[0]["slides"][0]["elements"][0]["type"] == "text"
 
 
+P = 'xmlns:p="urn:p" xmlns:a="urn:a" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def sp(name, ph="", box=None):
+    at = '<a:xfrm><a:off x="{}" y="{}"/><a:ext cx="{}" cy="{}"/></a:xfrm>'.format(*(12700 * x for x in box)) if box else ""
+    return f'<p:sp><p:nvSpPr><p:cNvPr id="1" name="{name}"/><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:spPr>{at}</p:spPr><p:txBody><a:p><a:r><a:t>{name}</a:t></a:r></a:p></p:txBody></p:sp>'
+
+
+def tree(kind, inner):
+    return f"<p:{kind} {P}><p:cSld><p:spTree>{inner}</p:spTree></p:cSld></p:{kind}>"
+
+
+def links(*each):
+    return "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Type="{REL}/{kind}" Target="{to}"/>' for i, (kind, to) in enumerate(each, 1)) + "</Relationships>"
+
+
+def test_documents_place_placeholders_and_deep_groups(spark):
+    deep = sp("deep", box=(1, 2, 3, 4))
+    for _ in range(13):
+        deep = '<p:grpSp><p:nvGrpSpPr><p:cNvPr id="9" name="g"/></p:nvGrpSpPr><p:grpSpPr><a:xfrm><a:off x="12700" y="0"/><a:ext cx="25400" cy="12700"/><a:chOff x="0" y="0"/><a:chExt cx="25400" cy="12700"/></a:xfrm></p:grpSpPr>' + deep + "</p:grpSp>"
+    ph = lambda kind: f'<p:ph type="{kind}"/>'
+    slide = sp("body", ph("body")) + sp("title", ph("title")) + sp("date", ph("dt")) + sp("own", ph("body"), (7, 8, 9, 10)) + deep
+    files = {
+        "ppt/presentation.xml": f'<p:presentation {P}><p:sldIdLst><p:sldId id="256" r:id="rId1"/></p:sldIdLst><p:sldSz cx="9144000" cy="6858000"/></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": links(("slide", "slides/slide1.xml")), "ppt/slides/slide1.xml": tree("sld", slide),
+        "ppt/slides/_rels/slide1.xml.rels": links(("slideLayout", "../slideLayouts/slideLayout1.xml")), "ppt/slideLayouts/slideLayout1.xml": tree("sldLayout", sp("l", ph("body"), (100, 50, 30, 20))),
+        "ppt/slideLayouts/_rels/slideLayout1.xml.rels": links(("slideMaster", "../slideMasters/slideMaster1.xml")), "ppt/slideMasters/slideMaster1.xml": tree("sldMaster", sp("m", ph("title"), (200, 60, 40, 10))),
+    }
+    got = documents(spark.createDataFrame([("a", deck(files))], "deck_id string, content binary")).collect()
+    found = {e["name"]: (e["left"], e["top"], e["width"], e["height"], e["content"]) for e in got[0]["slides"][0]["elements"] if e["name"] != "g"}
+    want = {"body": (100, 50, 30, 20), "title": (200, 60, 40, 10), "date": (0, 0, 0, 0), "own": (7, 8, 9, 10), "deep": (14, 2, 3, 4)}
+    assert {k: v[4] for k, v in found.items()} == {k: f"<p>{k}</p>" for k in want}
+    assert all(abs(x - y) < 1e-6 for k in want for x, y in zip(found[k][:4], want[k], strict=True))
+
+
+def test_deck_documents_hold_placeholders(spark):
+    docs = [json.loads(r["document"]) for r in queries.QUERIES["deck_json"](spark, SF).collect()]
+    lefts = [e["left"] for d in docs for s in d["slides"] for e in s["elements"]]
+    assert len(lefts) == 25 and sum(abs(x - 100) < 1e-6 for x in lefts) == 8
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).filter(F.col("width") == 720).count() == 25
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
