@@ -110,9 +110,23 @@ def part_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT source AS deck_id, CAST(count(*) AS BIGINT) AS entries, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes, CAST(max(strlen(coalesce(text, ''))) AS BIGINT) AS largest FROM documents GROUP BY source")
 def archive_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of what archives hold, before limits are set: a text to a file, a source to an archive."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("deck_id"), put("ppt/embeddings/d", F.col("doc_id"), ".txt").alias("part_path"), F.coalesce("text", F.lit("")).alias("content"))
-    return archive.archive_stats(archive.parts(archive.pack(docs)))
+    """Sizes of what archives hold, before limits are set: a text to a file, a source to as many archives as its size wants."""
+    found = archive.archive_stats(archive.parts(archive.pack(_text_files(_table(spark, sf_dir, "documents")))))
+    tail = F.regexp_extract("deck_id", "(?s)^[0-9]+:(.*)$", 1)
+    source = F.when(tail != "", F.substring(tail, 2, 2147483647))
+    return found.groupBy(source.alias("deck_id")).agg(F.sum("entries").alias("entries"), F.sum("bytes").alias("bytes"), F.max("largest").alias("largest"))
+
+
+def _text_files(docs: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """(deck_id, part_path, content) of texts: deck_id is a bucket and the source.
+
+    Texts go by their hash to as many buckets as the table holds times ``most`` bytes, so that no archive, which has one source's
+    texts of a bucket, is much larger than that, however large a source is.  Files count 200 bytes besides their text.  A null source stays apart from an empty one.
+    """
+    text = F.coalesce("text", F.lit(""))
+    n = (docs.agg(F.sum(F.octet_length(text) + 200)).first()[0] or 0) // most + 1
+    bucket = F.pmod(F.xxhash64("doc_id", text), F.lit(n))
+    return docs.select(put(bucket, ":", F.concat(F.lit("="), F.col("source"))).alias("deck_id"), put("ppt/embeddings/d", F.col("doc_id"), ".txt").alias("part_path"), text.alias("content"))
 
 
 # ---- text

@@ -85,6 +85,15 @@ def test_documents_as_json(spark):
     assert got[0]["slides"][0]["elements"][0]["type"] == "text"
 
 
+def test_archives_of_a_large_source_are_of_bounded_size(spark, tmp_path):
+    table = spark.createDataFrame([(k, "x" * 1000, "hot") for k in range(300)] + [(-1, "y", None), (-2, None, "a:b\nc"), (-3, "zz", "")], "doc_id long, text string, source string")
+    sizes = [r["bytes"] for r in archive.archive_stats(archive.parts(archive.pack(queries._text_files(table, 20000)))).collect()]
+    assert max(sizes) < 60000 and len(sizes) > 10
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["deck_id"]: tuple(r)[1:] for r in queries.QUERIES["archive_stats"](spark, str(tmp_path)).collect()}
+    assert got == {"hot": (300, 300000, 1000), None: (1, 1, 1), "a:b\nc": (1, 0, 0), "": (1, 2, 2)}
+
+
 P = 'xmlns:p="urn:p" xmlns:a="urn:a" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
