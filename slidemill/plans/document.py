@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.outlines import preset_path
 from ..functions.text import run_html
-from ..llm.common import cut
 from ..operators import package, shapes
 from ..sources import archive, xmltree
+from ..storage import cut
 
 
 class Deck:
