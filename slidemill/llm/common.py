@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,25 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..storage import checkpoint_dir, cut  # noqa: F401
+
 #: Bytes of text that numpy handles at a time; a longer document is a piece of its own.
 PIECE = 1 << 18
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return named or spark.sparkContext.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: its lineage ends there and survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32(doc_id as text) mod folds; a null id has the fold of the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
