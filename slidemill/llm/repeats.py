@@ -1,18 +1,22 @@
 """Operator 8, repeated strings: suffix arrays and longest-previous-factor arrays, dealt out by anchors.
 
-A string of WIDTH bytes repeats if it starts at two places at least.  Each window of WIDTH bytes has an anchor, the first of its
-GRAM-byte strings with the smallest hash, so equal windows have equal anchors.  Windows of one text that follow each other with one
-anchor are a stretch.  Stretches whose anchor's hash occurs once are done; those of equal anchor and equal bytes repeat as a
-whole.  For the others one stretch of each kind is sent, by anchor, to a task that sorts its windows' suffixes: longest common
-prefixes of neighbours tell which windows also start elsewhere, and previous and next smaller positions in suffix order give each
-window's longest previous factor, which tells whether it has an earlier match.  Anchors with very many different stretches
+A string of ``width`` bytes repeats if it starts at two places at least.  Each window of so many bytes has an anchor, the first of
+its ``gram``-byte strings with the smallest hash, so equal windows have equal anchors.  Windows of one text that follow each other
+with one anchor are a stretch.  Stretches whose anchor's hash occurs once are done; those of equal anchor and equal bytes repeat as
+a whole.  For the others one stretch of each kind is sent, by anchor, to a task that sorts its windows' suffixes, of ``reach`` bytes
+each: previous and next smaller positions in suffix order give each window's longest previous factor, that is the longest match
+with an earlier place, and with positions mirrored the longest match with a later one.  Windows are taken at the shorter width; as
+suffixes reach further, the same arrays tell which strings of ``reach`` bytes repeat.  Anchors with very many different stretches
 (``MANY``) are not gathered: their windows are counted by hash in a distributed aggregation.
 
-``spans`` gives either all repeated bytes, or (first=True) those of later copies alone, so that the first copy stays; first is by
-id, text hash and place.
+Equal bytes of stretches are told by two 64-bit hashes, of the anchor and of the bytes.
 
-Defined cases: a null text is empty.  Texts below WIDTH bytes have no windows.  Rows equal in id and text repeat each other; with
-first=True they count as one text.  Null ids come first.  Matches never cross texts; texts count whole, however long.
+``spans`` gives three kinds of windows: LONG, strings of ``reach`` bytes that also start elsewhere; SHORT, strings of ``width`` bytes
+that do; and LATER, those of them that have started before, so that the first copy stays.  First is by id, text hash and place.
+
+Defined cases: a null text is empty.  Texts below ``width`` bytes have no windows.  Rows equal in id and text repeat each other; in
+LATER they count as one text.  Null ids come first.  Matches never cross texts; texts count whole, however long.  Columns of the
+names used within (``__`` and a name) are carried along like others.
 """
 
 from __future__ import annotations
@@ -27,13 +31,16 @@ from pyspark.sql import functions as F
 
 from .common import BYTE, Powers, cut, extended, mix, pieces
 
-WIDTH, GRAM = 400, 128
+#: Bytes of the strings that op8 removes, of the passages that it counts beside them (fifty-one words are hardly ever less), and of anchors.
+WIDTH, PASSAGE, GRAM = 400, 230, 76
+#: Kinds of windows: strings of ``reach`` bytes that also start elsewhere, strings of ``width`` bytes that do, and those that have started before.
+LONG, SHORT, LATER = 0, 1, 2
 #: Different stretches of an anchor up to which they are sorted in one task.
 MANY = 1000
 #: Windows sorted at a time, about.
 BATCH = 16_384
-#: Bytes, about, up to which the table of spans of texts is broadcast; a larger one is joined by shuffling.
-SMALL = 16 << 20
+#: Words of 64 bits in a bitmap of keys, which is broadcast (some 8 MB, whatever the data).
+WORDS = 1 << 18
 _PLACE = 24
 _STEP = 1 << 22
 
@@ -41,12 +48,17 @@ _STEP = 1 << 22
 def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp) of the rows of a matrix of bytes: rows sorted, equal ones as they come; bytes that each shares with the row before."""
     order = np.argsort(np.ascontiguousarray(windows).view(f"S{windows.shape[1]}").ravel(), kind="stable")
+    return order, _shared(windows, order)
+
+
+def _shared(windows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the row before, in a given order."""
     lcp = np.zeros(len(order), np.int64)
     for i in range(1, len(order), 4096):
         a, b = windows[order[i - 1 : i + 4095]], windows[order[i : i + 4096]]
         differ = a[: len(b)] != b
         lcp[i : i + len(b)] = np.where(differ.any(axis=1), differ.argmax(axis=1), windows.shape[1])
-    return order, lcp
+    return lcp
 
 
 def longest_previous_factor(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -71,6 +83,11 @@ def longest_previous_factor(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return out
 
 
+def longest_next_factor(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each row the longest prefix that it shares with a later row: the previous factor with positions mirrored."""
+    return longest_previous_factor(len(order) - 1 - order, lcp)[::-1]
+
+
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x) - width + 1
     blocks = np.full(-(-len(x) // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -81,8 +98,12 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, hash of the anchor, hash of the bytes) of the stretches of texts; windows as places in their text."""
+def stretches(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM, reach: int | None = None) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, bytes, hash of the anchor, hash of the bytes) of the stretches of texts; windows as places in their text.
+
+    A stretch's bytes go on for ``reach`` bytes from its last window on, or to the end of the text.
+    """
+    reach = reach or width
     found: list[tuple[np.ndarray, ...]] = []
     sums = np.zeros(len(data) + 1, np.uint64)
     up, down = Powers.of(len(data) + 1)
@@ -104,26 +125,40 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: i
             lo, hi = lo[whole[lo]], hi[whole[lo]]
             if not len(lo):
                 continue
-            a, b, p = lo + start, hi + start, anchor[lo]
-            content = mix((sums[b + width] - sums[a]) * down[a] + mix(((b - a) * 1024 + (p - a)).astype(np.uint64)))
-            found.append((text[lo], a - offsets[text[lo]], b - offsets[text[lo]], hashes[p - start], content))
+            a, b, p, t = lo + start, hi + start, anchor[lo], text[lo]
+            end = np.minimum(b + reach, offsets[t + 1])
+            content = mix((sums[end] - sums[a]) * down[a] + mix(((b - a) * 1024 + (p - a)).astype(np.uint64)) + mix((end - a).astype(np.uint64)))
+            found.append((t, a - offsets[t], b - offsets[t], end - a, hashes[p - start], content))
     if not found:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(id, th, lo, hi, h, c): the stretches of docs (id, th, text)."""
+def _rows(docs: DataFrame, width: int, gram: int, reach: int) -> DataFrame:
+    """(id, th, lo, hi, size, h, c): the stretches of docs (id, th, text)."""
 
     def run(batches):
         for batch in batches:
             ids, th = batch.column("id"), batch.column("th")
             for i, data, offsets in pieces(batch.column("text")):
-                text, lo, hi, h, c = stretches(data, offsets, width, gram)
+                text, lo, hi, size, h, c = stretches(data, offsets, width, gram, reach)
                 at = pa.array(text + i)
-                yield pa.RecordBatch.from_arrays([ids.take(at), th.take(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], ["id", "th", "lo", "hi", "h", "c"])
+                places = (pa.array(x.astype(np.int32)) for x in (lo, hi, size))
+                yield pa.RecordBatch.from_arrays([ids.take(at), th.take(at), *places, pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], ["id", "th", "lo", "hi", "size", "h", "c"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th long, lo int, hi int, size int, h long, c long")
+
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th long, lo int, hi int, h long, c long")
+def sieved(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Those of rows whose ``key``, a hash, may be one of wanted's, by a bitmap of bounded size: few others pass while wanted is not too large, and none is lost.
+
+    What passes is joined exactly afterwards; the sieve only spares rows the way through the shuffle.
+    """
+    place = lambda: F.pmod(F.col(key), F.lit(64 * WORDS))
+    word, bit = F.shiftright(place(), 6), (place() % 64).cast("int")
+    bits = wanted.groupBy(word.alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(`{key}`, 64) AS INT))")).alias("__bits"))
+    met = rows.join(F.broadcast(bits), word == F.col("__word"))
+    return met.filter(F.expr(f"shiftright(__bits, CAST(pmod(`{key}`, 64) AS INT)) & 1L") == 1).select(*rows.columns)
 
 
 def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -132,64 +167,85 @@ def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-def _sorted_out(groups: Iterator[list[tuple]], width: int, first: bool) -> Iterator[list[tuple]]:
-    """(h, c, from, to) of the windows of stretches (h, c, bytes), given in text order, that repeat in their group."""
+def repeated(table: np.ndarray, full: np.ndarray, width: int, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flags LONG, SHORT and LATER of the rows of a matrix, suffixes in text order: which share ``long`` bytes with another row, which ``width`` bytes, and which ``width`` bytes with an earlier one.
+
+    Rows that are not ``full`` end before ``long`` bytes.
+    """
+    order, lcp = suffix_order(table)
+    later = longest_previous_factor(order, lcp) >= width
+    short = later | (longest_next_factor(order, lcp) >= width)
+    far = np.zeros(len(table), bool)
+    if full.all():
+        whole, common = order, lcp
+    else:
+        whole = order[full[order]]
+        common = _shared(table, whole)
+    far[whole] = (common >= long) | np.append(common[1:] >= long, False)
+    return far, short, later
+
+
+def _sorted_out(groups: Iterator[list[tuple]], width: int, reach: int) -> Iterator[list[tuple]]:
+    """(h, c, kind, from, to) of the windows of stretches (h, c, windows, bytes), given in text order, that repeat in their group."""
     held: list[tuple] = []
-    windows = 0
+    waiting = 0
 
     def flush() -> list[tuple]:
-        rows, spans = [], []
-        for h, c, data in held:
-            view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), width)
-            key = np.broadcast_to(np.frombuffer(int(h).to_bytes(8, "big", signed=True), np.uint8), (len(view), 8))
+        rows, full, spans = [], [], []
+        for h, c, n, data in held:
+            padded = np.zeros(n + reach - 1, np.uint8)
+            padded[: len(data)] = np.frombuffer(data, np.uint8)
+            view = np.lib.stride_tricks.sliding_window_view(padded, reach)
+            key = np.broadcast_to(np.frombuffer(int(h).to_bytes(8, "big", signed=True), np.uint8), (n, 8))
             rows.append(np.concatenate([key, view], axis=1))
-            spans.append((h, c, len(view)))
-        table = np.concatenate(rows)
-        order, lcp = suffix_order(table)
-        if first:
-            again = longest_previous_factor(order, lcp) >= width + 8
-        else:
-            again = np.zeros(len(table), bool)
-            again[order] = (lcp >= width + 8) | np.append(lcp[1:] >= width + 8, False)
+            full.append(np.arange(n) + reach <= len(data))
+            spans.append((h, c, n))
+        flags = repeated(np.concatenate(rows), np.concatenate(full), width + 8, reach + 8)
         out, at = [], 0
         for h, c, n in spans:
-            out += [(h, c, a, b) for a, b in _intervals(again[at : at + n])]
+            out += [(h, c, kind, a, b) for kind, again in enumerate(flags) for a, b in _intervals(again[at : at + n])]
             at += n
         return out
 
     for group in groups:
         held += group
-        windows += sum(len(x[2]) - width + 1 for x in group)
-        if windows >= BATCH:
+        waiting += sum(x[2] for x in group)
+        if waiting >= BATCH:
             yield flush()
-            held, windows = [], 0
+            held, waiting = [], 0
     if held:
         yield flush()
 
 
-def spans(docs: DataFrame, id: str = "doc_id", first: bool = False, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(id, th, spans): for each text (by id and th, its 64-bit hash) the windows from .. to that repeat, as an array of (from, to)."""
+def spans(docs: DataFrame, id: str = "doc_id", width: int = PASSAGE, gram: int = GRAM, reach: int = WIDTH) -> DataFrame:
+    """(id, th, spans): for each text (by id and th, its 64-bit hash) the windows that repeat, as an array of (kind, from, to)."""
     texts = _keyed(docs, id)
-    rows = _rows(texts, width, gram)
+    rows = _rows(texts, width, gram, reach)
     # anchors that occur twice at least, whether or not their stretches are all equal
     # (written, here and below, so that the join shuffles both sides anew and a frequent anchor's rows can be split)
     twice = cut(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    met = cut(rows.join(twice, "h"))
-    kinds = met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi")).alias("one"))
+    met = cut(sieved(rows, "h", twice).join(twice, "h"))
+    kinds = met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi", "size")).alias("one"))
     by_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
     kinds = cut(kinds.join(by_anchor, "h"))
     single = kinds.filter("kinds > 1").select("h", "c", "one.*", (F.col("kinds") > MANY).alias("many"))
-    sent = _with_text(single, texts, width).select("h", "c", "many", "id", "th", "lo", "data")
-    few = _few(sent.filter("NOT many"), width, first)
-    many = _many(sent.filter("many"), width, first)
-    parts = cut(few.unionByName(many)).groupBy("h", "c").agg(F.collect_list(F.struct("from", "to")).alias("parts"))
+    sent = _with_text(single, texts).select("h", "c", "many", "id", "th", "lo", "n", "data")
+    few = _few(sent.filter("NOT many"), width, reach)
+    many = _many(sent.filter("many"), width, reach)
+    parts = cut(few.unionByName(many)).groupBy("h", "c").agg(F.collect_list(F.struct("kind", "from", "to")).alias("parts"))
     known = cut(kinds.select("h", "c", "n", "one").join(parts, ["h", "c"], "left"))
     each = met.join(known, ["h", "c"])
-    whole = F.array(F.struct(F.lit(0).alias("from"), (F.col("hi") - F.col("lo")).alias("to")))
-    none = F.array().cast("array<struct<from:int,to:int>>")
-    is_one = F.struct("id", "th", "lo", "hi").eqNullSafe(F.col("one"))
-    is_whole = ~is_one if first else F.col("n") > 1
-    found = F.transform(F.when(is_whole, whole).otherwise(F.coalesce("parts", none)), lambda x: F.struct((F.col("lo") + x["from"]).alias("from"), (F.col("lo") + x["to"]).alias("to")))
+    # all windows of a stretch that occurs again repeat; of all but the first such stretch they have been there before
+    last, whole = F.col("hi") - F.col("lo"), F.lit(0)
+    far = F.least(last, F.col("size") - reach)
+    piece = lambda kind, to: F.struct(F.lit(kind).alias("kind"), whole.alias("from"), to.alias("to"))
+    none = F.array().cast("array<struct<kind:int,from:int,to:int>>")
+    is_one = F.struct("id", "th", "lo", "hi", "size").eqNullSafe(F.col("one"))
+    again = F.when(F.col("n") > 1, F.concat(F.when(far >= 0, F.array(piece(LONG, far))).otherwise(none), F.array(piece(SHORT, last)))).otherwise(none)
+    before = F.when(~is_one, F.array(piece(LATER, last))).otherwise(none)
+    # of the first of equal stretches, and of one that is alone, the sorted windows tell the rest
+    own = F.filter(F.coalesce("parts", none), lambda x: F.when(x["kind"] == LATER, is_one).otherwise(F.col("n") == 1))
+    found = F.transform(F.concat(again, before, own), lambda x: F.struct(x["kind"].alias("kind"), (F.col("lo") + x["from"]).alias("from"), (F.col("lo") + x["to"]).alias("to")))
     each = each.select("id", "th", found.alias("found")).filter(F.size("found") > 0)
     return each.groupBy("id", "th").agg(F.flatten(F.collect_list("found")).alias("spans"))
 
@@ -199,23 +255,16 @@ def _keyed(docs: DataFrame, id: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _small(table: DataFrame, array: str) -> bool:
-    """Whether a table of rows with an array may be broadcast, by a count of its rows and their elements."""
-    rows, elements = table.agg(F.count("*"), F.sum(F.size(array))).first()
-    return 64 * rows + 48 * (elements or 0) <= SMALL
-
-
-def _met(texts: DataFrame, table: DataFrame, array: str, how: str) -> DataFrame:
-    """texts joined to a table with an array by (id, th): broadcast if it is small, else by shuffling both."""
+def _met(texts: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """texts joined to a table by (id, th); null ids are equal to each other."""
     other = table.withColumnsRenamed({"id": "__id", "th": "__th"})
-    small = _small(table, array)
     on = texts["id"].eqNullSafe(other["__id"]) & (texts["th"] == other["__th"])
-    return texts.join(F.broadcast(other) if small else other, on, how).drop("__id", "__th")
+    return texts.join(other, on, how).drop("__id", "__th")
 
 
-def _with_text(single: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Stretches with their bytes, as column data."""
-    wanted = cut(single.groupBy("id", "th").agg(F.collect_list(F.struct("h", "c", "many", "lo", "hi")).alias("want")))
+def _with_text(single: DataFrame, texts: DataFrame) -> DataFrame:
+    """Stretches with their windows' number and their bytes, as columns n and data."""
+    wanted = cut(single.groupBy("id", "th").agg(F.collect_list(F.struct("h", "c", "many", "lo", "hi", "size")).alias("want")))
 
     def run(batches):
         for batch in batches:
@@ -225,73 +274,79 @@ def _with_text(single: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 data = text.as_py().encode()
                 for x in want:
                     rows.append(k)
-                    for c, v in zip(out, (x["h"], x["c"], x["many"], x["lo"], data[x["lo"] : x["hi"] + width]), strict=False):
+                    for c, v in zip(out, (x["h"], x["c"], x["many"], x["lo"], x["hi"] - x["lo"] + 1, data[x["lo"] : x["lo"] + x["size"]]), strict=True):
                         c.append(v)
             at = pa.array(rows, pa.int64())
-            made = [pa.array(c, k) for c, k in zip(out[:5], (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), *made], ["id", "th", "h", "c", "many", "lo", "data"])
+            made = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), *made], ["id", "th", "h", "c", "many", "lo", "n", "data"])
 
     # equal rows give their stretch once
-    met = _met(texts, wanted, "want", "inner").select("id", "th", "text", "want")
+    met = _met(sieved(texts, "th", wanted), wanted, "inner").select("id", "th", "text", "want")
     kind = texts.schema["id"].dataType.simpleString()
-    return met.mapInArrow(run, f"id {kind}, th long, h long, c long, many boolean, lo int, data binary")
+    return met.mapInArrow(run, f"id {kind}, th long, h long, c long, many boolean, lo int, n int, data binary")
+
+
+_PARTS = "h long, c long, kind int, `from` int, `to` int"
 
 
-def _few(sent: DataFrame, width: int, first: bool) -> DataFrame:
-    """(h, c, from, to) of windows that repeat among the stretches of their anchor, by suffix arrays."""
+def _few(sent: DataFrame, width: int, reach: int) -> DataFrame:
+    """(h, c, kind, from, to) of windows that repeat among the stretches of their anchor, by suffix arrays."""
 
     def run(batches):
         def groups():
             at, group, last = None, [], None
             for batch in batches:
-                for h, c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for h, c, n, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                     if h != at and group:
                         yield group
                         group = []
                     if (h, c) != last or h != at:
-                        group.append((h, c, data))
+                        group.append((h, c, n, data))
                     at, last = h, (h, c)
             if group:
                 yield group
 
-        for out in _sorted_out(groups(), width, first):
-            a = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.int32()), pa.array(a[3], pa.int32())], ["h", "c", "from", "to"])
+        for out in _sorted_out(groups(), width, reach):
+            a = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(a, kinds, strict=True)], ["h", "c", "kind", "from", "to"])
 
     ordered = sent.repartition("h").sortWithinPartitions("h", "id", "th", "lo", "c")
-    return ordered.select("h", "c", "data").mapInArrow(run, "h long, c long, `from` int, `to` int")
+    return ordered.select("h", "c", "n", "data").mapInArrow(run, _PARTS)
 
 
-def _many(sent: DataFrame, width: int, first: bool) -> DataFrame:
+def _many(sent: DataFrame, width: int, reach: int) -> DataFrame:
     """The same for anchors of very many stretches: their windows are counted by hash, wherever they are."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("data")[i].as_py(), np.uint8)
+                data, n = np.frombuffer(batch.column("data")[i].as_py(), np.uint8), batch.column("n")[i].as_py()
                 up, down = Powers.of(len(data) + 1)
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * up[: len(data)])])
-                    at = np.arange(len(data) - width + 1)
-                    w = mix((sums[at + width] - sums[at]) * down[at])
-                row = pa.array(np.full(len(at), i))
+                sums = np.zeros(len(data) + 1, np.uint64)
                 lo = batch.column("lo")[i].as_py()
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in ("h", "c", "id", "th")), pa.array((at + lo).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(w.view(np.int64))], ["h", "c", "id", "th", "place", "at", "w"])
-
-    kind = sent.schema["id"].dataType.simpleString()
-    each = sent.dropDuplicates(["h", "c"]).mapInArrow(run, f"h long, c long, id {kind}, th long, place int, at int, w long")
+                with np.errstate(over="ignore"):
+                    np.cumsum(BYTE[data] * up[: len(data)], out=sums[1:])
+                    for kind, size in ((LONG, reach), (SHORT, width)):
+                        at = np.arange(max(0, min(n, len(data) - size + 1)))
+                        w = mix((sums[at + size] - sums[at]) * down[at])
+                        row = pa.array(np.full(len(at), i))
+                        places = (pa.array(x.astype(np.int32)) for x in (at + lo, at, np.full(len(at), kind)))
+                        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in ("h", "c", "id", "th")), *places, pa.array(w.view(np.int64))], ["h", "c", "id", "th", "place", "at", "kind", "w"])
+
+    type_ = sent.schema["id"].dataType.simpleString()
+    each = sent.dropDuplicates(["h", "c"]).mapInArrow(run, f"h long, c long, id {type_}, th long, place int, at int, kind int, w long")
     place = F.struct("id", "th", "place")
-    seen = each.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(place).alias("one")).filter("n > 1")
-    again = each.join(seen, ["h", "w"])
-    if first:
-        again = again.filter(~place.eqNullSafe(F.col("one")))
-    return again.select("h", "c", F.col("at").alias("from"), F.col("at").alias("to"))
+    seen = each.groupBy("h", "kind", "w").agg(F.count("*").alias("n"), F.min(place).alias("one")).filter("n > 1")
+    again = each.join(seen, ["h", "kind", "w"])
+    kinds = F.when((F.col("kind") == SHORT) & ~place.eqNullSafe(F.col("one")), F.array(F.lit(SHORT), F.lit(LATER))).otherwise(F.array("kind"))
+    return again.select("h", "c", F.explode(kinds).alias("kind"), F.col("at").alias("from"), F.col("at").alias("to"))
 
 
-def cover(found: list[dict] | None, width: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes [start, end) that windows from .. to cover."""
+def cover(found: list[dict] | None, width: int, kind: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes [start, end) that windows of a kind cover."""
     out: list[list[int]] = []
-    for x in sorted((x["from"], x["to"]) for x in found or []):
+    for x in sorted((x["from"], x["to"]) for x in found or [] if x["kind"] == kind):
         if out and x[0] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], x[1] + width)
         else:
@@ -300,30 +355,35 @@ def cover(found: list[dict] | None, width: int) -> list[tuple[int, int]]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: what is left of every document without the bytes of strings that also start elsewhere."""
+    """op8: what is left of every document without the bytes of strings of WIDTH bytes that also start elsewhere.
+
+    Beside the contract's columns: n_shared, bytes in strings of PASSAGE bytes that also start elsewhere, and n_later, in those that have started before.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "n_later"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[] for _ in kinds]
             for text, found in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 data = text.as_py().encode()
-                gone = cover(found, WIDTH)
+                gone = cover(found, WIDTH, LONG)
                 kept, at = hashlib.sha256(), 0
                 for a, b in gone:
                     kept.update(data[at:a])
                     at = b
                 kept.update(data[at:])
-                for c, v in zip(out, (len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest()), strict=True):
+                passages = (sum(b - a for a, b in cover(found, PASSAGE, kind)) for kind in (SHORT, LATER))
+                for c, v in zip(out, (len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), *passages), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
 
-    met = _met(_keyed(docs, "doc_id"), cut(spans(docs)), "spans", "left").select("id", "text", "spans")
-    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    met = _met(_keyed(docs, "doc_id"), cut(spans(docs)), "left").select("id", "text", "spans")
+    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, n_later long")
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, id: str = "doc_id", width: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """docs whose text lacks the later copies of repeated strings of ``width`` bytes; the first copy stays.
 
     Bytes of a character are removed or kept together: one that a span covers in part is kept.
@@ -332,9 +392,9 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", width: int = WIDTH, gra
     def run(batches):
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(len(others)), batch.column(len(others) + 1).to_pylist(), strict=True):
+            for text, found in zip(batch.column("__text"), batch.column("__spans").to_pylist(), strict=True):
                 data, kept, at = text.as_py().encode(), [], 0
-                for a, b in cover(found, width):
+                for a, b in cover(found, width, LATER):
                     while a < len(data) and data[a] & 0xC0 == 0x80:
                         a += 1
                     while b < len(data) and data[b] & 0xC0 == 0x80:
@@ -342,12 +402,13 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", width: int = WIDTH, gra
                     kept.append(data[at:a])
                     at = max(a, b)
                 out.append(b"".join([*kept, data[at:]]).decode() if kept else text.as_py())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(out, pa.string())], [*others, "__text"])
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(out, pa.string())], ["__row", "__left"])
 
+    found = cut(spans(docs, id, width, gram, width)).withColumnsRenamed({"id": "__id", "th": "__th", "spans": "__spans"})
     others = [c for c in docs.columns if c != "text"]
-    found = cut(spans(docs, id, True, width, gram)).withColumnsRenamed({"id": "__id", "th": "__th", "spans": "__spans"})
-    shown = docs.withColumn("__given", F.coalesce("text", F.lit("")))
-    small = _small(found, "__spans")
-    on = F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64("__given") == F.col("__th"))
-    met = shown.join(F.broadcast(found) if small else found, on, "left").select(*others, "__given", "__spans")
-    return met.mapInArrow(run, extended(docs.select(*others).schema, "__text string")).withColumnRenamed("__text", "text").select(*docs.columns)
+    text = F.coalesce(docs["text"], F.lit(""))
+    # the other columns go along as one, so that no name among them meets a name used here
+    shown = docs.select(F.struct(*(docs[c] for c in others)).alias("__row"), text.alias("__text"), docs[id].alias("__own"), F.xxhash64(text).alias("__hash"))
+    met = shown.join(found, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left").select("__row", "__text", "__spans")
+    left = met.mapInArrow(run, extended(shown.select("__row").schema, "__left string"))
+    return left.select(*(F.col("__left").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns))
