@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from slidemill.llm import bpe, common, minhash, mixing, quality, repeats
 
-
-#: Bytes of a string that counts as repeated: a passage of fifty words is longer.
-PASSAGE = 240
 #: Share of the tokens that mixing keeps, whatever rare categories there are.
 KEPT = 0.5
 
@@ -36,8 +33,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of strings of PASSAGE bytes; n_chars follows.  Documents of which nothing is left go."""
-    left = repeats.without_repeats(docs, width=PASSAGE, gram=PASSAGE // 3)
+    """Texts without later copies of strings of repeats.PASSAGE bytes, which a passage of fifty-one words hardly ever falls short of; n_chars follows.  Documents of which nothing is left go."""
+    left = repeats.without_repeats(docs)
     if "n_chars" in left.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.filter(F.length("text") > 0)

@@ -16,7 +16,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext.getCheckpointDir()
     if not held:
-        if not named and not spark.sparkContext.master.startswith("local["):
+        if not named and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return named or spark.sparkContext.getCheckpointDir()
