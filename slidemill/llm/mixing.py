@@ -1,19 +1,20 @@
 """Operator 3, mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
 
 Documents are summed to cells (source, language, topic) of tokens.  Each round scales the cells' weights so that the sums by
-source, then by language, then by topic are the target shares; after ``ROUNDS`` rounds all three hold closely.  A document's
-probability is min(1, c * its cell's weight by token).  With ``kept``, a share of the corpus' tokens, c is such that the expected
-tokens of the sample are that share: scarce cells are taken whole, and what they cannot give is given by the others, so that one
-odd document changes nothing elsewhere; ``margins`` tells which shares are then missed.  Without it, as query op3 and its SQL
-have it, c is the inverse of the largest weight by token: no cell is wanted beyond what it holds and the shares are the raked
-ones, but the rarest cell sets the rate of all.  Documents are drawn by a hash of their id: the same ones each time.
+source, then by language, then by topic are the target shares; after ``ROUNDS`` rounds all three hold closely (``residual`` says how
+closely).  A document's probability is min(1, c * its cell's weight by token), where c is such that the expected tokens of the
+sample are the share ``kept`` of the corpus: scarce cells are taken whole, and what they cannot give is given by the others, so that
+one odd document changes nothing elsewhere; ``margins`` tells which shares are then missed.  Documents are drawn by a hash of their
+id: the same ones each time.
 
 Target shares follow from the corpus by default: proportional to a power of a category's tokens, below 1, which lifts what is
 rare (``POWERS``); or they are given as a DataFrame (category, share) for each margin, shares of categories that are absent
-from the corpus being left out and the rest raised in proportion.
+from the corpus being left out and the rest raised in proportion.  The topic of a text is the one of ``TOPICS`` whose signs stand in
+it most often; another column of topics may be given instead.
 
 Defined cases: null categories are the category ''; a null text is empty; a text has at least one token; documents with a null
-id are drawn as the id ''.  Rows repeated are drawn or not together.  An empty table stays empty.  Columns of other names go along.
+id are drawn as the id ''.  Rows repeated are drawn or not together.  An empty table stays empty.  Columns of other names go along,
+but for those named __source, __lang, __topic, __tokens and __probability, which are made anew.
 """
 
 from __future__ import annotations
@@ -26,6 +27,15 @@ from pyspark.sql import functions as F
 from .common import cut
 
 ROUNDS = 6
+#: Share of the corpus' tokens that a sample has.
+KEPT = 0.5
+#: Signs of topics; of equally frequent ones the first topic counts, and a text without any sign is prose.
+TOPICS = {
+    "legal": ["icense", "opyright", "ermission", "arranty", "terms"],
+    "contact": ["http", "www.", "@", "mail", "phone"],
+    "table": [" | ", "\t", ";", "= "],
+    "news": ["said", "year", "report", "government"],
+}
 #: Powers of a category's tokens to which target shares are proportional.
 POWERS = {"source": 0.9, "lang": 0.8, "topic": 0.9}
 #: Cells up to which their table is raked in one partition and broadcast; a larger one is spread out and joined by shuffling.
@@ -40,10 +50,13 @@ def tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
 
 
-def topic(text: Column) -> Column:
-    """A coarse topic from signs that a text holds."""
-    has = lambda x: F.contains(text, F.lit(x))
-    return F.when(has("icense"), "legal").when(has("http") | has("www.") | has("@"), "contact").when(has(" | "), "table").otherwise("prose")
+def topic(text: Column, topics: dict[str, list[str]] | None = None) -> Column:
+    """The topic whose signs are in a text most often."""
+    topics = TOPICS if topics is None else topics
+    count = lambda sign: F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit(sign[1:])))  # noqa: E731  each place is one character shorter
+    scores = F.array(*(F.struct(sum((count(x) for x in signs[1:]), count(signs[0])).alias("n"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, signs) in enumerate(topics.items())))
+    best = F.array_max(scores)
+    return F.transform(F.array(best), lambda x: F.when(x["n"] > 0, x["name"]).otherwise("prose"))[0]
 
 
 def unit(id: Column) -> Column:
@@ -51,9 +64,10 @@ def unit(id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def with_margins(docs: DataFrame) -> DataFrame:
-    """docs with columns __source, __lang, __topic and __tokens."""
-    return docs.withColumns({"__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__topic": topic(F.coalesce("text", F.lit(""))), "__tokens": tokens(F.col("text"))})
+def with_margins(docs: DataFrame, topics: Column | None = None) -> DataFrame:
+    """docs with columns __source, __lang, __topic and __tokens; ``topics`` is a column of topics to go by instead of the signs."""
+    about = topic(F.coalesce("text", F.lit(""))) if topics is None else F.coalesce(topics.cast("string"), F.lit(""))
+    return docs.withColumns({"__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__topic": about, "__tokens": tokens(F.col("text"))})
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -112,25 +126,28 @@ def margins(cells: DataFrame) -> DataFrame:
     return found
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, id: str = "doc_id", kept: float | None = None) -> DataFrame:
+def residual(cells: DataFrame) -> float:
+    """The largest share by which the raked weights miss a target."""
+    gaps = []
+    for name in POWERS:
+        sums = cells.groupBy(f"__{name}").agg(F.sum("w").alias("w"), F.max(f"share_{name}").alias("share"))
+        gaps.append(sums.agg(F.max(F.abs(F.col("w") - F.col("share")))).first()[0] or 0.0)
+    return max(gaps)
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, id: str = "doc_id", kept: float = KEPT, topics: Column | None = None) -> DataFrame:
     """The documents drawn, with columns __source, __lang, __topic, __tokens and __probability beside their own; the shares missed most go to the log."""
-    shown = with_margins(docs)
-    cells = cut(shown.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens")))
-    cells = rake(cells, targets, rounds)
-    by_token = F.col("w") / F.col("tokens")
-    most, n = cells.agg(F.max(by_token), F.count("*")).first()
-    if kept is None:
-        chance = by_token / F.lit(most or 1.0)
-    else:
-        c = scale(cells, kept)
-        chance = F.when(F.col("w") > 0, F.least(F.lit(1.0), by_token * F.lit(c))).otherwise(0.0)
-    cells = cells.withColumn("__probability", chance)
-    if kept is not None:
-        gap = F.abs(F.col("wanted") - F.col("expected"))
-        for r in margins(cells).filter(gap > GAP).orderBy(gap.desc(), "margin", "category").limit(20).collect():
-            LOG.warning("mixing: %s %r has %.4f of the expected tokens instead of %.4f", r["margin"], r["category"], r["expected"], r["wanted"])
+    shown = with_margins(docs, topics)
+    cells = rake(cut(shown.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens"))), targets, rounds)
+    c = scale(cells, kept)
+    chance = F.when(F.col("w") > 0, F.least(F.lit(1.0), F.col("w") / F.col("tokens") * F.lit(c))).otherwise(0.0)
+    cells = cut(cells.withColumn("__probability", chance))
+    gap = F.abs(F.col("wanted") - F.col("expected"))
+    for r in margins(cells).filter(gap > GAP).orderBy(gap.desc(), "margin", "category").limit(20).collect():
+        LOG.warning("mixing: %s %r has %.4f of the expected tokens instead of %.4f", r["margin"], r["category"], r["expected"], r["wanted"])
     drawn = cells.select("__source", "__lang", "__topic", "__probability")
-    met = shown.join(F.broadcast(drawn) if n <= SMALL else drawn, ["__source", "__lang", "__topic"])
+    small = cells.limit(SMALL + 1).count() <= SMALL
+    met = shown.drop("__probability").join(F.broadcast(drawn) if small else drawn, ["__source", "__lang", "__topic"])
     return met.filter(unit(F.col(id)) < F.col("__probability"))
 
 
@@ -140,8 +157,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.round("__probability", 6).alias("probability"))
 
 
+def topic_sql() -> str:
+    """DuckDB SQL of topic(), of a column t."""
+    count = lambda sign: "length(t) - length(replace(t, {0}, {1}))".format(*("'" + x.replace("'", "''") + "'" for x in (sign, sign[1:])))
+    scores = ", ".join(f"{{'n': {' + '.join(count(x) for x in signs)}, 'first': {-i}, 'name': '{name}'}}" for i, (name, signs) in enumerate(TOPICS.items()))
+    return f"(SELECT CASE WHEN b.n > 0 THEN b.name ELSE 'prose' END FROM (SELECT list_extract(list_sort([{scores}]), -1) AS b))"
+
+
 def sampled_sql(documents: str) -> str:
-    """DuckDB SQL of (all columns of ``documents``, __source, __lang, __topic, __tokens, p) for the documents drawn."""
+    """DuckDB SQL of (all columns of ``documents``, __source, __lang, __topic, __tokens, p) for the documents drawn.
+
+    With cells in the order in which a growing c fills them, the expected tokens are the least of (tokens of the cells before) +
+    c * (weight of the rest) over all places in that order; so c is the largest that any of these asks for.
+    """
     steps, last = [], "r0"
     for i in range(ROUNDS):
         for j, name in enumerate(POWERS):
@@ -151,16 +179,16 @@ def sampled_sql(documents: str) -> str:
     shares = ", ".join(f"pow(sum(tokens) OVER (PARTITION BY __{n}), {p}) AS raw_{n}, row_number() OVER (PARTITION BY __{n}) AS k_{n}" for n, p in POWERS.items())
     parts = ", ".join(f"raw_{n} / (SELECT sum(raw_{n}) FROM m WHERE k_{n} = 1) AS share_{n}" for n in POWERS)
     return f"""
-    d AS (SELECT *, coalesce(source, '') AS __source, coalesce(lang, '') AS __lang,
-          CASE WHEN contains(coalesce(text, ''), 'icense') THEN 'legal'
-               WHEN contains(coalesce(text, ''), 'http') OR contains(coalesce(text, ''), 'www.') OR contains(coalesce(text, ''), '@') THEN 'contact'
-               WHEN contains(coalesce(text, ''), ' | ') THEN 'table' ELSE 'prose' END AS __topic,
-          greatest(1, CAST(ceil(strlen(coalesce(text, '')) / 4) AS BIGINT)) AS __tokens FROM {documents}),
+    e AS (SELECT *, coalesce(source, '') AS __source, coalesce(lang, '') AS __lang, coalesce(text, '') AS t FROM {documents}),
+    d AS (SELECT * EXCLUDE (t), {topic_sql()} AS __topic, greatest(1, CAST(ceil(strlen(t) / 4) AS BIGINT)) AS __tokens FROM e),
     c AS (SELECT __source, __lang, __topic, CAST(sum(__tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
     m AS (SELECT *, {shares} FROM c),
     r0 AS (SELECT __source, __lang, __topic, tokens, CAST(tokens AS DOUBLE) AS w, {parts} FROM m),
     {", ".join(steps)},
-    s AS (SELECT d.*, (w / tokens) / (SELECT max(w / tokens) FROM {last}) AS p FROM d JOIN {last} USING (__source, __lang, __topic)),
+    o AS (SELECT *, coalesce(sum(tokens) OVER before, 0) AS filled, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS rest, sum(tokens) OVER () AS every FROM {last}
+          WINDOW before AS (ORDER BY tokens / w, __source, __lang, __topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    k AS (SELECT max(({KEPT} * every - filled) / rest) AS c FROM o WHERE rest > 0),
+    s AS (SELECT d.*, least(1.0, w / tokens * (SELECT c FROM k)) AS p FROM d JOIN {last} USING (__source, __lang, __topic)),
     drawn AS (SELECT * FROM s WHERE CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS UBIGINT) / 4294967296.0 < p)"""
 
 
