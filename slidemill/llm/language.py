@@ -61,8 +61,9 @@ class LanguageModel:
                 sure.append(0.0)
                 continue
             total = self.prior.copy()
-            for i in range(0, len(text), 1 << 18):  # pieces bound the memory, all of the text counts
-                total += self.matrix[grams(text[i : i + (1 << 18)])].sum(axis=0, dtype=np.float64)
+            found = grams(text)
+            for i in range(0, len(found), 1 << 18):  # rows of the matrix for some grams at a time
+                total += self.matrix[found[i : i + (1 << 18)]].sum(axis=0, dtype=np.float64)
             best = int(total.argmax())
             names.append(self.languages[best])
             sure.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
