@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import extended, others
 
-#: Pieces after which the table of those seen is renewed.
-KEPT = 150_000
+#: Pieces, and byte prefixes, after which the tables of those seen are renewed, and pairs of neighbours that are remembered.
+KEPT, PREFIXES, PAIRS = 60_000, 300_000, 600_000
 #: Letters and numbers of Unicode versions after 16.0, which the tokenizer's tables do not know as such.
 LATER = (
     "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf"
@@ -98,16 +98,20 @@ class Vocabulary:
         #: For each token on the left, what is known of tokens on its right.
         self.beside: list[dict[int, bool]] = [{} for _ in range(max(self.bytes_of) + 1)]
 
+    def forget(self) -> None:
+        """Forget which tokens may stand side by side."""
+        self.tried = 0
+        for known in self.beside:
+            known.clear()
+
     def _never_joined(self, left: int, right: int) -> bool:
         """Undo the merges on both sides of the border, latest first: no pair that faces each other there may merge before either side goes on.
 
         A pair (a, b) stands at the border until the next merge of a or b into what encloses it.  Ranks are times of merging, ties go to the left.
         """
         self.tried += 1
-        if self.tried > 3_000_000:
-            self.tried = 0
-            for known in self.beside:
-                known.clear()
+        if self.tried > PAIRS:
+            self.forget()
         a, b = left, right
         end_a = end_b = float("inf")  # when a, and b, are merged into what encloses them
         while True:
@@ -215,6 +219,8 @@ class Seen(dict):
         self.prefixes = Prefixes(vocabulary)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) > KEPT:
+            self.renew()
         ids = self.before.get(piece)
         if ids is None:
             ids = self._made(piece.encode())
@@ -227,6 +233,8 @@ class Seen(dict):
             return (whole,)
         if len(data) > 200:
             return tuple(PrefixTable(self.vocabulary, data).ids())
+        if len(self.prefixes) > PREFIXES:
+            self.prefixes.clear()
         last, bytes_of, out = self.prefixes, self.vocabulary.bytes_of, []
         while data:
             t = last[data]
@@ -237,11 +245,16 @@ class Seen(dict):
     def renew(self) -> None:
         self.before = dict(self)
         self.clear()
+
+    def forget(self) -> None:
+        """Keep nothing of what was seen."""
+        self.clear()
+        self.before = {}
         self.prefixes.clear()
 
 
 class Encoder:
-    """Texts to ids and back; of the pieces that were seen, about twice ``KEPT`` are kept at most."""
+    """Texts to ids and back; of the pieces that were seen, about twice ``KEPT`` are kept at most, and of prefixes about ``PREFIXES``."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -257,10 +270,13 @@ class Encoder:
         return [text[m.start() : m.end()] for m in self.vocabulary.pattern.finditer(shown)]
 
     def encode(self, text: str) -> list[int]:
-        if len(self.seen) > KEPT:
-            self.seen.renew()
         return list(chain.from_iterable(map(self.seen.__getitem__, self.split(text))))
 
+    def forget(self) -> None:
+        """Keep the vocabulary alone."""
+        self.seen.forget()
+        self.vocabulary.forget()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
@@ -339,6 +355,7 @@ def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], ids: bool
                     out[3].append(got)
             made = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), *[pa.array(out[3], pa.list_(pa.int32()))] * ids]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], names)
+        coder.forget()  # the process goes on to other tasks
 
     return docs.select(*carry, docs["text"].alias("__text")).mapInArrow(run, extended(docs.select(*carry).schema, added))
 

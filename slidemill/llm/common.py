@@ -81,16 +81,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd base and of its inverse mod 2**64, made once in a process and grown when a longer text comes."""
+    """Powers of an odd base and of its inverse mod 2**64, made once in a process for pieces of usual size; a longer text has its own, which are not kept."""
 
     up = _powers(BASE, 1)
     down = _powers(INVERSE, 1)
 
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > 2 * PIECE:
+            return _powers(BASE, n), _powers(INVERSE, n)
         if len(cls.up) < n:
-            size = max(n, PIECE + 1)
-            cls.up, cls.down = _powers(BASE, size), _powers(INVERSE, size)
+            cls.up, cls.down = _powers(BASE, 2 * PIECE), _powers(INVERSE, 2 * PIECE)
         return cls.up, cls.down
 
 
