@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from slidemill.llm import bpe, common, minhash, mixing, quality, repeats
 
-#: Share of the tokens that mixing keeps, whatever rare categories there are.
-KEPT = 0.5
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +39,8 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn so that tokens by source, language and topic have their target shares, as far as scarce cells go; the share KEPT of all tokens."""
-    return mixing.mix(docs, kept=KEPT).select(*docs.columns)
+    """The documents drawn so that tokens by source, language and topic have their target shares, as far as scarce cells go; the share mixing.KEPT of all tokens."""
+    return mixing.mix(docs).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
