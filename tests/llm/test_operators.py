@@ -367,20 +367,21 @@ def test_lpf_by_brute_force():
         assert repeats.longest_previous_factor(*repeats.suffix_order(m)).tolist() == want
 
 
-@pytest.mark.parametrize("many, width, gram, reach", [(1000, 230, 76, 400), (3, 230, 76, 400), (20, 90, 30, 90), (1000, 90, 30, 700)])
-def test_repeats_by_brute_force(spark, docs, monkeypatch, many, width, gram, reach):
+def columns(spans):
+    return tuple(np.array([x[k] for x in spans], np.int64) for k in ("kind", "from", "to"))
+
+
+@pytest.mark.parametrize("many, width, gram", [(1000, 400, 128), (3, 400, 128), (20, 90, 30)])
+def test_repeats_by_brute_force(spark, docs, monkeypatch, many, width, gram):
     monkeypatch.setattr(repeats, "MANY", many)
-    for kind, table in ((repeats.LONG, docs), (repeats.SHORT, docs), (repeats.LATER, docs.dropDuplicates(["doc_id"]))):
+    for kind, table in ((repeats.ANY, docs), (repeats.LATER, docs.dropDuplicates(["doc_id"]))):
         rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, (r["text"] or "").encode()) for r in table.collect()), key=lambda r: r[0])
-        size = reach if kind == repeats.LONG else width
-        got = {}
-        for r in repeats.spans(table, "doc_id", width, gram, reach).collect():
-            got[-1 if r["id"] is None else r["id"]] = repeats.cover([x.asDict() for x in r["spans"]], size, kind)
-        for (k, t), at in zip(rows, repeated([t for _, t in rows], size, kind == repeats.LATER), strict=True):
+        got = {-1 if r["id"] is None else r["id"]: repeats.cover(columns(r["spans"]), width, kind) for r in repeats.spans(table, "doc_id", width, gram).collect()}
+        for (k, t), at in zip(rows, repeated([t for _, t in rows], width, kind == repeats.LATER), strict=True):
             flags = np.zeros(len(t), bool)
             for a, b in got.get(k, []):
                 flags[a:b] = True
-            assert (flags == covered(t, at, size)).all(), (kind, k)
+            assert (flags == covered(t, at, width)).all(), (kind, k)
 
 
 def test_repeats_query_by_brute_force(spark, docs, tmp_path):
@@ -388,14 +389,17 @@ def test_repeats_query_by_brute_force(spark, docs, tmp_path):
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
     got = sorted((r for r in repeats.query(spark, str(tmp_path)).collect()), key=lambda r: (r["doc_id"] is not None, r["doc_id"]))
     want = []
-    passages = repeated([t for _, t in rows], repeats.PASSAGE, False)
-    for (k, t), at, short in zip(rows, repeated([t for _, t in rows], 400, False), passages, strict=True):
+    passages, grams = (repeated([t for _, t in rows], n, False) for n in (repeats.PASSAGE, repeats.GRAM))
+    for (k, t), at, passage, gram in zip(rows, repeated([t for _, t in rows], 400, False), passages, grams, strict=True):
         gone = covered(t, at, 400)
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        kept = bytes(np.frombuffer(t, np.uint8)[~gone[: len(t)]]) if t else b""
-        want.append((k, len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), int(covered(t, short, repeats.PASSAGE).sum())))
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone]) if t else b""
+        want.append((k, len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), bool(passage), int(covered(t, gram, repeats.GRAM).sum())))
     want.sort(key=lambda r: (r[0] is not None, r[0]))
-    assert [tuple(r)[:6] for r in got] == want
+    assert [tuple(r)[:5] for r in got] == [w[:5] for w in want]
+    for r, w in zip(got, want, strict=True):
+        # a repeated passage is always seen, and nothing counts that doesn't repeat
+        assert (r["longest_shared"] >= repeats.GRAM) >= w[5] and r["n_shared"] <= w[6] and r["n_later"] <= r["n_removed"]
 
 
 def test_repeats_keep_the_first_copy_and_all_columns(docs, empty, texts):
