@@ -32,7 +32,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of strings of repeats.PASSAGE bytes, which a passage of fifty-one words hardly ever falls short of; n_chars follows.  Documents of which nothing is left go."""
-    left = repeats.without_repeats(docs)
+    left = repeats.without_repeats(docs, width=repeats.PASSAGE, gram=repeats.PASSAGE // 3)
     if "n_chars" in left.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.filter(F.length("text") > 0)
