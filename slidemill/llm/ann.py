@@ -1,19 +1,22 @@
 """Operator 1, approximate nearest neighbours by randomly rotated one-bit codes.
 
-A vector v is rotated at random (the same way for all) and kept as the signs of its coordinates, packed into 64-bit words, with
-two scalars: its length and <v/|v|, code>, the cosine c between v and the unit vector of its signs.  A rotated query's inner
-product with the signs, unpacked a block at a time, divided by c estimates <q, v> without bias, within
-|q| |v| sqrt((1 - c^2) / c^2) * EPS / sqrt(dim - 1) with high probability.  Only rows whose upper bound reaches the score that a
-query is known to need, that of its best rows in a bounded sample, are scored exactly (in double precision, on the original
-vectors).
-
-Rows and queries are packed into blocks of bounded size, and every block of queries meets every block of rows in a task of its
-own; a block gives its best ``top`` rows of each query that reach the needed score, and these meet by query.  Nothing depends on
-how rows are distributed, so that many equal vectors do no harm.
+Rows belong to the nearest of a few centroids, fitted on a bounded sample.  What a row r differs from its centroid, its residual, is
+turned into at least ``CODE`` coordinates by a random matrix of orthonormal columns (the same one for all) and kept as their signs,
+packed into 64-bit words, with two scalars: its length and the cosine between the turned residual and the unit vector of its signs.
+A query q is turned likewise and rounded to ``LEVELS`` steps, whose bits are packed into planes.  Counts of the bits that planes and
+codes share give <turned q, signs>, which divided by the cosine estimates <q, r> without bias, within
+|q| |r| sqrt((1 - cosine^2) / cosine^2) * EPS / sqrt(bits - 1), and what the rounding may add, with high probability.  <q, v> is that
+and <q, centroid>.
+
+Rows of a centroid are packed into blocks of bounded size, and every block of queries meets every block of rows in some slot.  A slot
+keeps the best ``top`` rows of each query as it goes from block to block.  A block whose centroid and radius put it below the
+worst of these is skipped for that query; in others the rows of the best estimates are scored exactly, in double precision on the
+original vectors, then those whose upper bound reaches the worst of the best.  Best rows of slots meet by query.  Nothing depends on how
+rows are distributed, so that many equal vectors do no harm.
 
 Defined cases: vectors that are null, of another length than most (``dim``), zero, or hold null or non-finite components take
 no part.  Ties go to the smaller id.  Where an id is repeated each of its rows is a candidate for other ids, and is searched for
-on its own under the same query_id.  An empty table gives no rows.
+on its own under the same query_id.  An empty table gives no rows.  Only the two named columns are read, whatever others are there.
 """
 
 from __future__ import annotations
@@ -27,43 +30,54 @@ from .common import cut
 
 #: Rows and queries in a block.
 ROWS, QUERIES = 8192, 512
-#: Rows of the sample from which the first needed scores come.
-SAMPLE = 8192
+#: Rows of the sample on which centroids are fitted, their number, and rounds of fitting.
+SAMPLE, CENTROIDS, FITS = 8192, 32, 5
+#: Bits of a code, or as many as a vector has components if these are more; bits to which a query's coordinates are rounded.
+CODE, LEVELS = 768, 4
 #: Width of the error bound, in standard deviations of the estimate.
-EPS = 3.0
+EPS = 3.5
 SEED = 20
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """A random matrix of dim rows, orthonormal ones, and as many columns as a code has bits."""
+    bits = max(CODE, -(-dim // 64) * 64)
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, dim)))
+    return (q * np.sign(np.diag(r))).T
 
 
-def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed signs as words of 64 bits, lengths, cosines) of the rows of a matrix."""
-    turned = vectors @ turn
-    dim = turned.shape[1]
+def encode(residuals: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signs packed into words of 64 bits, a column for each row, lengths, cosines) of the rows of a matrix; a row of zeros has cosine 1."""
+    turned = residuals @ turn
     length = np.sqrt((turned * turned).sum(axis=1))
-    cosine = np.abs(turned).sum(axis=1) / (np.sqrt(dim) * length)
-    bits = np.packbits(turned > 0, axis=1, bitorder="little")
-    wide = np.zeros((len(bits), -(-dim // 64) * 8), np.uint8)
-    wide[:, : bits.shape[1]] = bits
-    return wide.view(np.uint64), length, cosine
+    cosine = np.where(length > 0, np.abs(turned).sum(axis=1) / (np.sqrt(turned.shape[1]) * np.where(length > 0, length, 1)), 1.0)
+    return np.ascontiguousarray(np.packbits(turned > 0, axis=1, bitorder="little").view(np.uint64).T), length, cosine
+
 
+def planes(query: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(planes of the bits of a turned query's steps, least coordinate, size of a step)."""
+    turned = query @ turn
+    low, step = turned.min(), max(float(np.ptp(turned)), 1e-300) / ((1 << LEVELS) - 1)
+    steps = np.rint((turned - low) / step).astype(np.uint8)
+    return np.stack([np.packbits((steps >> k) & 1, bitorder="little").view(np.uint64) for k in range(LEVELS)]), low, step
 
-def bounds(codes: tuple[np.ndarray, np.ndarray, np.ndarray], dim: int, eps: float = EPS) -> np.ndarray:
-    """A matrix of dim + 1 columns by which rotated queries, with their lengths as a last component, are multiplied for upper bounds.
 
-    A row's signs, scaled by length / (cosine sqrt(dim)), give the estimate; its last component is the error bound of a unit query.
-    """
+def estimates(codes: tuple[np.ndarray, np.ndarray, np.ndarray], ones: np.ndarray, query: np.ndarray, turn: np.ndarray, eps: float = EPS) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated inner products with residuals, error bounds) of one query, from packed bits; ones: bits that are set in each code."""
     packed, length, cosine = codes
-    bits = np.unpackbits(packed.view(np.uint8), axis=1, bitorder="little")[:, :dim]
-    out = np.empty((len(bits), dim + 1), np.float32)
-    out[:, :dim] = (2.0 * bits - 1.0) * (length / (cosine * np.sqrt(dim)))[:, None]
-    spread = length * np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine / np.sqrt(max(dim - 1, 1))
-    out[:, dim] = eps * spread + 1e-5 * length / cosine  # and what single precision may lose
-    return out
+    plane, low, step = planes(query, turn)
+    bits = turn.shape[1]
+    shared = np.zeros(packed.shape[1])
+    for k in range(LEVELS):
+        shared += float(1 << k) * np.bitwise_count(packed & plane[k][:, None]).sum(axis=0, dtype=np.uint32)
+    # <turned, signs> = 2 * (sum over set bits) - (sum over all)
+    every = low * bits + step * sum(float(1 << k) * int(np.bitwise_count(plane[k]).sum()) for k in range(LEVELS))
+    product = 2 * (low * ones + step * shared) - every
+    scale = length / (cosine * np.sqrt(bits))
+    size = np.sqrt(query @ query)
+    spread = size * length * np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine / np.sqrt(max(bits - 1, 1))
+    rounding = scale * step * np.sqrt(bits / 12.0)
+    return product * scale, eps * np.sqrt(spread**2 + rounding**2) + 1e-9 * size * length
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,93 +101,159 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int) -> n
     return order[rank < top]
 
 
-def _packed(df: DataFrame, size: int, dim: int, wide: bool, sample: tuple[np.ndarray, np.ndarray] | None = None, top: int = 0) -> DataFrame:
-    """(ids, vectors, codes, lengths, cosines, needed) with ``size`` rows at most packed into each.
+def fitted(sample: np.ndarray, centroids: int = CENTROIDS, rounds: int = FITS) -> np.ndarray:
+    """Centroids of a sample, by a few rounds of k-means from rows chosen at random; none of no rows."""
+    if not len(sample):
+        return sample
+    at = np.random.default_rng(SEED).permutation(len(sample))[: max(1, min(centroids, len(sample) // 64))]
+    found = sample[np.sort(at)].copy()
+    for _ in range(rounds):
+        own = nearest(sample, found)
+        for k in range(len(found)):
+            if (own == k).any():
+                found[k] = sample[own == k].mean(axis=0)
+    return found
+
+
+def nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The centroid to which each row is nearest."""
+    return (rows @ centroids.T - (centroids * centroids).sum(axis=1) / 2).argmax(axis=1)
+
+
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _assigned(df: DataFrame, dim: int, centroids: np.ndarray) -> DataFrame:
+    """(id, v, list) of rows (id, v): list is the nearest centroid's number."""
+
+    def run(batches):
+        for batch in batches:
+            own = nearest(_vectors(batch.column(1), dim), centroids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32))], ["id", "v", "list"])
+
+    return df.mapInArrow(run, f"id long, v {df.schema['v'].dataType.simpleString()}, list int")
+
 
-    Rows have codes; queries, for which a ``sample`` is given, have the score that a row must reach: that of the sample's row ``top``.
-    """
+def _packed(df: DataFrame, size: int, dim: int, wide: bool, centroids: np.ndarray | None = None) -> DataFrame:
+    """(ids, vectors, list, codes, lengths, cosines) with ``size`` rows at most, of one list, packed into each; queries, packed without centroids, have no codes."""
     kind = np.float64 if wide else np.float32
-    held = df.sparkSession.sparkContext.broadcast(sample)
-
-    def block(ids, vectors):
-        exactly = vectors.astype(np.float64)
-        if held.value is None:
-            parts = [ids, vectors, *encode(exactly, rotation(dim)), np.zeros(0)]
-        else:
-            others, found = held.value
-            score = exactly @ found.T
-            score[ids[:, None] == others[None, :]] = -np.inf
-            needed = np.partition(score, -top, axis=1)[:, -top] if len(others) >= top else np.full(len(ids), -np.inf)
-            parts = [ids, vectors, *(np.zeros(0),) * 3, needed - 1e-9 * np.abs(needed)]
-        return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts], ["ids", "vectors", "codes", "lengths", "cosines", "needed"])
+
+    def block(ids, vectors, own):
+        parts = [ids, vectors.astype(kind)]
+        parts += encode(vectors - centroids[own], rotation(dim)) if centroids is not None else (np.zeros(0),) * 3
+        data = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in parts]
+        return pa.RecordBatch.from_arrays([*data[:2], pa.array([own], pa.int32()), *data[2:]], ["ids", "vectors", "list", "codes", "lengths", "cosines"])
 
     def run(batches):
-        ids, rows = np.zeros(0, np.int64), np.zeros((0, dim), kind)
+        ids, rows, lists = np.zeros(0, np.int64), np.zeros((0, dim)), np.zeros(0, np.int64)
         for batch in batches:
             ids = np.concatenate([ids, batch.column(0).to_numpy().astype(np.int64)])
-            rows = np.concatenate([rows, batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)])
-            while len(ids) >= size:
-                yield block(ids[:size], rows[:size])
-                ids, rows = ids[size:], rows[size:]
+            rows = np.concatenate([rows, _vectors(batch.column(1), dim)])
+            lists = np.concatenate([lists, batch.column(2).to_numpy().astype(np.int64)])
+            while len(ids) and (len(ids) >= size or lists[0] != lists[-1]):
+                n = min(size, int(np.searchsorted(lists, lists[0], "right")))
+                yield block(ids[:n], rows[:n], int(lists[0]))
+                ids, rows, lists = ids[n:], rows[n:], lists[n:]
         if len(ids):
-            yield block(ids, rows)
+            yield block(ids, rows, int(lists[0]))
 
-    return df.mapInArrow(run, "ids binary, vectors binary, codes binary, lengths binary, cosines binary, needed binary")
+    return df.mapInArrow(run, "ids binary, vectors binary, list int, codes binary, lengths binary, cosines binary")
 
 
-def index(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", dim: int | None = None) -> tuple[DataFrame, int]:
-    """The table of packed blocks of all vectors that take part, written to the shared folder, and their number of components."""
-    fit = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & valid(F.col("v"), dim))
+def index(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", dim: int | None = None) -> tuple[DataFrame, int, np.ndarray]:
+    """The table of packed blocks of all vectors that take part, written to the shared folder, their number of components, and the centroids."""
+    rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & valid(F.col("v"), dim))
     if dim is None:
-        common = fit.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
         dim = common["n"] if common else 1
-        fit = fit.filter(F.size("v") == dim)
+        rows = rows.filter(F.size("v") == dim)
+    few = rows.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE).toArrow()  # of a size that does not depend on the table's
+    centroids = fitted(_vectors(few.column("v").combine_chunks(), dim) if len(few) else np.zeros((0, dim)))
+    if not len(centroids):
+        centroids = np.zeros((1, dim))
+    # a list of very many rows is dealt to several tasks, each of which packs whole blocks of it
+    placed = _assigned(rows, dim, centroids)
+    counts = placed.groupBy("list").agg(F.ceil(F.count("*") / (8 * ROWS)).alias("parts"))
+    placed = placed.join(F.broadcast(counts), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))  # counts: a row for each centroid
+    ordered = placed.repartition("list", "part").sortWithinPartitions("list").select("id", "v", "list")
     wide = "double" in dict(vectors.dtypes)[vector]
-    return cut(_packed(fit, ROWS, dim, wide).withColumn("block", F.monotonically_increasing_id())), dim
+    return cut(_packed(ordered, ROWS, dim, wide, centroids).withColumn("block", F.monotonically_increasing_id())), dim, centroids
+
+
+class Best:
+    """The best rows so far of each query of a block, and how many rows have been seen and scored exactly."""
+
+    def __init__(self, n: int, top: int):
+        self.top, self.seen, self.scored = top, 0, 0
+        self.query, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.needed = np.full(n, -np.inf)
+
+    def meet(self, queries: np.ndarray, query_ids: np.ndarray, turn: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: tuple, centroid: np.ndarray) -> None:
+        """Take what a block of rows has to give."""
+        ones = np.bitwise_count(codes[0]).sum(axis=0, dtype=np.uint32).astype(np.float64)
+        at_center = queries @ centroid
+        size = np.sqrt((queries * queries).sum(axis=1))
+        self.seen += len(queries) * len(ids)
+        pairs, scores, rows = [self.query], [self.scores], [self.ids]
+        for i in np.flatnonzero(at_center + size * codes[1].max() * (1 + 1e-9) >= self.needed):
+            guess, error = estimates(codes, ones, queries[i], turn)
+            guess += at_center[i]
+            guess[ids == query_ids[i]] = -np.inf
+            likely = guess.argpartition(-self.top)[-self.top :] if len(guess) > self.top else np.arange(len(guess))
+            likely = likely[guess[likely] + error[likely] >= self.needed[i]]
+            first = exact(np.broadcast_to(queries[i], (len(likely), len(centroid))), vectors[likely])
+            least = max(self.needed[i], first[np.isfinite(guess[likely])].min() if np.isfinite(guess[likely]).sum() == self.top else -np.inf)
+            chosen = np.flatnonzero((guess + error >= least) & (guess > -np.inf))
+            score = exact(np.broadcast_to(queries[i], (len(chosen), len(centroid))), vectors[chosen])
+            self.scored += len(chosen)
+            good = score >= least
+            pairs.append(np.full(good.sum(), i))
+            scores.append(score[good])
+            rows.append(ids[chosen[good]])
+        self.query, self.scores, self.ids = (np.concatenate(x) for x in (pairs, scores, rows))
+        kept = _best(self.query, self.ids, self.scores, self.top)
+        self.query, self.scores, self.ids = self.query[kept], self.scores[kept], self.ids[kept]
+        full = np.bincount(self.query, minlength=len(queries)) >= self.top
+        worst = np.full(len(queries), np.inf)
+        np.minimum.at(worst, self.query, self.scores)
+        self.needed = np.where(full, worst, -np.inf)
 
 
 def search(vectors: DataFrame, queries: DataFrame, top: int = 20, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, <id>, score): for each query its ``top`` rows of largest inner product but for those of its own id."""
     spark = vectors.sparkSession
-    blocks, dim = index(vectors, id, vector)
+    blocks, dim, centroids = index(vectors, id, vector)
     wide = "double" in dict(vectors.dtypes)[vector]
     kind = np.float64 if wide else np.float32
-    rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & valid(F.col("v"), dim))
-    few = rows.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE).toArrow()  # of a size that does not depend on the table's
-    sample = few.column("id").to_numpy(), np.array(few.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
     asked = queries.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & valid(F.col("v"), dim))
-    asked = cut(_packed(asked, QUERIES, dim, wide, sample, top).select(F.monotonically_increasing_id().alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "needed"))
+    asked = cut(_packed(asked.withColumn("list", F.lit(0)), QUERIES, dim, wide).select(F.monotonically_increasing_id().alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
     # each block of queries goes to every slot, each block of rows to one
     slots = max(1, min(blocks.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    placed = blocks.drop("needed").withColumn("slot", F.pmod(F.col("block"), F.lit(slots)))
+    placed = blocks.withColumn("slot", F.pmod(F.col("block"), F.lit(slots)))
     met = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))).join(placed.hint("shuffle_hash"), "slot")
 
     def run(batches):
         turn = rotation(dim)
+        at, best, q, q_ids = None, None, None, None
+
+        def found():
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(best.ids), at, np.int64)), pa.array(best.query.astype(np.int32)), pa.array(q_ids[best.query]), pa.array(best.ids), pa.array(best.scores)], ["q_block", "place", "query_id", "found", "score"])
+
         for batch in batches:
             for r in batch.to_pylist():
-                q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, v = (np.frombuffer(r[k], kind).reshape(-1, dim).astype(np.float64) for k in ("q_vectors", "vectors"))
-                codes = np.frombuffer(r["codes"], np.uint64).reshape(len(ids), -1), np.frombuffer(r["lengths"]), np.frombuffer(r["cosines"])
-                needed = np.frombuffer(r["needed"])
-                upper = bounds(codes, dim).T
-                single, narrow = q.astype(np.float32), v.astype(np.float32).T
-                slack = (1e-5 * np.sqrt((q * q).sum(axis=1)) * codes[1].max()).astype(np.float32)[:, None]
-                turned = np.concatenate([q @ turn, np.sqrt((q * q).sum(axis=1))[:, None]], axis=1).astype(np.float32)
-                for i in range(0, len(q), 128):
-                    part = slice(i, i + 128)
-                    least = needed[part, None].astype(np.float32)
-                    chosen = turned[part] @ upper >= least
-                    if chosen.mean() > 0.01:  # many to rerank: single precision, all together, leaves few for the double one
-                        chosen &= single[part] @ narrow >= least - slack[part]
-                    a, b = np.nonzero(chosen)
-                    a += i
-                    score = np.concatenate([exact(q[a[j : j + 4096]], v[b[j : j + 4096]]) for j in range(0, len(a), 4096)] or [np.zeros(0)])
-                    good = (score >= needed[a]) & (q_ids[a] != ids[b])
-                    a, b, score = a[good], b[good], score[good]
-                    if len(a):
-                        k = _best(a, ids[b], score, top)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r["q_block"], np.int64)), pa.array(a[k].astype(np.int32)), pa.array(q_ids[a[k]]), pa.array(ids[b[k]]), pa.array(score[k])], ["q_block", "place", "query_id", "found", "score"])
+                if r["q_block"] != at:  # the blocks of rows of a slot come together, for one block of queries after the other
+                    if at is not None:
+                        yield found()
+                    at, q_ids = r["q_block"], np.frombuffer(r["q_ids"], np.int64)
+                    q = np.frombuffer(r["q_vectors"], kind).reshape(-1, dim).astype(np.float64)
+                    best = Best(len(q), top)
+                ids = np.frombuffer(r["ids"], np.int64)
+                v = np.frombuffer(r["vectors"], kind).reshape(-1, dim).astype(np.float64)
+                codes = np.frombuffer(r["codes"], np.uint64).reshape(-1, len(ids)), np.frombuffer(r["lengths"]), np.frombuffer(r["cosines"])
+                best.meet(q, q_ids, turn, ids, v, codes, centroids[r["list"]])
+        if at is not None:
+            yield found()
 
     found = met.mapInArrow(run, "q_block long, place int, query_id long, found long, score double")
     rank = F.row_number().over(Window.partitionBy("q_block", "place").orderBy(F.desc("score"), "found"))

@@ -99,12 +99,57 @@ def test_ann_with_few_rows_and_with_none(spark):
     assert ann.search(table.limit(0), table.limit(0)).count() == 0
 
 
-def test_ann_bounds_hold():
+def test_ann_estimates_and_bounds_hold():
     rng = np.random.default_rng(2)
     v, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
     turn = ann.rotation(64)
-    upper = np.concatenate([q @ turn, np.linalg.norm(q, axis=1)[:, None]], axis=1) @ ann.bounds(ann.encode(v, turn), 64).T
-    assert (upper >= q @ v.T).mean() > 0.997
+    codes = ann.encode(v, turn)
+    assert codes[0].shape == (ann.CODE // 64, 2000) and np.allclose(codes[1], np.linalg.norm(v, axis=1))
+    ones = np.bitwise_count(codes[0]).sum(axis=0).astype(float)
+    off, near = [], []
+    for x in q:
+        guess, error = ann.estimates(codes, ones, x, turn)
+        off.append(np.abs(guess - v @ x) <= error)
+        near.append((guess - v @ x) / error)
+    assert np.mean(off) > 0.999 and abs(np.mean(near)) < 0.02  # unbiased
+
+
+def test_ann_codes_select_few_of_more_rows_than_the_sample(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, dim = 3 * ann.SAMPLE, 64
+    turn = ann.rotation(dim)
+
+    def share(v, centroids):
+        own = ann.nearest(v, centroids)
+        best = ann.Best(100, 20)
+        q_ids = np.arange(0, 100 * 100, 100)
+        for k in range(len(centroids)):
+            ids = np.flatnonzero(own == k)
+            for i in range(0, len(ids), ann.ROWS):
+                some = ids[i : i + ann.ROWS]
+                best.meet(v[q_ids], q_ids, turn, some, v[some], ann.encode(v[some] - centroids[k], turn), centroids[k])
+        scores = v[q_ids] @ v.T
+        scores[np.arange(100), q_ids] = -np.inf
+        want = np.argsort(-scores, axis=1)[:, :20]
+        hits = sum(len(set(best.ids[best.query == i]) & set(want[i])) for i in range(100))
+        return hits / 2000, best.scored / best.seen
+
+    plain = rng.standard_normal((n, dim))
+    plain /= np.linalg.norm(plain, axis=1)[:, None]
+    recall, scored = share(plain, ann.fitted(plain[: ann.SAMPLE]))
+    assert recall > 0.99 and scored < 0.05, (recall, scored)
+    centers = rng.standard_normal((20, dim))
+    grouped = centers[rng.integers(0, 20, n)] + 0.2 * rng.standard_normal((n, dim))
+    recall, scored = share(grouped, ann.fitted(grouped[: ann.SAMPLE]))
+    assert recall > 0.99 and scored < 0.05, (recall, scored)
+
+
+def test_ann_ignores_columns_of_its_own_names(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v], 1, "a", 2, 3) for i, v in enumerate(rng.standard_normal((50, 8)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, list string, query_id int, id int")
+    got = ann.search(table, table.filter("vec_id % 10 = 0"), top=3)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 15
 
 
 # ---- 2
