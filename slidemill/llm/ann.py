@@ -30,10 +30,10 @@ from .common import cut
 
 #: Rows and queries in a block.
 ROWS, QUERIES = 8192, 512
-#: Rows of the sample on which centroids are fitted, their number, and rounds of fitting.
-SAMPLE, CENTROIDS, FITS = 8192, 32, 5
+#: Rows of the sample on which centroids are fitted, their number at most (one for each ``ROWS`` rows), and rounds of fitting.
+SAMPLE, CENTROIDS, FITS = 8192, 256, 5
 #: Bits of a code, or as many as a vector has components if these are more; bits to which a query's coordinates are rounded.
-CODE, LEVELS = 768, 4
+CODE, LEVELS = 768, 3
 #: Width of the error bound, in standard deviations of the estimate.
 EPS = 3.5
 SEED = 20
@@ -67,9 +67,9 @@ def estimates(codes: tuple[np.ndarray, np.ndarray, np.ndarray], ones: np.ndarray
     packed, length, cosine = codes
     plane, low, step = planes(query, turn)
     bits = turn.shape[1]
-    shared = np.zeros(packed.shape[1])
+    shared = np.zeros(packed.shape[1], np.uint32)
     for k in range(LEVELS):
-        shared += float(1 << k) * np.bitwise_count(packed & plane[k][:, None]).sum(axis=0, dtype=np.uint32)
+        shared += np.bitwise_count(packed & plane[k][:, None]).sum(axis=0, dtype=np.uint32) << np.uint32(k)
     # <turned, signs> = 2 * (sum over set bits) - (sum over all)
     every = low * bits + step * sum(float(1 << k) * int(np.bitwise_count(plane[k]).sum()) for k in range(LEVELS))
     product = 2 * (low * ones + step * shared) - every
@@ -105,7 +105,7 @@ def fitted(sample: np.ndarray, centroids: int = CENTROIDS, rounds: int = FITS) -
     """Centroids of a sample, by a few rounds of k-means from rows chosen at random; none of no rows."""
     if not len(sample):
         return sample
-    at = np.random.default_rng(SEED).permutation(len(sample))[: max(1, min(centroids, len(sample) // 64))]
+    at = np.random.default_rng(SEED).permutation(len(sample))[: max(1, min(centroids, len(sample) // 32))]
     found = sample[np.sort(at)].copy()
     for _ in range(rounds):
         own = nearest(sample, found)
@@ -168,8 +168,9 @@ def index(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", dim
         common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
         dim = common["n"] if common else 1
         rows = rows.filter(F.size("v") == dim)
+    n = rows.count()
     few = rows.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE).toArrow()  # of a size that does not depend on the table's
-    centroids = fitted(_vectors(few.column("v").combine_chunks(), dim) if len(few) else np.zeros((0, dim)))
+    centroids = fitted(_vectors(few.column("v").combine_chunks(), dim) if len(few) else np.zeros((0, dim)), min(CENTROIDS, n // ROWS))
     if not len(centroids):
         centroids = np.zeros((1, dim))
     # a list of very many rows is dealt to several tasks, each of which packs whole blocks of it
