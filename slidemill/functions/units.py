@@ -49,5 +49,5 @@ def js_round(x: Column) -> Column:
 
 
 def js_number(x: Column) -> Column:
-    """A double as JavaScript writes it, of those from 1e-6 to 1e21: no exponent, no trailing .0."""
-    return F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")
+    """A double as JavaScript writes it, of those from 1e-6 to 1e21: no exponent, no trailing .0; null stays null."""
+    return F.when(x.isNotNull(), F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", ""))

@@ -9,7 +9,9 @@ from ..sources.xmltree import attr, number
 from .shapes import joined, runs
 
 #: Chart kinds in the order in which a part with several is looked through.
-CHARTS = ["barChart", "bar3DChart", "lineChart", "line3DChart", "pieChart", "pie3DChart", "doughnutChart", "areaChart", "area3DChart", "scatterChart", "bubbleChart", "radarChart", "surfaceChart", "surface3DChart", "stockChart"]
+CHARTS = ["lineChart", "line3DChart", "barChart", "bar3DChart", "pieChart", "pie3DChart", "doughnutChart", "areaChart", "area3DChart", "scatterChart", "bubbleChart", "radarChart", "stockChart", "surfaceChart", "surface3DChart"]
+#: Chart kinds that have numbers on both axes.
+SCATTERED = ["scatterChart", "bubbleChart"]
 
 
 def cells(nodes: DataFrame) -> DataFrame:
@@ -57,15 +59,42 @@ def chart_series(nodes: DataFrame) -> DataFrame:
     filled = lambda m, n, other, as_: F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(as_(m[i]), F.lit(other)))).otherwise(F.array())
     met = ser.join(dense, [*keys, "owner"], "left").join(counts, [*keys, "owner"], "left")
     return met.select(
-        *keys, F.col("c.tag").alias("chart"), "series", F.col("tx")[0].alias("name"), filled(F.col("cat"), F.col("n_cat"), "", lambda x: x).alias("categories"), filled(F.col("val"), F.col("n_val"), 0.0, lambda x: x.try_cast("double")).alias("values")
+        *keys, F.col("c.tag").alias("chart"), F.col("c.nid").alias("chart_nid"), "owner", "series", F.coalesce(F.col("tx")[0], F.concat(F.lit("Series "), (F.col("series") + 1).cast("string"))).alias("name"), filled(F.col("cat"), F.col("n_cat"), "", lambda x: x).alias("categories"), filled(F.col("val"), F.col("n_val"), 0.0, lambda x: x.try_cast("double")).alias("values")
     )
 
 
+def scatter(series: DataFrame) -> DataFrame:
+    """(deck_id, part_path, xs, ys): numbers on both axes of charts of points, of which the first series alone counts."""
+    one = series.filter(F.col("chart").isin(*SCATTERED) & (F.col("series") == 0))
+    return one.select("deck_id", "part_path", F.transform("categories", lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))).alias("xs"), F.col("values").alias("ys"))
+
+
+def chart_options(nodes: DataFrame, series: DataFrame) -> DataFrame:
+    """(deck_id, part_path, bar_dir, grouping, marker, hole_size, style) of the charts whose series are given."""
+    keys = ["deck_id", "part_path"]
+    chart = series.select(*keys, F.col("chart_nid").alias("parent")).distinct()
+    below = nodes.filter(F.col("tag").isin("barDir", "grouping", "marker", "holeSize", "scatterStyle", "radarStyle")).join(chart, [*keys, "parent"], "right")
+    of = lambda tag: F.min_by(attr("val"), F.when(F.col("tag") == tag, F.col("nid")))
+    got = below.groupBy(*keys).agg(of("barDir").alias("bar_dir"), of("grouping").alias("grouping"), F.max(F.coalesce(F.col("tag") == "marker", F.lit(False))).alias("marker"), of("holeSize").alias("hole_size"), F.coalesce(of("radarStyle"), of("scatterStyle")).alias("style"))
+    return got.withColumn("bar_dir", F.when(F.col("bar_dir").isin("bar", "col"), F.col("bar_dir")))
+
+
 def nearest_drawing(frames: DataFrame, drawings: DataFrame) -> DataFrame:
-    """(deck_id, frame, drawing): of a deck's drawings the one whose number is nearest to the frame's, the first of equally near ones."""
-    met = frames.join(drawings, "deck_id")
-    far = F.abs(F.col("number") - F.col("drawing_number"))
-    return met.groupBy("deck_id", "frame").agg(F.min_by("drawing", F.struct(F.coalesce(far, F.lit(1 << 30)).alias("far"), "drawing")).alias("drawing"))
+    """(deck_id, frame, drawing): of a deck's drawings the one whose number is nearest to the frame's, the first of equally near ones; a frame without a number takes the first.
+
+    Drawings and frames stand in one line by number, and each frame looks at the drawing before it and the one after it: no pairs are made.
+    """
+    one = drawings.groupBy("deck_id", F.col("drawing_number").alias("number")).agg(F.min("drawing").alias("drawing"))
+    first = drawings.groupBy("deck_id").agg(F.min("drawing").alias("any"))
+    rows = one.select("deck_id", "number", "drawing", F.lit(None).cast(frames.schema["frame"].dataType).alias("frame")).unionByName(frames.select("deck_id", "number", F.lit(None).cast(one.schema["drawing"].dataType).alias("drawing"), "frame"))
+    found = F.when(F.col("drawing").isNotNull(), F.struct("number", "drawing"))
+    line = Window.partitionBy("deck_id").orderBy("number", F.col("drawing").isNull())
+    back = Window.partitionBy("deck_id").orderBy(F.desc("number"), F.col("drawing").isNull())
+    met = rows.withColumns({"before": F.last(found, True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "after": F.last(found, True).over(back.rowsBetween(Window.unboundedPreceding, 0))})
+    met = met.filter("frame IS NOT NULL").join(first, "deck_id")
+    far = lambda c: F.struct(F.abs(F.col(c)["number"] - F.col("number")).alias("far"), F.col(c)["drawing"].alias("drawing"))
+    near = F.array_min(F.array_compact(F.array(*(F.when(F.col(c).isNotNull() & F.col("number").isNotNull(), far(c)) for c in ("before", "after")))))
+    return met.select("deck_id", "frame", F.coalesce(near["drawing"], "any").alias("drawing"))
 
 
 def baked(left: Column, top: Column, width: Column, height: Column, rotate: Column, flip_h: Column, flip_v: Column, group: dict[str, Column]) -> Column:

@@ -90,3 +90,32 @@ def color_maps(nodes: DataFrame) -> DataFrame:
     """(deck_id, part_path, mapped): a master's map, or a layout's override, from scheme names to theme slots."""
     kept = nodes.filter(F.col("tag").isin("clrMap", "overrideClrMapping"))
     return kept.groupBy("deck_id", "part_path").agg(F.min_by("attrs", "nid").alias("mapped"))
+
+
+def master_shapes_shown(nodes: DataFrame) -> DataFrame:
+    """(deck_id, part_path, shows) of slides and layouts: whether they let the shapes of what lies behind them show."""
+    root = nodes.filter((F.col("depth") == 0) & F.col("tag").isin("sld", "sldLayout"))
+    return root.select("deck_id", "part_path", (F.coalesce(attr("showMasterSp"), F.lit("1")) != "0").alias("shows"))
+
+
+def written_by_other_office(nodes: DataFrame) -> DataFrame:
+    """(deck_id, other): whether names in the presentation tell of the office suite WPS."""
+    main = nodes.filter(F.col("part_path") == "ppt/presentation.xml")
+    named = F.exists(F.map_values("attrs"), lambda v: v.rlike("wps|kso|Kingsoft|WPS")) | F.col("tag").rlike("wps|kso")
+    return main.groupBy("deck_id").agg(F.bool_or(F.coalesce(named, F.lit(False))).alias("other"))
+
+
+def all_rels(rels: DataFrame, kind: str) -> DataFrame:
+    """(deck_id, source_part, targets): all targets of a part's relationships whose type holds ``kind``, in order."""
+    one = rels.filter(F.contains("type", F.lit(kind)))
+    return one.groupBy("deck_id", "source_part").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("resolved", "target").alias("t")))), lambda x: x["t"]).alias("targets"))
+
+
+def notes(nodes: DataFrame, rels: DataFrame) -> DataFrame:
+    """(deck_id, slide_part, note): the text of a slide's notes: of the shapes there that are placeholders of bodies, without separators, trimmed."""
+    keys = ["deck_id", "part_path"]
+    to_note = first_rel(rels, "notesSlide").withColumnRenamed("resolved", "part_path")
+    body = nodes.filter((F.col("way") == "nvSpPr/nvPr/ph") & (attr("type") == "body")).select(*keys, "owner").distinct()
+    words = nodes.filter((F.col("tag") == "t") & F.col("way").startswith("txBody/")).select(*keys, "owner", "nid", F.coalesce("text", F.lit("")).alias("text")).join(body, [*keys, "owner"])
+    text = words.groupBy(*keys).agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nid", "text"))), lambda x: x["text"]), "")).alias("note"))
+    return to_note.join(text, keys).select("deck_id", F.col("source_part").alias("slide_part"), "note")

@@ -15,7 +15,7 @@ _FRAME = {"sp": "spPr/xfrm", "pic": "spPr/xfrm", "cxnSp": "spPr/xfrm", "graphicF
 def shapes(nodes: DataFrame) -> DataFrame:
     """A row for each shape of slides, layouts and masters, with lengths in EMU.
 
-    (deck_id, part_path, nid, last, shape, id, name, x, y, cx, cy, rot, flip_h, flip_v, ph, ph_type, ph_idx, prst, uri, rid, group_nid);
+    (deck_id, part_path, nid, last, shape, id, name, x, y, cx, cy, rot, flip_h, flip_v, ph, ph_type, ph_idx, prst, uri, rid, text_box, custom, video_rid, audio_rid, group_nid);
     group_nid is the nearest group around the shape, 0 if there is none.
     """
     below = nodes.filter(F.col("owner").isNotNull() & F.col("part_path").rlike("^ppt/(slides|slideLayouts|slideMasters|diagrams)/[^/]+$"))
@@ -36,7 +36,8 @@ def shapes(nodes: DataFrame) -> DataFrame:
         F.coalesce(number(of_frame("", "rot")), F.lit(0.0)).alias("rot"), of_frame("", "flipH").isin("1", "true").alias("flip_h"), of_frame("", "flipV").isin("1", "true").alias("flip_v"),
         placed.alias("ph"), of_nv("nvPr/ph", "type").alias("ph_type"), of_nv("nvPr/ph", "idx").try_cast("int").alias("ph_idx"),
         at("spPr/prstGeom", attr("prst")).alias("prst"), at("graphic/graphicData", attr("uri")).alias("uri"), F.coalesce(at("blipFill/blip", attr("r:embed")), at("graphic/graphicData/chart", attr("r:id"))).alias("rid"),
-        of_nv("cNvPr/hlinkClick", "r:id").alias("link_rid"), of_nv("cNvPr/hlinkClick", "action").alias("link_action"),
+        F.coalesce(at("nvSpPr/cNvSpPr", attr("txBox")).isin("1", "true"), F.lit(False)).alias("text_box"), F.coalesce(at("spPr/custGeom", F.lit(True)), F.lit(False)).alias("custom"),
+        of_nv("nvPr/videoFile", "r:link").alias("video_rid"), of_nv("nvPr/audioFile", "r:link").alias("audio_rid"), of_nv("cNvPr/hlinkClick", "r:id").alias("link_rid"), of_nv("cNvPr/hlinkClick", "action").alias("link_action"),
     )
     found = found.filter(F.col("shape").isin(*SHAPES)).withColumnRenamed("owner", "nid").fillna(False, ["flip_h", "flip_v"])
     # the nearest group around: running down the document, the last group that has begun and not ended

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.media import media_type
 from ..functions.outlines import preset_path
-from ..functions.text import run_html
-from ..operators import package, shapes
+from ..operators import frames, looks, package, shapes, styles, textbody
+from ..operators.palette import painted, palettes
 from ..sources import archive, xmltree
 from ..storage import cut
 
@@ -25,28 +26,90 @@ class Deck:
         return package.slides(self.nodes, self.rels, self.parts)
 
 
+def elements(deck: Deck, order: DataFrame) -> DataFrame:
+    """(deck_id, part_path, nid, ph, element): every shape of slides, layouts and masters as a document has it; order: the chain of slides.
+
+    Places are those on the slide, whatever groups are around; group is the group's nid, 0 outside of groups.
+    """
+    nodes, rels = deck.nodes, deck.rels
+    palette = cut(palettes(nodes, rels))
+    paint = cut(painted(nodes, palette))
+    found = cut(shapes.flattened(cut(shapes.shapes(nodes))))
+    behind = lambda part: found.filter(F.col("part_path").startswith(part))
+    on_layouts, on_masters = behind("ppt/slideLayouts/"), behind("ppt/slideMasters/")
+    # a slide may stand in the list twice: its shapes are placed once
+    own = found.withColumnRenamed("part_path", "slide_part").join(order.select("deck_id", "slide_part", "layout_part", "master_part").distinct(), ["deck_id", "slide_part"])
+    # placeholders that nothing places stay, at 0
+    own = shapes.inherited(cut(own), on_layouts, on_masters).withColumnRenamed("slide_part", "part_path")
+    masters = package.first_rel(rels, "slideMaster").select("deck_id", F.col("source_part").alias("part_path"), F.col("resolved").alias("master_part"))
+    layouts = on_layouts.withColumn("layout_part", F.col("part_path")).join(masters, ["deck_id", "part_path"], "left")
+    rest = on_masters.withColumns({"layout_part": F.lit(None).cast("string"), "master_part": F.col("part_path")})
+    found = cut(shapes.boxes(own.unionByName(layouts.select(own.columns)).unionByName(rest.select(own.columns))))
+    keys, by_nid = ["deck_id", "part_path"], ["deck_id", "part_path", "nid"]
+    owned = lambda rows: rows.withColumnRenamed("owner", "nid")
+    html = textbody.html(found.select(*by_nid, "ph", "ph_type", "ph_idx", "layout_part", "master_part"), nodes, on_layouts, on_masters, paint, rels, palette)
+    seen = nodes.filter((F.col("tag") == "t") & (F.trim("text") != "")).select(*keys, F.col("owner").alias("nid")).distinct().withColumn("has_text", F.lit(True))
+    fill = cut(looks.fills(nodes, paint))
+    line = looks.lines(nodes, paint, looks.references(nodes, paint), palette)
+    line = line.select(*keys, "owner", looks.border(F.struct("width", "color", "dash", "none", "stops")).alias("border"), "head", "tail")
+    line = cut(line)
+    table = nodes.filter(F.col("tag") == "tbl").select(*keys, F.col("nid").alias("frame"), F.col("owner").alias("nid"))
+    cell = F.struct("row", "col", "text", "grid_span", "row_span")
+    tables = frames.cells(nodes).groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(cell)).alias("cells")).join(table, [*keys, "frame"]).select(*by_nid, "cells")
+    series = cut(frames.chart_series(nodes))
+    options = frames.chart_options(nodes, series)
+    data = series.groupBy(*keys, "chart").agg(F.transform(F.array_sort(F.collect_list(F.struct("series", "name", "categories", "values"))), lambda x: x.dropFields("series")).alias("data"))
+    charts = data.join(options, keys, "left").select("deck_id", F.col("part_path").alias("target"), F.struct("chart", "data", "bar_dir", "grouping", "marker", "hole_size", "style").alias("chart"))
+    target = rels.select("deck_id", F.col("source_part").alias("part_path"), "rid", F.col("resolved").alias("target"))
+    met = styles.links(found, rels).join(target, [*keys, "rid"], "left").join(charts, ["deck_id", "target"], "left")
+    for rows in (html, seen, owned(fill), owned(line), owned(styles.shadows(nodes).select(*keys, "owner", F.struct("h", "v", "blur", "inset").alias("shadow"))), owned(styles.bodies(nodes)), owned(looks.adjustments(nodes)), owned(looks.crops(nodes)), tables):
+        met = met.join(rows, by_nid, "left")
+    painted_ = F.coalesce((F.col("fill.type") != "color") | (F.col("fill.color") != "transparent"), F.lit(False)) | F.coalesce(F.col("border.width") > 0, F.lit(False))
+    text = styles.is_text(F.col("text_box"), F.col("ph_type"), F.col("custom"), F.col("prst"), F.coalesce("has_text", F.lit(False)), painted_)
+    kind = (
+        F.when(F.col("shape") == "grpSp", "group").when(F.col("cells").isNotNull(), "table").when(F.contains("uri", F.lit("chart")), "chart").when(F.col("shape") == "graphicFrame", F.when(F.contains("uri", F.lit("diagram")), "diagram").otherwise("frame"))
+        .when(F.col("shape") == "pic", F.when(F.col("video_rid").isNotNull(), "video").when(F.col("audio_rid").isNotNull(), "audio").otherwise("image")).when(text, "text").otherwise("shape")
+    )
+    drawn = F.col("shape").isin("sp", "cxnSp")
+    path = F.when(drawn & F.col("prst").isNotNull(), preset_path(F.col("prst"), F.col("width"), F.col("height")))
+    lineal = looks.line_like(F.col("shape"), F.col("prst"), F.col("width") / 0.75, F.col("height") / 0.75)
+    filled = F.when(drawn & lineal, F.lit(None)).otherwise(F.col("fill"))
+    medium = F.when(F.col("shape") == "pic", F.col("target"))
+    element = F.struct(
+        "nid", kind.alias("type"), "name", "left", "top", "width", "height", "rotate", F.col("flip_h").alias("isFlipH"), F.col("flip_v").alias("isFlipV"), F.col("prst").alias("shapType"), path.alias("path"), F.col("html").alias("content"),
+        filled.alias("fill"), "border", "shadow", "link", F.when(drawn, F.col("valign")).alias("vAlign"), F.when(drawn, F.col("vertical")).alias("isVertical"), "autofit", "font_scale", "keypoints", "head", "tail", "crop", medium.alias("ref"), media_type(medium).alias("media_type"),
+        F.col("cells").alias("cells"), "chart", F.col("group_nid").alias("group"),
+    )
+    return met.select(*by_nid, "ph", "cx", "cy", element.alias("element"))
+
+
 def documents(decks: DataFrame) -> DataFrame:
-    """(deck_id, size, theme_colors, slides): slides in order, each with its elements in document order; texts as HTML."""
+    """(deck_id, size, theme_colors, slides): slides in order, each with its elements in document order and those of its master and layout, its
+    background, note and transition; texts as HTML.
+    """
     deck = Deck(decks)
     # lineage is cut where several steps go on from a table: plans would hold the way there once for each
     deck.parts, deck.nodes = cut(deck.parts.drop("content")), cut(deck.nodes)
     deck.rels = cut(package.relationships(deck.nodes))
     order = cut(package.chain(deck.slides(), deck.rels))
-    found = cut(shapes.flattened(cut(shapes.shapes(deck.nodes))))
-    # a slide may stand in the list twice: its shapes are placed once
-    own = found.withColumnRenamed("part_path", "slide_part").join(order.select("deck_id", "slide_part", "layout_part", "master_part").distinct(), ["deck_id", "slide_part"])
-    of = lambda part: found.filter(F.col("part_path").startswith(part))
-    # placeholders that nothing places stay, at 0
-    found = shapes.boxes(shapes.inherited(cut(own), of("ppt/slideLayouts/"), of("ppt/slideMasters/"))).withColumnRenamed("slide_part", "part_path")
-    lines = shapes.runs(deck.nodes).withColumn("html", run_html(F.col("text")))
-    lines = shapes.joined(lines, ["deck_id", "part_path", "owner", "para"], "run_ord", "html")
-    bodies = shapes.joined(lines.withColumn("html", F.concat(F.lit("<p>"), "html", F.lit("</p>"))), ["deck_id", "part_path", "owner"], "para", "html")
-    full = found.join(bodies.withColumnRenamed("owner", "nid"), ["deck_id", "part_path", "nid"], "left")
-    kind = F.when(F.col("shape") == "pic", "image").when(F.col("shape") == "graphicFrame", "frame").when(F.col("shape") == "grpSp", "group").when(F.col("html").isNotNull() & F.col("prst").isNull(), "text").otherwise("shape")
-    path = F.when(F.col("shape").isin("sp", "cxnSp") & F.col("prst").isNotNull(), preset_path(F.col("prst"), F.col("width"), F.col("height")))
-    element = F.struct("nid", kind.alias("type"), "name", "left", "top", "width", "height", "rotate", F.col("flip_h").alias("isFlipH"), F.col("flip_v").alias("isFlipV"), F.col("prst").alias("shapType"), path.alias("path"), F.col("html").alias("content"))
-    by_slide = full.withColumnRenamed("part_path", "slide_part").groupBy("deck_id", "slide_part").agg(F.array_sort(F.collect_list(element)).alias("elements"))
-    slides = order.join(by_slide, ["deck_id", "slide_part"], "left").groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct("slide_index", "slide_part", F.coalesce("elements", F.array().cast(by_slide.schema["elements"].dataType)).alias("elements")))).alias("slides"))
+    every = cut(elements(deck, order))
+    listed = lambda rows, part, name: rows.groupBy("deck_id", F.col("part_path").alias(part)).agg(F.array_sort(F.collect_list("element"), lambda a, b: a["nid"] - b["nid"]).alias(name))
+    own = listed(every, "slide_part", "elements")
+    seen = styles.decorations(every)
+    on_layout, on_master = listed(seen.filter(F.col("part_path").startswith("ppt/slideLayouts/")), "layout_part", "on_layout"), listed(seen.filter(F.col("part_path").startswith("ppt/slideMasters/")), "master_part", "on_master")
+    shows = package.master_shapes_shown(deck.nodes)
+    of = lambda part, name: shows.select("deck_id", F.col("part_path").alias(part), F.col("shows").alias(name))
+    none = F.array().cast(own.schema["elements"].dataType)
+    met = styles.backgrounds(order, deck.nodes).withColumnRenamed("fill", "background")
+    for rows, on in ((own, "slide_part"), (on_layout, "layout_part"), (on_master, "master_part"), (of("slide_part", "slide_shows"), "slide_part"), (of("layout_part", "layout_shows"), "layout_part"), (package.notes(deck.nodes, deck.rels), "slide_part")):
+        met = met.join(rows, ["deck_id", on], "left")
+    change = styles.transitions(deck.nodes).select("deck_id", F.col("part_path").alias("slide_part"), F.struct("type", "duration", "direction").alias("transition"))
+    met = met.join(change, ["deck_id", "slide_part"], "left")
+    # what lies behind a slide: the master's shapes, then the layout's
+    visible = F.coalesce("slide_shows", F.lit(True))
+    backing = F.concat(F.when(visible & F.coalesce("layout_shows", F.lit(True)), F.coalesce("on_master", none)).otherwise(none), F.when(visible, F.coalesce("on_layout", none)).otherwise(none))
+    slide = F.struct("slide_index", "slide_part", F.coalesce("elements", none).alias("elements"), backing.alias("layoutElements"), "background", F.coalesce("note", F.lit("")).alias("note"), "transition")
+    slides = met.groupBy("deck_id").agg(F.array_sort(F.collect_list(slide), lambda a, b: a["slide_index"] - b["slide_index"]).alias("slides"))
     accents = package.theme_colors(deck.nodes).groupBy("deck_id").agg(F.min_by("colors", "part_path").alias("colors"))
     six = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("#"), F.coalesce(F.col("colors")[F.concat(F.lit("accent"), i.cast("string"))], F.lit("000000"))))
     met = slides.join(package.slide_size(deck.nodes), "deck_id", "left").join(accents, "deck_id", "left")

@@ -91,7 +91,7 @@ def rel_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part").withColumn("k", F.col("p_size") % 4)
     k = F.col("p_partkey")
     target = F.when(F.col("k") == 0, put("../media/a", k, ".png")).when(F.col("k") == 1, put("./b", k, ".xml")).when(F.col("k") == 2, put("/ppt/c", k, ".bin")).otherwise(put("x/../x//d", k, ".xml"))
-    each = part.select((k % 50).cast("string").alias("deck_id"), "p_partkey", builder.relationship(put("rId", k), "image", target).alias("xml"))
+    each = part.select((k / 200).cast("long").cast("string").alias("deck_id"), "p_partkey", builder.relationship(put("rId", k), "image", target).alias("xml"))
     files = builder.gathered(each, ["deck_id"], "p_partkey", "xml").select("deck_id", F.lit("ppt/slides/_rels/slide1.xml.rels").alias("part_path"), builder.relationships(F.col("xml")).alias("content"))
     return Deck(archive.pack(files)).rels.select(_whole(F.regexp_replace("rid", "rId", "")).alias("part"), "resolved")
 
@@ -139,7 +139,7 @@ def text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as shapes, a paragraph to a line, and back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n").alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: builder.paragraph(builder.run(x))), "")
-    slides = docs.select((F.col("doc_id") % 200).cast("string").alias("deck_id"), F.col("doc_id").alias("n"), F.col("doc_id").alias("at"), builder.page(builder.shape(F.col("doc_id"), F.lit("body"), body=body)).alias("xml"))
+    slides = docs.select((F.col("doc_id") / 50).cast("long").cast("string").alias("deck_id"), F.col("doc_id").alias("n"), F.col("doc_id").alias("at"), builder.page(builder.shape(F.col("doc_id"), F.lit("body"), body=body)).alias("xml"))
     paras = shapes.paragraphs(Deck(builder.decks(slides)).nodes)
     doc = _whole(F.regexp_extract("part_path", r"(\d+)\.xml$", 1))
     found = paras.select(doc.alias("doc_id"), "para", F.col("text").alias("line"))
@@ -154,7 +154,7 @@ def text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages as the text of runs, escaped for HTML."""
     pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.coalesce("html", F.lit("")), "[\r\n]+", " ").alias("t"))
-    slides = pages.select((F.col("page_id") % 50).cast("string").alias("deck_id"), F.col("page_id").alias("n"), F.col("page_id").alias("at"), builder.page(_sp(F.col("page_id"), F.lit("page"), F.col("t"))).alias("xml"))
+    slides = pages.select((F.col("page_id") / 50).cast("long").cast("string").alias("deck_id"), F.col("page_id").alias("n"), F.col("page_id").alias("at"), builder.page(_sp(F.col("page_id"), F.lit("page"), F.col("t"))).alias("xml"))
     runs = shapes.runs(Deck(builder.decks(slides)).nodes)
     return runs.select(_whole(F.regexp_extract("part_path", r"(\d+)\.xml$", 1)).alias("page_id"), F.md5(text.run_html(F.col("text")).cast("binary")).alias("html_md5"))
 
@@ -165,16 +165,14 @@ def notes_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = _table(spark, sf_dir, "conversations")
     each = talk.select("conv_id", "turn", "role", "text", builder.paragraph(builder.run(F.col("text"))).alias("xml"))
     body = builder.gathered(each, ["conv_id"], ["turn", "role", "text"], "xml")
-    slide = body.select((F.col("conv_id") % 50).cast("string").alias("deck_id"), F.col("conv_id").alias("n"), F.col("conv_id").alias("at"), builder.page("").alias("xml"))
+    slide = body.select((F.col("conv_id") / 50).cast("long").cast("string").alias("deck_id"), F.col("conv_id").alias("n"), F.col("conv_id").alias("at"), builder.page("").alias("xml"))
     number = F.col("conv_id")
-    deck = (F.col("conv_id") % 50).cast("string").alias("deck_id")
-    note = body.select(deck, put("ppt/notesSlides/notesSlide", number, ".xml").alias("part_path"), builder.page(builder.shape(number, F.lit("notes"), body=F.col("xml"), ph='<p:ph type="body"/>'), "notes").alias("content"))
+    deck = (F.col("conv_id") / 50).cast("long").cast("string").alias("deck_id")
+    note = body.select(deck, put("ppt/notesSlides/notesSlide", number, ".xml").alias("part_path"), builder.page(put(builder.shape(number, F.lit("number"), body=builder.paragraph(builder.run(number)), ph='<p:ph type="sldNum"/>'), builder.shape(number, F.lit("notes"), body=F.col("xml"), ph='<p:ph type="body"/>')), "notes").alias("content"))
     link = body.select(deck, put("ppt/slides/_rels/slide", number, ".xml.rels").alias("part_path"), builder.relationships(builder.relationship("rId1", "notesSlide", put("../notesSlides/notesSlide", number, ".xml"))).alias("content"))
     made = Deck(builder.decks(slide, note.unionByName(link)))
-    to_note = package.first_rel(made.rels, "notesSlide")
-    words = shapes.joined(shapes.runs(made.nodes), ["deck_id", "part_path"], "run_ord", "text").withColumnRenamed("part_path", "resolved")
-    met = to_note.join(words, ["deck_id", "resolved"])
-    return met.select(_whole(F.regexp_extract("source_part", r"(\d+)\.xml$", 1)).alias("conv_id"), F.md5(F.trim("text").cast("binary")).alias("note_md5"))
+    found = package.notes(made.nodes, made.rels)
+    return found.select(_whole(F.regexp_extract("slide_part", r"(\d+)\.xml$", 1)).alias("conv_id"), F.md5(F.col("note").cast("binary")).alias("note_md5"))
 
 
 @_query(
@@ -188,7 +186,7 @@ def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = put('lang="', builder.clean(F.col("event_type")), '"')
     each = events.select("user_id", "event_id", builder.run(put(F.col("event_id"), " "), style).alias("xml"))
     body = builder.gathered(each, ["user_id"], "event_id", "xml")
-    slides = body.select((F.col("user_id") % 50).cast("string").alias("deck_id"), F.col("user_id").alias("n"), F.col("user_id").alias("at"), builder.page(builder.shape(F.col("user_id"), F.lit("log"), body=builder.paragraph(F.col("xml")))).alias("xml"))
+    slides = body.select((F.col("user_id") / 20).cast("long").cast("string").alias("deck_id"), F.col("user_id").alias("n"), F.col("user_id").alias("at"), builder.page(builder.shape(F.col("user_id"), F.lit("log"), body=builder.paragraph(F.col("xml")))).alias("xml"))
     nodes = Deck(builder.decks(slides)).nodes
     lang = nodes.filter(F.col("tag") == "rPr").select("deck_id", "part_path", F.col("parent").alias("run_ord"), xmltree.attr("lang").alias("style"))
     rows = shapes.runs(nodes).join(lang, ["deck_id", "part_path", "run_ord"])
@@ -210,7 +208,7 @@ def bullets_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.element_at(F.array(*map(F.lit, ("arabicPeriod", "romanUcPeriod", "alphaLcParenR", "arabicParenBoth"))), (F.col("o_custkey") % 4 + 1).cast("int"))
     each = orders.select("o_custkey", "o_orderkey", builder.paragraph(builder.run(F.col("o_orderkey")), put('<a:pPr lvl="', F.col("o_orderkey") % 3, '"><a:buAutoNum type="', kinds, '"/></a:pPr>')).alias("xml"))
     body = builder.gathered(each, ["o_custkey"], "o_orderkey", "xml")
-    slides = body.select((F.col("o_custkey") % 100).cast("string").alias("deck_id"), F.col("o_custkey").alias("n"), F.col("o_custkey").alias("at"), builder.page(builder.shape(F.col("o_custkey"), F.lit("list"), body=F.col("xml"))).alias("xml"))
+    slides = body.select((F.col("o_custkey") / 100).cast("long").cast("string").alias("deck_id"), F.col("o_custkey").alias("n"), F.col("o_custkey").alias("at"), builder.page(builder.shape(F.col("o_custkey"), F.lit("list"), body=F.col("xml"))).alias("xml"))
     found = shapes.numbered(shapes.paragraphs(Deck(builder.decks(slides)).nodes))
     return found.select(_whole(F.regexp_extract("part_path", r"(\d+)\.xml$", 1)).alias("customer"), _whole(F.col("text")).alias("order_key"), text.auto_number(F.col("auto_kind"), F.col("number")).alias("label"))
 
@@ -221,7 +219,7 @@ def links_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     k = F.col("page_id") % 4
     url = F.when(k == 0, F.col("url")).when(k == 1, put("mailto:", F.col("page_id"), "@example.org")).when(k == 2, "javascript:go()").otherwise(put("/relative/", F.col("page_id")))
-    each = pages.select((F.col("page_id") % 20).cast("string").alias("deck_id"), "page_id", builder.relationship(put("rId", F.col("page_id")), "hyperlink", text.escape(url), "External").alias("xml"))
+    each = pages.select((F.col("page_id") / 200).cast("long").cast("string").alias("deck_id"), "page_id", builder.relationship(put("rId", F.col("page_id")), "hyperlink", text.escape(url), "External").alias("xml"))
     files = builder.gathered(each, ["deck_id"], "page_id", "xml").select("deck_id", F.lit("ppt/slides/_rels/slide1.xml.rels").alias("part_path"), builder.relationships(F.col("xml")).alias("content"))
     return Deck(archive.pack(files)).rels.select(_whole(F.regexp_replace("rid", "rId", "")).alias("page_id"), text.safe_link(F.col("target")).alias("safe"))
 
@@ -303,7 +301,7 @@ def chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = c.groupBy("r_name", "c_mktsegment").agg(F.count("*").alias("n"))
     series = sums.select(F.col("r_name").alias("deck_id"), F.col("c_mktsegment").alias("ord"), _series_xml(F.col("c_mktsegment"), 1, _pt(F.lit(0), F.lit("all")), _pt(F.lit(0), F.col("n"))).alias("xml"))
     body = builder.gathered(series, ["deck_id"], "ord", "xml")
-    content = put('<c:chartSpace xmlns:c="urn:c"><c:chart><c:plotArea><c:pieChart><c:ser/></c:pieChart><c:lineChart>', F.col("xml"), "</c:lineChart></c:plotArea></c:chart></c:chartSpace>")
+    content = put('<c:chartSpace xmlns:c="urn:c"><c:chart><c:plotArea><c:surfaceChart><c:ser/></c:surfaceChart><c:barChart><c:ser/></c:barChart><c:lineChart>', F.col("xml"), "</c:lineChart></c:plotArea></c:chart></c:chartSpace>")
     found = frames.chart_series(Deck(archive.pack(body.select("deck_id", F.lit("ppt/charts/chart1.xml").alias("part_path"), content.alias("content")))).nodes)
     return found.select("deck_id", _whole(F.col("series")).alias("series"), "name", F.col("values")[0].alias("value"), "chart")
 
@@ -345,7 +343,7 @@ def nested_group_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes in two groups, one in the other: the inner one scales by four and moves by 1, the outer one halves and moves by 3."""
     rows = _table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity") * 12700)
     leaf = builder.shape(F.lit(1), put(F.col("l_orderkey"), "-", F.col("l_linenumber")), box=builder.xfrm(F.col("q"), F.lit(0), F.col("q") / 4, F.lit(12700)))
-    each = rows.select((F.col("l_orderkey") % 200).cast("string").alias("deck_id"), "l_orderkey", "l_linenumber", leaf.alias("xml"))
+    each = rows.select((F.col("l_orderkey") / 100).cast("long").cast("string").alias("deck_id"), "l_orderkey", "l_linenumber", leaf.alias("xml"))
     body = builder.gathered(each, ["deck_id"], ["l_orderkey", "l_linenumber"], "xml")
     group = lambda inner, x, cx, ch: put('<p:grpSp><p:nvGrpSpPr><p:cNvPr id="9" name="g"/></p:nvGrpSpPr><p:grpSpPr>', builder.xfrm(F.lit(x * 12700), F.lit(0), F.lit(cx * 12700), F.lit(12700), inner=f'<a:chOff x="0" y="0"/><a:chExt cx="{ch * 12700}" cy="12700"/>'), "</p:grpSpPr>", inner, "</p:grpSp>")
     inner = group(F.col("xml"), 1, 200, 50)
@@ -438,7 +436,7 @@ def custom_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     commands = put("<a:moveTo>", pt(zero, zero), "</a:moveTo><a:lnTo>", pt(s, zero), "</a:lnTo><a:cubicBezTo>", pt(s, s), pt(s / 2, s), pt(zero, s), "</a:cubicBezTo><a:close/>")
     geometry = put('<a:custGeom><a:pathLst><a:path w="', s, '" h="', s, '">', commands, "</a:path></a:pathLst></a:custGeom>")
     shape = builder.shape(F.col("p_partkey"), F.lit("s"), box=builder.xfrm(zero, zero, s * 2 * 12700, s * 12700), geometry=geometry)
-    nodes = Deck(builder.decks(_one_slide(part, F.col("p_partkey") % 100, shape, "p_partkey"))).nodes
+    nodes = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes
     found = shapes.boxes(shapes.shapes(nodes)).filter("shape = 'sp'")
     boxes = found.select("deck_id", "part_path", F.col("nid").alias("owner"), "id", F.col("width").alias("w"), F.col("height").alias("h"))
     paths = outlines.custom_paths(nodes, boxes.drop("id"))
@@ -480,7 +478,7 @@ def bodies_and_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchor = F.when(s % 3 == 0, ' anchor="ctr"').when(s % 3 == 1, ' anchor="b"').otherwise("")
     fill = F.when(s % 4 == 0, "<a:noFill/>").when(s % 4 == 1, "<a:gradFill/><a:solidFill/>").otherwise("<a:noFill/><a:gradFill/>")
     shape = put('<p:sp><p:nvSpPr><p:cNvPr id="', F.col("p_partkey"), '" name="s"/></p:nvSpPr><p:spPr>', fill, "</p:spPr><p:txBody><a:bodyPr", anchor, ">", fit, "</a:bodyPr></p:txBody></p:sp>")
-    nodes = Deck(builder.decks(_one_slide(part, F.col("p_partkey") % 100, shape, "p_partkey"))).nodes
+    nodes = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes
     keys = ["deck_id", "part_path", "owner"]
     ids = shapes.shapes(nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id")
     met = ids.join(styles.bodies(nodes), keys).join(styles.fills(nodes), keys)
@@ -496,7 +494,7 @@ def shadow_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(s % 2 == 1, "innerShdw").otherwise("outerShdw")
     effect = put("<a:effectLst><a:", tag, ' dir="', s * 7 * 60000, '" dist="', s * 12700, '" blurRad="50800"/></a:effectLst>')
     shape = builder.shape(F.col("p_partkey"), F.lit("s"), geometry=effect)
-    nodes = Deck(builder.decks(_one_slide(part, F.col("p_partkey") % 100, shape, "p_partkey"))).nodes
+    nodes = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes
     ids = shapes.shapes(nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id")
     met = ids.join(styles.shadows(nodes), ["deck_id", "part_path", "owner"])
     return met.select(_whole(F.col("id")).alias("part"), "inset", (F.round("h", 6) + 0.0).alias("h"), (F.round("v", 6) + 0.0).alias("v"), "blur")
@@ -594,7 +592,7 @@ def font_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, s = _table(spark, sf_dir, "part"), F.col("p_size")
     run = builder.run(F.col("p_partkey"), F.when(s % 2 == 0, put('sz="', s * 100, '"')).otherwise(""))
     shape = builder.shape(F.col("p_partkey"), F.lit("s"), body=builder.paragraph(run))
-    nodes = Deck(builder.decks(_one_slide(part, F.col("p_partkey") % 100, shape, "p_partkey"))).nodes
+    nodes = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes
     levels = part.select(F.col("p_partkey").cast("string").alias("text"), F.when(s % 3 == 0, 3000.0).alias("layout"), F.when(s % 5 == 0, 5000.0).alias("master"))
     met = shapes.runs(nodes).join(levels, "text")
     return met.select(_whole(F.col("text")).alias("part"), units.hundredth_pt_to_pt(F.coalesce("size", "layout", "master", F.lit(1800.0))).alias("size"))
@@ -611,7 +609,7 @@ def gradient_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = put(gs(F.lit(100000), '<a:srgbClr val="ff0000"><a:alpha val="50000"/></a:srgbClr>'), gs(F.lit(0), '<a:srgbClr val="000001"/>'), gs(F.when(s % 2 == 0, 50000).otherwise(25000), '<a:srgbClr val="00ff00"/>'))
     way = F.when(s % 3 == 0, put('<a:lin ang="', s * 60000, '"/>')).when(s % 3 == 2, F.lit('<a:path path="circle"><a:fillToRect l="0" r="50000" t="50000" b="50000"/></a:path>')).otherwise("")
     shape = builder.shape(F.col("p_partkey"), F.lit("s"), geometry=put("<a:gradFill><a:gsLst>", stops, "</a:gsLst>", way, "</a:gradFill>"))
-    nodes = Deck(builder.decks(_one_slide(part, F.col("p_partkey") % 100, shape, "p_partkey"))).nodes
+    nodes = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes
     keys = ["deck_id", "part_path"]
     owner = nodes.filter(F.col("tag") == "gradFill").select(*keys, F.col("nid").alias("holder"), F.col("owner").alias("nid"))
     met = styles.gradients(nodes).join(owner, [*keys, "holder"]).join(shapes.shapes(nodes).select(*keys, "nid", "id"), [*keys, "nid"])
@@ -666,7 +664,9 @@ def _placeholder_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return builder.decks(shown, more)
 
 
-@_query("SELECT CAST(n_regionkey AS BIGINT) AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS slide_index, 'text' AS type, n_name AS name, '<p>' || n_name || '</p>' AS content, CAST(720 AS DOUBLE) AS width, '#000000' AS accent FROM nation")
+@_query(
+    """SELECT CAST(n_regionkey AS BIGINT) AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS slide_index, 'text' AS type, n_name AS name, '<div style="padding: 3.6pt 7.2pt 3.6pt 7.2pt;"><p><span style="font-size: 12pt;color: #000000;">' || n_name || '</span></p></div>' AS content, CAST(720 AS DOUBLE) AS width, '#000000' AS accent FROM nation"""
+)
 def deck_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of whole documents, slide by slide."""
     docs = documents(_placeholder_decks(spark, sf_dir))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARTS = "deck_id string, ordinal int, part_path string, size long, content binary"
+PARTS = "deck_id string, ordinal int, part_path string, size long, content binary, status string"
 
 #: Which paths are parts of which kind; the first that matches counts.
 KINDS = [
@@ -52,26 +53,39 @@ def read_decks(spark: SparkSession, path: str, glob: str = "*.pptx") -> DataFram
     return files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("deck_id"), "content")
 
 
-def parts(decks: DataFrame, max_entries: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """(deck_id, ordinal, part_path, kind, size, content) of the files in decks, in the order of the archive.
+def parts(decks: DataFrame, max_entries: int | None = None, max_bytes: int | None = None, max_entry_bytes: int | None = None, max_media_bytes: int | None = None, strict: bool = False) -> DataFrame:
+    """(deck_id, ordinal, part_path, kind, size, content, status) of the files in decks, in the order of the archive.
 
-    What is no archive has no parts.  A deck of more than ``max_entries`` files or ``max_bytes`` unpacked bytes has none either: that is
-    seen from the archive's directory, before anything is unpacked.
+    status is ok for all files of a sound deck.  A deck that is no archive, or of which a file can't be unpacked, has one row of status
+    corrupt without a path; one beyond a limit has one of status limit and the limit's name: that is seen from the archive's directory, before
+    anything is unpacked.  With ``strict`` such a deck ends the job instead.
     """
 
+    def failed(files: list[zipfile.ZipInfo]) -> str | None:
+        sizes = [x.file_size for x in files]
+        media = sum(x.file_size for x in files if x.filename.replace("\\", "/").startswith("ppt/media/"))
+        found = (("max_entries", max_entries, len(files)), ("max_entry_bytes", max_entry_bytes, max(sizes, default=0)), ("max_bytes", max_bytes, sum(sizes)), ("max_media_bytes", max_media_bytes, media))
+        return next((f"limit: {name}" for name, most, n in found if most is not None and n > most), None)
+
+    def rows(deck: str, content: bytes) -> list[tuple]:
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(content))
+            files = [x for x in archive.infolist() if not x.is_dir()]
+            if why := failed(files):
+                return [(deck, None, None, None, None, why)]
+            return [(deck, i, x.filename.replace("\\", "/"), x.file_size, archive.read(x), "ok") for i, x in enumerate(files)]
+        except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, OSError) as error:  # as zipfile has it for broken, encrypted and unknown ones
+            return [(deck, None, None, None, None, f"corrupt: {error}")]
+
     def unzip(batches):
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.string())
         for batch in batches:
             for deck, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content.as_py() or b""))
-                except zipfile.BadZipFile:
-                    continue
-                files = [x for x in archive.infolist() if not x.is_dir()]
-                if max_entries is not None and len(files) > max_entries or max_bytes is not None and sum(x.file_size for x in files) > max_bytes:
-                    continue
-                rows = [(deck, i, x.filename.replace("\\", "/"), x.file_size, archive.read(x)) for i, x in enumerate(files)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["deck_id", "ordinal", "part_path", "size", "content"])
+                found = rows(deck, content.as_py() or b"")
+                if strict and (bad := [x[5] for x in found if x[5] != "ok"]):
+                    raise ValueError(f"deck {deck}: {bad[0]}")
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["deck_id", "ordinal", "part_path", "size", "content", "status"])
 
     found = decks.select(F.col("deck_id").cast("string"), "content").mapInArrow(unzip, PARTS)
     return found.withColumn("kind", kind(F.col("part_path")))
@@ -106,4 +120,4 @@ def write_decks(decks: DataFrame, path: str) -> None:
 
 def archive_stats(found: DataFrame) -> DataFrame:
     """(deck_id, entries, bytes, largest) by deck, by which archives can be limited afterwards."""
-    return found.groupBy("deck_id").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
+    return found.filter("part_path IS NOT NULL").groupBy("deck_id").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))

@@ -30,9 +30,107 @@ def deck(files):
 def test_parts_kinds_and_limits(spark):
     files = {"ppt/presentation.xml": "<p/>", "ppt\\slides\\slide1.xml": "<s/>", "ppt/slides/_rels/slide1.xml.rels": "<r/>", "ppt/media/a.png": b"\x89", "other.txt": "x"}
     table = spark.createDataFrame([("a", deck(files)), ("b", b"no archive"), ("c", None), ("d", deck({}))], "deck_id string, content binary")
-    got = {r["part_path"]: r["kind"] for r in archive.parts(table).collect()}
+    got = {r["part_path"]: r["kind"] for r in archive.parts(table).filter("status = 'ok'").collect()}
+    assert sorted(r["deck_id"] for r in archive.parts(table).filter("status LIKE 'corrupt%'").collect()) == ["b", "c"]
     assert got == {"ppt/presentation.xml": "presentation", "ppt/slides/slide1.xml": "slide", "ppt/slides/_rels/slide1.xml.rels": "slide_rels", "ppt/media/a.png": "media", "other.txt": None}
-    assert archive.parts(table, max_entries=4).count() == 0 and archive.parts(table, max_bytes=5).count() == 0 and archive.parts(table, max_entries=5, max_bytes=100).count() == 5
+    for limit, n in (("max_entries", 4), ("max_bytes", 5), ("max_entry_bytes", 0)):
+        assert [r["status"] for r in archive.parts(table, **{limit: n}).filter("status NOT LIKE 'corrupt%'").collect()] == [f"limit: {limit}"]
+        with pytest.raises(Exception, match=limit):
+            archive.parts(table.filter("deck_id = 'a'"), strict=True, **{limit: n}).collect()
+    assert archive.parts(table, max_entries=5, max_bytes=100).filter("status = 'ok'").count() == 5
+
+
+def test_a_broken_file_spoils_its_own_deck_alone(spark):
+    good, broken = deck({"ppt/presentation.xml": "<p/>"}), bytearray(deck({"ppt/presentation.xml": "<presentation/>"}))
+    broken[50:54] = b"XXXX"  # the bytes no longer have the sum that the archive says
+    table = spark.createDataFrame([("a", good), ("b", bytes(broken))], "deck_id string, content binary")
+    got = {r["deck_id"]: r["status"].split(":")[0] for r in archive.parts(table).collect()}
+    assert got == {"a": "ok", "b": "corrupt"}
+    assert [r["deck_id"] for r in documents(table).collect()] == []
+
+
+A = "http://schemas.openxmlformats.org/drawingml/2006/main"
+NS = f'xmlns:a="{A}" xmlns:p="urn:p" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:c="urn:c"'
+REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def rels_xml(*rows):
+    return "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="{REL}/{t}" Target="{x}"{m}/>' for i, t, x, m in rows) + "</Relationships>"
+
+
+def shape_xml(id, name, inner, ph="", style="", body=""):
+    return f'<p:sp><p:nvSpPr><p:cNvPr id="{id}" name="{name}"/><p:cNvSpPr/><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:spPr>{inner}</p:spPr>{style}{body}</p:sp>'
+
+
+def box_xml(x, y, w, h):
+    return f'<a:xfrm><a:off x="{x * 12700}" y="{y * 12700}"/><a:ext cx="{w * 12700}" cy="{h * 12700}"/></a:xfrm>'
+
+
+@pytest.fixture(scope="module")
+def full(spark):
+    page = lambda kind, shapes, more="", attrs="": f"<p:{kind} {NS}{attrs}><p:cSld>{more if kind == 'sld' else ''}<p:spTree>{shapes}</p:spTree></p:cSld>{more if kind != 'sld' else ''}</p:{kind}>"
+    body = lambda paras, pr="<a:bodyPr/>", lst="": f"<p:txBody>{pr}{lst}{paras}</p:txBody>"
+    title = shape_xml(2, "Title", "", '<p:ph type="title"/>', body=body('<a:p><a:r><a:rPr b="1"/><a:t>Big &amp; bold</a:t></a:r></a:p>'))
+    text = shape_xml(3, "Body", "", '<p:ph type="body" idx="1"/>', body=body(
+        '<a:p><a:pPr lvl="1"/><a:r><a:t>first</a:t></a:r></a:p><a:p><a:pPr algn="r"><a:buAutoNum type="romanUcPeriod"/></a:pPr><a:r><a:t>one</a:t></a:r><a:br/><a:r><a:rPr i="1"/><a:t>two</a:t></a:r></a:p>'
+        '<a:p><a:pPr><a:buNone/></a:pPr><a:r><a:rPr><a:hlinkClick r:id="rId9"/></a:rPr><a:t>web</a:t></a:r><a:r><a:rPr><a:solidFill><a:prstClr val="TOMATO"/></a:solidFill></a:rPr><a:t>red</a:t></a:r></a:p>'))
+    style = '<p:style><a:lnRef idx="2"><a:schemeClr val="accent2"/></a:lnRef><a:fillRef idx="1"><a:schemeClr val="accent1"/></a:fillRef></p:style>'
+    star = shape_xml(4, "Star", box_xml(10, 20, 100, 50) + '<a:prstGeom prst="roundRect"><a:avLst><a:gd name="adj" fmla="val 25000"/></a:avLst></a:prstGeom><a:gradFill><a:gsLst><a:gs pos="100000"><a:schemeClr val="accent1"/></a:gs><a:gs pos="0"><a:srgbClr val="FFFFFF"/></a:gs></a:gsLst><a:lin ang="5400000"/></a:gradFill><a:ln><a:prstDash val="dash"/></a:ln>', style=style)
+    plain = shape_xml(5, "Plain", box_xml(0, 0, 10, 10) + '<a:prstGeom prst="rect"/><a:solidFill><a:hslClr hue="0" sat="100000" lum="50000"/></a:solidFill><a:ln w="25400"><a:solidFill><a:scrgbClr r="0" g="100000" b="0"/></a:solidFill><a:headEnd type="none"/><a:tailEnd type="arrow"/></a:ln>')
+    pic = '<p:pic><p:nvPicPr><p:cNvPr id="6" name="Pic"/></p:nvPicPr><p:blipFill><a:blip r:embed="rId3"/><a:srcRect t="10000" l="25000"/></p:blipFill><p:spPr>' + box_xml(1, 2, 3, 4) + "</p:spPr></p:pic>"
+    frame = lambda id, inner, uri: f'<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="{id}" name="F{id}"/></p:nvGraphicFramePr><a:graphic><a:graphicData uri="urn:{uri}">{inner}</a:graphicData></a:graphic></p:graphicFrame>'
+    cell = lambda t: f"<a:tc><a:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:txBody></a:tc>"
+    table = frame(7, f"<a:tbl><a:tblPr/><a:tr>{cell('x')}{cell('y')}</a:tr></a:tbl>", "table")
+    chart = frame(8, '<c:chart r:id="rId4"/>', "chart")
+    values = '<c:numRef><c:numCache><c:ptCount val="2"/><c:pt idx="1"><c:v>7</c:v></c:pt></c:numCache></c:numRef>'
+    plot = f'<c:chartSpace xmlns:c="urn:c"><c:chart><c:plotArea><c:barChart><c:barDir val="col"/><c:ser/></c:barChart><c:lineChart><c:grouping val="standard"/><c:marker val="1"/><c:ser><c:val>{values}</c:val></c:ser></c:lineChart></c:plotArea></c:chart></c:chartSpace>'
+    note = page("notes", shape_xml(1, "n", "", '<p:ph type="sldNum"/>', body=body("<a:p><a:r><a:t>12</a:t></a:r></a:p>")) + shape_xml(2, "b", "", '<p:ph type="body"/>', body=body("<a:p><a:r><a:t> note </a:t></a:r></a:p>")))
+    level = '<a:lvl1pPr marL="12700" indent="-12700"><a:buChar char="-"/><a:defRPr sz="1400"><a:solidFill><a:schemeClr val="tx2"/></a:solidFill><a:latin typeface="+mj-lt"/></a:defRPr></a:lvl1pPr><a:lvl2pPr><a:spcBef><a:spcPct val="50000"/></a:spcBef><a:buChar char="x"/><a:defRPr sz="1000"/></a:lvl2pPr>'
+    layout_ph = shape_xml(2, "lb", box_xml(5, 6, 70, 80), '<p:ph type="body" idx="1"/>', body=body("<a:p/>", lst='<a:lstStyle><a:lvl1pPr><a:lnSpc><a:spcPct val="90000"/></a:lnSpc><a:defRPr u="sng"/></a:lvl1pPr></a:lstStyle>'))
+    fonts = '<a:fontScheme><a:majorFont><a:latin typeface="Head"/></a:majorFont><a:minorFont><a:latin typeface="Text"/></a:minorFont></a:fontScheme>'
+    theme = f'<a:theme {NS}><a:themeElements><a:clrScheme><a:dk2><a:srgbClr val="112233"/></a:dk2><a:accent1><a:srgbClr val="4472C4"/></a:accent1><a:accent2><a:srgbClr val="ED7D31"/></a:accent2><a:hlink><a:srgbClr val="0563C1"/></a:hlink></a:clrScheme>{fonts}<a:fmtScheme><a:lnStyleLst><a:ln w="6350"/><a:ln w="19050"/></a:lnStyleLst></a:fmtScheme></a:themeElements></a:theme>'
+    files = {
+        "ppt/presentation.xml": f'<p:presentation {NS}><p:sldSz cx="9144000" cy="6858000"/><p:sldIdLst><p:sldId id="256" r:id="rId1"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": rels_xml(("rId1", "slide", "slides/slide1.xml", "")),
+        "ppt/slides/slide1.xml": page("sld", title + text + star + plain + pic + table + chart),
+        "ppt/slides/_rels/slide1.xml.rels": rels_xml(("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml", ""), ("rId2", "notesSlide", "../notesSlides/notesSlide1.xml", ""), ("rId3", "image", "../media/a.PNG", ""), ("rId4", "chart", "../charts/chart1.xml", ""), ("rId9", "hyperlink", "https://example.org/?a=1&amp;b", ' TargetMode="External"')),
+        "ppt/slideLayouts/slideLayout1.xml": page("sldLayout", layout_ph + shape_xml(9, "On layout", box_xml(1, 1, 1, 1) + '<a:prstGeom prst="rect"/>')),
+        "ppt/slideLayouts/_rels/slideLayout1.xml.rels": rels_xml(("rId1", "slideMaster", "../slideMasters/slideMaster1.xml", "")),
+        "ppt/slideMasters/slideMaster1.xml": page("sldMaster", shape_xml(3, "mt", box_xml(7, 8, 9, 10), '<p:ph type="title"/>') + shape_xml(4, "On master", box_xml(2, 2, 2, 2) + '<a:prstGeom prst="rect"/>'), f'<p:clrMap tx2="dk2" bg1="lt1"/><p:txStyles><p:titleStyle><a:lvl1pPr algn="ctr"><a:defRPr sz="4400"/></a:lvl1pPr></p:titleStyle><p:bodyStyle>{level}</p:bodyStyle></p:txStyles>'),
+        "ppt/slideMasters/_rels/slideMaster1.xml.rels": rels_xml(("rId1", "theme", "../theme/theme1.xml", "")),
+        "ppt/theme/theme1.xml": theme, "ppt/charts/chart1.xml": plot, "ppt/notesSlides/notesSlide1.xml": note, "ppt/media/a.PNG": b"x",
+    }
+    rows = documents(spark.createDataFrame([("a", deck(files))], "deck_id string, content binary")).collect()
+    return rows[0]["slides"][0]
+
+
+def test_a_full_slide(full):
+    by = {e["name"]: e for e in full["elements"]}
+    assert [e["type"] for e in full["elements"]] == ["text", "text", "shape", "shape", "image", "table", "chart"]
+    assert [e["name"] for e in full["layoutElements"]] == ["On master", "On layout"] and full["note"] == "note"
+    assert (by["Title"]["left"], by["Title"]["width"], by["Body"]["left"], by["Body"]["height"]) == (7, 9, 5, 80)
+    star, plain = by["Star"], by["Plain"]
+    assert star["fill"]["type"] == "gradient" and [(s["pos"], s["color"]) for s in star["fill"]["stops"]] == [(0, "#FFFFFF"), (100, "#4472C4")] and star["fill"]["rot"] == 90 and star["keypoints"] == {"adj": 0.5}
+    assert star["border"]["color"] == "#ED7D31" and star["border"]["width"] == 1.5 and star["border"]["type"] == "dashed" and star["border"]["dashes"] == "6.00,3.00"
+    assert plain["fill"]["color"] == "#ff0000" and plain["border"].asDict() == {"color": "#00ff00", "width": 2.0, "type": "solid", "dashes": ""} and (plain["head"], plain["tail"]) == (None, "arrow")
+    assert by["Pic"]["ref"] == "ppt/media/a.PNG" and by["Pic"]["media_type"] == "image/png" and by["Pic"]["crop"].asDict() == {"t": 0.1, "b": 0, "l": 0.25, "r": 0}
+    assert [c["text"] for c in by["F7"]["cells"]] == ["x", "y"]
+    chart = by["F8"]["chart"]
+    assert chart["chart"] == "lineChart" and chart["data"][0]["values"] == [0, 7] and chart["data"][0]["name"] == "Series 1" and chart["grouping"] == "standard" and chart["marker"] and chart["bar_dir"] is None
+
+
+def test_text_styles_by_levels(full):
+    by = {e["name"]: e["content"] for e in full["elements"]}
+    frame = lambda x: f'<div style="padding: 3.6pt 7.2pt 3.6pt 7.2pt;">{x}</div>'
+    assert by["Title"] == frame('<p style="text-align: center;"><span style="font-size: 44pt;font-weight: bold;color: #000000;font-family: Text;">Big &amp; bold</span></p>')
+    run = "font-size: 14pt;{}text-decoration: underline;color: {};font-family: Head;"
+    ink = run.format("", "#112233")
+    edge = "margin-left: 1.333333px;text-indent: -1.333333px;line-height: 0.9;"
+    assert by["Body"] == frame(
+        '<p style="margin-top: 5pt;"><span style="color: #000000;">x </span><span style="font-size: 10pt;color: #000000;font-family: Text;">first</span></p>'
+        f'<p style="text-align: right;{edge}"><span style="color: #112233;">- </span><span style="{ink}">one</span><br/><span style="{run.format("font-style: italic;", "#112233")}">two</span></p>'
+        f'<p style="{edge}"><a href="https://example.org/?a=1&amp;b" target="_blank" rel="noopener noreferrer" style="{run.format("", "#0563C1")}">web</a><span style="{run.format("", "#FF6347")}">red</span></p>'
+    )
 
 
 def test_pack_gives_the_same_bytes(spark):
