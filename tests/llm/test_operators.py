@@ -239,6 +239,19 @@ def test_mixing_keeps_its_share_beside_one_odd_document(spark):
     assert -1 in set(shown.doc_id)
 
 
+def test_mixing_takes_nulls_repeats_and_clashing_names(spark, texts):
+    rows = [(k, t, "en", None, "a", "b", "c") for k, t in enumerate(texts)] + [(None, None, None, None, None, None, None), (9, texts[9], "en", None, "a", "b", "c"), (7777, "mit license; see http://x @y", "de", "s", "", "", "")]
+    table = spark.createDataFrame(rows, SCHEMA).withColumn("__probability", F.lit("z")).withColumn("__topic", F.lit("z"))
+    got = mixing.mix(table, kept=1.0).collect()
+    assert len(got) == len(rows) and {r["__source"] for r in got} == {"", "s"} and {r["__probability"] for r in got} == {1.0}
+    by = {r["doc_id"]: r for r in got}
+    assert by[7777]["__topic"] == "contact" and by[None]["__tokens"] == 1 and by[None]["__topic"] == "prose"
+    given = mixing.mix(table, kept=1.0, topics=F.col("lang")).filter("doc_id = 7777").first()
+    assert given["__topic"] == "de"
+    few = mixing.mix(table, kept=0.5).groupBy("doc_id").count().filter("count > 1").collect()
+    assert [r["doc_id"] for r in few] in ([], [9])  # repeated rows are drawn or not together
+
+
 def test_mixing_scale_and_margins(spark):
     cells = [("a", "x", "t", 1000, 0.5), ("a", "y", "t", 10, 0.2), ("b", "x", "t", 100, 0.3), ("c", "x", "t", 50, 0.0)]
     table = spark.createDataFrame(cells, "__source string, __lang string, __topic string, tokens long, w double")
