@@ -117,11 +117,10 @@ def scale(cells: DataFrame, kept: float) -> float:
 
 def margins(cells: DataFrame) -> DataFrame:
     """(margin, category, wanted, expected): target shares, and those of the expected tokens, of cells with column __probability."""
-    found = None
+    found, every = None, cells.agg(F.sum(F.col("tokens") * F.col("__probability"))).first()[0]
     for name in POWERS:
         sums = cells.groupBy(F.col(f"__{name}").alias("category")).agg(F.max(f"share_{name}").alias("wanted"), F.sum(F.col("tokens") * F.col("__probability")).alias("t"))
-        sums = sums.crossJoin(F.broadcast(cells.agg(F.sum(F.col("tokens") * F.col("__probability")).alias("all"))))
-        sums = sums.select(F.lit(name).alias("margin"), "category", "wanted", F.try_divide("t", "all").alias("expected"))
+        sums = sums.select(F.lit(name).alias("margin"), "category", "wanted", F.try_divide(F.col("t"), F.lit(every).cast("double")).alias("expected"))
         found = sums if found is None else found.unionByName(sums)
     return found
 
