@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import colors, outlines, text, units
-from ..operators import frames, package, shapes, styles
+from ..functions import colors, media, outlines, text, units
+from ..operators import frames, looks, package, shapes, styles
+from ..operators.palette import painted, palettes
 from ..sources import archive, builder, xmltree
 from ..sources.builder import text as put
-from .document import Deck, as_json, documents
+from ..storage import cut
+from .document import Deck, as_json, documents, elements
 from .structure import structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -640,6 +642,87 @@ def table_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(_whole(F.col("deck_id")).alias("nation"), _whole(F.col("row")).alias("row"), F.col("col").cast("int").alias("col"), F.array_join(found, ",").alias("sections"))
 
 
+# ---- levels, looks and media of whole slides
+
+
+def _chained(spark: SparkSession, sf_dir: str, shape: Column, master: str, layout: str, theme: str) -> Deck:
+    """Decks of parts, two hundred to a slide, each with one layout, one master and one theme; what documents need is at hand."""
+    part = _table(spark, sf_dir, "part")
+    slides = _one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey")
+    only = slides.select("deck_id")
+    link = lambda kind, target: builder.relationships(builder.relationship("rId1", kind, target))
+    files = {
+        "ppt/slides/_rels/slide1.xml.rels": link("slideLayout", "../slideLayouts/slideLayout1.xml"), "ppt/slideLayouts/slideLayout1.xml": builder.page(F.lit(layout), "sldLayout"),
+        "ppt/slideLayouts/_rels/slideLayout1.xml.rels": link("slideMaster", "../slideMasters/slideMaster1.xml"), "ppt/slideMasters/slideMaster1.xml": builder.page("", "sldMaster", F.lit(master)),
+        "ppt/slideMasters/_rels/slideMaster1.xml.rels": link("theme", "../theme/theme1.xml"), "ppt/theme/theme1.xml": F.lit(f'<a:theme xmlns:a="urn:a"><a:themeElements>{theme}</a:themeElements></a:theme>'),
+    }
+    more = only.select("deck_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, files)), F.array(*files.values()))).alias("part_path", "content"))
+    deck = Deck(builder.decks(slides, more))
+    deck.parts, deck.nodes = cut(deck.parts.drop("content")), cut(deck.nodes)
+    deck.rels = cut(package.relationships(deck.nodes))
+    return deck
+
+
+@_query(
+    """SELECT p_partkey AS part, '<div style="padding: 3.6pt 7.2pt 3.6pt 7.2pt;"><p' || CASE WHEN p_size % 3 = 0 THEN ' style="text-align: right;"' ELSE '' END || '><span style="font-size: ' ||
+    CASE WHEN p_size % 2 = 0 THEN p_size WHEN p_size % 3 = 0 THEN 30 ELSE 11 END || 'pt;' || CASE WHEN p_size % 3 = 0 THEN 'font-weight: bold;' ELSE '' END || 'color: ' || CASE WHEN p_size % 3 = 0 THEN '#4472C4' ELSE '#000000' END ||
+    ';font-family: Text;">' || p_partkey || '</span></p></div>' AS content FROM part"""
+)
+def text_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with sizes from the run, the layout's placeholder or the master, and what else the master says of bodies."""
+    s = F.col("p_size")
+    body = builder.paragraph(builder.run(F.col("p_partkey"), F.when(s % 2 == 0, put('sz="', s * 100, '"')).otherwise("")))
+    shape = builder.shape(F.col("p_partkey"), F.lit("s"), body=body, ph=F.when(s % 3 == 0, '<p:ph type="body" idx="7"/>').otherwise(""))
+    master = '<p:clrMap tx2="accent1"/><p:txStyles><p:bodyStyle><a:lvl1pPr algn="r"><a:defRPr sz="2000" b="1"><a:solidFill><a:schemeClr val="tx2"/></a:solidFill></a:defRPr></a:lvl1pPr></p:bodyStyle><p:otherStyle><a:defPPr><a:defRPr sz="1100"/></a:defPPr></p:otherStyle></p:txStyles>'
+    layout = '<p:sp><p:nvSpPr><p:cNvPr id="2" name="b"/><p:nvPr><p:ph type="body" idx="7"/></p:nvPr></p:nvSpPr><p:spPr/><p:txBody><a:lstStyle><a:lvl1pPr><a:defRPr sz="3000"/></a:lvl1pPr></a:lstStyle><a:p/></p:txBody></p:sp>'
+    theme = '<a:clrScheme><a:accent1><a:srgbClr val="4472C4"/></a:accent1></a:clrScheme><a:fontScheme><a:minorFont><a:latin typeface="Text"/></a:minorFont></a:fontScheme>'
+    deck = _chained(spark, sf_dir, shape, master, layout, theme)
+    found = elements(deck, cut(package.chain(deck.slides(), deck.rels))).filter(F.col("part_path").startswith("ppt/slides/"))
+    ids = shapes.shapes(deck.nodes).select("deck_id", "part_path", "nid", "id")
+    return found.join(ids, ["deck_id", "part_path", "nid"]).select(_whole(F.col("id")).alias("part"), F.col("element.content").alias("content"))
+
+
+@_query(
+    """SELECT p_partkey AS part, CASE p_size % 5 WHEN 2 THEN 'pattern' WHEN 3 THEN 'gradient' ELSE 'color' END AS type, CASE p_size % 5 WHEN 0 THEN '#FF6347' WHEN 1 THEN '#4472C4' WHEN 4 THEN 'transparent' END AS color,
+    CASE WHEN p_size % 5 = 2 THEN 'pct50/#112233/#ffffff' END AS pattern, CASE p_size % 3 WHEN 0 THEN '#00ff00' WHEN 1 THEN '#4472C4' ELSE '#000000' END AS border, CAST(CASE p_size % 3 WHEN 0 THEN p_size WHEN 1 THEN 1.5 ELSE 0 END AS DOUBLE) AS width,
+    CASE p_size % 3 WHEN 1 THEN 'dotted' ELSE 'solid' END AS border_type FROM part"""
+)
+def fills_and_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills by named colours, schemes, patterns and gradients; borders of a shape's own or the theme's line, or none."""
+    s = F.col("p_size")
+    fill = (
+        F.when(s % 5 == 0, '<a:solidFill><a:prstClr val="tomato"/></a:solidFill>').when(s % 5 == 1, '<a:solidFill><a:schemeClr val="accent1"/></a:solidFill>').when(s % 5 == 2, '<a:pattFill prst="pct50"><a:fgClr><a:srgbClr val="112233"/></a:fgClr></a:pattFill>')
+        .when(s % 5 == 3, '<a:gradFill><a:gsLst><a:gs pos="0"><a:srgbClr val="000000"/></a:gs></a:gsLst></a:gradFill>').otherwise("<a:noFill/>")
+    )
+    line = F.when(s % 3 == 0, put('<a:ln w="', s * 12700, '"><a:solidFill><a:scrgbClr r="0" g="100000" b="0"/></a:solidFill></a:ln>')).when(s % 3 == 2, "<a:ln><a:noFill/></a:ln>").otherwise("")
+    style = F.when(s % 3 == 1, '<p:style><a:lnRef idx="2"><a:schemeClr val="accent1"/></a:lnRef></p:style>').otherwise("")
+    shape = put('<p:sp><p:nvSpPr><p:cNvPr id="', F.col("p_partkey"), '" name="s"/></p:nvSpPr><p:spPr>', fill, line, "</p:spPr>", style, "</p:sp>")
+    theme = '<a:clrScheme><a:accent1><a:srgbClr val="4472C4"/></a:accent1></a:clrScheme><a:fmtScheme><a:lnStyleLst><a:ln w="6350"/><a:ln w="19050"><a:prstDash val="sysDot"/></a:ln></a:lnStyleLst></a:fmtScheme>'
+    deck = _chained(spark, sf_dir, shape, "", "", theme)
+    palette = cut(palettes(deck.nodes, deck.rels))
+    paint = cut(painted(deck.nodes, palette))
+    keys = ["deck_id", "part_path", "owner"]
+    lines = looks.lines(deck.nodes, paint, looks.references(deck.nodes, paint), palette)
+    borders = lines.select(*keys, looks.border(F.struct("width", "color", "dash", "none", "stops")).alias("b"))
+    ids = shapes.shapes(deck.nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id")
+    met = ids.join(looks.fills(deck.nodes, paint), keys).join(borders, keys, "left")
+    pattern = F.when(F.col("fill.pattern").isNotNull(), F.concat_ws("/", "fill.pattern", "fill.fore", "fill.back"))
+    return met.select(_whole(F.col("id")).alias("part"), F.col("fill.type").alias("type"), F.col("fill.color").alias("color"), pattern.alias("pattern"), F.coalesce("b.color", F.lit("#000000")).alias("border"), F.coalesce("b.width", F.lit(0.0)).alias("width"), F.coalesce("b.type", F.lit("solid")).alias("border_type"))
+
+
+@_query(
+    """SELECT p_partkey AS part, CASE p_size % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'audio/mp4' ELSE 'application/octet-stream' END AS type,
+    md5('data:' || CASE p_size % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'audio/mp4' ELSE 'application/octet-stream' END || ';base64,' || to_base64(encode(p_name || p_name || p_name || p_name || p_name || p_name))) AS url_md5 FROM part"""
+)
+def media_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media in archives as addresses that hold their bytes."""
+    part, k = _table(spark, sf_dir, "part"), F.col("p_partkey")
+    ending = F.element_at(F.array(*map(F.lit, (".PNG", ".jpeg", ".m4a", ".xyz"))), F.col("p_size") % 4 + 1)
+    files = part.select((k / 200).cast("long").cast("string").alias("deck_id"), put("ppt/media/m", k, ending).alias("part_path"), F.repeat("p_name", 6).alias("content"))
+    found = archive.parts(archive.pack(files)).filter("kind = 'media'")
+    return found.select(_whole(F.regexp_extract("part_path", r"m(\d+)\.", 1)).alias("part"), media.media_type(F.col("part_path")).alias("type"), F.md5(media.data_url(F.col("part_path"), F.col("content")).cast("binary")).alias("url_md5"))
+
+
 # ---- documents
 
 
