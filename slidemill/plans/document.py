@@ -62,8 +62,13 @@ def elements(deck: Deck, order: DataFrame) -> DataFrame:
     charts = data.join(options, keys, "left").select("deck_id", F.col("part_path").alias("target"), F.struct("chart", "data", "bar_dir", "grouping", "marker", "hole_size", "style").alias("chart"))
     target = rels.select("deck_id", F.col("source_part").alias("part_path"), "rid", F.col("resolved").alias("target"))
     met = styles.links(found, rels).join(target, [*keys, "rid"], "left").join(charts, ["deck_id", "target"], "left")
-    for rows in (html, seen, owned(fill), owned(line), owned(styles.shadows(nodes).select(*keys, "owner", F.struct("h", "v", "blur", "inset").alias("shadow"))), owned(styles.bodies(nodes)), owned(looks.adjustments(nodes)), owned(looks.crops(nodes)), tables):
-        met = met.join(rows, by_nid, "left")
+    # what is known of shapes meets in one grouping instead of a join for each table
+    shadow = styles.shadows(nodes).select(*keys, "owner", F.struct("h", "v", "blur", "inset").alias("shadow"))
+    more = html
+    for rows in (seen, tables, *map(owned, (fill, line, shadow, styles.bodies(nodes), looks.adjustments(nodes), looks.crops(nodes)))):
+        more = more.unionByName(rows, allowMissingColumns=True)
+    more = more.groupBy(*by_nid).agg(*(F.first(c, True).alias(c) for c in more.columns if c not in by_nid))
+    met = met.join(more, by_nid, "left")
     painted_ = F.coalesce((F.col("fill.type") != "color") | (F.col("fill.color") != "transparent"), F.lit(False)) | F.coalesce(F.col("border.width") > 0, F.lit(False))
     text = styles.is_text(F.col("text_box"), F.col("ph_type"), F.col("custom"), F.col("prst"), F.coalesce("has_text", F.lit(False)), painted_)
     kind = (

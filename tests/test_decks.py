@@ -224,7 +224,7 @@ def test_documents_place_placeholders_and_deep_groups(spark):
     got = documents(spark.createDataFrame([("a", deck(files))], "deck_id string, content binary")).collect()
     found = {e["name"]: (e["left"], e["top"], e["width"], e["height"], e["content"]) for e in got[0]["slides"][0]["elements"] if e["name"] != "g"}
     want = {"body": (100, 50, 30, 20), "title": (200, 60, 40, 10), "date": (0, 0, 0, 0), "own": (7, 8, 9, 10), "deep": (14, 2, 3, 4)}
-    assert {k: v[4] for k, v in found.items()} == {k: f"<p>{k}</p>" for k in want}
+    assert {k: v[4] for k, v in found.items()} == {k: f'<p><span style="font-size: 12pt;color: #000000;">{k}</span></p>' for k in want}
     assert all(abs(x - y) < 1e-6 for k in want for x, y in zip(found[k][:4], want[k], strict=True))
 
 
