@@ -379,6 +379,79 @@ def test_toxicity_learns(spark, learnable, docs, empty):
     assert {r["score"] for r in toxicity.score(spark, docs, none, ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxicity_by_joins_is_that_by_arrays(spark, learnable, docs, monkeypatch):
+    rows, labels = learnable
+    given = toxicity.marked(rows, labels)
+    texts = docs.withColumn("score", F.lit("given")).withColumn("a", F.lit("given"))
+    near = {r["doc_id"]: r["score"] for r in toxicity.score(spark, rows, toxicity.train(given), ["doc_id"]).collect()}
+    monkeypatch.setattr(toxicity, "SMALL", 0)
+    model = toxicity.train(toxicity.marked(rows, labels))
+    assert model.ratios is None
+    far = {r["doc_id"]: r["score"] for r in toxicity.score(spark, rows, model, ["doc_id"]).collect()}
+    assert near.keys() == far.keys() and max(abs(near[k] - far[k]) for k in near) < 1e-3
+    got = toxicity.score(spark, texts, model, ["doc_id", "a", "score"])
+    assert got.columns == ["doc_id", "a", "score"] and got.filter("a = 'given' AND score BETWEEN 0 AND 1").count() == docs.count()
+
+
+def test_toxicity_sketches(spark):
+    for n in (0, 1, 4, 60, 5000):
+        x = common.mix(np.arange(n, dtype=np.uint64) + np.uint64(n << 20))
+        bits = np.bitwise_or.reduce(toxicity._sketch(x), axis=0).view(np.int64) if n else np.zeros(2, np.int64)
+        got = spark.createDataFrame([(int(bits[0]), int(bits[1]))], "a long, b long").select(toxicity.distinct("a", "b")).first()[0]
+        assert abs(got - n) <= max(2, 0.9 * n), (n, got)
+
+
+def test_toxicity_is_that_of_counts_by_hand(spark, learnable):
+    """Kneser-Ney ratios from plain dictionaries, with exact numbers of neighbours: scores of documents agree but for the sketches' error."""
+    rows, labels = learnable
+    given = toxicity.marked(rows, labels).withColumn("part", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(toxicity.CURVE))).collect()
+    n, c, two, of_stem, size = (collections.Counter() for _ in range(5))
+    before, after, begun, stems, kinds = (collections.defaultdict(set) for _ in range(5))
+    stem = lambda w: w.encode()[: toxicity.STEM]
+    for r in given:
+        held = words(r["text"])
+        y = r["y"] if r["part"] != 0 else None
+        for v, w in zip(["^", *held], held):
+            before[w].add(v)
+            begun[stem(w)].add((v, w))
+            if y is not None:
+                n[y, w] += 1
+                c[y, v] += 1
+                two[y, v, w] += 1
+                of_stem[y, stem(w)] += 1
+                after[y, v].add(w)
+                stems[y].add(stem(w))
+                kinds[y].add(w)
+                size[y] += 1
+    d = toxicity.DISCOUNT
+    wide = sum(len(x) for x in before.values())
+    rest = [d * len(kinds[y]) / size[y] for y in (0, 1)]
+    first = [d * len(stems[y]) / size[y] for y in (0, 1)]
+    new = np.log(rest[1] / rest[0]) + np.log(first[1] / first[0])
+    seen = lambda x, *k: x[(1, *k)] > 0 and x[(0, *k)] + x[(1, *k)] > 1
+    s = lambda y, k: max(of_stem[y, k] - d, 0) / size[y] + first[y] * len(begun[k]) / wide
+    p = lambda y, w: max(n[y, w] - d, 0) / size[y] + rest[y] * s(y, stem(w)) * len(before[w]) / len(begun[stem(w)])
+    back = lambda y, v: d * len(after[y, v]) / c[y, v] if c[y, v] else 1.0
+    q = lambda y, v, w: max(two[y, v, w] - d, 0) / max(c[y, v], 1) + back(y, v) * p(y, w)
+
+    def ratio(v, w):
+        if seen(two, v, w):
+            return np.log(q(1, v, w) / q(0, v, w)) - new
+        alone = np.log(p(1, w) / p(0, w)) - new if seen(n, w) else np.log(s(1, stem(w)) / s(0, stem(w))) - np.log(first[1] / first[0]) if seen(of_stem, stem(w)) else 0.0
+        return alone + (np.log(back(1, v) / back(0, v)) if c[1, v] else 0.0)
+
+    model = toxicity.train(toxicity.marked(rows, labels))
+    got = {r["doc_id"]: (r["a"], r["b"]) for r in toxicity._evidence(rows, model, ["doc_id"]).collect()}
+    mean, most = [], []
+    for r in given:
+        held = words(r["text"])
+        x = [ratio(v, w) for v, w in zip(["^", *held], held)]
+        mean.append((np.mean(x), got[r["doc_id"]][0]))
+        most.append((max(x), got[r["doc_id"]][1]))
+    for x in (np.array(mean), np.array(most)):
+        assert np.corrcoef(x.T)[0, 1] > 0.97 and np.abs(x[:, 0] - x[:, 1]).mean() < 0.3
+
+
 def test_language_learns(spark, learnable, docs, empty):
     rows, _ = learnable
     model = language.train(rows.filter(common.fold_of(rows["doc_id"], 3) != 1))
