@@ -1,4 +1,4 @@
-"""The queries of the ten operators and the pipeline, by name."""
+"""The queries of the operators, by name."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprint, language, licenses, minhash, mixing, quality, repeats, toxicity
+from . import ann, bpe, divergence, filters, fingerprint, language, licenses, minhash, mixing, quality, repeats, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": language.query,
@@ -19,9 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": repeats.query,
     "op9_near_dedup": minhash.query,
     "op10_toxicity": toxicity.query,
+    "op11_sharding": sharding.query,
+    "op12_divergence": divergence.query,
+    "op13_filters": filters.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ann": ann.ORACLE,
     "op3_mixing": mixing.ORACLE,
+    "op11_sharding": sharding.ORACLE,
+    "op12_divergence": divergence.ORACLE,
+    "op13_filters": filters.ORACLE,
 }
