@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.colors import let
 from ..functions.text import border_type, dash_array
-from ..functions.units import angle_to_deg, emu_to_px, px_to_pt
+from ..functions.units import px_to_pt
 from ..sources.xmltree import attr, number
-from .palette import KEYS, referred, shown
+from ..storage import cut
+from . import matrix
+from .palette import KEYS, shown
 
-#: Outlines that are lines, beside connectors; fills in the order in which the first one counts; the width of a line without one, in EMU.
+#: Outlines that are lines, beside connectors.
 LINES = ["line", "lineinv", "arc", "leftbracket", "rightbracket", "leftbrace", "rightbrace", "bracketpair", "bracepair"]
-FILLS = ["solidFill", "gradFill", "blipFill", "pattFill", "grpFill", "noFill"]
-THIN = 9525
 
 
 def line_like(shape: Column, prst: Column, width: Column, height: Column) -> Column:
@@ -36,94 +36,86 @@ def visible_stop(stops: Column) -> Column:
     return F.coalesce(F.try_element_at(good, F.lit(1))["color"], F.try_element_at(stops, F.lit(-1))["color"], F.lit("#000000"))
 
 
-def gradient_stops(nodes: DataFrame, paint: DataFrame) -> DataFrame:
-    """(deck_id, part_path, holder, stops, rot, path): gradients by their element; stops (pos in percent, color, by_reference, mods) by position."""
-    gs = nodes.filter(F.col("tag") == "gs").select(*KEYS, "nid", F.col("parent").alias("list"), (F.coalesce(number(attr("pos")), F.lit(0.0)) / 1000.0).alias("pos"))
-    of = nodes.filter(F.col("tag") == "gsLst").select(*KEYS, F.col("nid").alias("list"), F.col("parent").alias("holder"))
-    met = gs.join(of, [*KEYS, "list"]).join(paint.withColumnRenamed("holder", "nid"), [*KEYS, "nid"], "left")
-    stops = met.groupBy(*KEYS, "holder").agg(F.array_sort(F.collect_list(F.struct("pos", "nid", "color", "by_reference", "mods"))).alias("stops"))
-    way = nodes.filter(F.col("tag").isin("lin", "path")).groupBy(*KEYS, F.col("parent").alias("holder")).agg(
-        F.min_by(angle_to_deg(F.coalesce(number(attr("ang")), F.lit(0.0))), F.when(F.col("tag") == "lin", F.col("nid"))).alias("rot"), F.min_by(attr("path"), F.when(F.col("tag") == "path", F.col("nid"))).alias("path")
-    )
-    return stops.join(way, [*KEYS, "holder"], "left")
+def references(nodes: DataFrame, paint: DataFrame) -> DataFrame:
+    """(deck_id, part_path, owner, fill_idx, fill_color, line_idx, line_color, effect_idx, font_color): what shapes refer to in their theme; null for no reference.  A reference without a colour is black, but for that of fonts."""
+    refs = nodes.filter(F.col("way").rlike("^style/(fillRef|lnRef|effectRef|fontRef)$")).select(*KEYS, "owner", "tag", F.col("nid").alias("holder"), F.coalesce(number(attr("idx")), F.lit(0.0)).cast("int").alias("idx")).join(paint, [*KEYS, "holder"], "left")
+    black = F.struct(F.lit("000000").alias("hex"), F.lit(1.0).alias("alpha"))
+    first = lambda tag, what: F.min_by(what, F.when(F.col("tag") == tag, F.col("holder")))
+    color = lambda tag: first(tag, F.coalesce("color", black))
+    return refs.groupBy(*KEYS, "owner").agg(first("fillRef", "idx").alias("fill_idx"), color("fillRef").alias("fill_color"), first("lnRef", "idx").alias("line_idx"), color("lnRef").alias("line_color"), first("effectRef", "idx").alias("effect_idx"), first("fontRef", "color").alias("font_color"))
 
 
-def fills(nodes: DataFrame, paint: DataFrame, ways: str = "^spPr/([A-Za-z]+Fill)$") -> DataFrame:
-    """(deck_id, part_path, owner, fill): the fill of each shape that counts, a struct type (color, gradient, image, pattern, group), color, stops, rot, path, rid, opacity, pattern, fore, back.
+def own_looks(styles: matrix.Styles, refs: DataFrame, palette: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(deck_id, part_path, nid, own_fill, theme_fill, more_fill, line, shadow): what shapes look like by their own elements, by their theme's styles and by ``more``.
 
-    An absent fill is not there; noFill has the colour transparent.
+    The theme's line stands in whole for one that is absent or said not to be there; its effects for a shape that has no list of its own.  line
+    is a struct as ``matrix.drawn`` gives it; theme_fill is there where a shape refers to a fill at all: the theme's entry at that place, or where it has
+    none of its own the reference's colour.  palette: with the styles of themes; more: (deck_id, part_path, nid, content), contents from elsewhere.
     """
-    place = F.array_position(F.array(*map(F.lit, FILLS)), F.col("tag"))
-    own = nodes.filter(F.col("owner").isNotNull() & F.col("tag").isin(*FILLS) & F.col("way").rlike(ways)).groupBy(*KEYS, "owner").agg(F.min_by(F.struct("tag", F.col("nid").alias("holder"), "attrs"), F.struct(place, "nid")).alias("x")).select(*KEYS, "owner", "x.*")
-    return described(own, nodes, paint).select(*KEYS, "owner", "fill")
-
-
-def described(own: DataFrame, nodes: DataFrame, paint: DataFrame, reference: Column | None = None) -> DataFrame:
-    """own (keys, tag, holder, attrs) with column fill; ``reference`` is the colour that stands for phClr, of own's columns."""
-    flat = paint.select(*KEYS, "holder", "color", "by_reference", "mods")
-    grad = gradient_stops(nodes, paint).withColumnsRenamed({"stops": "g_stops", "rot": "g_rot", "path": "g_path"})
-    below = nodes.filter(F.col("tag").isin("fgClr", "bgClr")).select(*KEYS, F.col("parent").alias("holder"), "tag", F.col("nid").alias("part")).join(paint.select(*KEYS, F.col("holder").alias("part"), shown(F.col("color")).alias("c")), [*KEYS, "part"], "left")
-    pattern = below.groupBy(*KEYS, "holder").agg(*(F.min_by("c", F.when(F.col("tag") == t, F.col("part"))).alias(n) for t, n in (("fgClr", "fore"), ("bgClr", "back"))))
-    blip = nodes.filter(F.col("tag") == "blip").select(*KEYS, F.col("parent").alias("holder"), F.col("nid").alias("blip"), attr("r:embed").alias("rid"))
-    alpha = nodes.filter(F.col("tag").isin("alphaModFix", "alphaMod", "alphaOff")).select(*KEYS, F.col("parent").alias("blip"), "tag", (F.coalesce(number(attr("amt")), number(attr("val"))) / 100000.0).alias("v"))
-    alpha = alpha.groupBy(*KEYS, "blip").agg(*(F.min(F.when(F.col("tag") == t, F.col("v"))).alias(t) for t in ("alphaModFix", "alphaMod", "alphaOff")))
-    opacity = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("alphaModFix", F.lit(1.0)) * F.coalesce("alphaMod", F.lit(1.0)) + F.coalesce("alphaOff", F.lit(0.0))))
-    blip = blip.join(alpha, [*KEYS, "blip"], "left").groupBy(*KEYS, "holder").agg(F.min_by("rid", "blip").alias("rid"), F.min_by(opacity, "blip").alias("opacity"))
-    met = own
-    for other in (flat, grad, pattern, blip):
-        met = met.join(other, [*KEYS, "holder"], "left")
-    of_reference = lambda color, by, mods: color if reference is None else F.when(by & reference.isNotNull(), referred(reference, mods)).otherwise(color)
-    color = F.when(F.col("tag") == "noFill", "transparent").when(F.col("tag") == "solidFill", F.coalesce(shown(of_reference(F.col("color"), F.col("by_reference"), F.col("mods"))), F.lit("#000000")))
-    stops = F.transform("g_stops", lambda s: F.struct(s["pos"].alias("pos"), F.coalesce(shown(of_reference(s["color"], s["by_reference"], s["mods"])), F.lit("#000000")).alias("color")))
-    kind = F.when(F.col("tag") == "gradFill", "gradient").when(F.col("tag") == "blipFill", "image").when(F.col("tag") == "pattFill", "pattern").when(F.col("tag") == "grpFill", "group").otherwise("color")
-    dotted = F.col("tag") == "pattFill"
-    fill = F.struct(
-        kind.alias("type"), color.alias("color"), F.when(F.col("tag") == "gradFill", stops).alias("stops"), F.when(F.col("tag") == "gradFill", F.coalesce("g_rot", F.lit(0.0))).alias("rot"), F.when(F.col("tag") == "gradFill", F.coalesce("g_path", F.lit("line"))).alias("path"), "rid", "opacity",
-        F.when(dotted, F.coalesce(F.col("attrs")["prst"], F.lit("solid"))).alias("pattern"), F.when(dotted, F.coalesce("fore", F.lit("#000000"))).alias("fore"), F.when(dotted, F.coalesce("back", F.lit("#ffffff"))).alias("back"),
+    rows = styles.own("spPr").unionByName(refs.drop("font_color"), allowMissingColumns=True)
+    rows = rows.groupBy(*KEYS, "owner").agg(*(F.first(c, True).alias(c) for c in rows.columns if c not in {*KEYS, "owner"})).join(palette, KEYS, "left")
+    entry = lambda idx, of: F.when(F.col(idx) > 0, F.try_element_at(F.col(of), F.col(idx)))
+    rows = rows.select(
+        *KEYS, F.col("owner").alias("nid"), "content", F.col("line").alias("own_line"), "fill_idx", "fill_color", "line_idx", "line_color",
+        entry("fill_idx", "fill_styles").alias("theme_content"), entry("line_idx", "line_styles").alias("theme_line"), F.coalesce("effect", entry("effect_idx", "effect_styles")).alias("effect"),
     )
-    return met.withColumn("fill", fill)
+    explicit = F.col("own_line").isNotNull() & ~F.coalesce(F.col("own_line.none"), F.lit(False))
+    rows = cut(rows.withColumn("line", F.when(explicit, F.col("own_line")).otherwise(F.col("theme_line"))))
+    no_color = F.lit(None).cast("struct<hex:string,alpha:double>")
+    lines = matrix.line_content(F.col("line"))
+    shadow = matrix.line_content(F.struct(F.lit(True).alias("plain"), F.col("effect.raw").alias("raw"), matrix.absent(F.col("line.gradient")).alias("gradient")))
+    layer = lambda name, content, reference=no_color: F.struct(F.lit(name).alias("layer"), content.alias("content"), reference.alias("reference"))
+    layers = F.array(
+        layer("own", F.col("content")), layer("theme", F.when(F.col("theme_content.tag").isin("solidFill", "gradFill", "pattFill", "noFill"), F.col("theme_content")), F.when(F.col("theme_content.tag") != "pattFill", F.col("fill_color"))),
+        layer("line", lines, F.when(lines["tag"] == "solidFill", F.col("line_color"))), layer("shadow", F.when(F.col("effect.inset").isNotNull(), shadow)),
+    )
+    each = rows.select(*KEYS, "nid", F.inline(layers))
+    if more is not None:
+        each = each.unionByName(more.select(*KEYS, "nid", F.lit("more").alias("layer"), "content", no_color.alias("reference")))
+    each = matrix.resolved(each.filter("content IS NOT NULL"), palette).drop("content", "reference")
+    of = lambda name, what: F.first(F.when(F.col("layer") == name, F.col(what)), True)
+    got = cut(each.groupBy(*KEYS, "nid").agg(of("own", "fill").alias("own_fill"), of("theme", "fill").alias("theme_fill"), of("line", "fill").alias("line_fill"), of("shadow", "ink").alias("shadow_ink"), of("more", "fill").alias("more_fill")))
+    met = rows.join(got, [*KEYS, "nid"], "full")
+    by_theme = F.when(F.col("fill_idx").isNotNull(), F.coalesce(matrix.without_gaps(F.col("theme_fill")), matrix.plain(F.coalesce(shown(F.col("fill_color")), F.lit("#000000")))))
+    line = matrix.drawn(*map(F.col, ("line", "own_line", "theme_line", "line_idx", "line_color", "line_fill")))
+    return met.select(*KEYS, "nid", "own_fill", by_theme.alias("theme_fill"), matrix.without_gaps(F.col("more_fill")).alias("more_fill"), line.alias("line"), matrix.shaded(F.col("effect"), F.col("shadow_ink")).alias("shadow"))
+
+
+def inherited_contents(bodies: DataFrame, styles: matrix.Styles) -> DataFrame:
+    """(deck_id, part_path, nid, content): the fill that placeholders take from their layout's placeholder, or else their master's; bodies: shapes with l_ph and m_ph.
+
+    A plain colour counts if it is written out or a scheme's, a gradient if it has stops, and so do patterns; other fills, and noFill, let the search go on.
+    """
+    own = styles.own("spPr").filter("content IS NOT NULL")
+    met = bodies.filter("ph AND (l_ph IS NOT NULL OR m_ph IS NOT NULL)").select(*KEYS, "nid", "layout_part", "master_part", "l_ph", "m_ph")
+    for part, nid, name in (("layout_part", "l_ph", "l_content"), ("master_part", "m_ph", "m_content")):
+        met = met.join(own.select("deck_id", F.col("part_path").alias(part), F.col("owner").alias(nid), F.col("content").alias(name)), ["deck_id", part, nid], "left")
 
+    def usable(c: Column) -> Column:
+        told = (c["tag"] == "solidFill") & c["raw"]["tag"].isin("srgbClr", "schemeClr", "scrgbClr", "sysClr")
+        return F.when(told | (c["tag"] == "pattFill") | ((c["tag"] == "gradFill") & (F.size(c["gradient"]["stops"]) > 0)), c)
 
-def references(nodes: DataFrame, paint: DataFrame) -> DataFrame:
-    """(deck_id, part_path, owner, fill_idx, fill_color, line_idx, line_color, font_color): what shapes refer to in their theme; no reference is index 0."""
-    refs = nodes.filter(F.col("way").rlike("^style/(fillRef|lnRef|fontRef)$")).select(*KEYS, "owner", "tag", F.col("nid").alias("holder"), F.coalesce(number(attr("idx")), F.lit(0.0)).cast("int").alias("idx")).join(paint.select(*KEYS, "holder", "color"), [*KEYS, "holder"], "left")
-    first = lambda tag, what: F.min_by(what, F.when(F.col("tag") == tag, F.col("holder")))
-    got = refs.groupBy(*KEYS, "owner").agg(first("fillRef", "idx").alias("fill_idx"), first("fillRef", "color").alias("fill_color"), first("lnRef", "idx").alias("line_idx"), first("lnRef", "color").alias("line_color"), first("fontRef", "color").alias("font_color"))
-    return got.fillna(0, ["fill_idx", "line_idx"])
+    return met.select(*KEYS, "nid", F.coalesce(usable(F.col("l_content")), usable(F.col("m_content"))).alias("content")).filter("content IS NOT NULL")
 
 
-def theme_lines(nodes: DataFrame) -> DataFrame:
-    """(deck_id, theme_part, line_idx, theme_width, theme_dash): line styles of themes by their place from 1, widths in EMU."""
-    ln = nodes.filter(F.col("way").rlike("fmtScheme/lnStyleLst/ln$")).select("deck_id", F.col("part_path").alias("theme_part"), F.col("nid").alias("parent"), F.col("pos").alias("line_idx"), number(attr("w")).alias("theme_width"))
-    dash = nodes.filter(F.col("tag") == "prstDash").groupBy("deck_id", F.col("part_path").alias("theme_part"), "parent").agg(F.min_by(attr("val"), "nid").alias("theme_dash"))
-    return ln.join(dash, ["deck_id", "theme_part", "parent"], "left").drop("parent")
+def group_fills(found: DataFrame, styles: matrix.Styles, palette: DataFrame) -> DataFrame:
+    """(deck_id, part_path, group_nid, group_fill): for each group the fill of the nearest one, itself or around it, that has one; found: shapes with group_nid.
 
+    A group without a fill points to the one around it; each round lets pointers point to where their targets point.
+    """
+    own = styles.own("grpSpPr").filter(F.col("content.tag").isin("solidFill", "gradFill", "blipFill", "pattFill")).select(*KEYS, F.col("owner").alias("nid"), "content", F.lit(None).cast("struct<hex:string,alpha:double>").alias("reference"))
+    own = matrix.resolved(own, palette).select(*KEYS, "nid", "fill")
+    groups = found.filter(F.col("shape") == "grpSp").select(*KEYS, "nid", "group_nid").join(own, [*KEYS, "nid"], "left")
+    at = cut(groups.select(*KEYS, F.col("nid").alias("at"), F.when(F.col("fill").isNotNull(), 0).otherwise(F.col("group_nid")).alias("up"), F.col("fill").alias("group_fill")))
+    while at.filter("up > 0").limit(1).count():
+        outer = at.select(*KEYS, F.col("at").alias("up"), F.col("up").alias("o_up"), F.col("group_fill").alias("o_fill"))
+        at = cut(at.join(outer, [*KEYS, "up"], "left").select(*KEYS, "at", F.coalesce("o_up", F.lit(0)).alias("up"), F.coalesce("group_fill", "o_fill").alias("group_fill")))
+    return at.select(*KEYS, F.col("at").alias("group_nid"), "group_fill")
 
-def lines(nodes: DataFrame, paint: DataFrame, refs: DataFrame, palette: DataFrame, way: str = "spPr/ln") -> DataFrame:
-    """(deck_id, part_path, owner, width, color, dash, none, head, tail, stops): lines of shapes, widths in pixels, with their themes' styles where they refer to them.
 
-    none: a line that is said not to be there; color is null for one without a colour; stops: of a line with a gradient.
-    """
-    own = nodes.filter(F.col("owner").isNotNull() & F.col("way").rlike(f"^{way}(/.*)?$")).withColumn("tail_", F.regexp_extract("way", f"^{way}(?:/(.*))?$", 1))
-    first = lambda tail, what: F.min_by(what, F.when(F.col("tail_") == tail, F.col("nid")))
-    got = own.groupBy(*KEYS, "owner").agg(
-        first("", number(attr("w"))).alias("w"), first("noFill", F.lit(True)).alias("none"), first("solidFill", F.col("nid")).alias("holder"), first("gradFill", F.col("nid")).alias("grad"), first("prstDash", F.coalesce(attr("val"), F.lit("solid"))).alias("own_dash"),
-        first("headEnd", F.nullif(attr("type"), F.lit("none"))).alias("head"), first("tailEnd", F.nullif(attr("type"), F.lit("none"))).alias("tail"),
-    )
-    every = got.select(*KEYS, "owner").unionByName(refs.select(*KEYS, "owner")).distinct() if way == "spPr/ln" else got.select(*KEYS, "owner")
-    met = every.join(got.withColumn("there", F.lit(True)), [*KEYS, "owner"], "left").join(refs, [*KEYS, "owner"], "left") if way == "spPr/ln" else got.withColumns({"there": F.lit(True), "line_idx": F.lit(0), "line_color": F.lit(None).cast("struct<hex:string,alpha:double>")})
-    met = met.join(palette.select(*KEYS, "theme_part"), KEYS, "left").join(theme_lines(nodes), ["deck_id", "theme_part", "line_idx"], "left")
-    met = met.join(paint.select(*KEYS, "holder", "color", "by_reference", "mods"), [*KEYS, "holder"], "left")
-    grads = gradient_stops(nodes, paint).select(*KEYS, F.col("holder").alias("grad"), F.transform("stops", lambda s: F.struct(s["pos"].alias("pos"), shown(s["color"]).alias("color"))).alias("stops"))
-    met = met.join(grads, [*KEYS, "grad"], "left")
-    by_theme = F.coalesce(F.col("line_idx") > 0, F.lit(False))
-    color = F.when(F.col("holder").isNotNull(), F.when(F.col("by_reference") & F.col("line_color").isNotNull(), shown(referred(F.col("line_color"), F.col("mods")))).otherwise(shown(F.col("color")))).when(by_theme, shown(F.col("line_color")))
-    width = F.coalesce(F.when(F.col("w") > 0, emu_to_px(F.col("w"))), F.when(by_theme, F.coalesce(emu_to_px(F.col("theme_width")), F.col("line_idx") * 0.75)), F.when(color.isNotNull() | F.col("own_dash").isNotNull(), emu_to_px(F.lit(float(THIN)))), F.lit(0.0))
-    dash = F.coalesce(F.when(F.col("own_dash") != "solid", F.col("own_dash")), F.when(by_theme, F.col("theme_dash")), F.lit("solid"))
-    # a line that is said not to be there is there all the same where the theme has one to refer to
-    none = F.coalesce("none", F.lit(False)) & F.col("theme_width").isNull()
-    none = none | (F.col("there").isNull() & F.col("theme_width").isNull())
-    return met.select(*KEYS, "owner", width.alias("width"), color.alias("color"), dash.alias("dash"), none.alias("none"), "head", "tail", "stops")
+def no_border() -> Column:
+    """The border of what has no line."""
+    return F.struct(F.lit("#000000").alias("color"), F.lit(0.0).alias("width"), F.lit("solid").alias("type"), F.lit("0").alias("dashes"))
 
 
 def border(line: Column) -> Column:
@@ -150,13 +142,6 @@ def adjustments(nodes: DataFrame) -> DataFrame:
     return got.withColumn("keypoints", F.transform_values("adjust", lambda k, v: v / 50000.0))
 
 
-def group_fills(found: DataFrame, group_fill: DataFrame) -> DataFrame:
-    """(deck_id, part_path, nid, fill): for each shape in groups the fill of the nearest group around that has one; found: shapes with group_nid."""
-    groups = found.filter(F.col("shape") == "grpSp").select(*KEYS, F.col("nid").alias("g"), F.col("last").alias("g_last")).join(group_fill.select(*KEYS, F.col("owner").alias("g"), F.col("fill")), [*KEYS, "g"])
-    inside = found.filter("group_nid > 0").select(*KEYS, "nid").join(groups, KEYS).filter("g < nid AND nid <= g_last")
-    return inside.groupBy(*KEYS, "nid").agg(F.max_by("fill", "g").alias("fill"))
-
-
 def picture_filters(nodes: DataFrame) -> DataFrame:
     """(deck_id, part_path, owner, brightness, contrast, saturation, temperature, sharpen): changes of pictures, those of the later format before a plain lum."""
     rows = nodes.filter(F.col("owner").isNotNull() & F.col("tag").isin("lum", "brightnessContrast", "saturation", "colorTemperature", "sharpenSoften") & F.col("way").startswith("blipFill/blip/"))
@@ -172,12 +157,3 @@ def crops(nodes: DataFrame) -> DataFrame:
     cut = F.struct(*(side(c).alias(c) for c in "tblr"))
     got = nodes.filter(F.col("way") == "blipFill/srcRect").groupBy(*KEYS, "owner").agg(F.min_by(cut, "nid").alias("crop"))
     return got.withColumn("crop", F.when((F.abs(F.col("crop.t")) + F.abs(F.col("crop.b")) + F.abs(F.col("crop.l")) + F.abs(F.col("crop.r"))) > 0, F.col("crop")))
-
-
-def css_gradient(stops: Column, rot: Column, path: Column) -> Column:
-    """A gradient as CSS has it."""
-    shown_stops = F.array_join(F.transform(stops, lambda s: F.concat(s["color"], F.lit(" "), F.format_string("%.1f", s["pos"]), F.lit("%"))), ", ")
-    round_ = F.coalesce(path.isin("circle", "shape", "rect"), F.lit(False))
-    return F.when(round_, F.concat(F.lit("radial-gradient("), F.when(path == "rect", "closest-side at 50.0% 50.0%, ").otherwise("ellipse at 50.0% 50.0%, "), shown_stops, F.lit(")"))).otherwise(
-        F.concat(F.lit("linear-gradient("), F.format_string("%.1f", F.pmod(F.coalesce(rot, F.lit(90.0)) + 90.0, F.lit(360.0))), F.lit("deg, "), shown_stops, F.lit(")"))
-    )

@@ -65,7 +65,7 @@ def modifiers(nodes: DataFrame, of: DataFrame) -> DataFrame:
 def plain(tag: Column, attrs: Column, override: Column, mapped: Column, theme: Column) -> Column:
     """The colour of an element before its modifiers: six digits, or with # where it was computed; black where nothing is known."""
     of = lambda name: F.coalesce(number(attrs[name]), F.lit(0.0))
-    named = F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
+    named = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in NAMED.items())), F.lit(","), F.lit(":"))
     part = lambda c: js_round(of(c) / 100000.0 * 255.0).cast("double").alias(c)
     bare = lambda hex: F.regexp_replace(hex, "^#", "")
     hsl = F.struct((of("hue") / 60000.0).alias("h"), (of("sat") / 100000.0).alias("s"), (of("lum") / 100000.0).alias("l"))
@@ -80,22 +80,37 @@ def plain(tag: Column, attrs: Column, override: Column, mapped: Column, theme: C
     return F.coalesce(out, F.lit("000000"))
 
 
-def painted(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(deck_id, part_path, holder, color, by_reference, mods): the first colour in each element that holds one, as struct hex, alpha.
+#: Attributes of colour elements that tell the colour.
+TOLD = ["val", "lastClr", "hue", "sat", "lum", "r", "g", "b"]
+
+
+def raw_colors(nodes: DataFrame) -> DataFrame:
+    """(deck_id, part_path, holder, raw): the first colour in each element that holds one, as it is written: a struct tag, attrs, mods."""
+    told = F.struct(*(attr(c).alias(c) for c in TOLD))
+    c = nodes.filter(F.col("tag").isin(*COLORS)).groupBy(*KEYS, F.col("parent").alias("holder")).agg(F.min_by(F.struct(F.col("nid").alias("c"), "tag", told.alias("attrs")), "nid").alias("x")).select(*KEYS, "holder", "x.*")
+    return modifiers(nodes, c).select(*KEYS, "holder", F.struct("tag", "attrs", "mods").alias("raw"))
 
-    found: palettes.  by_reference tells that it is the colour of a reference (phClr), which takes ``mods`` of what refers to it.
-    """
-    c = nodes.filter(F.col("tag").isin(*COLORS)).groupBy(*KEYS, F.col("parent").alias("holder")).agg(F.min_by(F.struct(F.col("nid").alias("c"), "tag", "attrs"), "nid").alias("x")).select(*KEYS, "holder", "x.*")
-    met = modifiers(nodes, c).join(found, KEYS, "left")
-    none = F.create_map().cast("map<string,string>")
-    base = plain(F.col("tag"), F.col("attrs"), *(F.coalesce(x, none) for x in ("override", "mapped", "theme")))
-    by_reference = F.coalesce((F.col("tag") == "schemeClr") & (F.lower(F.col("attrs")["val"]) == "phclr"), F.lit(False))
-    return met.select(*KEYS, "holder", modified(base, F.col("mods")).alias("color"), by_reference.alias("by_reference"), "mods")
 
+def by_reference(raw: Column) -> Column:
+    """Whether a raw colour is that of a reference (phClr)."""
+    return F.coalesce((raw["tag"] == "schemeClr") & (F.lower(raw["attrs"]["val"]) == "phclr"), F.lit(False))
 
-def referred(color: Column, mods: Column) -> Column:
-    """The colour of a theme's phClr where a reference names ``color``: changed by the theme's modifiers, as opaque as both."""
-    return let(color, lambda base: let(modified(F.regexp_replace(base["hex"], "^#", ""), mods), lambda x: F.struct(x["hex"].alias("hex"), (x["alpha"] * base["alpha"]).alias("alpha"))))
+
+def inked(raw: Column, maps: list[Column], reference: Column | None = None) -> Column:
+    """A struct hex, alpha of a raw colour by a part's maps (override, mapped, theme); the colour ``reference``, where it is known, stands for phClr: changed by the raw colour's modifiers, as opaque as both."""
+    none = F.create_map().cast("map<string,string>")
+    mods = F.coalesce(raw["mods"], F.array().cast("array<struct<name:string,val:double>>"))
+    base = plain(raw["tag"], raw["attrs"], *(F.coalesce(m, none) for m in maps))
+    if reference is None:
+        return modified(base, mods)
+    stands = by_reference(raw) & reference.isNotNull()
+    own = modified(F.when(stands, F.regexp_replace(reference["hex"], "^#", "")).otherwise(base), mods)
+    return let(own, lambda x: F.struct(x["hex"].alias("hex"), F.when(stands, x["alpha"] * reference["alpha"]).otherwise(x["alpha"]).alias("alpha")))
+
+
+def painted(raws: DataFrame, found: DataFrame) -> DataFrame:
+    """(deck_id, part_path, holder, color) of raw colours where they stand, as struct hex, alpha; found: palettes."""
+    return raws.join(found, KEYS, "left").select(*KEYS, "holder", inked(F.col("raw"), [F.col(c) for c in ("override", "mapped", "theme")]).alias("color"))
 
 
 def shown(color: Column) -> Column:

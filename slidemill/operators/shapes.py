@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import angle_to_deg, emu_to_px, px_to_pt
 from ..sources.xmltree import at, attr, number
+from ..storage import cut
 
 SHAPES = ["sp", "pic", "cxnSp", "graphicFrame", "grpSp"]
 _FRAME = {"sp": "spPr/xfrm", "pic": "spPr/xfrm", "cxnSp": "spPr/xfrm", "graphicFrame": "xfrm", "grpSp": "grpSpPr/xfrm"}
@@ -15,8 +16,9 @@ _FRAME = {"sp": "spPr/xfrm", "pic": "spPr/xfrm", "cxnSp": "spPr/xfrm", "graphicF
 def shapes(nodes: DataFrame) -> DataFrame:
     """A row for each shape of slides, layouts and masters, with lengths in EMU.
 
-    (deck_id, part_path, nid, last, shape, id, name, x, y, cx, cy, rot, flip_h, flip_v, ph, ph_type, ph_idx, prst, uri, rid, text_box, custom, video_rid, audio_rid, group_nid);
-    group_nid is the nearest group around the shape, 0 if there is none.
+    (deck_id, part_path, nid, last, shape, id, name, x, y, cx, cy, rot, flip_h, flip_v, ph, ph_type, ph_idx, prst, uri, rid, text_box, custom, video_rid, audio_rid, group_nid, ole, formula);
+    group_nid is the nearest group around the shape, 0 if there is none.  What stands in an AlternateContent is no shape, in neither branch, but for
+    formulas (see ``alternatives``), whose text is in formula; ole is what an embedded object is given out as.
     """
     below = nodes.filter(F.col("owner").isNotNull() & F.col("part_path").rlike("^ppt/(slides|slideLayouts|slideMasters|diagrams)/[^/]+$"))
     way = lambda kind, tail: f"{_FRAME[kind]}{tail}"
@@ -29,8 +31,9 @@ def shapes(nodes: DataFrame) -> DataFrame:
     nv = [f"nv{x}Pr" for x in ("Sp", "Pic", "CxnSp", "GraphicFrame", "GrpSp")]
     of_nv = lambda tail, name: F.coalesce(*(at(f"{n}/{tail}", attr(name)) for n in nv))
     placed = F.coalesce(*(at(f"{n}/nvPr/ph", F.lit(True)) for n in nv), F.lit(False))
+    of_own = lambda c: F.max(F.when(F.col("nid") == F.col("owner"), F.col(c)))
     found = below.groupBy("deck_id", "part_path", "owner").agg(
-        kind.alias("shape"), F.max(F.when(F.col("nid") == F.col("owner"), F.col("last"))).alias("last"), of_nv("cNvPr", "id").alias("id"), of_nv("cNvPr", "name").alias("name"),
+        kind.alias("shape"), F.coalesce(of_own("grp"), F.lit(0)).alias("group_nid"), of_own("alt").alias("alt"), F.max(F.when(F.col("nid") == F.col("owner"), F.col("last"))).alias("last"), of_nv("cNvPr", "id").alias("id"), of_nv("cNvPr", "name").alias("name"),
         *(number(of_frame("/off", c)).alias(c) for c in "xy"), *(number(of_frame("/ext", c)).alias(c) for c in ("cx", "cy")),
         *(number(of_frame("/chOff", c)).alias(f"ch_{c}") for c in "xy"), *(number(of_frame("/chExt", c)).alias(f"ch_{c}") for c in ("cx", "cy")),
         F.coalesce(number(of_frame("", "rot")), F.lit(0.0)).alias("rot"), of_frame("", "flipH").isin("1", "true").alias("flip_h"), of_frame("", "flipV").isin("1", "true").alias("flip_v"),
@@ -40,10 +43,40 @@ def shapes(nodes: DataFrame) -> DataFrame:
         of_nv("nvPr/videoFile", "r:link").alias("video_rid"), of_nv("nvPr/audioFile", "r:link").alias("audio_rid"), of_nv("cNvPr/hlinkClick", "r:id").alias("link_rid"), of_nv("cNvPr/hlinkClick", "action").alias("link_action"),
     )
     found = found.filter(F.col("shape").isin(*SHAPES)).withColumnRenamed("owner", "nid").fillna(False, ["flip_h", "flip_v"])
-    # the nearest group around: running down the document, the last group that has begun and not ended
-    groups = found.filter(F.col("shape") == "grpSp").select("deck_id", "part_path", F.col("nid").alias("g"), F.col("last").alias("g_last"))
-    inside = found.join(groups, ["deck_id", "part_path"]).filter("g < nid AND nid <= g_last").groupBy("deck_id", "part_path", "nid").agg(F.max("g").alias("group_nid"))
-    return found.join(inside, ["deck_id", "part_path", "nid"], "left").fillna(0, ["group_nid"])
+    found = found.join(alternatives(nodes), ["deck_id", "part_path", "nid"], "left").filter("alt IS NULL OR formula IS NOT NULL")
+    return found.withColumn("rid", F.coalesce("rid", "alt_rid")).drop("alt", "alt_rid")
+
+
+def alternatives(nodes: DataFrame) -> DataFrame:
+    """(deck_id, part_path, nid, alt_rid, ole, formula): what stays of AlternateContent elements, a row for each frame of an object and each formula.
+
+    An embedded object in a frame is the picture that stands for it, the Fallback's before the Choice's; ole is ``word`` for a text
+    document, of which the Fallback's picture counts alone, else ``picture``.  A formula is the first shape of the Choice, if there is
+    one in its text; formula is that text and alt_rid the picture of the Fallback's shape.
+    """
+    keys = ["deck_id", "part_path"]
+    inside = nodes.filter(F.col("alt").isNotNull() | (F.col("tag") == "AlternateContent")).withColumn("ac", F.coalesce("alt", "nid"))
+    inside = inside.filter(F.col("tag").isin("AlternateContent", "Choice", "Fallback", "sp", "oMath", "oMathPara", "t", "blip", "oleObj"))
+    first = lambda on, what="nid": F.min_by(what, F.when(on, F.col("nid")))
+    tag, own = F.col("tag"), F.col("nid") == F.col("ac")
+    formula = tag.isin("oMath", "oMathPara") & F.col("way").startswith("txBody/")
+    listed = lambda on, *what: F.collect_list(F.when(on, F.struct("nid", *what)))
+    got = inside.groupBy(*keys, "ac").agg(
+        first(own, "way").alias("way"), first(own, "owner").alias("frame"), first(tag == "Fallback").alias("fallback"), first(tag == "sp").alias("sp"), first(formula, F.struct("nid", "last", "owner")).alias("f"),
+        listed(tag == "t", F.coalesce("text", F.lit("")).alias("text")).alias("texts"), listed(tag == "blip", "way", F.coalesce(attr("r:embed"), attr("embed")).alias("rid")).alias("blips"),
+        listed(tag == "oleObj", F.coalesce(attr("progId"), F.lit("")).alias("prog"), F.coalesce(attr("r:id"), attr("id")).alias("rid")).alias("objects"),
+    )
+    spare = lambda x: F.coalesce(x["nid"] > F.col("fallback"), F.lit(False))
+    ranked = F.array_sort(F.transform(F.filter("blips", lambda x: (x["way"] == "blipFill/blip") & x["rid"].isNotNull()), lambda x: F.struct((~spare(x)).alias("choice"), x["nid"].alias("nid"), x["rid"].alias("rid"))))
+    word = F.exists("objects", lambda x: ~spare(x) & x["prog"].startswith("Word.Document") & x["rid"].isNotNull())
+    picture = F.try_element_at(F.when(word, F.filter(ranked, lambda x: ~x["choice"])).otherwise(ranked), F.lit(1))["rid"]
+    frames = got.filter(F.col("frame").isNotNull() & (F.col("way") == "graphic/graphicData/AlternateContent"))
+    frames = frames.select(*keys, F.col("frame").alias("nid"), picture.alias("alt_rid"), F.when(word, "word").when(picture.isNotNull(), "picture").alias("ole"), F.lit(None).cast("string").alias("formula"))
+    there = F.col("way").rlike("(^|/)spTree/AlternateContent$") | (F.col("way") == "AlternateContent")
+    said = F.array_join(F.transform(F.array_sort(F.filter("texts", lambda x: (x["nid"] > F.col("f.nid")) & (x["nid"] <= F.col("f.last")))), lambda x: x["text"]), "")
+    seen = F.try_element_at(F.array_sort(F.filter("blips", lambda x: (x["way"] == "spPr/blipFill/blip") & spare(x))), F.lit(1))["rid"]
+    formulas = got.filter(there & (F.col("f.owner") == F.col("sp")) & (F.col("fallback").isNull() | (F.col("sp") < F.col("fallback"))))
+    return frames.unionByName(formulas.select(*keys, F.col("sp").alias("nid"), seen.alias("alt_rid"), F.lit(None).cast("string").alias("ole"), said.alias("formula")))
 
 
 def boxes(found: DataFrame) -> DataFrame:
@@ -109,6 +142,7 @@ def inherited(on_slide: DataFrame, on_layout: DataFrame, on_master: DataFrame) -
 
     Of a layout's placeholders the best is one of the same type and index, then one of the same index where neither has a type, then
     the first of the same type; a shape without type takes any of its index after these.  What the layout lacks the master gives.
+    l_match and m_match are the placeholders found, and l_placed tells whether the layout's has a place.
     """
 
     def best(rows: DataFrame, part: str, others: DataFrame) -> DataFrame:
@@ -116,34 +150,67 @@ def inherited(on_slide: DataFrame, on_layout: DataFrame, on_master: DataFrame) -
         same_type, same_idx = F.col("ph_type") == F.col("o_type"), F.col("ph_idx") == F.col("o_idx")
         rank = F.when(same_type & same_idx, 0).when(F.col("ph_type").isNull() & F.col("o_type").isNull() & same_idx, 1).when(same_type, 2).when(F.col("ph_type").isNull() & same_idx, 3)
         met = rows.filter("ph").join(o, ["deck_id", part]).withColumn("rank", rank).filter("rank IS NOT NULL")
-        return met.groupBy("deck_id", "slide_part", "nid").agg(F.min_by(F.struct("o_x", "o_y", "o_cx", "o_cy"), F.struct("rank", "o_nid")).alias("box"))
+        return met.groupBy("deck_id", "slide_part", "nid").agg(F.min_by(F.struct("o_x", "o_y", "o_cx", "o_cy", "o_nid"), F.struct("rank", "o_nid")).alias("box"))
 
     keys = ["deck_id", "slide_part", "nid"]
     a = best(on_slide, "layout_part", on_layout).withColumnRenamed("box", "from_layout")
     b = best(on_slide, "master_part", on_master).withColumnRenamed("box", "from_master")
     met = on_slide.join(a, keys, "left").join(b, keys, "left")
+    met = met.withColumns({"l_match": F.col("from_layout.o_nid"), "m_match": F.col("from_master.o_nid"), "l_placed": F.col("from_layout.o_x").isNotNull() & F.col("from_layout.o_cx").isNotNull()})
     return met.withColumns({c: F.coalesce(c, f"from_layout.o_{c}", f"from_master.o_{c}") for c in ("x", "y", "cx", "cy")}).drop("from_layout", "from_master")
 
 
+#: A map of places in a group to places around it, as columns: matrix (a, b, c, d) and offset (e, f) for centres, scales of sizes, what a turn is multiplied with and what is added to it (in 60000ths), and which mirrors are swapped.
+_MAP = ["a", "b", "c", "d", "e", "f", "sx", "sy", "sign", "turn", "swap_h", "swap_v"]
+
+
+def _group_map() -> dict[str, Column]:
+    """The map of a group by its own box, turn and mirrors: centres are moved and scaled, then mirrored and turned around its middle; both mirrors together are half a turn."""
+    length = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    h, v = F.col("flip_h"), F.col("flip_v")
+    scale = {c: F.when(F.col(f"ch_c{c}") > 0, length(f"c{c}") / F.col(f"ch_c{c}")).otherwise(1.0) for c in "xy"}
+    angle = F.radians(F.col("rot") / 60000.0)
+    cos, sin, fx, fy = F.cos(angle), F.sin(angle), F.when(h, -1.0).otherwise(1.0), F.when(v, -1.0).otherwise(1.0)
+    half_x, half_y = length("cx") / 2.0, length("cy") / 2.0
+    a, b, c, d = cos * fx * scale["x"], -sin * fy * scale["y"], sin * fx * scale["x"], cos * fy * scale["y"]
+    e = length("x") + half_x - a * length("ch_x") - b * length("ch_y") - cos * fx * half_x + sin * fy * half_y
+    f = length("y") + half_y - c * length("ch_x") - d * length("ch_y") - sin * fx * half_x - cos * fy * half_y
+    turn = F.col("rot") + F.when(h & v, 180.0 * 60000.0).otherwise(0.0)
+    return dict(zip(_MAP, (a, b, c, d, e, f, scale["x"], scale["y"], fx * fy, turn, h & ~v, v & ~h), strict=True))
+
+
+def _after(o, i) -> dict[str, Column]:
+    """The map o(name) after the map i(name)."""
+    return {
+        "a": o("a") * i("a") + o("b") * i("c"), "b": o("a") * i("b") + o("b") * i("d"), "c": o("c") * i("a") + o("d") * i("c"), "d": o("c") * i("b") + o("d") * i("d"),
+        "e": o("a") * i("e") + o("b") * i("f") + o("e"), "f": o("c") * i("e") + o("d") * i("f") + o("f"), "sx": o("sx") * i("sx"), "sy": o("sy") * i("sy"),
+        "sign": o("sign") * i("sign"), "turn": o("sign") * i("turn") + o("turn"), "swap_h": o("swap_h") != i("swap_h"), "swap_v": o("swap_v") != i("swap_v"),
+    }
+
+
 def flattened(found: DataFrame) -> DataFrame:
-    """Shapes with x, y, cx, cy as seen from the slide: offsets and scales of all groups around applied, however deep these lie in each other.
+    """Shapes with x, y, cx, cy, rot and mirrors as seen from the slide: offsets, scales, turns and mirrors of all groups around applied, however deep these lie in each other.
 
     Each round puts a group's map together with that of the group it points to, and lets it point to where that one points: as
-    many rounds as the depth has binary digits.
+    many rounds as the depth has binary digits.  Sizes are scaled along the shape's own axes.  Groups themselves keep no turn and no
+    mirror: what lies in them has it.
     """
-    found = found.persist()
-    length = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    scale = lambda c: F.when(F.col(f"ch_{c}") > 0, length(c) / F.col(f"ch_{c}")).otherwise(1.0)
-    maps = found.filter(F.col("shape") == "grpSp").select("deck_id", "part_path", F.col("nid").alias("at"), F.col("group_nid").alias("up"), *(scale(f"c{c}").alias(f"s{c}") for c in "xy"), *((length(c) - length(f"ch_{c}") * scale(f"c{c}")).alias(f"t{c}") for c in "xy"))
-    maps = maps.persist()
+    keys = ["deck_id", "part_path"]
+    maps = cut(found.filter(F.col("shape") == "grpSp").select(*keys, F.col("nid").alias("at"), F.col("group_nid").alias("up"), *(c.alias(k) for k, c in _group_map().items())))
     while maps.filter("up > 0").limit(1).count():
-        outer = maps.select("deck_id", "part_path", F.col("at").alias("up"), F.col("up").alias("o_up"), *(F.col(f"{k}{c}").alias(f"o_{k}{c}") for k in "st" for c in "xy"))
-        met = maps.join(outer, ["deck_id", "part_path", "up"], "left")
-        own = lambda c, e: F.when(F.col("o_up").isNull(), F.col(c)).otherwise(e)
-        maps = met.select("deck_id", "part_path", "at", F.coalesce("o_up", F.lit(0)).alias("up"), *(own(f"s{c}", F.col(f"s{c}") * F.col(f"o_s{c}")).alias(f"s{c}") for c in "xy"), *(own(f"t{c}", F.col(f"t{c}") * F.col(f"o_s{c}") + F.col(f"o_t{c}")).alias(f"t{c}") for c in "xy")).persist()
-    maps = maps.select("deck_id", "part_path", F.col("at").alias("group_nid"), *(f"{k}{c}" for k in "st" for c in "xy"))
-    met = found.join(maps, ["deck_id", "part_path", "group_nid"], "left")
-    inside = F.col("sx").isNotNull()
-    changed = {c: F.when(inside, F.col(c) * F.col(f"s{c}") + F.col(f"t{c}")).otherwise(F.col(c)) for c in "xy"}
-    changed |= {f"c{c}": F.when(inside, F.col(f"c{c}") * F.col(f"s{c}")).otherwise(F.col(f"c{c}")) for c in "xy"}
-    return met.withColumns(changed).select(*found.columns)
+        outer = maps.select(*keys, F.col("at").alias("up"), F.col("up").alias("o_up"), *(F.col(k).alias(f"o_{k}") for k in _MAP))
+        met = maps.join(outer, [*keys, "up"], "left")
+        both = _after(lambda k: F.col(f"o_{k}"), F.col)
+        maps = cut(met.select(*keys, "at", F.coalesce("o_up", F.lit(0)).alias("up"), *(F.when(F.col("o_up").isNull(), F.col(k)).otherwise(both[k]).alias(k) for k in _MAP)))
+    met = found.join(maps.select(*keys, F.col("at").alias("group_nid"), *(F.col(k).alias(f"g_{k}") for k in _MAP)), [*keys, "group_nid"], "left")
+    inside, g, group = F.col("g_a").isNotNull(), lambda k: F.col(f"g_{k}"), F.col("shape") == "grpSp"
+    length = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    px, py = length("x") + length("cx") / 2.0, length("y") + length("cy") / 2.0
+    new = {
+        "x": g("a") * px + g("b") * py + g("e") - length("cx") * g("sx") / 2.0, "y": g("c") * px + g("d") * py + g("f") - length("cy") * g("sy") / 2.0, "cx": F.col("cx") * g("sx"), "cy": F.col("cy") * g("sy"),
+        "rot": F.pmod(g("sign") * F.col("rot") + g("turn"), F.lit(360.0 * 60000.0)), "flip_h": F.col("flip_h") != g("swap_h"), "flip_v": F.col("flip_v") != g("swap_v"),
+    }
+    # a shape without a place of its own has none in its group either
+    placed = {c: F.when(inside & F.col(c).isNotNull(), new[c]).otherwise(F.col(c)) for c in new}
+    placed |= {c: F.when(group, F.lit(0.0) if c == "rot" else F.lit(False)).otherwise(placed[c]) for c in ("rot", "flip_h", "flip_v")}
+    return met.withColumns(placed).select(*found.columns)

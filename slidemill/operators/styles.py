@@ -1,18 +1,13 @@
-"""Looks: transitions, autofit, fills, shadows, backgrounds, links, colours of series, and what is a shape or a text."""
+"""Transitions, what bodies of text say of themselves, links, colours of series, and what is a shape or a text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.colors import css, modified, on_white, scheme
 from ..functions.text import safe_link
 from ..sources.xmltree import at, attr, number
 
-#: Fills in the order in which the first one counts; colour elements.
-FILLS = ["solidFill", "gradFill", "blipFill", "pattFill", "grpFill", "noFill"]
-COLORS = ["srgbClr", "schemeClr", "sysClr", "prstClr"]
-
 
 def transitions(nodes: DataFrame) -> DataFrame:
     """(deck_id, part_path, type, duration, direction) of slides that have one; durations in milliseconds."""
@@ -25,69 +20,30 @@ def transitions(nodes: DataFrame) -> DataFrame:
 
 
 def bodies(nodes: DataFrame) -> DataFrame:
-    """(deck_id, part_path, owner, valign, vertical, autofit, font_scale) of shapes' text bodies, without inheritance."""
+    """(deck_id, part_path, owner, anchor, vert, autofit, font_scale) of shapes' text bodies, as they say themselves."""
     body = "txBody/bodyPr"
     found = nodes.filter(F.col("owner").isNotNull() & F.col("way").startswith(body)).groupBy("deck_id", "part_path", "owner").agg(
-        at(body, attr("anchor")).alias("anchor"), at(body, attr("vert")).alias("vert"), at(f"{body}/spAutoFit", F.lit(True)).alias("to_shape"), at(f"{body}/normAutofit", F.lit(True)).alias("to_text"), at(f"{body}/normAutofit", number(attr("fontScale"))).alias("scale")
+        at(body, F.nullif(attr("anchor"), F.lit(""))).alias("anchor"), at(body, F.nullif(attr("vert"), F.lit(""))).alias("vert"), at(f"{body}/spAutoFit", F.lit(True)).alias("to_shape"), at(f"{body}/normAutofit", F.lit(True)).alias("to_text"), at(f"{body}/normAutofit", number(attr("fontScale"))).alias("scale")
     )
-    return found.select(
-        "deck_id", "part_path", "owner", valign(F.col("anchor")).alias("valign"), F.coalesce(F.col("vert").isin("eaVert", "vert", "wordArtVert", "vert270"), F.lit(False)).alias("vertical"),
-        F.when(F.col("to_shape"), "shape").when(F.col("to_text"), "text").alias("autofit"), F.when(F.col("to_shape").isNull(), F.col("scale") / 1000.0).alias("font_scale"),
-    )
+    return found.select("deck_id", "part_path", "owner", "anchor", "vert", F.when(F.col("to_shape"), "shape").when(F.col("to_text"), "text").alias("autofit"), F.when(F.col("to_shape").isNull(), F.col("scale") / 1000.0).alias("font_scale"))
 
 
-def valign(anchor: Column) -> Column:
-    return F.when(anchor.isin("ctr", "mid", "middle"), "mid").when(anchor.isin("b", "bottom"), "down").otherwise("up")
+def inherited_bodies(found: DataFrame, said: DataFrame) -> DataFrame:
+    """(deck_id, part_path, nid, valign, vertical, autofit, font_scale) of shapes with text bodies; said: ``bodies``.
 
+    found: shapes with the placeholders that they match (``shapes.inherited``).  What a body doesn't say of its alignment and direction its
+    layout's placeholder says, if it has a body; else its master's, unless the layout's has a place.
+    """
+    behind = lambda part, nid, name: said.select("deck_id", F.col("part_path").alias(part), F.col("owner").alias(nid), F.struct("anchor", "vert").alias(name))
+    met = found.select("deck_id", "part_path", "nid", "layout_part", "master_part", "l_match", "m_match", "l_placed").join(said.withColumnRenamed("owner", "nid"), ["deck_id", "part_path", "nid"])
+    met = met.join(behind("layout_part", "l_match", "l_body"), ["deck_id", "layout_part", "l_match"], "left").join(behind("master_part", "m_match", "m_body"), ["deck_id", "master_part", "m_match"], "left")
+    fallback = F.coalesce("l_body", F.when(~F.coalesce("l_placed", F.lit(False)), F.col("m_body")))
+    vertical = F.coalesce(F.coalesce("vert", fallback["vert"]).isin("eaVert", "vert", "wordArtVert", "vert270"), F.lit(False))
+    return met.select("deck_id", "part_path", "nid", valign(F.coalesce("anchor", fallback["anchor"])).alias("valign"), vertical.alias("vertical"), "autofit", "font_scale")
 
-def colors(nodes: DataFrame) -> DataFrame:
-    """(deck_id, part_path, holder, tag, value, mods): the first colour in each element that holds one, with its modifiers in order."""
-    keys = ["deck_id", "part_path"]
-    c = nodes.filter(F.col("tag").isin(*COLORS)).select(*keys, F.col("parent").alias("holder"), F.col("nid").alias("c"), "tag", F.when(F.col("tag") == "sysClr", F.coalesce(attr("lastClr"), attr("val"))).otherwise(attr("val")).alias("value"))
-    c = c.groupBy(*keys, "holder").agg(F.min_by(F.struct("c", "tag", "value"), "c").alias("x")).select(*keys, "holder", "x.*")
-    mod = nodes.filter(attr("val").isNotNull()).select(*keys, F.col("parent").alias("c"), F.struct("nid", F.col("tag").alias("name"), number(attr("val")).alias("val")).alias("mod"))
-    mods = c.select(*keys, "c").join(mod, [*keys, "c"]).groupBy(*keys, "c").agg(F.transform(F.array_sort(F.collect_list("mod")), lambda m: F.struct(m["name"].alias("name"), m["val"].alias("val"))).alias("mods"))
-    none = F.array().cast("array<struct<name:string,val:double>>")
-    return c.join(mods, [*keys, "c"], "left").select(*keys, "holder", "tag", "value", F.coalesce("mods", none).alias("mods"))
-
-
-def resolved(override: Column, mapped: Column, theme: Column) -> Column:
-    """A struct hex, alpha of a row of colors(): names of a scheme by maps, then the modifiers; black where nothing is known."""
-    base = F.when(F.col("tag") == "schemeClr", scheme(F.col("value"), override, mapped, theme)).otherwise(F.col("value"))
-    return modified(F.coalesce(base, F.lit("000000")), F.col("mods"))
-
-
-def fills(nodes: DataFrame) -> DataFrame:
-    """(deck_id, part_path, owner, fill, holder): the fill of each shape that counts, and its element."""
-    place = F.array_position(F.array(*map(F.lit, FILLS)), F.col("tag"))
-    own = nodes.filter(F.col("tag").isin(*FILLS) & (F.col("way") == F.concat(F.lit("spPr/"), F.col("tag"))))
-    return own.groupBy("deck_id", "part_path", "owner").agg(F.min_by(F.struct(F.col("tag").alias("fill"), F.col("nid").alias("holder")), F.struct(place, "nid")).alias("x")).select("deck_id", "part_path", "owner", "x.*")
-
-
-def shadows(nodes: DataFrame) -> DataFrame:
-    """(deck_id, part_path, owner, inset, h, v, blur): outer shadows before inner ones, in points; an inner one lies nowhere aside."""
-    way = "spPr/effectLst"
-    found = nodes.filter(F.col("tag").isin("outerShdw", "innerShdw") & F.col("way").startswith(way)).groupBy("deck_id", "part_path", "owner").agg(F.min_by(F.struct("tag", "attrs"), F.struct(F.col("tag") == "innerShdw", "nid")).alias("s"))
-    of = lambda name: F.coalesce(number(F.col("s.attrs")[name]), F.lit(0.0))
-    inset, angle, far = F.col("s.tag") == "innerShdw", F.radians(of("dir") / 60000.0), of("dist") / 12700.0
-    aside = lambda f: F.when(inset, 0.0).otherwise(far * f(angle))
-    return found.select("deck_id", "part_path", "owner", inset.alias("inset"), aside(F.cos).alias("h"), aside(F.sin).alias("v"), (of("blurRad") / 12700.0).alias("blur"))
-
-
-def backgrounds(chain: DataFrame, nodes: DataFrame) -> DataFrame:
-    """chain with fill: the plain colour behind each slide, its own, the layout's or the master's, laid on white; white where there is none."""
-    keys = ["deck_id", "part_path"]
-    bg = nodes.filter((F.col("tag") == "bg") & (F.col("depth") == 2)).select(*keys, F.col("nid").alias("bg"), "last")
-    solid = nodes.filter(F.col("tag") == "solidFill").select(*keys, F.col("nid").alias("holder"))
-    shown = bg.join(solid, keys, "left").withColumn("holder", F.when((F.col("holder") > F.col("bg")) & (F.col("holder") <= F.col("last")), F.col("holder")))
-    shown = shown.groupBy(*keys, "bg").agg(F.min("holder").alias("holder")).join(colors(nodes), [*keys, "holder"], "left")
-    none = F.create_map().cast("map<string,string>")
-    value = F.when(F.col("tag").isNotNull(), on_white(resolved(none, none, none))).otherwise("#ffffff")
-    own = shown.select(*keys, value.alias("fill"))
-    out = chain
-    for level in ("slide_part", "layout_part", "master_part"):
-        out = out.join(own.select("deck_id", F.col("part_path").alias(level), F.col("fill").alias(f"__{level}")), ["deck_id", level], "left")
-    return out.select(*chain.columns, F.coalesce("__slide_part", "__layout_part", "__master_part", F.lit("#ffffff")).alias("fill"))
+
+def valign(anchor: Column) -> Column:
+    return F.when(anchor.isin("ctr", "mid", "middle"), "mid").when(anchor.isin("b", "bottom"), "down").otherwise("up")
 
 
 def links(found: DataFrame, rels: DataFrame) -> DataFrame:
@@ -121,26 +77,3 @@ def is_text(text_box: Column, ph_type: Column, custom: Column, prst: Column, has
         .otherwise(True)
     )
 
-
-
-def gradients(nodes: DataFrame) -> DataFrame:
-    """(deck_id, part_path, holder, type, angle, cx, cy, path, stops) of gradients with stops: (position in percent, colour) by position.
-
-    Colours are those written out; names of a scheme count as black here.
-    """
-    keys = ["deck_id", "part_path"]
-    none = F.create_map().cast("map<string,string>")
-    grad = nodes.filter(F.col("tag") == "gradFill").select(*keys, F.col("nid").alias("holder"), F.col("last").alias("end"))
-    shown = css(resolved(none, none, none))
-    gs = nodes.filter(F.col("tag") == "gs").select(*keys, F.col("nid").alias("gs"), (F.coalesce(number(attr("pos")), F.lit(0.0)) / 1000.0).alias("position"))
-    stop = gs.join(colors(nodes).withColumnRenamed("holder", "gs"), [*keys, "gs"]).select(*keys, "gs", "position", shown.alias("color"))
-    stops = grad.join(stop, keys).filter("gs > holder AND gs <= end").groupBy(*keys, "holder").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "gs", "color"))), lambda s: F.struct(s["position"].alias("position"), s["color"].alias("color"))).alias("stops"))
-    inner = nodes.filter(F.col("tag").isin("lin", "path", "fillToRect")).select(*keys, F.col("nid").alias("at"), "tag", "attrs")
-    way = grad.join(inner, keys).filter("at > holder AND at <= end").groupBy(*keys, "holder").agg(*(F.min_by("attrs", F.when(F.col("tag") == t, F.col("at"))).alias(t) for t in ("lin", "path", "fillToRect")))
-    side = lambda c: F.coalesce(number(F.col("fillToRect")[c]), F.lit(0.0)) / 100000.0
-    kind = F.col("path")["path"]
-    radial = F.col("lin").isNull() & F.coalesce(kind.isin("circle", "shape", "rect"), F.lit(False))
-    middle = lambda a, b: F.when(radial, (side(a) + (F.lit(1.0) - side(b))) / 2.0)
-    return stops.join(way, [*keys, "holder"], "left").select(
-        *keys, "holder", F.when(radial, "radial").otherwise("linear").alias("type"), F.coalesce(number(F.col("lin")["ang"]) / 60000.0, F.lit(0.0)).alias("angle"), middle("l", "r").alias("cx"), middle("t", "b").alias("cy"), F.when(radial, kind).alias("path"), "stops"
-    )

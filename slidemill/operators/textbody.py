@@ -34,7 +34,7 @@ def _run_style(first, attrs: Column, prefix: str, fill: Column) -> Column:
     return F.struct(
         (number(attrs["sz"]) / 100.0).alias("size"), on("b").alias("bold"), on("i").alias("italic"), line("u", "none").alias("under"), line("strike", "noStrike").alias("strike"), (number(attrs["spc"]) / 100.0).alias("spacing"),
         (number(attrs["kern"]) / 100.0).alias("kern"), attrs["cap"].alias("cap"), number(attrs["baseline"]).alias("baseline"), F.nullif(face("latin"), F.lit("")).alias("latin"), F.nullif(face("ea"), F.lit("")).alias("ea"),
-        F.nullif(face("cs"), F.lit("")).alias("cs"), fill.alias("fill"), first(f"{prefix}noFill").isNotNull().alias("no_fill"), F.coalesce(first(f"{prefix}hlinkClick")["r:id"], first(f"{prefix}hlinkClick")["id"]).alias("link_rid"), first(f"{prefix}sym")["typeface"].alias("sym"),
+        F.nullif(face("cs"), F.lit("")).alias("cs"), fill.alias("fill"), first(f"{prefix}noFill").isNotNull().alias("no_fill"), first(f"{prefix}gradFill").isNotNull().alias("gradient"), F.coalesce(first(f"{prefix}hlinkClick")["r:id"], first(f"{prefix}hlinkClick")["id"]).alias("link_rid"), first(f"{prefix}sym")["typeface"].alias("sym"),
     )
 
 
@@ -135,12 +135,16 @@ def theme_fonts(nodes: DataFrame) -> DataFrame:
     return one.groupBy("deck_id", "theme_part").agg(F.map_from_entries(F.collect_list(F.struct("name", "face"))).alias("fonts"))
 
 
-def run_css(style: Column, own: Column, link: Column, hlink: Column, fonts: Column) -> Column:
-    """The style attribute of a run: properties in a fixed order.  own: what the run itself says; link: where it leads."""
+def run_css(style: Column, own: Column, link: Column, hlink: Column, fonts: Column, font_color: Column) -> Column:
+    """The style attribute of a run: properties in a fixed order.  own: what the run itself says; link: where it leads; font_color: of its shape's reference,
+    which counts before what is inherited and after the run's own.
+    """
     size = F.coalesce(F.when(style["size"] != 0, style["size"]), F.lit(12.0))
     pt = lambda name, value: F.concat(F.lit(f"{name}: "), js_number(value), F.lit("pt"))
     lines = F.array_compact(F.array(F.when(style["under"], F.lit("underline")), F.when(style["strike"], F.lit("line-through"))))
-    color = F.when(link.isNotNull() & own["fill"].isNull() & hlink.isNotNull(), F.concat(F.lit("#"), F.regexp_replace(hlink, "^#", ""))).otherwise(F.coalesce(style["color"], F.lit("#000000")))
+    explicit = own["fill"].isNotNull() | F.coalesce(own["gradient"], F.lit(False))
+    inherited = F.coalesce(F.when(~explicit, font_color), style["color"], F.lit("#000000"))
+    color = F.when(link.isNotNull() & ~explicit & hlink.isNotNull(), F.concat(F.lit("#"), F.regexp_replace(hlink, "^#", ""))).otherwise(inherited)
     fallback = F.coalesce(F.nullif(fonts["+mn-lt"], F.lit("")), F.nullif(fonts["+mn-ea"], F.lit("")))
     font = F.coalesce(theme_font(style["font"], fonts), fallback)
     shift = style["baseline"] / 1000.0
@@ -166,19 +170,18 @@ def paragraph_css(style: Column, size: Column, tabs: Column, no_wrap: Column) ->
     return F.array_join(F.array_compact(F.array(*parts)), ";")
 
 
-def html(bodies: DataFrame, nodes: DataFrame, on_layouts: DataFrame, on_masters: DataFrame, paint: DataFrame, rels: DataFrame, palette: DataFrame) -> DataFrame:
+def html(bodies: DataFrame, nodes: DataFrame, paint: DataFrame, rels: DataFrame, palette: DataFrame) -> DataFrame:
     """(deck_id, part_path, nid, html): text bodies of shapes as HTML.
 
-    bodies: (deck_id, part_path, nid, ph, ph_type, ph_idx, layout_part, master_part); the others: XML elements, shapes of layouts and masters, colours
-    (``palette.painted``), relationships and palettes.
+    bodies: (deck_id, part_path, nid, ph, ph_type, layout_part, master_part, l_ph, m_ph, font_color), with the placeholders whose styles they take; the others: XML
+    elements, colours (``palette.painted``), relationships and palettes.
     """
     styles = level_styles(nodes)
     colored = lambda rows, holder, name: rows.join(paint.select(*KEYS, F.col("holder").alias(holder), css(F.col("color")).alias(name)), [*KEYS, holder], "left")
     styles = colored(styles.withColumn("__fill", F.col("style.run.fill")), "__fill", "__css").withColumn("style", F.struct("style.*", F.col("__css").alias("color")))
     styles = colored(styles.withColumn("__bu", F.col("style.bu_color")), "__bu", "__bu_css").withColumn("style", F.col("style").withField("bu_css", F.col("__bu_css"))).drop("__fill", "__css", "__bu", "__bu_css")
     styles = cut(styles)  # it is looked up ten times
-    shape = style_placeholder(style_placeholder(bodies, "layout_part", on_layouts, "l_ph"), "master_part", on_masters, "m_ph")
-    shape = shape.withColumn("list", category(F.col("ph"), F.col("ph_type")))
+    shape = bodies.withColumn("list", category(F.col("ph"), F.col("ph_type")))
     para = nodes.filter(F.col("tag") == "p").select(*KEYS, F.col("owner").alias("nid"), F.col("nid").alias("para"))
     own = paragraph_styles(nodes)
     level = nodes.filter((F.col("way") == "txBody/p/pPr")).groupBy(*KEYS, "para").agg(F.min_by(F.col("attrs")["lvl"].try_cast("int"), "nid").alias("level"))
@@ -202,12 +205,12 @@ def html(bodies: DataFrame, nodes: DataFrame, on_layouts: DataFrame, on_masters:
     met = joined(met, "part_path", F.col("nid"), lst, "s5")
     levels = [F.col(f"s{i}") for i in range(1, 7)]
     given = F.array(*(F.when(x.isNotNull(), x["run"].withField("color", x["color"])) for x in levels))
-    met = cut(met.select(*KEYS, "nid", "para", "ph_type", cascade(levels).alias("style"), given.alias("given"), _fold(levels, lambda x: x["bu_css"]).alias("bu_css")))
+    met = cut(met.select(*KEYS, "nid", "para", "ph_type", "font_color", cascade(levels).alias("style"), given.alias("given"), _fold(levels, lambda x: x["bu_css"]).alias("bu_css")))
     # runs with their own styles on top
     runs = run_rows(nodes)
     runs = colored(runs.withColumn("__fill", F.col("style.fill")), "__fill", "__css").withColumn("own", F.col("style").withField("color", F.col("__css"))).select(*KEYS, "para", "run", "text", "own")
     look = palette.join(theme_fonts(nodes), ["deck_id", "theme_part"], "left").select(*KEYS, F.col("theme")["hlink"].alias("hlink"), F.coalesce("fonts", F.create_map().cast("map<string,string>")).alias("fonts"))
-    runs = runs.join(met.select(*KEYS, "para", "given"), [*KEYS, "para"]).join(look, KEYS, "left").withColumn("fonts", F.coalesce("fonts", F.create_map().cast("map<string,string>")))
+    runs = runs.join(met.select(*KEYS, "para", "given", "font_color"), [*KEYS, "para"]).join(look, KEYS, "left").withColumn("fonts", F.coalesce("fonts", F.create_map().cast("map<string,string>")))
     given = [F.col("given")[i] for i in range(6)]
     runs = runs.withColumn("style", run_cascade([*given, F.col("own")]))
     address = rels.select("deck_id", F.col("source_part").alias("part_path"), F.col("rid").alias("link_rid"), F.when((F.col("mode") == "External") & safe_link(F.col("target")), F.col("target")).alias("link"))
@@ -215,7 +218,7 @@ def html(bodies: DataFrame, nodes: DataFrame, on_layouts: DataFrame, on_masters:
     sym = F.col("own.sym")
     text = F.when(symbols.is_symbol_font(sym), F.array_join(F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: symbols.symbol(c, sym)), "")).otherwise(F.col("text"))
     tab = F.when(F.contains("text", F.lit("\t")), ";white-space: pre").otherwise("")
-    runs = runs.withColumn("css", F.concat(run_css(F.col("style"), F.col("own"), F.col("link"), F.col("hlink"), F.col("fonts")), tab)).withColumn("inner", run_html(text))
+    runs = runs.withColumn("css", F.concat(run_css(F.col("style"), F.col("own"), F.col("link"), F.col("hlink"), F.col("fonts"), F.col("font_color")), tab)).withColumn("inner", run_html(text))
     one = F.struct("run", "text", "css", "inner", "link", F.col("style.size").alias("size"), F.col("own.size").alias("own_size"), F.col("style.color").alias("color"))
     runs = cut(runs.select(*KEYS, "para", "run", "text", "css", "inner", "link", "style", "own"))
     lines = runs.groupBy(*KEYS, "para").agg(F.array_sort(F.collect_list(one)).alias("runs"))
@@ -235,7 +238,7 @@ def html(bodies: DataFrame, nodes: DataFrame, on_layouts: DataFrame, on_masters:
     sign = F.when(symbolic, symbols.symbol(sign, F.col("style.bu_font"))).otherwise(sign)
     family = F.when(~symbolic & F.col("style.bu_font").isNotNull(), F.concat(F.lit("font-family: "), F.col("style.bu_font"), F.lit(";"))).otherwise("")
     height = F.when(F.col("style.bu_size") != 1, F.concat(F.lit("font-size: "), F.format_string("%.1f", size * F.col("style.bu_size")), F.lit("pt;")))
-    ink = F.coalesce("bu_css", *(F.col("given")[i]["color"] for i in reversed(range(6))), F.try_element_at("runs", F.lit(1))["color"], F.lit("#000000"))
+    ink = F.coalesce("bu_css", *(F.col("given")[i]["color"] for i in reversed(range(6))), F.try_element_at("runs", F.lit(1))["color"], F.col("font_color"), F.lit("#000000"))
     bullet = F.when(F.col("use").isNotNull(), F.concat(F.lit('<span style="'), family, F.coalesce(height, F.lit("")), F.lit("color: "), ink, F.lit(';">'), escape(sign), F.lit(" </span>"))).otherwise("")
     split = F.col("style.absolute") & F.exists("runs", lambda r: r["text"] == "\n") & F.col("style.line").isNotNull()
     open_line = F.concat(F.lit('<div style="height: '), F.coalesce("style.line", F.lit("")), F.lit(';overflow: visible">'))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.colors import css
 from ..functions.media import media_type
 from ..functions.outlines import preset_path
-from ..operators import frames, looks, package, shapes, styles, textbody
-from ..operators.palette import painted, palettes
+from ..operators import frames, looks, matrix, package, shapes, styles, textbody
+from ..operators.palette import painted, palettes, raw_colors
 from ..sources import archive, xmltree
 from ..storage import cut
 
@@ -26,14 +27,25 @@ class Deck:
         return package.slides(self.nodes, self.rels, self.parts)
 
 
-def elements(deck: Deck, order: DataFrame) -> DataFrame:
+class Colors:
+    """What colours of a deck come from: raw colours, palettes of parts with the styles of their themes, and colours where they stand."""
+
+    def __init__(self, deck: Deck):
+        raws = cut(raw_colors(deck.nodes))
+        self.styles = matrix.Styles(deck.nodes, raws)
+        self.palette = cut(self.styles.scopes(palettes(deck.nodes, deck.rels)))
+        self.paint = cut(painted(raws, self.palette))
+
+
+def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> DataFrame:
     """(deck_id, part_path, nid, ph, element): every shape of slides, layouts and masters as a document has it; order: the chain of slides.
 
-    Places are those on the slide, whatever groups are around; group is the group's nid, 0 outside of groups.
+    Places, turns and mirrors are those on the slide, whatever groups are around; group is the group's nid, 0 outside of groups.  Frames
+    that hold neither a table, a chart, a diagram nor a picture of an object are left out.
     """
     nodes, rels = deck.nodes, deck.rels
-    palette = cut(palettes(nodes, rels))
-    paint = cut(painted(nodes, palette))
+    colors = colors or Colors(deck)
+    palette, paint = colors.palette, colors.paint
     found = cut(shapes.flattened(cut(shapes.shapes(nodes))))
     behind = lambda part: found.filter(F.col("part_path").startswith(part))
     on_layouts, on_masters = behind("ppt/slideLayouts/"), behind("ppt/slideMasters/")
@@ -42,17 +54,22 @@ def elements(deck: Deck, order: DataFrame) -> DataFrame:
     # placeholders that nothing places stay, at 0
     own = shapes.inherited(cut(own), on_layouts, on_masters).withColumnRenamed("slide_part", "part_path")
     masters = package.first_rel(rels, "slideMaster").select("deck_id", F.col("source_part").alias("part_path"), F.col("resolved").alias("master_part"))
-    layouts = on_layouts.withColumn("layout_part", F.col("part_path")).join(masters, ["deck_id", "part_path"], "left")
-    rest = on_masters.withColumns({"layout_part": F.lit(None).cast("string"), "master_part": F.col("part_path")})
+    unmatched = {"l_match": F.lit(None).cast("int"), "m_match": F.lit(None).cast("int"), "l_placed": F.lit(False)}
+    layouts = on_layouts.withColumns({"layout_part": F.col("part_path")} | unmatched).join(masters, ["deck_id", "part_path"], "left")
+    rest = on_masters.withColumns({"layout_part": F.lit(None).cast("string"), "master_part": F.col("part_path")} | unmatched)
     found = cut(shapes.boxes(own.unionByName(layouts.select(own.columns)).unionByName(rest.select(own.columns))))
     keys, by_nid = ["deck_id", "part_path"], ["deck_id", "part_path", "nid"]
     owned = lambda rows: rows.withColumnRenamed("owner", "nid")
-    html = textbody.html(found.select(*by_nid, "ph", "ph_type", "ph_idx", "layout_part", "master_part"), nodes, on_layouts, on_masters, paint, rels, palette)
+    refs = cut(looks.references(nodes, paint))
+    inks = refs.filter("font_color IS NOT NULL").select(*keys, F.col("owner").alias("nid"), css(F.col("font_color")).alias("font_color"))
+    shown = textbody.style_placeholder(textbody.style_placeholder(found, "layout_part", on_layouts, "l_ph"), "master_part", on_masters, "m_ph")
+    shown = cut(shown.select(*by_nid, "ph", "ph_type", "ph_idx", "layout_part", "master_part", "l_ph", "m_ph").join(inks, by_nid, "left"))
+    html = textbody.html(shown, nodes, paint, rels, palette)
     seen = nodes.filter((F.col("tag") == "t") & (F.trim("text") != "")).select(*keys, F.col("owner").alias("nid")).distinct().withColumn("has_text", F.lit(True))
-    fill = cut(looks.fills(nodes, paint))
-    line = looks.lines(nodes, paint, looks.references(nodes, paint), palette)
-    line = line.select(*keys, "owner", looks.border(F.struct("width", "color", "dash", "none", "stops")).alias("border"), "head", "tail")
-    line = cut(line)
+    line = F.col("line")
+    own = looks.own_looks(colors.styles, refs, palette, looks.inherited_contents(shown, colors.styles))
+    look = cut(own.select(*by_nid, "own_fill", "theme_fill", "more_fill", looks.border(F.when(line.isNotNull(), line)).alias("border"), line["head"].alias("head"), line["tail"].alias("tail"), "shadow"))
+    groups = looks.group_fills(found, colors.styles, palette)
     table = nodes.filter(F.col("tag") == "tbl").select(*keys, F.col("nid").alias("frame"), F.col("owner").alias("nid"))
     cell = F.struct("row", "col", "text", "grid_span", "row_span")
     tables = frames.cells(nodes).groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(cell)).alias("cells")).join(table, [*keys, "frame"]).select(*by_nid, "cells")
@@ -63,29 +80,36 @@ def elements(deck: Deck, order: DataFrame) -> DataFrame:
     target = rels.select("deck_id", F.col("source_part").alias("part_path"), "rid", F.col("resolved").alias("target"))
     met = styles.links(found, rels).join(target, [*keys, "rid"], "left").join(charts, ["deck_id", "target"], "left")
     # what is known of shapes meets in one grouping instead of a join for each table
-    shadow = styles.shadows(nodes).select(*keys, "owner", F.struct("h", "v", "blur", "inset").alias("shadow"))
     more = html
-    for rows in (seen, tables, *map(owned, (fill, line, shadow, styles.bodies(nodes), looks.adjustments(nodes), looks.crops(nodes)))):
+    for rows in (seen, tables, look, styles.inherited_bodies(found, styles.bodies(nodes)), *map(owned, (looks.adjustments(nodes), looks.crops(nodes)))):
         more = more.unionByName(rows, allowMissingColumns=True)
     more = more.groupBy(*by_nid).agg(*(F.first(c, True).alias(c) for c in more.columns if c not in by_nid))
-    met = met.join(more, by_nid, "left")
-    painted_ = F.coalesce((F.col("fill.type") != "color") | (F.col("fill.color") != "transparent"), F.lit(False)) | F.coalesce(F.col("border.width") > 0, F.lit(False))
+    met = met.join(more, by_nid, "left").join(groups, [*keys, "group_nid"], "left")
+    drawn = F.col("shape").isin("sp", "cxnSp")
+    lineal = looks.line_like(F.col("shape"), F.col("prst"), F.col("width") / 0.75, F.col("height") / 0.75)
+    own = F.when(F.col("own_fill.type") == "group", F.col("group_fill")).otherwise(F.col("own_fill"))
+    met = met.withColumn("fill", F.when(~lineal, F.coalesce(own, "theme_fill", F.when(F.col("ph"), F.col("more_fill")))))
+    fill = F.col("fill")
+    # a picture paints nothing by itself, what is said to be clear does
+    painted_ = (F.coalesce(fill["type"] != "image", F.lit(False)) | (~lineal & F.col("theme_fill").isNotNull())) | F.coalesce(F.col("border.width") > 0, F.lit(False))
     text = styles.is_text(F.col("text_box"), F.col("ph_type"), F.col("custom"), F.col("prst"), F.coalesce("has_text", F.lit(False)), painted_)
     kind = (
-        F.when(F.col("shape") == "grpSp", "group").when(F.col("cells").isNotNull(), "table").when(F.contains("uri", F.lit("chart")), "chart").when(F.col("shape") == "graphicFrame", F.when(F.contains("uri", F.lit("diagram")), "diagram").otherwise("frame"))
+        F.when(F.col("formula").isNotNull() | (F.col("ole") == "word"), "math").when(F.col("shape") == "grpSp", "group").when(F.col("cells").isNotNull(), "table").when(F.contains("uri", F.lit("chart")), "chart")
+        .when(F.col("shape") == "graphicFrame", F.when(F.contains("uri", F.lit("diagram")), "diagram").when(F.contains("uri", F.lit("ole")) & (F.col("ole") == "picture"), "image").otherwise("frame"))
         .when(F.col("shape") == "pic", F.when(F.col("video_rid").isNotNull(), "video").when(F.col("audio_rid").isNotNull(), "audio").otherwise("image")).when(text, "text").otherwise("shape")
     )
-    drawn = F.col("shape").isin("sp", "cxnSp")
     path = F.when(drawn & F.col("prst").isNotNull(), preset_path(F.col("prst"), F.col("width"), F.col("height")))
-    lineal = looks.line_like(F.col("shape"), F.col("prst"), F.col("width") / 0.75, F.col("height") / 0.75)
-    filled = F.when(drawn & lineal, F.lit(None)).otherwise(F.col("fill"))
-    medium = F.when(F.col("shape") == "pic", F.col("target"))
+    filled = F.when(drawn, F.coalesce(fill, matrix.plain(F.lit("transparent"))))
+    medium = F.when((F.col("shape") == "pic") | F.col("ole").isNotNull() | F.col("formula").isNotNull(), F.col("target"))
+    # a line along an axis is a pixel thick
+    axis = F.when(drawn & lineal & ((F.col("width") >= 0.75) | (F.col("height") >= 0.75)), looks.line_axis(F.col("width") / 0.75, F.col("height") / 0.75))
+    thick = {"width": F.when((axis == "v") & (F.col("width") < 0.75), 0.75).otherwise(F.col("width")), "height": F.when((axis == "h") & (F.col("height") < 0.75), 0.75).otherwise(F.col("height"))}
     element = F.struct(
-        "nid", kind.alias("type"), "name", "left", "top", "width", "height", "rotate", F.col("flip_h").alias("isFlipH"), F.col("flip_v").alias("isFlipV"), F.col("prst").alias("shapType"), path.alias("path"), F.col("html").alias("content"),
-        filled.alias("fill"), "border", "shadow", "link", F.when(drawn, F.col("valign")).alias("vAlign"), F.when(drawn, F.col("vertical")).alias("isVertical"), "autofit", "font_scale", "keypoints", "head", "tail", "crop", medium.alias("ref"), media_type(medium).alias("media_type"),
-        F.col("cells").alias("cells"), "chart", F.col("group_nid").alias("group"),
+        "nid", kind.alias("type"), "name", "left", "top", *(c.alias(k) for k, c in thick.items()), "rotate", F.col("flip_h").alias("isFlipH"), F.col("flip_v").alias("isFlipV"), F.col("prst").alias("shapType"), path.alias("path"), F.col("html").alias("content"),
+        filled.alias("fill"), F.when(drawn, F.coalesce("border", looks.no_border())).alias("border"), "shadow", "link", F.when(drawn, F.col("valign")).alias("vAlign"), F.when(drawn, F.col("vertical")).alias("isVertical"), "autofit", "font_scale", "keypoints", "head", "tail", "crop", medium.alias("ref"), media_type(medium).alias("media_type"),
+        F.col("cells").alias("cells"), "chart", F.col("group_nid").alias("group"), F.col("formula").alias("text"),
     )
-    return met.select(*by_nid, "ph", "cx", "cy", element.alias("element"))
+    return met.select(*by_nid, "ph", "cx", "cy", element.alias("element")).filter("element.type <> 'frame'")
 
 
 def documents(decks: DataFrame) -> DataFrame:
@@ -97,7 +121,8 @@ def documents(decks: DataFrame) -> DataFrame:
     deck.parts, deck.nodes = cut(deck.parts.drop("content")), cut(deck.nodes)
     deck.rels = cut(package.relationships(deck.nodes))
     order = cut(package.chain(deck.slides(), deck.rels))
-    every = cut(elements(deck, order))
+    colors = Colors(deck)
+    every = cut(elements(deck, order, colors))
     listed = lambda rows, part, name: rows.groupBy("deck_id", F.col("part_path").alias(part)).agg(F.array_sort(F.collect_list("element"), lambda a, b: a["nid"] - b["nid"]).alias(name))
     own = listed(every, "slide_part", "elements")
     seen = styles.decorations(every)
@@ -105,7 +130,7 @@ def documents(decks: DataFrame) -> DataFrame:
     shows = package.master_shapes_shown(deck.nodes)
     of = lambda part, name: shows.select("deck_id", F.col("part_path").alias(part), F.col("shows").alias(name))
     none = F.array().cast(own.schema["elements"].dataType)
-    met = styles.backgrounds(order, deck.nodes).withColumnRenamed("fill", "background")
+    met = matrix.backgrounds(order, colors.styles, colors.palette, deck.rels, deck.parts.filter("kind = 'media'"))
     for rows, on in ((own, "slide_part"), (on_layout, "layout_part"), (on_master, "master_part"), (of("slide_part", "slide_shows"), "slide_part"), (of("layout_part", "layout_shows"), "layout_part"), (package.notes(deck.nodes, deck.rels), "slide_part")):
         met = met.join(rows, ["deck_id", on], "left")
     change = styles.transitions(deck.nodes).select("deck_id", F.col("part_path").alias("slide_part"), F.struct("type", "duration", "direction").alias("transition"))

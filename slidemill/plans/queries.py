@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import colors, media, outlines, text, units
-from ..operators import frames, looks, package, shapes, styles
-from ..operators.palette import painted, palettes
+from ..operators import frames, looks, matrix, package, shapes, styles, textbody
+from ..operators.palette import palettes, raw_colors
 from ..sources import archive, builder, xmltree
 from ..sources.builder import text as put
 from ..storage import cut
-from .document import Deck, as_json, documents, elements
+from .document import Colors, Deck, as_json, documents, elements
 from .structure import structure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ def _one_slide(rows: DataFrame, deck: Column, children: Column, order: str) -> D
     return builder.gathered(each, ["deck_id"], order, "xml").select("deck_id", F.lit(1).alias("n"), F.lit(1).alias("at"), builder.page(F.col("xml")).alias("xml"))
 
 
+def _looks(deck: Deck) -> DataFrame:
+    """Fills, lines and shadows of the shapes of decks."""
+    colors_ = Colors(deck)
+    return looks.own_looks(colors_.styles, looks.references(deck.nodes, colors_.paint), colors_.palette)
+
+
 def _sp(id: Column, name: Column, value: Column, **more) -> Column:
     return builder.shape(id, name, body=builder.paragraph(builder.run(value)), **more)
 
@@ -480,11 +486,11 @@ def bodies_and_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchor = F.when(s % 3 == 0, ' anchor="ctr"').when(s % 3 == 1, ' anchor="b"').otherwise("")
     fill = F.when(s % 4 == 0, "<a:noFill/>").when(s % 4 == 1, "<a:gradFill/><a:solidFill/>").otherwise("<a:noFill/><a:gradFill/>")
     shape = put('<p:sp><p:nvSpPr><p:cNvPr id="', F.col("p_partkey"), '" name="s"/></p:nvSpPr><p:spPr>', fill, "</p:spPr><p:txBody><a:bodyPr", anchor, ">", fit, "</a:bodyPr></p:txBody></p:sp>")
-    nodes = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes
+    nodes = cut(Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes)
     keys = ["deck_id", "part_path", "owner"]
     ids = shapes.shapes(nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id")
-    met = ids.join(styles.bodies(nodes), keys).join(styles.fills(nodes), keys)
-    return met.select(_whole(F.col("id")).alias("part"), "valign", "autofit", "font_scale", "fill")
+    met = ids.join(styles.bodies(nodes), keys).join(matrix.Styles(nodes, raw_colors(nodes)).own("spPr"), keys)
+    return met.select(_whole(F.col("id")).alias("part"), styles.valign(F.col("anchor")).alias("valign"), "autofit", "font_scale", F.col("content.tag").alias("fill"))
 
 
 @_query(
@@ -496,9 +502,10 @@ def shadow_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(s % 2 == 1, "innerShdw").otherwise("outerShdw")
     effect = put("<a:effectLst><a:", tag, ' dir="', s * 7 * 60000, '" dist="', s * 12700, '" blurRad="50800"/></a:effectLst>')
     shape = builder.shape(F.col("p_partkey"), F.lit("s"), geometry=effect)
-    nodes = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes
-    ids = shapes.shapes(nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id")
-    met = ids.join(styles.shadows(nodes), ["deck_id", "part_path", "owner"])
+    deck = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey")))
+    deck.nodes = cut(deck.nodes)
+    ids = shapes.shapes(deck.nodes).select("deck_id", "part_path", "nid", "id")
+    met = ids.join(_looks(deck).select("deck_id", "part_path", "nid", "shadow.*"), ["deck_id", "part_path", "nid"])
     return met.select(_whole(F.col("id")).alias("part"), "inset", (F.round("h", 6) + 0.0).alias("h"), (F.round("v", 6) + 0.0).alias("v"), "blur")
 
 
@@ -514,8 +521,10 @@ def background_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     layouts = nation.select(deck).distinct().select("deck_id", F.lit("ppt/slideLayouts/slideLayout1.xml").alias("part_path"), page(bg('<a:srgbClr val="112233"/>'), "sldLayout").alias("content"))
     rels = nation.filter(k % 3 != 2).select(deck, put("ppt/slides/_rels/slide", k, ".xml.rels").alias("part_path"), builder.relationships(builder.relationship("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml")).alias("content"))
     made = Deck(builder.decks(slides, layouts.unionByName(rels)))
-    found = styles.backgrounds(package.chain(made.slides(), made.rels), made.nodes)
-    return found.select(_whole(F.regexp_extract("slide_part", r"(\d+)\.xml$", 1)).alias("nation"), "fill")
+    made.nodes = cut(made.nodes)
+    colors_ = Colors(made)
+    found = matrix.backgrounds(package.chain(made.slides(), made.rels), colors_.styles, colors_.palette, made.rels, made.parts.filter("kind = 'media'"))
+    return found.select(_whole(F.regexp_extract("slide_part", r"(\d+)\.xml$", 1)).alias("nation"), F.col("background.color").alias("fill"))
 
 
 @_query("SELECT CAST(n_nationkey AS BIGINT) AS nation, CASE n_nationkey % 3 WHEN 0 THEN '#slide-' || n_nationkey WHEN 1 THEN 'https://example.org/' || n_nationkey END AS link FROM nation")
@@ -602,7 +611,7 @@ def font_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     """SELECT p_partkey AS part, CASE p_size % 3 WHEN 2 THEN 'radial' ELSE 'linear' END AS type, CAST(CASE p_size % 3 WHEN 0 THEN p_size ELSE 0 END AS DOUBLE) AS angle, CAST(CASE p_size % 3 WHEN 2 THEN 0.25 END AS DOUBLE) AS cx,
-    '0:#000001,' || CASE WHEN p_size % 2 = 0 THEN '50' ELSE '25' END || ':#00ff00,100:rgba(255,0,0,0.500)' AS stops FROM part"""
+    '0:#000001,' || CASE WHEN p_size % 2 = 0 THEN '50' ELSE '25' END || ':#00ff00,100:#ff000080' AS stops FROM part"""
 )
 def gradient_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradients with stops out of order, along a line or around a point."""
@@ -611,12 +620,12 @@ def gradient_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = put(gs(F.lit(100000), '<a:srgbClr val="ff0000"><a:alpha val="50000"/></a:srgbClr>'), gs(F.lit(0), '<a:srgbClr val="000001"/>'), gs(F.when(s % 2 == 0, 50000).otherwise(25000), '<a:srgbClr val="00ff00"/>'))
     way = F.when(s % 3 == 0, put('<a:lin ang="', s * 60000, '"/>')).when(s % 3 == 2, F.lit('<a:path path="circle"><a:fillToRect l="0" r="50000" t="50000" b="50000"/></a:path>')).otherwise("")
     shape = builder.shape(F.col("p_partkey"), F.lit("s"), geometry=put("<a:gradFill><a:gsLst>", stops, "</a:gsLst>", way, "</a:gradFill>"))
-    nodes = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes
-    keys = ["deck_id", "part_path"]
-    owner = nodes.filter(F.col("tag") == "gradFill").select(*keys, F.col("nid").alias("holder"), F.col("owner").alias("nid"))
-    met = styles.gradients(nodes).join(owner, [*keys, "holder"]).join(shapes.shapes(nodes).select(*keys, "nid", "id"), [*keys, "nid"])
-    shown = F.array_join(F.transform("stops", lambda x: F.concat(units.js_number(x["position"]), F.lit(":"), x["color"])), ",")
-    return met.select(_whole(F.col("id")).alias("part"), "type", "angle", "cx", shown.alias("stops"))
+    deck = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey")))
+    deck.nodes = cut(deck.nodes)
+    ids = shapes.shapes(deck.nodes).select("deck_id", "part_path", "nid", "id")
+    met = ids.join(_looks(deck).select("deck_id", "part_path", "nid", F.col("own_fill").alias("fill")), ["deck_id", "part_path", "nid"])
+    shown = F.array_join(F.transform("fill.stops", lambda x: F.concat(units.js_number(x["pos"]), F.lit(":"), x["color"])), ",")
+    return met.select(_whole(F.col("id")).alias("part"), F.when(F.col("fill.path") == "line", "linear").otherwise("radial").alias("type"), F.col("fill.rot").alias("angle"), F.col("fill.cx").alias("cx"), shown.alias("stops"))
 
 
 @_query(
@@ -645,7 +654,7 @@ def table_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- levels, looks and media of whole slides
 
 
-def _chained(spark: SparkSession, sf_dir: str, shape: Column, master: str, layout: str, theme: str) -> Deck:
+def _chained(spark: SparkSession, sf_dir: str, shape: Column, master: str, layout: str, theme: str, on_master: str = "") -> Deck:
     """Decks of parts, two hundred to a slide, each with one layout, one master and one theme; what documents need is at hand."""
     part = _table(spark, sf_dir, "part")
     slides = _one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey")
@@ -653,7 +662,7 @@ def _chained(spark: SparkSession, sf_dir: str, shape: Column, master: str, layou
     link = lambda kind, target: builder.relationships(builder.relationship("rId1", kind, target))
     files = {
         "ppt/slides/_rels/slide1.xml.rels": link("slideLayout", "../slideLayouts/slideLayout1.xml"), "ppt/slideLayouts/slideLayout1.xml": builder.page(F.lit(layout), "sldLayout"),
-        "ppt/slideLayouts/_rels/slideLayout1.xml.rels": link("slideMaster", "../slideMasters/slideMaster1.xml"), "ppt/slideMasters/slideMaster1.xml": builder.page("", "sldMaster", F.lit(master)),
+        "ppt/slideLayouts/_rels/slideLayout1.xml.rels": link("slideMaster", "../slideMasters/slideMaster1.xml"), "ppt/slideMasters/slideMaster1.xml": builder.page(F.lit(on_master), "sldMaster", F.lit(master)),
         "ppt/slideMasters/_rels/slideMaster1.xml.rels": link("theme", "../theme/theme1.xml"), "ppt/theme/theme1.xml": F.lit(f'<a:theme xmlns:a="urn:a"><a:themeElements>{theme}</a:themeElements></a:theme>'),
     }
     more = only.select("deck_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, files)), F.array(*files.values()))).alias("part_path", "content"))
@@ -699,17 +708,202 @@ def fills_and_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = put('<p:sp><p:nvSpPr><p:cNvPr id="', F.col("p_partkey"), '" name="s"/></p:nvSpPr><p:spPr>', fill, line, "</p:spPr>", style, "</p:sp>")
     theme = '<a:clrScheme><a:accent1><a:srgbClr val="4472C4"/></a:accent1></a:clrScheme><a:fmtScheme><a:lnStyleLst><a:ln w="6350"/><a:ln w="19050"><a:prstDash val="sysDot"/></a:ln></a:lnStyleLst></a:fmtScheme>'
     deck = _chained(spark, sf_dir, shape, "", "", theme)
-    palette = cut(palettes(deck.nodes, deck.rels))
-    paint = cut(painted(deck.nodes, palette))
-    keys = ["deck_id", "part_path", "owner"]
-    lines = looks.lines(deck.nodes, paint, looks.references(deck.nodes, paint), palette)
-    borders = lines.select(*keys, looks.border(F.struct("width", "color", "dash", "none", "stops")).alias("b"))
-    ids = shapes.shapes(deck.nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id")
-    met = ids.join(looks.fills(deck.nodes, paint), keys).join(borders, keys, "left")
+    keys = ["deck_id", "part_path", "nid"]
+    ids = shapes.shapes(deck.nodes).select(*keys, "id")
+    met = ids.join(_looks(deck).withColumn("b", looks.border(F.col("line"))).withColumn("fill", F.coalesce("own_fill", "theme_fill")), keys, "left")
     pattern = F.when(F.col("fill.pattern").isNotNull(), F.concat_ws("/", "fill.pattern", "fill.fore", "fill.back"))
     return met.select(_whole(F.col("id")).alias("part"), F.col("fill.type").alias("type"), F.col("fill.color").alias("color"), pattern.alias("pattern"), F.coalesce("b.color", F.lit("#000000")).alias("border"), F.coalesce("b.width", F.lit(0.0)).alias("width"), F.coalesce("b.type", F.lit("solid")).alias("border_type"))
 
 
+#: Colours of c (key, v) half way to black in linear light, as s (key, shaded).
+_SHADED = """k AS (SELECT key, i, ((v >> (16 - 8 * i)) & 255) / 255.0 AS s FROM c, (VALUES (0), (1), (2)) t(i)),
+    l AS (SELECT key, i, 0.5 * CASE WHEN s <= 0.04045 THEN s / 12.92 ELSE pow((s + 0.055) / 1.055, 2.4) END AS x FROM k),
+    o AS (SELECT key, i, CAST(floor(255 * CASE WHEN x <= 0.0031308 THEN x * 12.92 ELSE 1.055 * pow(x, 1 / 2.4) - 0.055 END + 0.5) AS BIGINT) AS b FROM l),
+    s AS (SELECT key, '#' || string_agg(printf('%02x', b), '' ORDER BY i) AS shaded FROM o GROUP BY key)"""
+
+
+@_query(
+    f"""WITH c AS (SELECT p_partkey AS key, p_size AS z, (p_partkey * 7919) % 16777216 AS v, '#' || printf('%06X', CAST((p_partkey * 7919) % 16777216 AS BIGINT)) AS hex FROM part), {_SHADED}
+    SELECT key AS part, CASE WHEN z % 6 = 3 THEN 'gradient' ELSE 'color' END AS type, CASE z % 6 WHEN 1 THEN shaded WHEN 2 THEN '#102030' WHEN 3 THEN NULL WHEN 4 THEN 'transparent' ELSE hex END AS color,
+    CASE WHEN z % 6 = 3 THEN '0:' || hex || ',100:' || lower(hex) || '80' END AS stops,
+    CASE WHEN key % 5 = 4 THEN '#00FF00' ELSE CASE key % 4 WHEN 1 THEN shaded WHEN 2 THEN '#123456' WHEN 3 THEN '#00FF00' ELSE '#000000' END END AS border,
+    CAST(CASE WHEN key % 5 = 4 THEN CASE key % 4 WHEN 0 THEN 0.75 WHEN 1 THEN 0.5 WHEN 2 THEN 1.5 ELSE 3 END ELSE CASE key % 4 WHEN 1 THEN 0.5 WHEN 2 THEN 1.5 WHEN 3 THEN 3 ELSE 0 END END AS DOUBLE) AS width,
+    CASE WHEN key % 4 = 2 THEN 'dotted' ELSE 'solid' END AS border_type, CASE WHEN z % 2 = 1 THEN 'rgba(16,32,48,0.400)' END AS shadow FROM c JOIN s USING (key)"""
+)
+def theme_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills, lines and shadows by reference to a theme: entries with the reference's colour, changed or not, with a colour of their own, gradients, a pattern, and places beyond the list.
+
+    Lines said not to be there take the theme's as a whole; a line of its own without a width takes the theme's width.
+    """
+    k, z = F.col("p_partkey"), F.col("p_size")
+    color = put('<a:srgbClr val="', F.lpad(F.hex((k * 7919) % 16777216), 6, "0"), '"/>')
+    ref = lambda tag, idx: put(f'<a:{tag} idx="', idx, '">', color, f"</a:{tag}>")
+    own = F.when(k % 5 == 4, '<a:ln><a:solidFill><a:srgbClr val="00FF00"/></a:solidFill></a:ln>').when(k % 3 == 0, '<a:ln w="127000"><a:noFill/></a:ln>').otherwise("")
+    shape = put('<p:sp><p:nvSpPr><p:cNvPr id="', k, '" name="s"/></p:nvSpPr><p:spPr>', own, "</p:spPr><p:style>", ref("lnRef", k % 4), ref("fillRef", z % 6), ref("effectRef", z % 2 + 1), "</p:style></p:sp>")
+    ph = lambda inner="": f'<a:schemeClr val="phClr">{inner}</a:schemeClr>'
+    solid = lambda c: f"<a:solidFill>{c}</a:solidFill>"
+    fills = solid(ph('<a:shade val="50000"/>')) + solid('<a:srgbClr val="102030"/>') + f'<a:gradFill><a:gsLst><a:gs pos="100000">{ph("<a:alpha val=" + chr(34) + "50000" + chr(34) + "/>")}</a:gs><a:gs pos="0">{ph()}</a:gs></a:gsLst></a:gradFill><a:pattFill prst="pct50"/>'
+    lines = f'<a:ln w="6350">{solid(ph("<a:shade val=" + chr(34) + "50000" + chr(34) + "/>"))}</a:ln><a:ln w="19050">{solid("<a:srgbClr val=" + chr(34) + "123456" + chr(34) + "/>")}<a:prstDash val="sysDot"/></a:ln><a:ln w="38100"><a:gradFill><a:gsLst><a:gs pos="0"><a:srgbClr val="ffffff"/></a:gs><a:gs pos="100000"><a:srgbClr val="00FF00"/></a:gs></a:gsLst></a:gradFill></a:ln>'
+    effects = '<a:effectStyle><a:effectLst/></a:effectStyle><a:effectStyle><a:effectLst><a:outerShdw dist="12700"><a:srgbClr val="102030"><a:alpha val="40000"/></a:srgbClr></a:outerShdw></a:effectLst></a:effectStyle>'
+    deck = _chained(spark, sf_dir, shape, "", "", f"<a:fmtScheme><a:fillStyleLst>{fills}</a:fillStyleLst><a:lnStyleLst>{lines}</a:lnStyleLst><a:effectStyleLst>{effects}</a:effectStyleLst></a:fmtScheme>")
+    met = shapes.shapes(deck.nodes).join(_looks(deck), ["deck_id", "part_path", "nid"]).withColumn("b", looks.border(F.col("line")))
+    stops = F.array_join(F.transform("theme_fill.stops", lambda x: F.concat(units.js_number(x["pos"]), F.lit(":"), x["color"])), ",")
+    return met.select(_whole(F.col("id")).alias("part"), F.col("theme_fill.type").alias("type"), F.col("theme_fill.color").alias("color"), stops.alias("stops"), F.col("b.color").alias("border"), F.col("b.width").alias("width"), F.col("b.type").alias("border_type"), F.col("shadow.color").alias("shadow"))
+
+
+@_query(
+    """SELECT s_suppkey AS slide, CASE s_suppkey % 7 WHEN 1 THEN 'gradient' WHEN 2 THEN 'pattern' WHEN 3 THEN 'image' WHEN 5 THEN CASE WHEN deck % 2 = 0 THEN 'image' ELSE 'color' END ELSE 'color' END AS type,
+    CASE s_suppkey % 7 WHEN 0 THEN '#8080ff' WHEN 4 THEN '#ffffff' WHEN 5 THEN CASE WHEN deck % 2 = 1 THEN '#ED7D31' END WHEN 6 THEN '#445566' END AS color,
+    CASE s_suppkey % 7 WHEN 1 THEN 'line/45/0:#0000ff,100:#ED7D31' WHEN 2 THEN 'pct20/#0000ff/#ffffff' WHEN 3 THEN 'ppt/media/own.png' WHEN 5 THEN CASE WHEN deck % 2 = 0 THEN 'ppt/media/layout.png' END END AS more
+    FROM (SELECT s_suppkey, s_suppkey // 50 AS deck FROM supplier)"""
+)
+def background_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies behind slides: a scheme's colour half let through, by the layout's override, a gradient, a pattern, a picture, a picture that isn't there; the layout's picture, in its own
+    scope of relationships, or reference to a theme; the master's colour behind layouts without one.
+    """
+    k = F.col("s_suppkey")
+    rows = _table(spark, sf_dir, "supplier").select(k, (k / 50).cast("long").alias("deck"), (k % 50 + 1).cast("int").alias("n"))
+    deck = F.col("deck").cast("string").alias("deck_id")
+    page = lambda inner, kind, after="": put(f'<p:{kind} xmlns:p="urn:p" xmlns:a="urn:a" xmlns:r="{builder.RELATION}"><p:cSld>', inner, "</p:cSld>", after, f"</p:{kind}>")
+    props = lambda inner: f"<p:bg><p:bgPr>{inner}</p:bgPr></p:bg>"
+    scheme = lambda name, inner="": f'<a:schemeClr val="{name}">{inner}</a:schemeClr>'
+    picture = lambda rid: f'<a:blipFill><a:blip r:embed="{rid}"/></a:blipFill>'
+    own = {
+        0: f"<a:solidFill>{scheme('bg1', '<a:alpha val=' + chr(34) + '50000' + chr(34) + '/>')}</a:solidFill>", 1: f'<a:gradFill><a:gsLst><a:gs pos="0">{scheme("bg1")}</a:gs><a:gs pos="100000">{scheme("accent2")}</a:gs></a:gsLst><a:lin ang="2700000"/></a:gradFill>',
+        2: f'<a:pattFill prst="pct20"><a:fgClr>{scheme("bg1")}</a:fgClr></a:pattFill>', 3: picture("rId2"), 4: picture("rId9"),
+    }
+    behind = F.lit("")
+    for i, inner in own.items():
+        behind = F.when(k % 7 == i, props(inner)).otherwise(behind)
+    slides = rows.select(deck, "n", F.col("n").alias("at"), page(behind, "sld").alias("xml"))
+    link = builder.relationship
+    # slides without a background of their own have the layout with one, or (every seventh) the one without
+    to = F.when(k % 7 == 6, "2").otherwise("1")
+    files = [rows.select(deck, put("ppt/slides/_rels/slide", F.col("n"), ".xml.rels").alias("part_path"), builder.relationships(put(link("rId1", "slideLayout", put("../slideLayouts/slideLayout", to, ".xml")), link("rId2", "image", "../media/own.png"))).alias("content"))]
+    only = rows.select("deck").distinct()
+    override = '<p:clrMapOvr><a:overrideClrMapping bg1="accent1"/></p:clrMapOvr>'
+    layout = F.when(F.col("deck") % 2 == 0, props(picture("rId2"))).otherwise(f'<p:bg><p:bgRef idx="1001">{scheme("accent2")}</p:bgRef></p:bg>')
+    theme = '<a:theme xmlns:a="urn:a"><a:themeElements><a:clrScheme><a:lt1><a:srgbClr val="445566"/></a:lt1><a:accent1><a:srgbClr val="0000ff"/></a:accent1><a:accent2><a:srgbClr val="ED7D31"/></a:accent2></a:clrScheme></a:themeElements></a:theme>'
+    fixed = {
+        "ppt/slideLayouts/slideLayout1.xml": page(layout, "sldLayout", override), "ppt/slideLayouts/slideLayout2.xml": page("", "sldLayout"),
+        "ppt/slideLayouts/_rels/slideLayout1.xml.rels": builder.relationships(put(link("rId1", "slideMaster", "../slideMasters/slideMaster1.xml"), link("rId2", "image", "../media/layout.png"))),
+        "ppt/slideLayouts/_rels/slideLayout2.xml.rels": builder.relationships(link("rId1", "slideMaster", "../slideMasters/slideMaster1.xml")),
+        "ppt/slideMasters/slideMaster1.xml": page(F.lit(props(f"<a:solidFill>{scheme('bg1')}</a:solidFill>")), "sldMaster", '<p:clrMap bg1="lt1"/>'), "ppt/slideMasters/_rels/slideMaster1.xml.rels": builder.relationships(link("rId1", "theme", "../theme/theme1.xml")),
+        "ppt/theme/theme1.xml": F.lit(theme), "ppt/media/own.png": F.lit("o"), "ppt/media/layout.png": F.lit("l"),
+    }
+    files.append(only.select(deck, "deck").select("deck_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, fixed)), F.array(*fixed.values()))).alias("part_path", "content")))
+    made = Deck(builder.decks(slides, files[0].unionByName(files[1])))
+    made.parts, made.nodes = cut(made.parts.drop("content")), cut(made.nodes)
+    made.rels = cut(package.relationships(made.nodes))
+    colors_ = Colors(made)
+    found = matrix.backgrounds(package.chain(made.slides(), made.rels), colors_.styles, colors_.palette, made.rels, made.parts.filter("kind = 'media'"))
+    b = F.col("background")
+    drawn = F.concat_ws("/", b["path"], units.js_number(b["rot"]), F.array_join(F.transform(b["stops"], lambda x: F.concat(units.js_number(x["pos"]), F.lit(":"), x["color"])), ","))
+    more = F.when(b["type"] == "gradient", drawn).when(b["type"] == "pattern", F.concat_ws("/", b["pattern"], b["fore"], b["back"])).otherwise(b["ref"])
+    slide = F.col("deck_id").cast("long") * 50 + F.regexp_extract("slide_part", r"(\d+)\.xml$", 1).cast("long") - 1
+    return found.select(slide.alias("slide"), b["type"].alias("type"), b["color"].alias("color"), more.alias("more"))
+
+
+@_query(
+    """SELECT p_partkey AS part, CASE WHEN p_partkey % 3 = 0 THEN 'down' WHEN p_size % 4 IN (0, 3) THEN 'mid' ELSE 'up' END AS valign, p_size % 4 = 1 OR p_partkey % 3 = 1 AS vertical,
+    CASE WHEN p_partkey % 5 = 0 THEN 'transparent' WHEN p_partkey % 5 = 1 THEN '#010203' WHEN p_size % 4 = 0 THEN '#0a0b0c' WHEN p_size % 4 = 1 THEN '#4472C4' WHEN p_size % 4 = 3 THEN '#0d0e0f' END AS fill FROM part"""
+)
+def placeholder_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment, direction and fill of placeholders: their own, or the layout's, or the master's; a body without a fill to take stays without.
+
+    Of the layout's placeholders one says nofill, so that the master's counts, one has a place but no body, so that the master's body doesn't.
+    """
+    k, z = F.col("p_partkey"), F.col("p_size")
+    kind = F.element_at(F.array(*map(F.lit, ("body", "title", "ftr", "dt"))), z % 4 + 1)
+    fill = F.when(k % 5 == 0, "<a:noFill/>").when(k % 5 == 1, '<a:solidFill><a:srgbClr val="010203"/></a:solidFill>').otherwise("")
+    says = F.when(k % 3 == 0, '<a:bodyPr anchor="b"/>').when(k % 3 == 1, '<a:bodyPr vert="vert270" anchor=""/>').otherwise("<a:bodyPr/>")
+    shape = put('<p:sp><p:nvSpPr><p:cNvPr id="', k, '" name="s"/><p:nvPr><p:ph type="', kind, '"/></p:nvPr></p:nvSpPr><p:spPr>', fill, "</p:spPr><p:txBody>", says, "<a:p/></p:txBody></p:sp>")
+    ph = lambda type_, props, body: f'<p:sp><p:nvSpPr><p:cNvPr id="2" name="p"/><p:nvPr><p:ph type="{type_}"/></p:nvPr></p:nvSpPr><p:spPr>{props}</p:spPr>{body}</p:sp>'
+    solid = lambda c: f"<a:solidFill>{c}</a:solidFill>"
+    body = lambda attrs: f"<p:txBody><a:bodyPr{attrs}/><a:p/></p:txBody>"
+    box = '<a:xfrm><a:off x="1" y="1"/><a:ext cx="1" cy="1"/></a:xfrm>'
+    layout = ph("body", box + solid('<a:srgbClr val="0a0b0c"/>'), body(' anchor="ctr"')) + ph("title", box + solid('<a:schemeClr val="accent1"/>'), body(' vert="eaVert"')) + ph("ftr", box, "") + ph("dt", "<a:noFill/>", "")
+    master = ph("ftr", "", body(' anchor="ctr" vert="vert"')) + ph("dt", solid('<a:srgbClr val="0d0e0f"/>'), body(' anchor="ctr"'))
+    theme = '<a:clrScheme><a:accent1><a:srgbClr val="4472C4"/></a:accent1></a:clrScheme>'
+    deck = _chained(spark, sf_dir, shape, "", layout, theme, master)
+    order = cut(package.chain(deck.slides(), deck.rels))
+    found = cut(shapes.shapes(deck.nodes))
+    behind = lambda part: found.filter(F.col("part_path").startswith(part))
+    on_layouts, on_masters = behind("ppt/slideLayouts/"), behind("ppt/slideMasters/")
+    own = found.withColumnRenamed("part_path", "slide_part").join(order.select("deck_id", "slide_part", "layout_part", "master_part"), ["deck_id", "slide_part"])
+    own = cut(shapes.inherited(own, on_layouts, on_masters).withColumnRenamed("slide_part", "part_path"))
+    keys = ["deck_id", "part_path", "nid"]
+    said = styles.inherited_bodies(own, styles.bodies(deck.nodes))
+    shown = cut(textbody.style_placeholder(textbody.style_placeholder(own, "layout_part", on_layouts, "l_ph"), "master_part", on_masters, "m_ph"))
+    colors_ = Colors(deck)
+    fills_ = looks.own_looks(colors_.styles, looks.references(deck.nodes, colors_.paint), colors_.palette, looks.inherited_contents(shown, colors_.styles))
+    met = own.join(said, keys).join(fills_.select(*keys, F.coalesce("own_fill", "theme_fill", "more_fill").alias("fill")), keys, "left")
+    return met.select(_whole(F.col("id")).alias("part"), "valign", "vertical", F.col("fill.color").alias("fill"))
+
+
+@_query(
+    """SELECT CAST(o_orderkey AS BIGINT) AS order_key, CASE o_orderkey % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'formula' WHEN 3 THEN 'picture' WHEN 4 THEN 'word' END AS kind, CASE WHEN o_orderkey % 5 = 1 THEN 'x' || o_orderkey || '=y' END AS text,
+    CASE o_orderkey % 5 WHEN 1 THEN 'rIdF' WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'rIdF' ELSE 'rIdC' END WHEN 4 THEN 'rIdF' END AS rid FROM orders WHERE o_orderkey % 5 <> 2"""
+)
+def alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What AlternateContent comes to: nothing for shapes in two forms, one formula for a formula, one picture for an object, the Fallback's where it has one; plain shapes stay."""
+    k = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders")
+    sp = lambda inner, body="": put('<p:sp><p:nvSpPr><p:cNvPr id="', k, '" name="s"/></p:nvSpPr><p:spPr>', inner, "</p:spPr>", body, "</p:sp>")
+    both = lambda choice, other: put("<mc:AlternateContent><mc:Choice>", choice, "</mc:Choice><mc:Fallback>", other, "</mc:Fallback></mc:AlternateContent>")
+    blip = lambda rid: f'<a:blip r:embed="{rid}"/>'
+    math = put("<p:txBody><a:p><a14:m><m:oMathPara><m:oMath><m:r><m:t>x", k, "</m:t></m:r><m:r><m:t>=y</m:t></m:r></m:oMath></m:oMathPara></a14:m><a:r><a:t>after</a:t></a:r></a:p></p:txBody>")
+    obj = lambda rid, prog: f'<p:oleObj progId="{prog}" r:id="rIdO">' + (f"<p:pic><p:blipFill>{blip(rid)}</p:blipFill></p:pic>" if rid else "") + "</p:oleObj>"
+    frame = lambda inner: put('<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="', k, '" name="o"/></p:nvGraphicFramePr><a:graphic><a:graphicData uri="http://schemas.openxmlformats.org/presentationml/2006/ole">', inner, "</a:graphicData></a:graphic></p:graphicFrame>")
+    shape = (
+        F.when(k % 5 == 0, sp("")).when(k % 5 == 1, both(sp("", math), sp(f"<a:blipFill>{blip('rIdF')}</a:blipFill>"))).when(k % 5 == 2, both(sp(""), sp("")))
+        .when(k % 5 == 3, frame(both(obj("rIdC", "Excel.Sheet"), F.when(k % 2 == 0, obj("rIdF", "Excel.Sheet")).otherwise(obj("", "Excel.Sheet"))))).otherwise(frame(both(obj("rIdC", "Word.Document.12"), obj("rIdF", "Word.Document.12"))))
+    )
+    each = rows.select((k / 200).cast("long").cast("string").alias("deck_id"), "o_orderkey", shape.alias("xml"))
+    page = put('<p:sld xmlns:p="urn:p" xmlns:a="urn:a" xmlns:mc="urn:mc" xmlns:m="urn:m" xmlns:a14="urn:a14" xmlns:r="' + builder.RELATION + '"><p:cSld><p:spTree>', F.col("xml"), "</p:spTree></p:cSld></p:sld>")
+    slides = builder.gathered(each, ["deck_id"], "o_orderkey", "xml").select("deck_id", F.lit(1).alias("n"), F.lit(1).alias("at"), page.alias("xml"))
+    found = shapes.shapes(Deck(builder.decks(slides)).nodes)
+    return found.select(_whole(F.col("id")).alias("order_key"), F.when(F.col("formula").isNotNull(), "formula").otherwise(F.coalesce("ole", F.lit("plain"))).alias("kind"), F.col("formula").alias("text"), "rid")
+
+
+def _turned_sql() -> str:
+    """SQL of ``turned_groups``: three groups, from the innermost to the outermost, each scales, mirrors and turns centres around its middle."""
+    steps, last = [], "SELECT *, l_quantity + 5.0 AS px, 10.0 + l_linenumber / 2.0 AS py, 10.0 AS w, CAST(l_linenumber AS DOUBLE) AS h, CAST(30 * (l_linenumber % 3) AS DOUBLE) AS r, FALSE AS fh, FALSE AS fv FROM lineitem"
+    for x, y, cx, cy, ox, oy, ex, ey, rot, h, v in _GROUPS:
+        lx, ly = f"(px - {ox}) * {cx / ex}", f"(py - {oy}) * {cy / ey}"
+        lx, ly = (f"{cx} - {lx}" if h else lx), (f"{cy} - {ly}" if v else ly)
+        dx, dy = f"({lx} - {cx / 2})", f"({ly} - {cy / 2})"
+        turn = f"(({'-' if h != v else ''}r + {rot + (180 if h and v else 0)}) % 360 + 360) % 360"
+        steps.append(f"SELECT * REPLACE ({x + cx / 2} + {dx} * cos(radians({rot})) - {dy} * sin(radians({rot})) AS px, {y + cy / 2} + {dx} * sin(radians({rot})) + {dy} * cos(radians({rot})) AS py, w * {cx / ex} AS w, h * {cy / ey} AS h, {turn} AS r, {'NOT fh' if h and not v else 'fh'} AS fh, {'NOT fv' if v and not h else 'fv'} AS fv)")
+    for step in steps:
+        last = f"{step} FROM ({last})"
+    return f'SELECT l_orderkey AS order_key, CAST(l_linenumber AS BIGINT) AS line, round(px - w / 2, 4) + 0.0 AS "left", round(py - h / 2, 4) + 0.0 AS top, round(CAST(w AS DOUBLE), 4) AS width, round(CAST(h AS DOUBLE), 4) AS height, round(r, 4) AS rotate, fh AS flip_h, fv AS flip_v FROM ({last})'
+
+
+#: Groups of ``turned_groups``, the innermost first: left, top, width and height, offset and extent inside, degrees, mirrors.
+_GROUPS = [(10, 20, 100, 60, 5, 5, 50, 60, 30, True, False), (7, 3, 80, 120, 0, 10, 160, 120, 45, False, True), (100, 50, 300, 200, 1, 2, 100, 100, 270, True, True)]
+
+
+@_query(_turned_sql())
+def turned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes in three groups, one in the other, of which each scales, turns and mirrors: read from archives, as seen from the slide."""
+    rows = _table(spark, sf_dir, "lineitem")
+    box = lambda x, y, cx, cy, attrs="", inner="": put("<a:xfrm", attrs, '><a:off x="', x, '" y="', y, '"/><a:ext cx="', cx, '" cy="', cy, '"/>', inner, "</a:xfrm>")
+    emu = lambda c: _whole(c * 12700)
+    leaf = builder.shape(F.lit(1), put(F.col("l_orderkey"), "-", F.col("l_linenumber")), box=box(emu(F.col("l_quantity")), F.lit(127000), F.lit(127000), emu(F.col("l_linenumber")), put(' rot="', F.col("l_linenumber") % 3 * 1800000, '"')))
+    each = rows.select((F.col("l_orderkey") / 100).cast("long").cast("string").alias("deck_id"), "l_orderkey", "l_linenumber", leaf.alias("xml"))
+    page = F.col("xml")
+    for x, y, cx, cy, ox, oy, ex, ey, rot, h, v in _GROUPS:
+        inside = '<a:chOff x="{}" y="{}"/><a:chExt cx="{}" cy="{}"/>'.format(*(12700 * c for c in (ox, oy, ex, ey)))
+        attrs = f' rot="{rot * 60000}"' + ' flipH="1"' * h + ' flipV="true"' * v
+        page = put('<p:grpSp><p:nvGrpSpPr><p:cNvPr id="9" name="g"/></p:nvGrpSpPr><p:grpSpPr>', box(*(F.lit(12700 * c) for c in (x, y, cx, cy)), attrs, inside), "</p:grpSpPr>", page, "</p:grpSp>")
+    slides = builder.gathered(each, ["deck_id"], ["l_orderkey", "l_linenumber"], "xml").select("deck_id", F.lit(1).alias("n"), F.lit(1).alias("at"), builder.page(page).alias("xml"))
+    found = shapes.boxes(shapes.flattened(cut(shapes.shapes(Deck(builder.decks(slides)).nodes)))).filter("shape = 'sp'")
+    parts = F.split("name", "-")
+    near = lambda c: (F.round(c, 4) + 0.0).alias(c)
+    return found.select(_whole(parts[0]).alias("order_key"), _whole(parts[1]).alias("line"), *map(near, ("left", "top", "width", "height", "rotate")), "flip_h", "flip_v")
+
+
 @_query(
     """SELECT p_partkey AS part, CASE p_size % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'audio/mp4' ELSE 'application/octet-stream' END AS type,
     md5('data:' || CASE p_size % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'audio/mp4' ELSE 'application/octet-stream' END || ';base64,' || to_base64(encode(p_name || p_name || p_name || p_name || p_name || p_name))) AS url_md5 FROM part"""

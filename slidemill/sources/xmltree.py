@@ -2,7 +2,8 @@
 
 nid is the place in document order (root 1) and last that of the last descendant: d lies below a if a.nid < d.nid <= a.last.  owner
 is the nearest shape-like element (``OWNERS``) at or above an element, and way the names of the elements from there on: pivoting by
-owner and way needs one grouping, however many properties are asked for.
+owner and way needs one grouping, however many properties are asked for.  grp is the nearest group above an element and alt the outermost
+AlternateContent above it, noted on the way down, so that neither needs a join of elements with what lies around them.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that own what lies below them, down to the next such element.
-OWNERS = frozenset(["sp", "pic", "graphicFrame", "cxnSp", "grpSp", "Relationship", "ser", "tc", "AlternateContent"])
+OWNERS = frozenset(["sp", "pic", "graphicFrame", "cxnSp", "grpSp", "Relationship", "ser", "tc"])
 _RELATIONS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _SCHEMA = pa.schema(
     [
         ("deck_id", pa.string()), ("part_path", pa.string()), ("nid", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
-        ("pos", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("owner", pa.int32()), ("way", pa.string()), ("para", pa.int32()),
+        ("pos", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("owner", pa.int32()), ("way", pa.string()), ("para", pa.int32()), ("grp", pa.int32()), ("alt", pa.int32()),
     ]
 )
-NODES = "deck_id string, part_path string, nid int, last int, parent int, depth int, pos int, tag string, attrs map<string,string>, text string, owner int, way string, para int"
+NODES = "deck_id string, part_path string, nid int, last int, parent int, depth int, pos int, tag string, attrs map<string,string>, text string, owner int, way string, para int, grp int, alt int"
 
 
 def _local(name: str) -> str:
@@ -30,7 +31,7 @@ def _local(name: str) -> str:
 
 
 def walk(data: bytes) -> list[tuple]:
-    """Rows (nid, last, parent, depth, pos, tag, attrs, text, owner, way, para) of a document; none if it is malformed or declares a type."""
+    """Rows (nid, last, parent, depth, pos, tag, attrs, text, owner, way, para, grp, alt) of a document; none if it is malformed or declares a type."""
     if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
         return []
     try:
@@ -38,10 +39,10 @@ def walk(data: bytes) -> list[tuple]:
     except ET.ParseError:
         return []
     rows: list[list] = []
-    waiting = [(root, 0, 0, 1, None, "", None)]
+    waiting = [(root, 0, 0, 1, None, "", None, None, None)]
     open_: list[int] = []  # places in rows of the elements on the way down
     while waiting:
-        node, parent, depth, pos, owner, way, para = waiting.pop()
+        node, parent, depth, pos, owner, way, para, grp, alt = waiting.pop()
         nid = len(rows) + 1
         while len(open_) > depth:
             rows[open_.pop()][1] = nid - 1
@@ -52,10 +53,12 @@ def walk(data: bytes) -> list[tuple]:
             way = f"{way}/{tag}" if way else tag
         para = nid if tag == "p" else para
         attrs = {("r:" if k.startswith(_RELATIONS) else "") + _local(k): v for k, v in node.attrib.items()}
-        rows.append([nid, nid, parent, depth, pos, tag, list(attrs.items()), node.text, owner, way, para])
+        rows.append([nid, nid, parent, depth, pos, tag, list(attrs.items()), node.text, owner, way, para, grp, alt])
         open_.append(nid - 1)
+        grp = nid if tag == "grpSp" else grp
+        alt = nid if tag == "AlternateContent" and alt is None else alt
         children = [c for c in node if isinstance(c.tag, str)]
-        waiting += [(c, nid, depth + 1, len(children) - i, owner, way, para) for i, c in enumerate(reversed(children))]
+        waiting += [(c, nid, depth + 1, len(children) - i, owner, way, para, grp, alt) for i, c in enumerate(reversed(children))]
     while open_:
         rows[open_.pop()][1] = len(rows)
     return [tuple(r) for r in rows]

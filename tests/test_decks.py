@@ -142,7 +142,7 @@ def test_pack_gives_the_same_bytes(spark):
 def test_walk_numbers_elements_in_document_order():
     rows = xmltree.walk(b'<a xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sp id="1" r:id="rId2"><p><t>x</t></p><p/></sp><!-- c --><b/></a>')
     assert [(r[0], r[1], r[2], r[4], r[5]) for r in rows] == [(1, 6, 0, 1, "a"), (2, 5, 1, 1, "sp"), (3, 4, 2, 1, "p"), (4, 4, 3, 1, "t"), (5, 5, 2, 2, "p"), (6, 6, 1, 2, "b")]
-    assert dict(rows[1][6]) == {"id": "1", "r:id": "rId2"} and rows[3][8:] == (2, "p/t", 3) and rows[5][8] is None
+    assert dict(rows[1][6]) == {"id": "1", "r:id": "rId2"} and rows[3][8:] == (2, "p/t", 3, None, None) and rows[5][8] is None
     assert xmltree.walk(b"<a>") == [] and xmltree.walk(b'<!DOCTYPE a [<!ENTITY b "c">]><a/>') == []
 
 
@@ -237,3 +237,54 @@ def test_deck_documents_hold_placeholders(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).filter(F.col("width") == 720).count() == 25
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_documents_take_looks_from_themes_groups_and_placeholders(spark):
+    srgb = lambda c, more="": f'<a:srgbClr val="{c}">{more}</a:srgbClr>'
+    scheme = lambda c: f'<a:schemeClr val="{c}"/>'
+    solid = lambda c: f"<a:solidFill>{c}</a:solidFill>"
+    words = lambda run="", t="w": f"<p:txBody><a:bodyPr/><a:p><a:r>{run}<a:t>{t}</a:t></a:r></a:p></p:txBody>"
+    ref = lambda tag, idx, c: f'<a:{tag} idx="{idx}">{scheme(c)}</a:{tag}>'
+    style = "<p:style>" + ref("lnRef", 1, "accent2") + ref("fillRef", 1, "accent1") + ref("effectRef", 1, "accent1") + ref("fontRef", "minor", "lt1") + "</p:style>"
+    rect = '<a:prstGeom prst="rect"/>'
+    drawn = shape_xml(2, "Drawn", box_xml(10, 10, 40, 20) + rect + '<a:ln w="127000"><a:noFill/></a:ln>', style=style, body=words())
+    own = shape_xml(3, "Own", box_xml(0, 0, 5, 5) + rect + "<a:noFill/>", style=style, body=words(f'<a:rPr>{solid(srgb("AA0000"))}</a:rPr>'))
+    child = lambda name, props: shape_xml(4, name, props + rect)
+    group = lambda props, inner: f'<p:grpSp><p:nvGrpSpPr><p:cNvPr id="9" name="G"/></p:nvGrpSpPr><p:grpSpPr>{props}</p:grpSpPr>{inner}</p:grpSp>'
+    flipped = '<a:xfrm flipH="1"><a:off x="127000" y="0"/><a:ext cx="1270000" cy="635000"/><a:chOff x="0" y="0"/><a:chExt cx="1270000" cy="635000"/></a:xfrm>'
+    plain = '<a:xfrm><a:off x="0" y="0"/><a:ext cx="1270000" cy="635000"/><a:chOff x="0" y="0"/><a:chExt cx="1270000" cy="635000"/></a:xfrm>'
+    inner = group(plain, child("Grouped", box_xml(0, 0, 30, 10) + "<a:grpFill/>") + child("Bare", box_xml(50, 0, 30, 10)))
+    both = f'<mc:AlternateContent xmlns:mc="urn:mc"><mc:Choice>{child("Twice", box_xml(1, 1, 1, 1))}</mc:Choice><mc:Fallback>{child("Twice", box_xml(1, 1, 1, 1))}</mc:Fallback></mc:AlternateContent>'
+    unknown = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="7" name="Unknown"/></p:nvGraphicFramePr><a:graphic><a:graphicData uri="urn:other"/></a:graphic></p:graphicFrame>'
+    ole = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="8" name="Object"/></p:nvGraphicFramePr><p:xfrm><a:off x="12700" y="0"/><a:ext cx="25400" cy="12700"/></p:xfrm><a:graphic><a:graphicData uri="urn:ole"><mc:AlternateContent xmlns:mc="urn:mc"><mc:Choice><p:oleObj/></mc:Choice><mc:Fallback><p:oleObj><p:pic><p:nvPicPr><p:cNvPr id="0" name="inner"/></p:nvPicPr><p:blipFill><a:blip r:embed="rId7"/></p:blipFill></p:pic></p:oleObj></mc:Fallback></mc:AlternateContent></a:graphicData></a:graphic></p:graphicFrame>'
+    line = '<p:cxnSp><p:nvCxnSpPr><p:cNvPr id="6" name="Line"/></p:nvCxnSpPr><p:spPr>' + box_xml(5, 5, 100, 0) + '<a:prstGeom prst="line"/></p:spPr>' + style + "</p:cxnSp>"
+    title = shape_xml(5, "Title", "", '<p:ph type="title"/>', body="<p:txBody><a:bodyPr/><a:p/></p:txBody>")
+    layout = shape_xml(2, "l", box_xml(5, 6, 70, 80) + solid(scheme("accent2")), '<p:ph type="title"/>', body='<p:txBody><a:bodyPr anchor="ctr" vert="vert"/><a:p/></p:txBody>')
+    theme = (
+        f'<a:theme {NS}><a:themeElements><a:clrScheme><a:lt1>{srgb("FFFFFE")}</a:lt1><a:accent1>{srgb("4472C4")}</a:accent1><a:accent2>{srgb("ED7D31")}</a:accent2></a:clrScheme><a:fmtScheme>'
+        f'<a:fillStyleLst><a:gradFill><a:gsLst><a:gs pos="0">{scheme("phClr")}</a:gs><a:gs pos="100000">{srgb("010203")}</a:gs></a:gsLst></a:gradFill></a:fillStyleLst><a:lnStyleLst><a:ln w="12700">{solid(srgb("123456"))}</a:ln></a:lnStyleLst>'
+        f'<a:effectStyleLst><a:effectStyle><a:effectLst><a:outerShdw dist="12700" dir="5400000">{srgb("000000", chr(60) + "a:alpha val=" + chr(34) + "63000" + chr(34) + "/>")}</a:outerShdw></a:effectLst></a:effectStyle></a:effectStyleLst></a:fmtScheme></a:themeElements></a:theme>'
+    )
+    page = lambda kind, inner, bg="", more="": f"<p:{kind} {NS}><p:cSld>{bg}<p:spTree>{inner}</p:spTree></p:cSld>{more}</p:{kind}>"
+    files = {
+        "ppt/presentation.xml": f'<p:presentation {NS}><p:sldIdLst><p:sldId id="256" r:id="rId1"/></p:sldIdLst><p:sldSz cx="9144000" cy="6858000"/></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": rels_xml(("rId1", "slide", "slides/slide1.xml", "")),
+        "ppt/slides/slide1.xml": page("sld", drawn + own + group(flipped + solid(srgb("00AA00")), inner) + both + unknown + ole + line + title, f'<p:bg><p:bgRef idx="1001">{scheme("accent2")}</p:bgRef></p:bg>'),
+        "ppt/slides/_rels/slide1.xml.rels": rels_xml(("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml", ""), ("rId7", "image", "../media/o.png", "")),
+        "ppt/slideLayouts/slideLayout1.xml": page("sldLayout", layout), "ppt/slideLayouts/_rels/slideLayout1.xml.rels": rels_xml(("rId1", "slideMaster", "../slideMasters/slideMaster1.xml", "")),
+        "ppt/slideMasters/slideMaster1.xml": page("sldMaster", ""), "ppt/slideMasters/_rels/slideMaster1.xml.rels": rels_xml(("rId1", "theme", "../theme/theme1.xml", "")), "ppt/theme/theme1.xml": theme, "ppt/media/o.png": b"o",
+    }
+    slide = documents(spark.createDataFrame([("a", deck(files))], "deck_id string, content binary")).collect()[0]["slides"][0]
+    by = {e["name"]: e for e in slide["elements"]}
+    assert [e["name"] for e in slide["elements"]] == ["Drawn", "Own", "G", "G", "Grouped", "Bare", "Object", "Line", "Title"]
+    assert slide["background"]["color"] == "#ED7D31"
+    seen = by["Drawn"]
+    assert seen["border"].asDict() == {"color": "#123456", "width": 1.0, "type": "solid", "dashes": ""} and "color: #FFFFFE" in seen["content"]
+    assert seen["fill"]["type"] == "gradient" and [s["color"] for s in seen["fill"]["stops"]] == ["#4472C4", "#010203"]
+    assert seen["shadow"]["color"] == "rgba(0,0,0,0.630)" and abs(seen["shadow"]["v"] - 1) < 1e-9 and abs(seen["shadow"]["h"]) < 1e-9
+    assert by["Own"]["fill"]["color"] == "transparent" and "color: #AA0000" in by["Own"]["content"] and by["Own"]["type"] == "shape"
+    assert by["Grouped"]["fill"]["color"] == "#00AA00" and by["Bare"]["fill"]["color"] == "transparent"
+    assert (by["Grouped"]["left"], by["Grouped"]["isFlipH"], by["Bare"]["left"]) == (80, True, 30)
+    assert (by["Object"]["type"], by["Object"]["ref"], by["Object"]["left"], by["Object"]["width"]) == ("image", "ppt/media/o.png", 1, 2)
+    assert (by["Line"]["height"], by["Line"]["width"], by["Line"]["fill"]["color"], by["Line"]["border"]["color"]) == (0.75, 100, "transparent", "#123456")
+    assert (by["Title"]["fill"]["color"], by["Title"]["vAlign"], by["Title"]["isVertical"], by["Title"]["left"]) == ("#ED7D31", "mid", True, 5)
