@@ -15,15 +15,15 @@ SCATTERED = ["scatterChart", "bubbleChart"]
 
 
 def cells(nodes: DataFrame) -> DataFrame:
-    """(deck_id, part_path, frame, row, col, text, grid_span, row_span): frame is the table's element, row and col from 0."""
+    """(deck_id, part_path, frame, tc, row, col, text, grid_span, row_span, h_merge, v_merge): frame is the table's element, tc the cell's, row and col from 0."""
     keys = ["deck_id", "part_path"]
     tr = nodes.filter(F.col("tag") == "tr").select(*keys, F.col("parent").alias("frame"), F.col("nid").alias("tr"))
     tr = tr.withColumn("row", F.row_number().over(Window.partitionBy(*keys, "frame").orderBy("tr")) - 1)
-    tc = nodes.filter(F.col("tag") == "tc").select(*keys, F.col("parent").alias("tr"), F.col("nid").alias("tc"), F.coalesce(attr("gridSpan").try_cast("int"), F.lit(1)).alias("grid_span"), F.coalesce(attr("rowSpan").try_cast("int"), F.lit(1)).alias("row_span"))
+    tc = nodes.filter(F.col("tag") == "tc").select(*keys, F.col("parent").alias("tr"), F.col("nid").alias("tc"), F.coalesce(attr("gridSpan").try_cast("int"), F.lit(1)).alias("grid_span"), F.coalesce(attr("rowSpan").try_cast("int"), F.lit(1)).alias("row_span"), *(F.coalesce(attr(c).isin("1", "true"), F.lit(False)).alias(a) for c, a in (("hMerge", "h_merge"), ("vMerge", "v_merge"))))
     tc = tc.withColumn("col", F.row_number().over(Window.partitionBy(*keys, "tr").orderBy("tc")) - 1)
     lines = joined(runs(nodes), [*keys, "owner", "para"], "run_ord", "text")
     text = joined(lines, [*keys, "owner"], "para", "text", "\n").withColumnRenamed("owner", "tc")
-    return tr.join(tc, [*keys, "tr"]).join(text, [*keys, "tc"], "left").select(*keys, "frame", "row", "col", F.coalesce("text", F.lit("")).alias("text"), "grid_span", "row_span")
+    return tr.join(tc, [*keys, "tr"]).join(text, [*keys, "tc"], "left").select(*keys, "frame", "tc", "row", "col", F.coalesce("text", F.lit("")).alias("text"), "grid_span", "row_span", "h_merge", "v_merge")
 
 
 def row_heights(nodes: DataFrame, height: Column) -> DataFrame:

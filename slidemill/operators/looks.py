@@ -63,7 +63,7 @@ def own_looks(styles: matrix.Styles, refs: DataFrame, palette: DataFrame, more:
     rows = cut(rows.withColumn("line", F.when(explicit, F.col("own_line")).otherwise(F.col("theme_line"))))
     no_color = F.lit(None).cast("struct<hex:string,alpha:double>")
     lines = matrix.line_content(F.col("line"))
-    shadow = matrix.line_content(F.struct(F.lit(True).alias("plain"), F.col("effect.raw").alias("raw"), matrix.absent(F.col("line.gradient")).alias("gradient")))
+    shadow = matrix.solid(F.col("effect.raw"))
     layer = lambda name, content, reference=no_color: F.struct(F.lit(name).alias("layer"), content.alias("content"), reference.alias("reference"))
     layers = F.array(
         layer("own", F.col("content")), layer("theme", F.when(F.col("theme_content.tag").isin("solidFill", "gradFill", "pattFill", "noFill"), F.col("theme_content")), F.when(F.col("theme_content.tag") != "pattFill", F.col("fill_color"))),

@@ -24,9 +24,21 @@ THIN = 9525
 MAPS = ["override", "mapped", "theme"]
 
 
-def absent(like: Column) -> Column:
-    """A null of the same type."""
-    return F.when(F.lit(False), like)
+#: Types: a colour as it is written, a gradient and a fill of such.
+RAW = "struct<tag:string,attrs:struct<val:string,lastClr:string,hue:string,sat:string,lum:string,r:string,g:string,b:string>,mods:array<struct<name:string,val:double>>>"
+GRADIENT = f"struct<stops:array<struct<pos:double,nid:int,raw:{RAW}>>,rot:double,path:string,cx:double,cy:double>"
+CONTENT = f"struct<tag:string,raw:{RAW},gradient:{GRADIENT},rid:string,opacity:double,pattern:string,fore:{RAW},back:{RAW}>"
+
+
+def content(tag: Column, raw: Column, gradient: Column) -> Column:
+    """A content of one colour or a gradient."""
+    none = lambda c: F.lit(None).alias(c)
+    return F.struct(tag.alias("tag"), raw.alias("raw"), gradient.alias("gradient"), *map(none, ("rid", "opacity", "pattern", "fore", "back"))).cast(CONTENT)
+
+
+def solid(raw: Column) -> Column:
+    """A content of one colour."""
+    return content(F.lit("solidFill"), raw, F.lit(None))
 
 
 def _gathered(first: DataFrame, *others: DataFrame, by: str) -> DataFrame:
@@ -67,10 +79,10 @@ def contents(nodes: DataFrame, raws: DataFrame) -> DataFrame:
     opacity = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("alphaModFix", F.lit(1.0)) * F.coalesce("alphaMod", F.lit(1.0)) + F.coalesce("alphaOff", F.lit(0.0))))
     blip = blip.join(alpha, [*KEYS, "blip"], "left").groupBy(*KEYS, "holder").agg(F.min_by("rid", "blip").alias("rid"), F.min_by(opacity, "blip").alias("opacity"))
     met = _gathered(own, raws, gradients(nodes, raws), pattern, blip, by="holder")
-    return met.select(*KEYS, "holder", "parent", "owner", "way", "pos", F.struct("tag", "raw", "gradient", "rid", "opacity", "pattern", "fore", "back").alias("content"))
+    return met.select(*KEYS, "holder", "parent", "owner", "way", "pos", F.struct("tag", "raw", "gradient", "rid", "opacity", "pattern", "fore", "back").cast(CONTENT).alias("content"))
 
 
-def line_contents(nodes: DataFrame, raws: DataFrame, tags: tuple[str, ...] = ("ln",)) -> DataFrame:
+def line_contents(nodes: DataFrame, raws: DataFrame, tags: tuple[str, ...] = ("ln", "lnL", "lnR", "lnT", "lnB")) -> DataFrame:
     """(deck_id, part_path, holder, owner, way, pos, line) of lines outside of texts; line is a struct w, none, plain, raw, gradient, dash, head, tail."""
     own = nodes.filter(F.col("tag").isin(*tags) & ~F.col("way").contains("txBody")).select(*KEYS, F.col("nid").alias("holder"), "owner", "way", "pos", number(attr("w")).alias("w"))
     said = nodes.filter(F.col("tag").isin("noFill", "solidFill", "gradFill", "prstDash", "headEnd", "tailEnd")).select(*KEYS, F.col("parent").alias("line"), F.col("nid").alias("holder"), "tag", "attrs")
@@ -175,9 +187,7 @@ def line_content(line: Column) -> Column:
     """The colours of a line as a content."""
     gradient = F.coalesce(F.size(line["gradient"]["stops"]) > 0, F.lit(False))
     tag = F.when(gradient, "gradFill").when(line["plain"], "solidFill")
-    none = lambda c: F.lit(None).cast("string").alias(c)
-    raw = line["raw"]
-    return F.when(tag.isNotNull(), F.struct(tag.alias("tag"), raw.alias("raw"), line["gradient"].alias("gradient"), none("rid"), F.lit(None).cast("double").alias("opacity"), none("pattern"), absent(raw).alias("fore"), absent(raw).alias("back")))
+    return F.when(tag.isNotNull(), content(tag, line["raw"], line["gradient"]))
 
 
 def drawn(line: Column, own: Column, theme: Column, idx: Column, color: Column, fill: Column) -> Column:
@@ -227,12 +237,9 @@ def backgrounds(chain: DataFrame, styles: Styles, palette: DataFrame, rels: Data
     bg = F.coalesce("__slide_part", "__layout_part", "__master_part")
     rows = out.withColumn("bg", bg)
     tag = F.col("bg.content.tag")
-    empty = F.col("bg.content")
     seen = F.when((F.col("bg.tag") == "bgRef") & F.col("bg.raw").isNotNull(), "reference").when(tag == "solidFill", "plain").when(tag.isin("gradFill", "pattFill"), "drawn").when((tag == "blipFill") & F.col("bg.ref").isNotNull(), "drawn")
-    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    raw = F.col("bg.raw")
-    referred = F.struct(F.lit("solidFill").alias("tag"), raw.alias("raw"), absent(empty["gradient"]).alias("gradient"), none("rid", "string"), none("opacity", "double"), none("pattern", "string"), absent(raw).alias("fore"), absent(raw).alias("back"))
-    rows = rows.select(*chain.columns, seen.alias("seen"), F.col("bg.ref").alias("ref"), F.when(F.col("bg.tag") == "bgRef", referred).otherwise(empty).alias("content"), none("reference", "struct<hex:string,alpha:double>"), F.col("slide_part").alias("part_path"))
+    none = F.lit(None).cast("struct<hex:string,alpha:double>")
+    rows = rows.select(*chain.columns, seen.alias("seen"), F.col("bg.ref").alias("ref"), F.when(F.col("bg.tag") == "bgRef", solid(F.col("bg.raw"))).otherwise(F.col("bg.content")).alias("content"), none.alias("reference"), F.col("slide_part").alias("part_path"))
     found = resolved(rows, palette)
     ink = F.struct(F.col("ink.hex").alias("hex"), F.col("ink.alpha").alias("alpha"))
     laid = F.when(F.col("ink").isNull(), "#000000").when(F.col("ink.alpha") < 1, on_white(ink)).otherwise(bare(ink, "#000000"))

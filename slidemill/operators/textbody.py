@@ -135,9 +135,9 @@ def theme_fonts(nodes: DataFrame) -> DataFrame:
     return one.groupBy("deck_id", "theme_part").agg(F.map_from_entries(F.collect_list(F.struct("name", "face"))).alias("fonts"))
 
 
-def run_css(style: Column, own: Column, link: Column, hlink: Column, fonts: Column, font_color: Column) -> Column:
-    """The style attribute of a run: properties in a fixed order.  own: what the run itself says; link: where it leads; font_color: of its shape's reference,
-    which counts before what is inherited and after the run's own.
+def run_css(style: Column, own: Column, link: Column, hlink: Column, fonts: Column, font_color: Column, font_bold: Column) -> Column:
+    """The style attribute of a run: properties in a fixed order.  own: what the run itself says; link: where it leads; font_color, font_bold: of its shape's
+    reference or its cell's style, which count before what is inherited and after the run's own.
     """
     size = F.coalesce(F.when(style["size"] != 0, style["size"]), F.lit(12.0))
     pt = lambda name, value: F.concat(F.lit(f"{name}: "), js_number(value), F.lit("pt"))
@@ -150,7 +150,7 @@ def run_css(style: Column, own: Column, link: Column, hlink: Column, fonts: Colu
     shift = style["baseline"] / 1000.0
     shifted = F.coalesce(style["baseline"] != 0, F.lit(False))
     parts = [
-        pt("font-size", size), F.when(style["bold"], "font-weight: bold"), F.when(style["italic"], "font-style: italic"), F.when(F.size(lines) > 0, F.concat(F.lit("text-decoration: "), F.array_join(lines, " "))), F.concat(F.lit("color: "), color),
+        pt("font-size", size), F.when(F.coalesce(own["bold"], font_bold, style["bold"]), "font-weight: bold"), F.when(style["italic"], "font-style: italic"), F.when(F.size(lines) > 0, F.concat(F.lit("text-decoration: "), F.array_join(lines, " "))), F.concat(F.lit("color: "), color),
         F.when(style["no_fill"], "color: transparent"), F.concat(F.lit("font-family: "), font), pt("letter-spacing", style["spacing"]), F.when(style["kern"].isNotNull(), F.when(size >= style["kern"], "font-kerning: normal").otherwise("font-kerning: none")),
         F.when(style["cap"] == "all", "text-transform: uppercase").when(style["cap"] == "small", "font-variant: small-caps"), F.when(shifted, F.concat(F.lit("vertical-align: "), js_number(shift), F.lit("%"))), F.when(shifted & (F.abs(shift) >= 20), pt("font-size", size * 0.65)),
     ]
@@ -173,7 +173,7 @@ def paragraph_css(style: Column, size: Column, tabs: Column, no_wrap: Column) ->
 def html(bodies: DataFrame, nodes: DataFrame, paint: DataFrame, rels: DataFrame, palette: DataFrame) -> DataFrame:
     """(deck_id, part_path, nid, html): text bodies of shapes as HTML.
 
-    bodies: (deck_id, part_path, nid, ph, ph_type, layout_part, master_part, l_ph, m_ph, font_color), with the placeholders whose styles they take; the others: XML
+    bodies: (deck_id, part_path, nid, ph, ph_type, layout_part, master_part, l_ph, m_ph, font_color, font_bold), with the placeholders whose styles they take; the others: XML
     elements, colours (``palette.painted``), relationships and palettes.
     """
     styles = level_styles(nodes)
@@ -205,12 +205,12 @@ def html(bodies: DataFrame, nodes: DataFrame, paint: DataFrame, rels: DataFrame,
     met = joined(met, "part_path", F.col("nid"), lst, "s5")
     levels = [F.col(f"s{i}") for i in range(1, 7)]
     given = F.array(*(F.when(x.isNotNull(), x["run"].withField("color", x["color"])) for x in levels))
-    met = cut(met.select(*KEYS, "nid", "para", "ph_type", "font_color", cascade(levels).alias("style"), given.alias("given"), _fold(levels, lambda x: x["bu_css"]).alias("bu_css")))
+    met = cut(met.select(*KEYS, "nid", "para", "ph_type", "font_color", "font_bold", cascade(levels).alias("style"), given.alias("given"), _fold(levels, lambda x: x["bu_css"]).alias("bu_css")))
     # runs with their own styles on top
     runs = run_rows(nodes)
     runs = colored(runs.withColumn("__fill", F.col("style.fill")), "__fill", "__css").withColumn("own", F.col("style").withField("color", F.col("__css"))).select(*KEYS, "para", "run", "text", "own")
     look = palette.join(theme_fonts(nodes), ["deck_id", "theme_part"], "left").select(*KEYS, F.col("theme")["hlink"].alias("hlink"), F.coalesce("fonts", F.create_map().cast("map<string,string>")).alias("fonts"))
-    runs = runs.join(met.select(*KEYS, "para", "given", "font_color"), [*KEYS, "para"]).join(look, KEYS, "left").withColumn("fonts", F.coalesce("fonts", F.create_map().cast("map<string,string>")))
+    runs = runs.join(met.select(*KEYS, "para", "given", "font_color", "font_bold"), [*KEYS, "para"]).join(look, KEYS, "left").withColumn("fonts", F.coalesce("fonts", F.create_map().cast("map<string,string>")))
     given = [F.col("given")[i] for i in range(6)]
     runs = runs.withColumn("style", run_cascade([*given, F.col("own")]))
     address = rels.select("deck_id", F.col("source_part").alias("part_path"), F.col("rid").alias("link_rid"), F.when((F.col("mode") == "External") & safe_link(F.col("target")), F.col("target")).alias("link"))
@@ -218,7 +218,7 @@ def html(bodies: DataFrame, nodes: DataFrame, paint: DataFrame, rels: DataFrame,
     sym = F.col("own.sym")
     text = F.when(symbols.is_symbol_font(sym), F.array_join(F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: symbols.symbol(c, sym)), "")).otherwise(F.col("text"))
     tab = F.when(F.contains("text", F.lit("\t")), ";white-space: pre").otherwise("")
-    runs = runs.withColumn("css", F.concat(run_css(F.col("style"), F.col("own"), F.col("link"), F.col("hlink"), F.col("fonts"), F.col("font_color")), tab)).withColumn("inner", run_html(text))
+    runs = runs.withColumn("css", F.concat(run_css(F.col("style"), F.col("own"), F.col("link"), F.col("hlink"), F.col("fonts"), F.col("font_color"), F.col("font_bold")), tab)).withColumn("inner", run_html(text))
     one = F.struct("run", "text", "css", "inner", "link", F.col("style.size").alias("size"), F.col("own.size").alias("own_size"), F.col("style.color").alias("color"))
     runs = cut(runs.select(*KEYS, "para", "run", "text", "css", "inner", "link", "style", "own"))
     lines = runs.groupBy(*KEYS, "para").agg(F.array_sort(F.collect_list(one)).alias("runs"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.colors import css
 from ..functions.media import media_type
 from ..functions.outlines import preset_path
-from ..operators import frames, looks, matrix, package, shapes, styles, textbody
+from ..functions.units import emu_to_px, px_to_pt
+from ..operators import frames, looks, matrix, package, shapes, styles, tables, textbody
 from ..operators.palette import painted, palettes, raw_colors
 from ..sources import archive, xmltree
 from ..storage import cut
@@ -64,15 +65,25 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
     inks = refs.filter("font_color IS NOT NULL").select(*keys, F.col("owner").alias("nid"), css(F.col("font_color")).alias("font_color"))
     shown = textbody.style_placeholder(textbody.style_placeholder(found, "layout_part", on_layouts, "l_ph"), "master_part", on_masters, "m_ph")
     shown = cut(shown.select(*by_nid, "ph", "ph_type", "ph_idx", "layout_part", "master_part", "l_ph", "m_ph").join(inks, by_nid, "left"))
-    html = textbody.html(shown, nodes, paint, rels, palette)
+    table = nodes.filter(F.col("tag") == "tbl").select(*keys, F.col("nid").alias("frame"), F.col("owner").alias("nid"))
+    cells = cut(tables.cells(nodes, colors.styles, palette))
+    # texts of cells are bodies like those of shapes, with what the table's style says of text
+    behind_cells = cells.join(table, [*keys, "frame"]).join(found.select(*by_nid, "layout_part", "master_part"), by_nid)
+    behind_cells = behind_cells.select(*keys, F.col("tc").alias("nid"), F.lit(False).alias("ph"), F.lit(None).cast("string").alias("ph_type"), "layout_part", "master_part", *(F.lit(None).cast("int").alias(c) for c in ("l_ph", "m_ph")), "font_color", "font_bold")
+    html = textbody.html(shown.drop("ph_idx").withColumn("font_bold", F.lit(None).cast("boolean")).unionByName(behind_cells), nodes, paint, rels, palette)
     seen = nodes.filter((F.col("tag") == "t") & (F.trim("text") != "")).select(*keys, F.col("owner").alias("nid")).distinct().withColumn("has_text", F.lit(True))
     line = F.col("line")
     own = looks.own_looks(colors.styles, refs, palette, looks.inherited_contents(shown, colors.styles))
     look = cut(own.select(*by_nid, "own_fill", "theme_fill", "more_fill", looks.border(F.when(line.isNotNull(), line)).alias("border"), line["head"].alias("head"), line["tail"].alias("tail"), "shadow"))
     groups = looks.group_fills(found, colors.styles, palette)
-    table = nodes.filter(F.col("tag") == "tbl").select(*keys, F.col("nid").alias("frame"), F.col("owner").alias("nid"))
-    cell = F.struct("row", "col", "text", "grid_span", "row_span")
-    tables = frames.cells(nodes).groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(cell)).alias("cells")).join(table, [*keys, "frame"]).select(*by_nid, "cells")
+    cell = F.struct("row", "col", F.coalesce("html", F.lit("")).alias("text"), "grid_span", "row_span", "h_merge", "v_merge", "fill", "font_color", "font_bold", "valign", "borders")
+    inner = cells.join(html.select(*keys, F.col("nid").alias("tc"), "html"), [*keys, "tc"], "left")
+    inner = inner.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(cell), lambda a, b: F.when(a["row"] != b["row"], a["row"] - b["row"]).otherwise(a["col"] - b["col"])).alias("cells"), F.first("table_borders").alias("table_borders"))
+    high = table.join(found.select(*by_nid, F.coalesce("cy", F.lit(0.0)).alias("cy")), by_nid).select(*keys, F.col("frame"), "cy")
+    measured = tables.sizes(nodes, F.lit(None).cast("double")).join(high, [*keys, "frame"])
+    even = F.when(F.forall("row_heights", lambda h: h.isNull()), F.transform("row_heights", lambda _: px_to_pt(emu_to_px(F.col("cy") / F.size("row_heights"))))).otherwise(F.col("row_heights"))
+    grid = F.struct(even.alias("row_heights"), "col_widths", F.col("table_borders").alias("borders"))
+    listed = inner.join(measured, [*keys, "frame"]).join(table, [*keys, "frame"]).select(*by_nid, "cells", grid.alias("table"))
     series = cut(frames.chart_series(nodes))
     options = frames.chart_options(nodes, series)
     data = series.groupBy(*keys, "chart").agg(F.transform(F.array_sort(F.collect_list(F.struct("series", "name", "categories", "values"))), lambda x: x.dropFields("series")).alias("data"))
@@ -81,7 +92,7 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
     met = styles.links(found, rels).join(target, [*keys, "rid"], "left").join(charts, ["deck_id", "target"], "left")
     # what is known of shapes meets in one grouping instead of a join for each table
     more = html
-    for rows in (seen, tables, look, styles.inherited_bodies(found, styles.bodies(nodes)), *map(owned, (looks.adjustments(nodes), looks.crops(nodes)))):
+    for rows in (seen, listed, look, styles.inherited_bodies(found, styles.bodies(nodes)), *map(owned, (looks.adjustments(nodes), looks.crops(nodes)))):
         more = more.unionByName(rows, allowMissingColumns=True)
     more = more.groupBy(*by_nid).agg(*(F.first(c, True).alias(c) for c in more.columns if c not in by_nid))
     met = met.join(more, by_nid, "left").join(groups, [*keys, "group_nid"], "left")
@@ -103,11 +114,12 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
     medium = F.when((F.col("shape") == "pic") | F.col("ole").isNotNull() | F.col("formula").isNotNull(), F.col("target"))
     # a line along an axis is a pixel thick
     axis = F.when(drawn & lineal & ((F.col("width") >= 0.75) | (F.col("height") >= 0.75)), looks.line_axis(F.col("width") / 0.75, F.col("height") / 0.75))
-    thick = {"width": F.when((axis == "v") & (F.col("width") < 0.75), 0.75).otherwise(F.col("width")), "height": F.when((axis == "h") & (F.col("height") < 0.75), 0.75).otherwise(F.col("height"))}
+    across = F.aggregate("table.col_widths", F.lit(0.0), lambda a, w: a + w)
+    thick = {"width": F.when(across > 0, across).when((axis == "v") & (F.col("width") < 0.75), 0.75).otherwise(F.col("width")), "height": F.when((axis == "h") & (F.col("height") < 0.75), 0.75).otherwise(F.col("height"))}
     element = F.struct(
         "nid", kind.alias("type"), "name", "left", "top", *(c.alias(k) for k, c in thick.items()), "rotate", F.col("flip_h").alias("isFlipH"), F.col("flip_v").alias("isFlipV"), F.col("prst").alias("shapType"), path.alias("path"), F.col("html").alias("content"),
         filled.alias("fill"), F.when(drawn, F.coalesce("border", looks.no_border())).alias("border"), "shadow", "link", F.when(drawn, F.col("valign")).alias("vAlign"), F.when(drawn, F.col("vertical")).alias("isVertical"), "autofit", "font_scale", "keypoints", "head", "tail", "crop", medium.alias("ref"), media_type(medium).alias("media_type"),
-        F.col("cells").alias("cells"), "chart", F.col("group_nid").alias("group"), F.col("formula").alias("text"),
+        F.col("cells").alias("cells"), "table", "chart", F.col("group_nid").alias("group"), F.col("formula").alias("text"),
     )
     return met.select(*by_nid, "ph", "cx", "cy", element.alias("element")).filter("element.type <> 'frame'")
 

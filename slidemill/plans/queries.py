@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import colors, media, outlines, text, units
-from ..operators import frames, looks, matrix, package, shapes, styles, textbody
+from ..operators import frames, looks, matrix, package, shapes, styles, tables, textbody
 from ..operators.palette import palettes, raw_colors
 from ..sources import archive, builder, xmltree
 from ..sources.builder import text as put
@@ -751,6 +751,52 @@ def theme_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(_whole(F.col("id")).alias("part"), F.col("theme_fill.type").alias("type"), F.col("theme_fill.color").alias("color"), stops.alias("stops"), F.col("b.color").alias("border"), F.col("b.width").alias("width"), F.col("b.type").alias("border_type"), F.col("shadow.color").alias("shadow"))
 
 
+@_query(
+    """WITH d AS (SELECT p_partkey, p_size, p_partkey // 50 AS deck FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY deck ORDER BY p_partkey) - 1 AS r, count(*) OVER (PARTITION BY deck) AS n FROM d),
+    c AS (SELECT *, CASE WHEN c = 1 AND p_size % 5 = 0 THEN '#0000FF' WHEN c = 2 THEN 'rgba(68,114,196,0.500)' WHEN r = 0 THEN '#EEEEEE' WHEN r % 2 = 1 THEN '#AAAAAA' ELSE '#DDDDDD' END AS fill FROM r, (VALUES (0), (1), (2)) t(c))
+    SELECT p_partkey AS part, c AS col, fill, CASE WHEN r = 0 THEN '#FFFFFF' ELSE '#000001' END AS font_color, r = 0 AS font_bold, CASE WHEN c = 2 THEN 'mid' END AS valign,
+    CASE WHEN r > 0 THEN '#111111/1.0/solid' ELSE '#222222/2.0/solid' END AS "top", CASE WHEN c = 0 AND p_size % 7 = 0 THEN '' WHEN r = 0 THEN '#333333/3.0/solid' WHEN r < n - 1 THEN '#111111/1.0/solid' ELSE '' END AS bottom,
+    CASE WHEN c = 2 AND p_size % 3 = 0 THEN '#00FF00/0.5/dashed' WHEN c > 0 THEN '#4472C4/1.5/solid' ELSE '' END AS "left", CASE WHEN c < 2 THEN '#4472C4/1.5/solid' ELSE '' END AS "right", CASE WHEN r = 0 THEN '#222222/2.0/solid' END AS table_top FROM c"""
+)
+def table_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills, borders and text of cells by their table's style: inner and outer borders, a reference to a theme's line, an explicit none over a fill, the table's background, and what cells say themselves."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    srgb = lambda c: f'<a:srgbClr val="{c}"/>'
+    solid = lambda c: f"<a:solidFill>{c}</a:solidFill>"
+    line = lambda tag, w, inner: f'<a:{tag} w="{w}">{inner}</a:{tag}>'
+    own = {0: F.when(z % 7 == 0, line("lnB", 1, "<a:noFill/>")), 1: F.when(z % 5 == 0, solid(srgb("0000FF"))), 2: F.when(z % 3 == 0, line("lnL", 6350, solid(srgb("00FF00")) + '<a:prstDash val="dash"/>'))}
+    cell = lambda c: put("<a:tc><a:txBody><a:p/></a:txBody><a:tcPr", ' anchor="ctr"' if c == 2 else "", ">", own[c], "</a:tcPr></a:tc>")
+    part = _table(spark, sf_dir, "part")
+    rows = part.select((k / 50).cast("long").cast("string").alias("deck_id"), "p_partkey", put('<a:tr h="12700">', *map(cell, range(3)), "</a:tr>").alias("xml"))
+    rows = builder.gathered(rows, ["deck_id"], "p_partkey", "xml")
+    grid = "<a:tblGrid>" + '<a:gridCol w="12700"/>' * 3 + "</a:tblGrid>"
+    table = put('<a:tbl><a:tblPr firstRow="1" bandRow="1" lastCol="true"><a:tableStyleId>{S}</a:tableStyleId></a:tblPr>', grid, F.col("xml"), "</a:tbl>")
+    slides = rows.select("deck_id", F.lit(1).alias("n"), F.lit(1).alias("at"), builder.page(builder.frame(F.lit(1), table, "table")).alias("xml"))
+    side = lambda name, inner: f"<a:{name}>{inner}</a:{name}>"
+    section = lambda name, text="", fill="", borders="": f"<a:{name}>{text}<a:tcStyle><a:tcBdr>{borders}</a:tcBdr>{fill}</a:tcStyle></a:{name}>"
+    filled = lambda inner: f"<a:fill>{inner}</a:fill>"
+    borders = side("left", line("ln", 12700, "<a:noFill/>")) + side("top", line("ln", 25400, solid(srgb("222222")))) + side("insideH", line("ln", 12700, solid(srgb("111111")))) + side("insideV", '<a:lnRef idx="1"><a:schemeClr val="accent1"/></a:lnRef>')
+    style = '<a:tblStyleLst xmlns:a="urn:a"><a:tblStyle styleId="{T}"><a:wholeTbl/></a:tblStyle><a:tblStyle styleId="{S}"><a:tblBg>' + solid(srgb("EEEEEE")) + "</a:tblBg>"
+    style += section("wholeTbl", f'<a:tcTxStyle b="off"><a:fontRef idx="minor"/>{srgb("000001")}</a:tcTxStyle>', filled(solid(srgb("DDDDDD"))), borders) + section("band1H", fill=filled(solid(srgb("AAAAAA")))) + "<a:band2H/>"
+    style += section("lastCol", fill=filled('<a:fillRef idx="1"><a:schemeClr val="accent1"><a:alpha val="50000"/></a:schemeClr></a:fillRef>'))
+    style += section("firstRow", f'<a:tcTxStyle b="on">{solid(srgb("FFFFFF"))}</a:tcTxStyle>', filled("<a:noFill/>"), side("bottom", line("ln", 38100, solid(srgb("333333"))))) + "</a:tblStyle></a:tblStyleLst>"
+    theme = '<a:theme xmlns:a="urn:a"><a:themeElements><a:clrScheme><a:accent1><a:srgbClr val="4472C4"/></a:accent1></a:clrScheme><a:fmtScheme><a:lnStyleLst><a:ln w="19050"/></a:lnStyleLst></a:fmtScheme></a:themeElements></a:theme>'
+    link = lambda kind, target: builder.relationships(builder.relationship("rId1", kind, target))
+    fixed = {
+        "ppt/slides/_rels/slide1.xml.rels": link("slideLayout", "../slideLayouts/slideLayout1.xml"), "ppt/slideLayouts/slideLayout1.xml": builder.page("", "sldLayout"), "ppt/slideLayouts/_rels/slideLayout1.xml.rels": link("slideMaster", "../slideMasters/slideMaster1.xml"),
+        "ppt/slideMasters/slideMaster1.xml": builder.page("", "sldMaster"), "ppt/slideMasters/_rels/slideMaster1.xml.rels": link("theme", "../theme/theme1.xml"), "ppt/theme/theme1.xml": F.lit(theme), "ppt/tableStyles.xml": F.lit(style),
+    }
+    deck = Deck(builder.decks(slides, rows.select("deck_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, fixed)), F.array(*fixed.values()))).alias("part_path", "content"))))
+    deck.nodes = cut(deck.nodes)
+    deck.rels = cut(package.relationships(deck.nodes))
+    colors_ = Colors(deck)
+    found = tables.cells(deck.nodes, colors_.styles, colors_.palette)
+    order = part.select((k / 50).cast("long").cast("string").alias("deck_id"), "p_partkey", (F.row_number().over(Window.partitionBy((k / 50).cast("long")).orderBy("p_partkey")) - 1).alias("row"))
+    told = lambda b: F.when(b.isNotNull(), F.concat_ws("/", b["color"], b["width"].cast("string"), b["type"]))
+    edges = {c: F.coalesce(told(F.col("borders")[c]), F.lit("")).alias(c) for c in ("top", "bottom", "left", "right")}
+    return found.join(order, ["deck_id", "row"]).select(F.col("p_partkey").alias("part"), F.col("col").cast("int").alias("col"), "fill", "font_color", "font_bold", "valign", *edges.values(), F.when(F.col("row") == 0, told(F.col("table_borders.top"))).alias("table_top"))
+
+
 @_query(
     """SELECT s_suppkey AS slide, CASE s_suppkey % 7 WHEN 1 THEN 'gradient' WHEN 2 THEN 'pattern' WHEN 3 THEN 'image' WHEN 5 THEN CASE WHEN deck % 2 = 0 THEN 'image' ELSE 'color' END ELSE 'color' END AS type,
     CASE s_suppkey % 7 WHEN 0 THEN '#8080ff' WHEN 4 THEN '#ffffff' WHEN 5 THEN CASE WHEN deck % 2 = 1 THEN '#ED7D31' END WHEN 6 THEN '#445566' END AS color,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that own what lies below them, down to the next such element.
-OWNERS = frozenset(["sp", "pic", "graphicFrame", "cxnSp", "grpSp", "Relationship", "ser", "tc"])
+OWNERS = frozenset(["sp", "pic", "graphicFrame", "cxnSp", "grpSp", "Relationship", "ser", "tc", "tblStyle"])
 _RELATIONS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _SCHEMA = pa.schema(
     [

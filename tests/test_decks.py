@@ -114,7 +114,7 @@ def test_a_full_slide(full):
     assert star["border"]["color"] == "#ED7D31" and star["border"]["width"] == 1.5 and star["border"]["type"] == "dashed" and star["border"]["dashes"] == "6.00,3.00"
     assert plain["fill"]["color"] == "#ff0000" and plain["border"].asDict() == {"color": "#00ff00", "width": 2.0, "type": "solid", "dashes": ""} and (plain["head"], plain["tail"]) == (None, "arrow")
     assert by["Pic"]["ref"] == "ppt/media/a.PNG" and by["Pic"]["media_type"] == "image/png" and by["Pic"]["crop"].asDict() == {"t": 0.1, "b": 0, "l": 0.25, "r": 0}
-    assert [c["text"] for c in by["F7"]["cells"]] == ["x", "y"]
+    assert [c["text"] for c in by["F7"]["cells"]] == [f'<p><span style="font-size: 12pt;color: #000000;font-family: Text;">{x}</span></p>' for x in "xy"]
     chart = by["F8"]["chart"]
     assert chart["chart"] == "lineChart" and chart["data"][0]["values"] == [0, 7] and chart["data"][0]["name"] == "Series 1" and chart["grouping"] == "standard" and chart["marker"] and chart["bar_dir"] is None
 
