@@ -48,24 +48,57 @@ def preset_path(name: Column, w: Column, h: Column, adj: Column | None = None) -
     return F.when(name == "textNoShape", F.lit("")).otherwise(out)
 
 
+#: Letters of commands, how many points each needs, and how many it takes at most.
+LETTERS = {"moveTo": ("M", 0, 1), "lnTo": ("L", 0, 1), "cubicBezTo": ("C", 3, 3), "quadBezTo": ("Q", 2, 2), "close": ("Z", 0, 0), "arcTo": ("A", 0, 0)}
+
+
 def custom_paths(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(deck_id, part_path, owner, path): custom geometry of moves, lines, curves and closings, scaled to boxes (deck_id, part_path, owner, w, h).
+    """(deck_id, part_path, owner, commands, path): custom geometry of moves, lines, curves, arcs and closings, scaled to boxes (deck_id, part_path, owner, w, h).
 
-    A path's own extent is its w and h, or where it has none the largest coordinate in it.
+    A path's own extent is its w and h, or where it has none the shape's, in EMU.  Commands (letter, values) are a fold along each path that carries the
+    place of the pen, for an arc starts where the pen is: its angles are those at which rays leave the middle of its ellipse.  Arcs without a
+    radius or an angle, and curves with too few points, are left out.
     """
     keys = ["deck_id", "part_path", "owner"]
-    letters = {"moveTo": "M", "lnTo": "L", "cubicBezTo": "C", "quadBezTo": "Q", "close": "Z"}
     below = nodes.filter(F.col("way").startswith("spPr/custGeom/pathLst/path"))
     path = below.filter(F.col("way") == "spPr/custGeom/pathLst/path").select(*keys, F.col("nid").alias("path"), number(attr("w")).alias("pw"), number(attr("h")).alias("ph"))
-    command = below.filter(F.col("tag").isin(*letters)).select(*keys, F.col("parent").alias("path"), F.col("nid").alias("cmd"), F.col("tag"))
-    pt = below.filter(F.col("tag") == "pt").select(*keys, F.col("parent").alias("cmd"), F.col("nid").alias("pt"), F.coalesce(number(attr("x")), F.lit(0.0)).alias("x"), F.coalesce(number(attr("y")), F.lit(0.0)).alias("y"))
-    met = command.join(pt, [*keys, "cmd"], "left").join(path, [*keys, "path"])
-    extent = met.groupBy(*keys, "path").agg(F.greatest(F.lit(1.0), F.max("x")).alias("mx"), F.greatest(F.lit(1.0), F.max("y")).alias("my"))
-    met = met.join(extent, [*keys, "path"]).join(boxes, keys)
-    scale = lambda size, own, most: F.when(F.coalesce(F.col(own), F.col(most)) > 0, F.col(size) / F.coalesce(F.col(own), F.col(most))).otherwise(1.0)
-    point = F.concat(js_number(F.col("x") * scale("w", "pw", "mx")), F.lit(","), js_number(F.col("y") * scale("h", "ph", "my")))
-    letter = F.lit("")
-    for tag, sign in letters.items():
-        letter = F.when(F.col("tag") == tag, sign).otherwise(letter)
-    one = met.groupBy(*keys, "path", "cmd").agg(F.first(letter).alias("letter"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pt").isNotNull(), F.struct("pt", point.alias("s"))))), lambda x: x["s"]), " ").alias("points"))
-    return one.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cmd", F.concat("letter", "points").alias("s")))), lambda x: x["s"]), " ").alias("path"))
+    own = nodes.filter(F.col("way") == "spPr/xfrm/ext").groupBy(*keys).agg(F.min_by(F.struct(number(attr("cx")).alias("cx"), number(attr("cy")).alias("cy")), "nid").alias("ext"))
+    size = lambda c: F.coalesce(number(attr(c)), F.lit(0.0)).alias(c)
+    command = below.filter(F.col("tag").isin(*LETTERS)).select(*keys, F.col("parent").alias("path"), F.col("nid").alias("cmd"), "tag", F.struct(*map(size, ("wR", "hR", "stAng", "swAng"))).alias("arc"))
+    pt = below.filter(F.col("tag") == "pt").select(*keys, F.col("parent").alias("cmd"), F.struct("nid", F.coalesce(number(attr("x")), F.lit(0.0)).alias("x"), F.coalesce(number(attr("y")), F.lit(0.0)).alias("y")).alias("pt"))
+    pt = pt.groupBy(*keys, "cmd").agg(F.transform(F.array_sort(F.collect_list("pt")), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pts"))
+    met = command.join(pt, [*keys, "cmd"], "left").groupBy(*keys, "path").agg(F.array_sort(F.collect_list(F.struct("cmd", "tag", "arc", "pts"))).alias("commands"))
+    met = met.join(path, [*keys, "path"]).join(boxes.select(*keys, "w", "h"), keys).join(own, keys, "left")
+    extent = lambda own_, ext: F.coalesce(F.col(own_), F.col(f"ext.{ext}"), F.lit(0.0))
+    scale = lambda to, e: F.when(e > 0, F.col(to) / e).otherwise(1.0)
+    met = met.withColumns({"kx": scale("w", extent("pw", "cx")), "ky": scale("h", extent("ph", "cy"))})
+    none = F.array().cast("array<struct<letter:string,values:array<double>>>")
+
+    def step(a: Column, c: Column) -> Column:
+        state = lambda x, y, done: F.struct(x.alias("x"), y.alias("y"), done.alias("done"))
+        tag, arc = c["tag"], c["arc"]
+        pts = F.coalesce(c["pts"], F.array().cast("array<struct<x:double,y:double>>"))
+        letter, least, most = (F.element_at(F.create_map(*(x for k, v in LETTERS.items() for x in (F.lit(k), F.lit(v[i])))), tag) for i in range(3))
+        zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        taken = F.when((most == 1) & (F.size(pts) == 0), F.array(zero)).otherwise(F.slice(pts, F.lit(1), most))
+        end = F.try_element_at(taken, F.lit(-1))
+        values = F.flatten(F.transform(taken, lambda p: F.array(p["x"] * F.col("kx"), p["y"] * F.col("ky"))))
+        moved = state(F.coalesce(end["x"], a["x"]), F.coalesce(end["y"], a["y"]), F.concat(a["done"], F.array(F.struct(letter.alias("letter"), values.alias("values")))))
+        turn = lambda deg: F.atan2(arc["wR"] * F.sin(F.radians(deg)), arc["hR"] * F.cos(F.radians(deg)))
+        first, sweep = arc["stAng"] / 60000.0, arc["swAng"] / 60000.0
+        x = a["x"] - arc["wR"] * F.cos(turn(first)) + arc["wR"] * F.cos(turn(first + sweep))
+        y = a["y"] - arc["hR"] * F.sin(turn(first)) + arc["hR"] * F.sin(turn(first + sweep))
+        flag = lambda on: on.cast("double")
+        bent = F.array(arc["wR"] * F.col("kx"), arc["hR"] * F.col("ky"), F.lit(0.0), flag(F.abs(sweep) > 180), flag(sweep > 0), x * F.col("kx"), y * F.col("ky"))
+        round_ = (arc["wR"] * F.col("kx") != 0) & (arc["hR"] * F.col("ky") != 0) & (sweep != 0)
+        turned = state(x, y, F.concat(a["done"], F.array(F.struct(F.lit("A").alias("letter"), bent.alias("values")))))
+        return F.when(tag == "arcTo", F.when(round_, turned).otherwise(a)).when(F.size(pts) < least, a).otherwise(moved)
+
+    folded = F.aggregate("commands", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), none.alias("done")), step)["done"]
+    one = met.select(*keys, "path", folded.alias("done"))
+    pairs = lambda v: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2) - 1), lambda i: F.concat_ws(",", js_number(F.get(v, (i * 2).cast("int"))), js_number(F.get(v, (i * 2 + 1).cast("int"))))), " ")
+    bent = lambda v: F.concat(js_number(v[0]), F.lit(","), js_number(v[1]), F.lit(" 0 "), js_number(v[3]), F.lit(","), js_number(v[4]), F.lit(" "), js_number(v[5]), F.lit(","), js_number(v[6]))
+    written = F.transform("done", lambda c: F.concat(c["letter"], F.when(c["letter"] == "A", bent(c["values"])).when(F.size(c["values"]) == 0, "").otherwise(pairs(c["values"]))))
+    one = one.select(*keys, "path", "done", F.array_join(written, " ").alias("s"))
+    whole = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", "s", "done"))).alias("all"))
+    return whole.select(*keys, F.flatten(F.transform("all", lambda x: x["done"])).alias("commands"), F.array_join(F.transform("all", lambda x: x["s"]), " ").alias("path"))

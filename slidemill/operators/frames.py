@@ -84,7 +84,7 @@ def nearest_drawing(frames: DataFrame, drawings: DataFrame) -> DataFrame:
 
     Drawings and frames stand in one line by number, and each frame looks at the drawing before it and the one after it: no pairs are made.
     """
-    one = drawings.groupBy("deck_id", F.col("drawing_number").alias("number")).agg(F.min("drawing").alias("drawing"))
+    one = drawings.filter("drawing_number IS NOT NULL").groupBy("deck_id", F.col("drawing_number").alias("number")).agg(F.min("drawing").alias("drawing"))
     first = drawings.groupBy("deck_id").agg(F.min("drawing").alias("any"))
     rows = one.select("deck_id", "number", "drawing", F.lit(None).cast(frames.schema["frame"].dataType).alias("frame")).unionByName(frames.select("deck_id", "number", F.lit(None).cast(one.schema["drawing"].dataType).alias("drawing"), "frame"))
     found = F.when(F.col("drawing").isNotNull(), F.struct("number", "drawing"))
@@ -97,6 +97,25 @@ def nearest_drawing(frames: DataFrame, drawings: DataFrame) -> DataFrame:
     return met.select("deck_id", "frame", F.coalesce(near["drawing"], "any").alias("drawing"))
 
 
+def diagram_drawings(nodes: DataFrame, rels: DataFrame, parts: DataFrame) -> DataFrame:
+    """(deck_id, part_path, nid, drawing): the part that draws the diagram in each frame of a slide, of those that the slide has a relationship to and that are there.
+
+    It is the one whose number is nearest to that of the diagram's data, the first of equally near ones, or just the first where the data has no number.
+    Frames without any have no row.
+    """
+    keys = ["deck_id", "part_path"]
+    number_ = lambda c, word: F.nullif(F.regexp_extract(c, rf"{word}(\d+)", 1), F.lit("")).cast("long")
+    scope = F.struct("deck_id", "part_path")
+    frame = nodes.filter((F.col("way") == "graphic/graphicData") & F.contains(attr("uri"), F.lit("diagram"))).select(*keys, F.col("owner").alias("nid"), F.col("nid").alias("parent"))
+    data = nodes.filter(F.col("tag") == "relIds").groupBy(*keys, "parent").agg(F.min_by(F.coalesce(attr("r:dm"), attr("dm")), "nid").alias("rid"))
+    target = rels.select("deck_id", F.col("source_part").alias("part_path"), "rid", number_(F.col("target"), "data").alias("number"))
+    frame = frame.join(data, [*keys, "parent"], "left").join(target, [*keys, "rid"], "left").select(scope.alias("deck_id"), F.col("nid").alias("frame"), "number")
+    there = parts.select("deck_id", F.col("part_path").alias("resolved"))
+    drawn = rels.filter(F.contains("type", F.lit("diagramDrawing")) | F.contains("target", F.lit("diagrams/drawing"))).join(there, ["deck_id", "resolved"])
+    drawn = drawn.select(F.struct("deck_id", F.col("source_part").alias("part_path")).alias("deck_id"), number_(F.col("target"), "drawing").alias("drawing_number"), F.struct("ord", "resolved").alias("drawing"))
+    return nearest_drawing(frame, drawn).select("deck_id.*", F.col("frame").alias("nid"), F.col("drawing.resolved").alias("drawing"))
+
+
 def baked(left: Column, top: Column, width: Column, height: Column, rotate: Column, flip_h: Column, flip_v: Column, group: dict[str, Column]) -> Column:
     """A child's struct left, top, rotate, flip_h, flip_v after its group (width, height, rotate, flip_h, flip_v) is turned and mirrored.
 

@@ -54,6 +54,12 @@ def palettes(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     return met.join(themes, ["deck_id", "theme_part"], "left").select(*KEYS, "override", "mapped", "theme", "theme_part")
 
 
+def with_drawings(palette: DataFrame, drawn: DataFrame) -> DataFrame:
+    """palette with rows for parts that draw diagrams: they have the colours of the first slide that shows them; drawn: ``frames.diagram_drawings``."""
+    first = drawn.groupBy("deck_id", "drawing").agg(F.min("part_path").alias("part_path"))
+    return palette.unionByName(first.join(palette, KEYS).drop("part_path").withColumnRenamed("drawing", "part_path"))
+
+
 def modifiers(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """of (keys, c) with mods: modifiers below the colour elements c, in order."""
     mod = nodes.filter(attr("val").isNotNull()).select(*KEYS, F.col("parent").alias("c"), F.struct("nid", F.col("tag").alias("name"), number(attr("val")).alias("val")).alias("mod"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.colors import css
 from ..functions.media import media_type
-from ..functions.outlines import preset_path
+from ..functions.outlines import custom_paths, preset_path
 from ..functions.units import emu_to_px, px_to_pt
 from ..operators import frames, looks, matrix, package, shapes, styles, tables, textbody
-from ..operators.palette import painted, palettes, raw_colors
+from ..operators.palette import painted, palettes, raw_colors, with_drawings
 from ..sources import archive, xmltree
 from ..storage import cut
 
@@ -34,15 +34,17 @@ class Colors:
     def __init__(self, deck: Deck):
         raws = cut(raw_colors(deck.nodes))
         self.styles = matrix.Styles(deck.nodes, raws)
-        self.palette = cut(self.styles.scopes(palettes(deck.nodes, deck.rels)))
+        self.drawings = cut(frames.diagram_drawings(deck.nodes, deck.rels, deck.parts))
+        self.palette = cut(self.styles.scopes(with_drawings(palettes(deck.nodes, deck.rels), self.drawings)))
         self.paint = cut(painted(raws, self.palette))
 
 
 def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> DataFrame:
-    """(deck_id, part_path, nid, ph, element): every shape of slides, layouts and masters as a document has it; order: the chain of slides.
+    """(deck_id, part_path, nid, inner, ph, element): every shape of slides, layouts and masters as a document has it; order: the chain of slides.
 
     Places, turns and mirrors are those on the slide, whatever groups are around; group is the group's nid, 0 outside of groups.  Frames
-    that hold neither a table, a chart, a diagram nor a picture of an object are left out.
+    that hold neither a table, a chart, a diagram nor a picture of an object are left out.  A diagram is a group, in which the shapes of the part
+    that draws it stand, moved to its frame: these have the frame's part, nid and group, and their own place in inner; one that nothing draws is left out.
     """
     nodes, rels = deck.nodes, deck.rels
     colors = colors or Colors(deck)
@@ -58,7 +60,12 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
     unmatched = {"l_match": F.lit(None).cast("int"), "m_match": F.lit(None).cast("int"), "l_placed": F.lit(False)}
     layouts = on_layouts.withColumns({"layout_part": F.col("part_path")} | unmatched).join(masters, ["deck_id", "part_path"], "left")
     rest = on_masters.withColumns({"layout_part": F.lit(None).cast("string"), "master_part": F.col("part_path")} | unmatched)
-    found = cut(shapes.boxes(own.unionByName(layouts.select(own.columns)).unionByName(rest.select(own.columns))))
+    own = own.unionByName(layouts.select(own.columns)).unionByName(rest.select(own.columns))
+    # shapes of diagrams, once for each part that draws one; where they are shown is told at the end
+    chains = order.select("deck_id", F.col("slide_part").alias("shown_on"), "layout_part", "master_part").distinct()
+    first = colors.drawings.groupBy("deck_id", F.col("drawing").alias("part_path")).agg(F.min("part_path").alias("shown_on"))
+    drawing = behind("ppt/diagrams/").join(first, ["deck_id", "part_path"]).join(chains, ["deck_id", "shown_on"]).withColumns(unmatched)
+    found = cut(shapes.boxes(own.unionByName(drawing.select(own.columns))))
     keys, by_nid = ["deck_id", "part_path"], ["deck_id", "part_path", "nid"]
     owned = lambda rows: rows.withColumnRenamed("owner", "nid")
     refs = cut(looks.references(nodes, paint))
@@ -91,8 +98,9 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
     target = rels.select("deck_id", F.col("source_part").alias("part_path"), "rid", F.col("resolved").alias("target"))
     met = styles.links(found, rels).join(target, [*keys, "rid"], "left").join(charts, ["deck_id", "target"], "left")
     # what is known of shapes meets in one grouping instead of a join for each table
+    bent = custom_paths(nodes, found.filter("custom").select(*keys, F.col("nid").alias("owner"), F.col("width").alias("w"), F.col("height").alias("h"))).select(*keys, F.col("owner").alias("nid"), F.col("path").alias("custom_path"))
     more = html
-    for rows in (seen, listed, look, styles.inherited_bodies(found, styles.bodies(nodes)), *map(owned, (looks.adjustments(nodes), looks.crops(nodes)))):
+    for rows in (seen, listed, look, bent, styles.inherited_bodies(found, styles.bodies(nodes)), *map(owned, (looks.adjustments(nodes), looks.crops(nodes)))):
         more = more.unionByName(rows, allowMissingColumns=True)
     more = more.groupBy(*by_nid).agg(*(F.first(c, True).alias(c) for c in more.columns if c not in by_nid))
     met = met.join(more, by_nid, "left").join(groups, [*keys, "group_nid"], "left")
@@ -106,10 +114,11 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
     text = styles.is_text(F.col("text_box"), F.col("ph_type"), F.col("custom"), F.col("prst"), F.coalesce("has_text", F.lit(False)), painted_)
     kind = (
         F.when(F.col("formula").isNotNull() | (F.col("ole") == "word"), "math").when(F.col("shape") == "grpSp", "group").when(F.col("cells").isNotNull(), "table").when(F.contains("uri", F.lit("chart")), "chart")
-        .when(F.col("shape") == "graphicFrame", F.when(F.contains("uri", F.lit("diagram")), "diagram").when(F.contains("uri", F.lit("ole")) & (F.col("ole") == "picture"), "image").otherwise("frame"))
+        .when(F.col("shape") == "graphicFrame", F.when(F.contains("uri", F.lit("diagram")), "group").when(F.contains("uri", F.lit("ole")) & (F.col("ole") == "picture"), "image").otherwise("frame"))
         .when(F.col("shape") == "pic", F.when(F.col("video_rid").isNotNull(), "video").when(F.col("audio_rid").isNotNull(), "audio").otherwise("image")).when(text, "text").otherwise("shape")
     )
-    path = F.when(drawn & F.col("prst").isNotNull(), preset_path(F.col("prst"), F.col("width"), F.col("height")))
+    path = F.when(drawn, F.coalesce(F.when(F.col("prst").isNotNull(), preset_path(F.col("prst"), F.col("width"), F.col("height"))), F.col("custom_path")))
+    outline = F.when(drawn, F.when((F.col("shape") == "cxnSp") & (F.col("prst") == "line"), "straightConnector1").otherwise(F.coalesce("prst", F.when(F.col("custom"), "custom"), F.lit("rect"))))
     filled = F.when(drawn, F.coalesce(fill, matrix.plain(F.lit("transparent"))))
     medium = F.when((F.col("shape") == "pic") | F.col("ole").isNotNull() | F.col("formula").isNotNull(), F.col("target"))
     # a line along an axis is a pixel thick
@@ -117,11 +126,19 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
     across = F.aggregate("table.col_widths", F.lit(0.0), lambda a, w: a + w)
     thick = {"width": F.when(across > 0, across).when((axis == "v") & (F.col("width") < 0.75), 0.75).otherwise(F.col("width")), "height": F.when((axis == "h") & (F.col("height") < 0.75), 0.75).otherwise(F.col("height"))}
     element = F.struct(
-        "nid", kind.alias("type"), "name", "left", "top", *(c.alias(k) for k, c in thick.items()), "rotate", F.col("flip_h").alias("isFlipH"), F.col("flip_v").alias("isFlipV"), F.col("prst").alias("shapType"), path.alias("path"), F.col("html").alias("content"),
+        "nid", kind.alias("type"), "name", "left", "top", *(c.alias(k) for k, c in thick.items()), "rotate", F.col("flip_h").alias("isFlipH"), F.col("flip_v").alias("isFlipV"), outline.alias("shapType"), path.alias("path"), F.col("html").alias("content"),
         filled.alias("fill"), F.when(drawn, F.coalesce("border", looks.no_border())).alias("border"), "shadow", "link", F.when(drawn, F.col("valign")).alias("vAlign"), F.when(drawn, F.col("vertical")).alias("isVertical"), "autofit", "font_scale", "keypoints", "head", "tail", "crop", medium.alias("ref"), media_type(medium).alias("media_type"),
         F.col("cells").alias("cells"), "table", "chart", F.col("group_nid").alias("group"), F.col("formula").alias("text"),
     )
-    return met.select(*by_nid, "ph", "cx", "cy", element.alias("element")).filter("element.type <> 'frame'")
+    every = met.select(*by_nid, "ph", "cx", "cy", F.contains("uri", F.lit("diagram")).alias("diagram"), element.alias("element")).filter("element.type <> 'frame'")
+    # diagrams: frames with a drawing stay, and its shapes are moved to them
+    every = cut(every.join(colors.drawings, by_nid, "left").filter("diagram IS NULL OR NOT diagram OR drawing IS NOT NULL"))
+    frame = every.filter("drawing IS NOT NULL").select("deck_id", F.col("drawing").alias("part_path"), F.col("part_path").alias("on_part"), F.col("nid").alias("on_nid"), F.col("element.left").alias("dx"), F.col("element.top").alias("dy"))
+    inside = every.filter(F.col("part_path").startswith("ppt/diagrams/")).join(frame, ["deck_id", "part_path"])
+    moved = F.col("element").withField("left", F.round(F.col("element.left") + F.col("dx"), 4)).withField("top", F.round(F.col("element.top") + F.col("dy"), 4)).withField("group", F.col("on_nid")).withField("nid", F.col("on_nid"))
+    inside = inside.select("deck_id", F.col("on_part").alias("part_path"), F.col("on_nid").alias("nid"), F.col("nid").alias("inner"), "ph", "cx", "cy", moved.alias("element"))
+    rest = every.filter(~F.col("part_path").startswith("ppt/diagrams/")).withColumn("inner", F.lit(0))
+    return rest.select(inside.columns).unionByName(inside)
 
 
 def documents(decks: DataFrame) -> DataFrame:
@@ -135,7 +152,8 @@ def documents(decks: DataFrame) -> DataFrame:
     order = cut(package.chain(deck.slides(), deck.rels))
     colors = Colors(deck)
     every = cut(elements(deck, order, colors))
-    listed = lambda rows, part, name: rows.groupBy("deck_id", F.col("part_path").alias(part)).agg(F.array_sort(F.collect_list("element"), lambda a, b: a["nid"] - b["nid"]).alias(name))
+    in_order = lambda a, b: F.when(a["nid"] != b["nid"], a["nid"] - b["nid"]).otherwise(a["inner"] - b["inner"])
+    listed = lambda rows, part, name: rows.groupBy("deck_id", F.col("part_path").alias(part)).agg(F.transform(F.array_sort(F.collect_list(F.struct("nid", "inner", "element")), in_order), lambda x: x["element"]).alias(name))
     own = listed(every, "slide_part", "elements")
     seen = styles.decorations(every)
     on_layout, on_master = listed(seen.filter(F.col("part_path").startswith("ppt/slideLayouts/")), "layout_part", "on_layout"), listed(seen.filter(F.col("part_path").startswith("ppt/slideMasters/")), "master_part", "on_master")

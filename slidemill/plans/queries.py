@@ -887,6 +887,59 @@ def placeholder_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(_whole(F.col("id")).alias("part"), "valign", "vertical", F.col("fill.color").alias("fill"))
 
 
+@_query(
+    """WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s FROM part)
+    SELECT p_partkey AS part, CAST(i AS INTEGER) AS i, letter, x, y, large, sweep FROM (
+    SELECT p_partkey, 0 AS i, 'M' AS letter, 2 * s AS x, 2 * s AS y, NULL AS large, NULL AS sweep, s FROM p UNION ALL SELECT p_partkey, 1, 'A', 4 * s, s, 0, 1, s FROM p UNION ALL SELECT p_partkey, 2, 'C', 4 * s, 8 * s, NULL, NULL, s FROM p
+    UNION ALL SELECT p_partkey, 3, 'A', 4 * s, 8 * s - 4 * s, 0, 0, s FROM p WHERE s % 2 = 0 UNION ALL SELECT p_partkey, 3, 'A', 4 * s + 2 * s, 8 * s - 2 * s, 1, 0, s FROM p WHERE s % 2 = 1 UNION ALL SELECT p_partkey, 4, 'Z', NULL, NULL, NULL, NULL, s FROM p)"""
+)
+def custom_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs in custom geometry, after a move and after a curve, each from where the pen is: quarters, halves and three quarters of ellipses, in a box twice as large; arcs without an angle are left out."""
+    part, s = _table(spark, sf_dir, "part"), F.col("p_size")
+    pt = lambda x, y: put('<a:pt x="', x, '" y="', y, '"/>')
+    arc = lambda w, h, start, sweep: put('<a:arcTo wR="', w, '" hR="', h, '" stAng="', start, '" swAng="', sweep, '"/>')
+    last = F.when(s % 2 == 0, arc(s, s, F.lit(5400000), F.lit(-10800000))).otherwise(arc(s, s, F.lit(5400000 * 2), F.lit(-16200000)))
+    commands = put("<a:moveTo>", pt(s, s), "</a:moveTo>", arc(s, s / 2, F.lit(10800000), F.lit(5400000)), arc(s, s, F.lit(0), F.lit(0)), "<a:cubicBezTo>", pt(s, s), pt(s, s), pt(s * 2, s * 4), "</a:cubicBezTo><a:quadBezTo>", pt(s, s), "</a:quadBezTo>", last, "<a:close/>")
+    geometry = put('<a:custGeom><a:pathLst><a:path w="', s * 10, '" h="', s * 10, '">', commands, "</a:path></a:pathLst></a:custGeom>")
+    shape = builder.shape(F.col("p_partkey"), F.lit("s"), geometry=geometry)
+    nodes = cut(Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes)
+    ids = shapes.shapes(nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id").join(part.select(F.col("p_partkey").cast("string").alias("id"), (s * 20.0).alias("w"), (s * 20.0).alias("h")), "id")
+    found = outlines.custom_paths(nodes, ids).join(ids, ["deck_id", "part_path", "owner"]).select("id", F.posexplode("commands").alias("i", "c"))
+    v, from_end = F.col("c.values"), lambda i: F.round(F.try_element_at(F.col("c.values"), F.lit(i)), 6) + 0.0
+    flag = lambda i: F.when(F.col("c.letter") == "A", F.get(v, F.lit(i)).cast("int"))
+    return found.select(_whole(F.col("id")).alias("part"), "i", F.col("c.letter").alias("letter"), from_end(-2).alias("x"), from_end(-1).alias("y"), flag(3).alias("large"), flag(4).alias("sweep"))
+
+
+@_query(
+    """SELECT CAST(s_suppkey AS BIGINT) AS supplier, CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE 'drawn' || (s_suppkey % 50 // 10 * 10 + CASE WHEN s_suppkey % 4 = 0 THEN 1 WHEN s_suppkey % 4 = 1 THEN 5 ELSE 1 END) END AS name FROM supplier"""
+)
+def diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which part draws the diagram of each frame: that of the number nearest to its data's, the first one for data without a number, none on a slide without any; read from archives."""
+    k = F.col("s_suppkey")
+    rows = _table(spark, sf_dir, "supplier").select(k, (k / 50).cast("long").cast("string").alias("deck_id"), (k % 50 / 10).cast("int").alias("slide"), (k % 4).alias("kind"))
+    # two slides for each ten suppliers: one whose drawings are numbered 10 n + 1 and 10 n + 5, and one without any
+    n = F.col("slide") * 2 + F.when(F.col("kind") == 3, 2).otherwise(1)
+    data = F.when(F.col("kind") == 0, F.col("slide") * 10 + 2).when(F.col("kind") == 1, F.col("slide") * 10 + 4)
+    frame = put('<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="', k, '" name="f"/></p:nvGraphicFramePr><a:graphic><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/diagram"><dgm:relIds xmlns:dgm="urn:d" r:dm="rIdD', k, '"/></a:graphicData></a:graphic></p:graphicFrame>')
+    link = builder.relationship(put("rIdD", k), "diagramData", put("../diagrams/data", data, ".xml"))
+    rows = rows.select("deck_id", n.alias("n"), "s_suppkey", "kind", "slide", frame.alias("frame"), link.alias("link"))
+    slides = builder.gathered(rows, ["deck_id", "n"], "s_suppkey", "frame").select("deck_id", "n", F.col("n").alias("at"), builder.page(F.col("frame")).alias("xml"))
+    links = builder.gathered(rows, ["deck_id", "n"], "s_suppkey", "link")
+    ten = F.floor((F.col("n") - 1) / 2) * 10
+    drawings = F.when(F.col("n") % 2 == 1, put(*(builder.relationship(f"rIdW{i}", "other/diagramDrawing", put("../diagrams/drawing", ten + i, ".xml")) for i in (1, 5)))).otherwise("")
+    files = links.select("deck_id", put("ppt/slides/_rels/slide", F.col("n"), ".xml.rels").alias("part_path"), builder.relationships(put(F.col("link"), drawings)).alias("content"))
+    tree = lambda i: put('<dsp:drawing xmlns:dsp="urn:dsp" xmlns:a="urn:a"><dsp:spTree><dsp:sp><dsp:nvSpPr><dsp:cNvPr id="1" name="drawn', ten + i, '"/></dsp:nvSpPr><dsp:spPr/></dsp:sp></dsp:spTree></dsp:drawing>')
+    drawn = slides.filter("n % 2 = 1").select("deck_id", F.inline(F.array(*(F.struct(put("ppt/diagrams/drawing", ten + i, ".xml").alias("part_path"), tree(i).alias("content")) for i in (1, 5)))))
+    deck = Deck(builder.decks(slides, files.unionByName(drawn)))
+    deck.parts, deck.nodes = cut(deck.parts.drop("content")), cut(deck.nodes)
+    deck.rels = cut(package.relationships(deck.nodes))
+    found = cut(shapes.shapes(deck.nodes))
+    chosen = frames.diagram_drawings(deck.nodes, deck.rels, deck.parts)
+    inside = found.filter(F.col("part_path").startswith("ppt/diagrams/")).select("deck_id", F.col("part_path").alias("drawing"), F.col("name").alias("shown"))
+    met = found.filter(F.contains("uri", F.lit("diagram"))).join(chosen, ["deck_id", "part_path", "nid"], "left").join(inside, ["deck_id", "drawing"], "left")
+    return met.select(_whole(F.col("id")).alias("supplier"), F.col("shown").alias("name"))
+
+
 @_query(
     """SELECT CAST(o_orderkey AS BIGINT) AS order_key, CASE o_orderkey % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'formula' WHEN 3 THEN 'picture' WHEN 4 THEN 'word' END AS kind, CASE WHEN o_orderkey % 5 = 1 THEN 'x' || o_orderkey || '=y' END AS text,
     CASE o_orderkey % 5 WHEN 1 THEN 'rIdF' WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'rIdF' ELSE 'rIdC' END WHEN 4 THEN 'rIdF' END AS rid FROM orders WHERE o_orderkey % 5 <> 2"""

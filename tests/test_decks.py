@@ -259,6 +259,10 @@ def test_documents_take_looks_from_themes_groups_and_placeholders(spark):
     ole = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="8" name="Object"/></p:nvGraphicFramePr><p:xfrm><a:off x="12700" y="0"/><a:ext cx="25400" cy="12700"/></p:xfrm><a:graphic><a:graphicData uri="urn:ole"><mc:AlternateContent xmlns:mc="urn:mc"><mc:Choice><p:oleObj/></mc:Choice><mc:Fallback><p:oleObj><p:pic><p:nvPicPr><p:cNvPr id="0" name="inner"/></p:nvPicPr><p:blipFill><a:blip r:embed="rId7"/></p:blipFill></p:pic></p:oleObj></mc:Fallback></mc:AlternateContent></a:graphicData></a:graphic></p:graphicFrame>'
     line = '<p:cxnSp><p:nvCxnSpPr><p:cNvPr id="6" name="Line"/></p:nvCxnSpPr><p:spPr>' + box_xml(5, 5, 100, 0) + '<a:prstGeom prst="line"/></p:spPr>' + style + "</p:cxnSp>"
     title = shape_xml(5, "Title", "", '<p:ph type="title"/>', body="<p:txBody><a:bodyPr/><a:p/></p:txBody>")
+    diagram = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="20" name="Diagram"/></p:nvGraphicFramePr><p:xfrm><a:off x="254000" y="127000"/><a:ext cx="1270000" cy="1270000"/></p:xfrm><a:graphic><a:graphicData uri="urn:diagram"><dgm:relIds xmlns:dgm="urn:d" r:dm="rId8"/></a:graphicData></a:graphic></p:graphicFrame>'
+    arc = '<a:custGeom><a:pathLst><a:path w="10" h="10"><a:moveTo><a:pt x="0" y="5"/></a:moveTo><a:arcTo wR="5" hR="5" stAng="10800000" swAng="10800000"/><a:close/></a:path></a:pathLst></a:custGeom>'
+    node = shape_xml(3, "Node", box_xml(1, 2, 10, 10) + arc + solid(scheme("accent1")), style=style, body=words(t="node")).replace("<p:", "<dsp:").replace("</p:", "</dsp:")
+    drawing = f'<dsp:drawing xmlns:dsp="urn:dsp" {NS}><dsp:spTree>{node}</dsp:spTree></dsp:drawing>'
     layout = shape_xml(2, "l", box_xml(5, 6, 70, 80) + solid(scheme("accent2")), '<p:ph type="title"/>', body='<p:txBody><a:bodyPr anchor="ctr" vert="vert"/><a:p/></p:txBody>')
     theme = (
         f'<a:theme {NS}><a:themeElements><a:clrScheme><a:lt1>{srgb("FFFFFE")}</a:lt1><a:accent1>{srgb("4472C4")}</a:accent1><a:accent2>{srgb("ED7D31")}</a:accent2></a:clrScheme><a:fmtScheme>'
@@ -269,14 +273,15 @@ def test_documents_take_looks_from_themes_groups_and_placeholders(spark):
     files = {
         "ppt/presentation.xml": f'<p:presentation {NS}><p:sldIdLst><p:sldId id="256" r:id="rId1"/></p:sldIdLst><p:sldSz cx="9144000" cy="6858000"/></p:presentation>',
         "ppt/_rels/presentation.xml.rels": rels_xml(("rId1", "slide", "slides/slide1.xml", "")),
-        "ppt/slides/slide1.xml": page("sld", drawn + own + group(flipped + solid(srgb("00AA00")), inner) + both + unknown + ole + line + title, f'<p:bg><p:bgRef idx="1001">{scheme("accent2")}</p:bgRef></p:bg>'),
-        "ppt/slides/_rels/slide1.xml.rels": rels_xml(("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml", ""), ("rId7", "image", "../media/o.png", "")),
+        "ppt/slides/slide1.xml": page("sld", drawn + own + group(flipped + solid(srgb("00AA00")), inner) + both + unknown + ole + line + diagram + title, f'<p:bg><p:bgRef idx="1001">{scheme("accent2")}</p:bgRef></p:bg>'),
+        "ppt/slides/_rels/slide1.xml.rels": rels_xml(("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml", ""), ("rId7", "image", "../media/o.png", ""), ("rId8", "diagramData", "../diagrams/data3.xml", ""), ("rId9", "diagramDrawing", "../diagrams/drawing3.xml", "")),
+        "ppt/diagrams/drawing3.xml": drawing,
         "ppt/slideLayouts/slideLayout1.xml": page("sldLayout", layout), "ppt/slideLayouts/_rels/slideLayout1.xml.rels": rels_xml(("rId1", "slideMaster", "../slideMasters/slideMaster1.xml", "")),
         "ppt/slideMasters/slideMaster1.xml": page("sldMaster", ""), "ppt/slideMasters/_rels/slideMaster1.xml.rels": rels_xml(("rId1", "theme", "../theme/theme1.xml", "")), "ppt/theme/theme1.xml": theme, "ppt/media/o.png": b"o",
     }
     slide = documents(spark.createDataFrame([("a", deck(files))], "deck_id string, content binary")).collect()[0]["slides"][0]
     by = {e["name"]: e for e in slide["elements"]}
-    assert [e["name"] for e in slide["elements"]] == ["Drawn", "Own", "G", "G", "Grouped", "Bare", "Object", "Line", "Title"]
+    assert [e["name"] for e in slide["elements"]] == ["Drawn", "Own", "G", "G", "Grouped", "Bare", "Object", "Line", "Diagram", "Node", "Title"]
     assert slide["background"]["color"] == "#ED7D31"
     seen = by["Drawn"]
     assert seen["border"].asDict() == {"color": "#123456", "width": 1.0, "type": "solid", "dashes": ""} and "color: #FFFFFE" in seen["content"]
@@ -287,4 +292,7 @@ def test_documents_take_looks_from_themes_groups_and_placeholders(spark):
     assert (by["Grouped"]["left"], by["Grouped"]["isFlipH"], by["Bare"]["left"]) == (80, True, 30)
     assert (by["Object"]["type"], by["Object"]["ref"], by["Object"]["left"], by["Object"]["width"]) == ("image", "ppt/media/o.png", 1, 2)
     assert (by["Line"]["height"], by["Line"]["width"], by["Line"]["fill"]["color"], by["Line"]["border"]["color"]) == (0.75, 100, "transparent", "#123456")
+    shown = by["Node"]
+    assert by["Diagram"]["type"] == "group" and (shown["left"], shown["top"], shown["group"]) == (21, 12, by["Diagram"]["nid"]) and "color: #FFFFFE" in shown["content"]
+    assert (shown["fill"]["color"], shown["shapType"], shown["border"]["color"]) == ("#4472C4", "custom", "#123456") and shown["path"].startswith("M0,5 A5,5 0 0,1 10,") and shown["path"].endswith(" Z")
     assert (by["Title"]["fill"]["color"], by["Title"]["vAlign"], by["Title"]["isVertical"], by["Title"]["left"]) == ("#ED7D31", "mid", True, 5)
