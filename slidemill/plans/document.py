@@ -16,12 +16,12 @@ from ..storage import cut
 
 
 class Deck:
-    """What the operators start from: parts and XML elements of decks (deck_id, content); elements are kept while they are used."""
+    """What the operators start from: parts and XML elements of decks (deck_id, content); elements are written once, for they are read many times."""
 
     def __init__(self, decks: DataFrame, **limits: int):
         self.parts = archive.parts(decks, **limits)
         xml = self.parts.filter(F.col("part_path").rlike(r"\.(xml|rels)$"))
-        self.nodes = xmltree.elements(xml).persist()
+        self.nodes = cut(xmltree.elements(xml))
         self.rels = package.relationships(self.nodes)
 
     def slides(self) -> DataFrame:
@@ -94,13 +94,16 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
     series = cut(frames.chart_series(nodes))
     options = frames.chart_options(nodes, series)
     data = series.groupBy(*keys, "chart").agg(F.transform(F.array_sort(F.collect_list(F.struct("series", "name", "categories", "values"))), lambda x: x.dropFields("series")).alias("data"))
-    charts = data.join(options, keys, "left").select("deck_id", F.col("part_path").alias("target"), F.struct("chart", "data", "bar_dir", "grouping", "marker", "hole_size", "style").alias("chart"))
+    points = frames.scatter(series).select(*keys, F.struct("xs", "ys").alias("points"))
+    charts = data.join(options, keys, "left").join(points, keys, "left").select("deck_id", F.col("part_path").alias("target"), F.struct("chart", "data", "points", "bar_dir", "grouping", "marker", "hole_size", "style").alias("chart"))
     target = rels.select("deck_id", F.col("source_part").alias("part_path"), "rid", F.col("resolved").alias("target"))
     met = styles.links(found, rels).join(target, [*keys, "rid"], "left").join(charts, ["deck_id", "target"], "left")
     # what is known of shapes meets in one grouping instead of a join for each table
     bent = custom_paths(nodes, found.filter("custom").select(*keys, F.col("nid").alias("owner"), F.col("width").alias("w"), F.col("height").alias("h"))).select(*keys, F.col("owner").alias("nid"), F.col("path").alias("custom_path"))
+    filters = looks.picture_filters(nodes)
+    filters = filters.select(*keys, "owner", F.struct(*(c for c in filters.columns if c not in {*keys, "owner"})).alias("filters"))
     more = html
-    for rows in (seen, listed, look, bent, styles.inherited_bodies(found, styles.bodies(nodes)), *map(owned, (looks.adjustments(nodes), looks.crops(nodes)))):
+    for rows in (seen, listed, look, bent, styles.inherited_bodies(found, styles.bodies(nodes)), *map(owned, (looks.adjustments(nodes), looks.crops(nodes), filters))):
         more = more.unionByName(rows, allowMissingColumns=True)
     more = more.groupBy(*by_nid).agg(*(F.first(c, True).alias(c) for c in more.columns if c not in by_nid))
     met = met.join(more, by_nid, "left").join(groups, [*keys, "group_nid"], "left")
@@ -127,7 +130,7 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
     thick = {"width": F.when(across > 0, across).when((axis == "v") & (F.col("width") < 0.75), 0.75).otherwise(F.col("width")), "height": F.when((axis == "h") & (F.col("height") < 0.75), 0.75).otherwise(F.col("height"))}
     element = F.struct(
         "nid", kind.alias("type"), "name", "left", "top", *(c.alias(k) for k, c in thick.items()), "rotate", F.col("flip_h").alias("isFlipH"), F.col("flip_v").alias("isFlipV"), outline.alias("shapType"), path.alias("path"), F.col("html").alias("content"),
-        filled.alias("fill"), F.when(drawn, F.coalesce("border", looks.no_border())).alias("border"), "shadow", "link", F.when(drawn, F.col("valign")).alias("vAlign"), F.when(drawn, F.col("vertical")).alias("isVertical"), "autofit", "font_scale", "keypoints", "head", "tail", "crop", medium.alias("ref"), media_type(medium).alias("media_type"),
+        filled.alias("fill"), F.when(drawn, F.coalesce("border", looks.no_border())).alias("border"), "shadow", "link", F.when(drawn, F.col("valign")).alias("vAlign"), F.when(drawn, F.col("vertical")).alias("isVertical"), "autofit", "font_scale", "keypoints", "head", "tail", "crop", F.when(F.col("shape") == "pic", F.col("filters")).alias("filters"), medium.alias("ref"), media_type(medium).alias("media_type"),
         F.col("cells").alias("cells"), "table", "chart", F.col("group_nid").alias("group"), F.col("formula").alias("text"),
     )
     every = met.select(*by_nid, "ph", "cx", "cy", F.contains("uri", F.lit("diagram")).alias("diagram"), element.alias("element")).filter("element.type <> 'frame'")
@@ -147,7 +150,7 @@ def documents(decks: DataFrame) -> DataFrame:
     """
     deck = Deck(decks)
     # lineage is cut where several steps go on from a table: plans would hold the way there once for each
-    deck.parts, deck.nodes = cut(deck.parts.drop("content")), cut(deck.nodes)
+    deck.parts = cut(deck.parts.drop("content"))
     deck.rels = cut(package.relationships(deck.nodes))
     order = cut(package.chain(deck.slides(), deck.rels))
     colors = Colors(deck)
@@ -170,7 +173,9 @@ def documents(decks: DataFrame) -> DataFrame:
     backing = F.concat(F.when(visible & F.coalesce("layout_shows", F.lit(True)), F.coalesce("on_master", none)).otherwise(none), F.when(visible, F.coalesce("on_layout", none)).otherwise(none))
     slide = F.struct("slide_index", "slide_part", F.coalesce("elements", none).alias("elements"), backing.alias("layoutElements"), "background", F.coalesce("note", F.lit("")).alias("note"), "transition")
     slides = met.groupBy("deck_id").agg(F.array_sort(F.collect_list(slide), lambda a, b: a["slide_index"] - b["slide_index"]).alias("slides"))
-    accents = package.theme_colors(deck.nodes).groupBy("deck_id").agg(F.min_by("colors", "part_path").alias("colors"))
+    # the accents are those of the theme that comes first in the archive
+    placed = deck.parts.filter("kind = 'theme'").select("deck_id", "part_path", "ordinal")
+    accents = package.theme_colors(deck.nodes).join(placed, ["deck_id", "part_path"]).groupBy("deck_id").agg(F.min_by("colors", "ordinal").alias("colors"))
     six = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("#"), F.coalesce(F.col("colors")[F.concat(F.lit("accent"), i.cast("string"))], F.lit("000000"))))
     met = slides.join(package.slide_size(deck.nodes), "deck_id", "left").join(accents, "deck_id", "left")
     return met.select("deck_id", F.struct("width", "height").alias("size"), six.alias("theme_colors"), "slides")

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import colors, media, outlines, text, units
-from ..operators import frames, looks, matrix, package, shapes, styles, tables, textbody
-from ..operators.palette import palettes, raw_colors
+from ..operators import fields, frames, lists, looks, matrix, package, shapes, styles, tables, textbody
+from ..operators import media as media_table
+from ..operators.palette import raw_colors
 from ..sources import archive, builder, xmltree
 from ..sources.builder import text as put
 from ..storage import cut
@@ -167,6 +168,168 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select(_whole(F.regexp_extract("part_path", r"(\d+)\.xml$", 1)).alias("page_id"), F.md5(text.run_html(F.col("text")).cast("binary")).alias("html_md5"))
 
 
+@_query(
+    """WITH RECURSIVE p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, CASE turn % 4 WHEN 0 THEN 'ul' WHEN 1 THEN 'ol' WHEN 3 THEN 'ul' END AS kind, CAST(turn % 3 AS BIGINT) AS level,
+      CASE WHEN turn % 5 = 0 THEN 'center' ELSE 'left' END AS align, replace(replace(replace(replace(regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS t FROM conversations),
+    r AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS open, '' AS html FROM (SELECT DISTINCT conv_id FROM conversations)
+      UNION ALL SELECT conv_id, k, CASE WHEN kind IS NULL THEN CAST([] AS VARCHAR[]) ELSE list_concat(list_resize(open[1:level], level), [kind]) END,
+        html || list_aggregate(list_transform(list_reverse(list_filter(CASE WHEN kind IS NULL THEN open ELSE open[level + 2:] END, lambda x: x IS NOT NULL)) || [''], lambda x: CASE WHEN x = '' THEN '' ELSE '</' || x || '>' END), 'string_agg', '')
+        || CASE WHEN kind IS NULL THEN '<p' WHEN open[level + 1] IS NULL THEN '<' || kind || '><li' WHEN open[level + 1] <> kind THEN '</' || open[level + 1] || '><' || kind || '><li' ELSE '<li' END
+        || ' style="text-align:' || align || ';">' || t || CASE WHEN kind IS NULL THEN '</p>' ELSE '</li>' END
+      FROM (SELECT r.conv_id, p.k, p.kind, p.level, p.align, p.t, r.open, r.html FROM r JOIN p ON p.conv_id = r.conv_id AND p.k = r.k + 1))
+    SELECT conv_id, md5(html || list_aggregate(list_transform(list_reverse(list_filter(open, lambda x: x IS NOT NULL)) || [''], lambda x: CASE WHEN x = '' THEN '' ELSE '</' || x || '>' END), 'string_agg', '')) AS html_md5
+    FROM (SELECT conv_id, arg_max(html, k) AS html, arg_max(open, k) AS open FROM r GROUP BY conv_id)"""
+)
+def note_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes as HTML with nested lists: turns of a conversation as paragraphs, signs and numbers by turn, at three levels."""
+    talk = _table(spark, sf_dir, "conversations")
+    t = F.col("turn")
+    sign = F.when(t % 4 == 1, '<a:buAutoNum type="arabicPeriod"/>').when(t % 4 == 2, "").otherwise('<a:buChar char="-"/>')
+    props = put("<a:pPr", F.when(t % 5 == 0, ' algn="ctr"').otherwise(""), ' lvl="', t % 3, '">', sign, "</a:pPr>")
+    each = talk.select("conv_id", "turn", "role", "text", builder.paragraph(builder.run(F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]+", " ")), props).alias("xml"))
+    body = builder.gathered(each, ["conv_id"], ["turn", "role", "text"], "xml")
+    deck, number = (F.col("conv_id") / 50).cast("long").cast("string").alias("deck_id"), F.col("conv_id")
+    slide = body.select(deck, number.alias("n"), number.alias("at"), builder.page("").alias("xml"))
+    note = body.select(deck, put("ppt/notesSlides/notesSlide", number, ".xml").alias("part_path"), builder.page(put(builder.shape(number, F.lit("n"), body=builder.paragraph(builder.run(number)), ph='<p:ph type="sldNum"/>'), builder.shape(number, F.lit("notes"), body=F.col("xml"), ph='<p:ph type="body"/>')), "notes").alias("content"))
+    link = body.select(deck, put("ppt/slides/_rels/slide", number, ".xml.rels").alias("part_path"), builder.relationships(builder.relationship("rId1", "notesSlide", put("../notesSlides/notesSlide", number, ".xml"))).alias("content"))
+    made = Deck(builder.decks(slide, note.unionByName(link)))
+    found = lists.note_html(made.nodes, package.relationships(made.nodes))
+    return found.select(_whole(F.regexp_extract("slide_part", r"(\d+)\.xml$", 1)).alias("conv_id"), F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
+@_query("SELECT CAST(page_id AS BIGINT) AS page, CASE WHEN page_id % 7 = 0 THEN 'malformed' WHEN page_id % 11 = 0 THEN 'document type' END AS fault FROM pages WHERE page_id % 7 = 0 OR page_id % 11 = 0")
+def xml_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of decks that are no XML, or declare a type: they have no elements, and a row that says why; whole pages as texts of slides."""
+    k = F.col("page_id")
+    page = put("<a>", builder.clean(F.col("html")), F.when(k % 7 == 0, "<b>").otherwise(""), "</a>")
+    page = F.when((k % 11 == 0) & (k % 7 != 0), put('<!DOCTYPE a [<!ENTITY e "x">]>', page)).otherwise(page)
+    files = _table(spark, sf_dir, "pages").select((k / 50).cast("long").cast("string").alias("deck_id"), put("ppt/slides/slide", k, ".xml").alias("part_path"), page.alias("content"))
+    found = xmltree.faults(archive.parts(archive.pack(files)).filter("kind = 'slide'"))
+    return found.select(_whole(F.regexp_extract("part_path", r"(\d+)\.xml$", 1)).alias("page"), "fault")
+
+
+@_query(
+    """SELECT CAST(l_orderkey AS BIGINT) AS order_key, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(CAST(l_linenumber AS BIGINT) AS VARCHAR), ',' ORDER BY l_linenumber) AS xs, string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ',' ORDER BY l_linenumber) AS ys
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber, max(l_quantity) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_quantity FROM lineitem) GROUP BY l_orderkey"""
+)
+def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts of points: numbers on both axes of the first series, a chart to an order; a second series doesn't count."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    rows = rows.withColumn("i", at)
+    x, y = _pt(F.col("i"), F.col("l_linenumber")), _pt(F.col("i"), _whole(F.col("q")))
+    each = rows.select("l_orderkey", "i", x.alias("x"), y.alias("y"))
+    xs, ys = builder.gathered(each, ["l_orderkey"], "i", "x"), builder.gathered(each, ["l_orderkey"], "i", "y")
+    n = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    met = xs.join(ys, "l_orderkey").join(n, "l_orderkey")
+    numbers = lambda tag, inner: put(f"<c:{tag}><c:numRef><c:numCache><c:ptCount val=\"", F.col("n"), '"/>', inner, f"</c:numCache></c:numRef></c:{tag}>")
+    first, second = put("<c:ser>", numbers("xVal", F.col("x")), numbers("yVal", F.col("y")), "</c:ser>"), put("<c:ser>", numbers("xVal", F.col("y")), numbers("yVal", F.col("x")), "</c:ser>")
+    files = met.select((F.col("l_orderkey") / 100).cast("long").cast("string").alias("deck_id"), put("ppt/charts/chart", F.col("l_orderkey"), ".xml").alias("part_path"), put('<c:chartSpace xmlns:c="urn:c"><c:chart><c:plotArea><c:scatterChart>', first, second, "</c:scatterChart></c:plotArea></c:chart></c:chartSpace>").alias("content"))
+    found = frames.scatter(frames.chart_series(Deck(archive.pack(files)).nodes))
+    joined_ = lambda c: F.array_join(F.transform(c, lambda v: v.cast("long").cast("string")), ",")
+    return found.select(_whole(F.regexp_extract("part_path", r"(\d+)\.xml$", 1)).alias("order_key"), _whole(F.size("xs")).alias("n"), joined_("xs").alias("xs"), joined_("ys").alias("ys"))
+
+
+@_query(
+    """SELECT p_partkey AS part, CAST(CASE p_size % 4 WHEN 0 THEN p_size WHEN 2 THEN p_size WHEN 3 THEN -5 END AS DOUBLE) / 100 AS brightness, CAST(CASE p_size % 4 WHEN 0 THEN 20 WHEN 3 THEN 10 END AS DOUBLE) / 100 AS contrast,
+    CAST(CASE p_size % 4 WHEN 1 THEN p_size END AS DOUBLE) / 100 AS saturation, CAST(CASE p_size % 4 WHEN 1 THEN 6500 END AS DOUBLE) AS temperature, CAST(CASE p_size % 4 WHEN 1 THEN -25 END AS DOUBLE) / 100 AS sharpen FROM part"""
+)
+def picture_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of pictures, as a plain brightness and contrast or in the later format, which counts before the plain one."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    later = lambda *inner: put("<a:extLst><a:ext><a14:imgProps><a14:imgLayer>", *(put("<a14:imgEffect>", x, "</a14:imgEffect>") for x in inner), "</a14:imgLayer></a14:imgProps></a:ext></a:extLst>")
+    change = (
+        F.when(z % 4 == 0, put('<a:lum bright="', z * 1000, '" contrast="20000"/>')).when(z % 4 == 1, later(put('<a14:saturation sat="', z * 1000, '"/>'), F.lit('<a14:colorTemperature colorTemp="6500"/>'), F.lit('<a14:sharpenSoften amount="-25000"/>')))
+        .when(z % 4 == 2, put('<a:lum bright="', z * 1000, '"/>')).otherwise(put('<a:lum bright="1"/>', later(F.lit('<a14:brightnessContrast bright="-5000" contrast="10000"/>'))))
+    )
+    picture = put('<p:pic><p:nvPicPr><p:cNvPr id="', k, '" name="p"/></p:nvPicPr><p:blipFill><a:blip r:embed="rId1">', change, "</a:blip></p:blipFill><p:spPr/></p:pic>")
+    rows = _table(spark, sf_dir, "part").select((k / 200).cast("long").cast("string").alias("deck_id"), "p_partkey", picture.alias("xml"))
+    page = put('<p:sld xmlns:p="urn:p" xmlns:a="urn:a" xmlns:a14="urn:a14" xmlns:r="' + builder.RELATION + '"><p:cSld><p:spTree>', F.col("xml"), "</p:spTree></p:cSld></p:sld>")
+    slides = builder.gathered(rows, ["deck_id"], "p_partkey", "xml").select("deck_id", F.lit(1).alias("n"), F.lit(1).alias("at"), page.alias("xml"))
+    nodes = Deck(builder.decks(slides)).nodes
+    ids = shapes.shapes(nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id")
+    met = ids.join(looks.picture_filters(nodes), ["deck_id", "part_path", "owner"])
+    return met.select(_whole(F.col("id")).alias("part"), "brightness", "contrast", "saturation", "temperature", "sharpen")
+
+
+# ---- archives in archives, and what their documents hold
+
+
+def _word_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks in which text documents are embedded, one for each customer, fifty to a deck.
+
+    Every 97th is a bomb, every 89th no archive.  In a document stands a field, with another one in its instruction; every third document begins with an
+    end that has no begin.
+    """
+    k = F.col("c_custkey")
+    customer = _table(spark, sf_dir, "customer").select("c_custkey")
+    r = lambda *inner: put("<w:r>", *inner, "</w:r>")
+    t = lambda *value: r("<w:t>", *value, "</w:t>")
+    mark = lambda kind: f'<w:r><w:fldChar w:fldCharType="{kind}"/></w:r>'
+    instruction = lambda *value: r("<w:instrText>", *value, "</w:instrText>")
+    inner = put(mark("begin"), instruction("PAGE"), mark("separate"), t("7"), mark("end"))
+    field = put(F.when(k % 3 == 0, mark("end")).otherwise(""), t("a", k), mark("begin"), instruction("eq \\f(", k, ","), inner, instruction("x)"), mark("separate"), t("r", k), mark("end"), t("z"))
+    body = put('<w:document xmlns:w="urn:w"><w:body><w:p>', field, "</w:p>", F.repeat(F.lit("<w:p/>"), (k % 5).cast("int")), "</w:body></w:document>")
+    file = lambda path, content: F.struct(F.lit(path).alias("part_path"), content.alias("content"))
+    files = customer.select(k.cast("string").alias("deck_id"), F.explode(F.array_compact(F.array(file("word/document.xml", body), file("docProps/app.xml", F.lit("<x/>")), F.when(k % 97 == 0, file("word/media/x.bin", F.repeat(F.lit("x"), 200_000)))))).alias("f"))
+    made = archive.pack(files.select("deck_id", "f.*")).select(F.col("deck_id").cast("long").alias("c_custkey"), "content")
+    outer = made.select((k / 50).cast("long").cast("string").alias("deck_id"), put("ppt/embeddings/d", k, ".docx").alias("part_path"), F.when(k % 89 == 0, F.lit("no archive").cast("binary")).otherwise(F.col("content")).alias("content"))
+    return archive.pack(outer)
+
+
+def _word_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive.embedded(archive.parts(_word_decks(spark, sf_dir)), max_bytes=100_000)
+    return found.withColumn("customer", _whole(F.regexp_extract("inside", r"d(\d+)\.docx$", 1)))
+
+
+@_query(
+    """SELECT CAST(c_custkey AS BIGINT) AS customer, CASE WHEN c_custkey % 89 = 0 THEN 'corrupt' WHEN c_custkey % 97 = 0 THEN 'limit' ELSE 'ok' END AS status, CAST(CASE WHEN c_custkey % 89 = 0 OR c_custkey % 97 = 0 THEN 0 ELSE 2 END AS BIGINT) AS files,
+    CAST(CASE WHEN c_custkey % 89 = 0 OR c_custkey % 97 = 0 THEN 0 ELSE 1 + c_custkey % 5 END AS BIGINT) AS paragraphs FROM customer"""
+)
+def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in decks: their files and paragraphs; what is beyond a limit or no archive says so."""
+    found = _word_parts(spark, sf_dir)
+    counts = found.groupBy("customer").agg(F.min(F.substring_index("status", ":", 1)).alias("status"), F.count("part_path").alias("files"))
+    texts = xmltree.elements(found.filter("part_path = 'word/document.xml'").select(F.col("customer").cast("string").alias("deck_id"), "part_path", "content"))
+    paras = texts.filter("tag = 'p'").groupBy(_whole(F.col("deck_id")).alias("customer")).agg(F.count("*").alias("paragraphs"))
+    return counts.join(paras, "customer", "left").fillna(0, ["paragraphs"])
+
+
+@_query(
+    """SELECT customer, CAST(depth AS BIGINT) AS depth, instruction, result, plain FROM (SELECT CAST(c_custkey AS BIGINT) AS customer, 1 AS depth, 'eq \\f(' || c_custkey || ',x)' AS instruction, 'r' || c_custkey AS result, 'a' || c_custkey || 'r' || c_custkey || 'z' AS plain FROM customer
+    WHERE c_custkey % 89 <> 0 AND c_custkey % 97 <> 0 UNION ALL SELECT c_custkey, 2, 'PAGE', '7', 'a' || c_custkey || 'r' || c_custkey || 'z' FROM customer WHERE c_custkey % 89 <> 0 AND c_custkey % 97 <> 0)"""
+)
+def word_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of documents in decks, one in the other, and the text outside of them."""
+    found = _word_parts(spark, sf_dir).filter("part_path = 'word/document.xml'")
+    nodes = cut(xmltree.elements(found.select(F.col("customer").cast("string").alias("deck_id"), "part_path", "content")))
+    met = fields.fields(nodes).join(fields.plain_text(nodes), ["deck_id", "part_path"])
+    return met.select(_whole(F.col("deck_id")).alias("customer"), _whole(F.col("depth")).alias("depth"), "instruction", "result", F.col("text").alias("plain"))
+
+
+@_query(
+    """WITH u AS (SELECT p_partkey, p_partkey // 200 AS deck, 'm' || (p_size % 10) || CASE WHEN p_size % 10 = 0 THEN '' ELSE '-' || (p_partkey // 200) END AS medium FROM part),
+    d AS (SELECT medium, count(DISTINCT deck) AS n_decks, count(DISTINCT deck) AS n_places FROM u GROUP BY medium) SELECT CAST(p_partkey AS BIGINT) AS part, sha256(medium) AS media_id, CAST(n_places AS BIGINT) AS n_places, CAST(n_decks AS BIGINT) AS n_decks, medium AS bytes FROM u JOIN d USING (medium)"""
+)
+def distinct_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of decks, of which one is in every deck: each once, by its bytes, with how many decks have it; and the one that each shape shows."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    part = _table(spark, sf_dir, "part").select(k, (k / 200).cast("long").cast("string").alias("deck_id"), (z % 10).alias("m"))
+    picture = put('<p:pic><p:nvPicPr><p:cNvPr id="', k, '" name="p"/></p:nvPicPr><p:blipFill><a:blip r:embed="rId', F.col("m"), '"/></p:blipFill><p:spPr/></p:pic>')
+    slides = builder.gathered(part.select("deck_id", "p_partkey", picture.alias("xml")), ["deck_id"], "p_partkey", "xml").select("deck_id", F.lit(1).alias("n"), F.lit(1).alias("at"), builder.page(F.col("xml")).alias("xml"))
+    held = part.select("deck_id", "m").distinct()
+    bytes_ = put("m", F.col("m"), F.when(F.col("m") != 0, put("-", F.col("deck_id"))).otherwise(""))
+    link = held.select("deck_id", "m", builder.relationship(put("rId", F.col("m")), "image", put("../media/i", F.col("m"), ".png")).alias("xml"))
+    links = builder.gathered(link, ["deck_id"], "m", "xml").select("deck_id", F.lit("ppt/slides/_rels/slide1.xml.rels").alias("part_path"), builder.relationships(F.col("xml")).alias("content"))
+    deck = Deck(builder.decks(slides, links.unionByName(held.select("deck_id", put("ppt/media/i", F.col("m"), ".png").alias("part_path"), bytes_.alias("content")))))
+    nodes, places = deck.nodes, cut(media_table.placed(deck.parts))
+    once = cut(media_table.distinct(places))
+    found = shapes.shapes(nodes)
+    shown = media_table.used(found, package.relationships(nodes), places).join(found.select("deck_id", "part_path", "nid", "id"), ["deck_id", "part_path", "nid"])
+    kept = media_table.kept(deck.parts, once).select("media_id", F.col("content").cast("string").alias("bytes"))
+    return shown.join(once.select("media_id", "n_places", "n_decks"), "media_id").join(kept, "media_id").select(_whole(F.col("id")).alias("part"), "media_id", "n_places", "n_decks", "bytes")
+
+
 @_query("SELECT conv_id, md5(trim(string_agg(coalesce(text, ''), '' ORDER BY turn, role, text))) AS note_md5 FROM conversations GROUP BY conv_id")
 def notes_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as the notes of a slide: trimmed and without separators."""
@@ -486,7 +649,7 @@ def bodies_and_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchor = F.when(s % 3 == 0, ' anchor="ctr"').when(s % 3 == 1, ' anchor="b"').otherwise("")
     fill = F.when(s % 4 == 0, "<a:noFill/>").when(s % 4 == 1, "<a:gradFill/><a:solidFill/>").otherwise("<a:noFill/><a:gradFill/>")
     shape = put('<p:sp><p:nvSpPr><p:cNvPr id="', F.col("p_partkey"), '" name="s"/></p:nvSpPr><p:spPr>', fill, "</p:spPr><p:txBody><a:bodyPr", anchor, ">", fit, "</a:bodyPr></p:txBody></p:sp>")
-    nodes = cut(Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes)
+    nodes = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes
     keys = ["deck_id", "part_path", "owner"]
     ids = shapes.shapes(nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id")
     met = ids.join(styles.bodies(nodes), keys).join(matrix.Styles(nodes, raw_colors(nodes)).own("spPr"), keys)
@@ -503,7 +666,6 @@ def shadow_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
     effect = put("<a:effectLst><a:", tag, ' dir="', s * 7 * 60000, '" dist="', s * 12700, '" blurRad="50800"/></a:effectLst>')
     shape = builder.shape(F.col("p_partkey"), F.lit("s"), geometry=effect)
     deck = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey")))
-    deck.nodes = cut(deck.nodes)
     ids = shapes.shapes(deck.nodes).select("deck_id", "part_path", "nid", "id")
     met = ids.join(_looks(deck).select("deck_id", "part_path", "nid", "shadow.*"), ["deck_id", "part_path", "nid"])
     return met.select(_whole(F.col("id")).alias("part"), "inset", (F.round("h", 6) + 0.0).alias("h"), (F.round("v", 6) + 0.0).alias("v"), "blur")
@@ -521,7 +683,6 @@ def background_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     layouts = nation.select(deck).distinct().select("deck_id", F.lit("ppt/slideLayouts/slideLayout1.xml").alias("part_path"), page(bg('<a:srgbClr val="112233"/>'), "sldLayout").alias("content"))
     rels = nation.filter(k % 3 != 2).select(deck, put("ppt/slides/_rels/slide", k, ".xml.rels").alias("part_path"), builder.relationships(builder.relationship("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml")).alias("content"))
     made = Deck(builder.decks(slides, layouts.unionByName(rels)))
-    made.nodes = cut(made.nodes)
     colors_ = Colors(made)
     found = matrix.backgrounds(package.chain(made.slides(), made.rels), colors_.styles, colors_.palette, made.rels, made.parts.filter("kind = 'media'"))
     return found.select(_whole(F.regexp_extract("slide_part", r"(\d+)\.xml$", 1)).alias("nation"), F.col("background.color").alias("fill"))
@@ -621,7 +782,6 @@ def gradient_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = F.when(s % 3 == 0, put('<a:lin ang="', s * 60000, '"/>')).when(s % 3 == 2, F.lit('<a:path path="circle"><a:fillToRect l="0" r="50000" t="50000" b="50000"/></a:path>')).otherwise("")
     shape = builder.shape(F.col("p_partkey"), F.lit("s"), geometry=put("<a:gradFill><a:gsLst>", stops, "</a:gsLst>", way, "</a:gradFill>"))
     deck = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey")))
-    deck.nodes = cut(deck.nodes)
     ids = shapes.shapes(deck.nodes).select("deck_id", "part_path", "nid", "id")
     met = ids.join(_looks(deck).select("deck_id", "part_path", "nid", F.col("own_fill").alias("fill")), ["deck_id", "part_path", "nid"])
     shown = F.array_join(F.transform("fill.stops", lambda x: F.concat(units.js_number(x["pos"]), F.lit(":"), x["color"])), ",")
@@ -667,7 +827,7 @@ def _chained(spark: SparkSession, sf_dir: str, shape: Column, master: str, layou
     }
     more = only.select("deck_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, files)), F.array(*files.values()))).alias("part_path", "content"))
     deck = Deck(builder.decks(slides, more))
-    deck.parts, deck.nodes = cut(deck.parts.drop("content")), cut(deck.nodes)
+    deck.parts = cut(deck.parts.drop("content"))
     deck.rels = cut(package.relationships(deck.nodes))
     return deck
 
@@ -787,7 +947,6 @@ def table_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ppt/slideMasters/slideMaster1.xml": builder.page("", "sldMaster"), "ppt/slideMasters/_rels/slideMaster1.xml.rels": link("theme", "../theme/theme1.xml"), "ppt/theme/theme1.xml": F.lit(theme), "ppt/tableStyles.xml": F.lit(style),
     }
     deck = Deck(builder.decks(slides, rows.select("deck_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, fixed)), F.array(*fixed.values()))).alias("part_path", "content"))))
-    deck.nodes = cut(deck.nodes)
     deck.rels = cut(package.relationships(deck.nodes))
     colors_ = Colors(deck)
     found = tables.cells(deck.nodes, colors_.styles, colors_.palette)
@@ -839,7 +998,7 @@ def background_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     files.append(only.select(deck, "deck").select("deck_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, fixed)), F.array(*fixed.values()))).alias("part_path", "content")))
     made = Deck(builder.decks(slides, files[0].unionByName(files[1])))
-    made.parts, made.nodes = cut(made.parts.drop("content")), cut(made.nodes)
+    made.parts = cut(made.parts.drop("content"))
     made.rels = cut(package.relationships(made.nodes))
     colors_ = Colors(made)
     found = matrix.backgrounds(package.chain(made.slides(), made.rels), colors_.styles, colors_.palette, made.rels, made.parts.filter("kind = 'media'"))
@@ -902,7 +1061,7 @@ def custom_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     commands = put("<a:moveTo>", pt(s, s), "</a:moveTo>", arc(s, s / 2, F.lit(10800000), F.lit(5400000)), arc(s, s, F.lit(0), F.lit(0)), "<a:cubicBezTo>", pt(s, s), pt(s, s), pt(s * 2, s * 4), "</a:cubicBezTo><a:quadBezTo>", pt(s, s), "</a:quadBezTo>", last, "<a:close/>")
     geometry = put('<a:custGeom><a:pathLst><a:path w="', s * 10, '" h="', s * 10, '">', commands, "</a:path></a:pathLst></a:custGeom>")
     shape = builder.shape(F.col("p_partkey"), F.lit("s"), geometry=geometry)
-    nodes = cut(Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes)
+    nodes = Deck(builder.decks(_one_slide(part, (F.col("p_partkey") / 200).cast("long"), shape, "p_partkey"))).nodes
     ids = shapes.shapes(nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id").join(part.select(F.col("p_partkey").cast("string").alias("id"), (s * 20.0).alias("w"), (s * 20.0).alias("h")), "id")
     found = outlines.custom_paths(nodes, ids).join(ids, ["deck_id", "part_path", "owner"]).select("id", F.posexplode("commands").alias("i", "c"))
     v, from_end = F.col("c.values"), lambda i: F.round(F.try_element_at(F.col("c.values"), F.lit(i)), 6) + 0.0
@@ -931,7 +1090,7 @@ def diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = lambda i: put('<dsp:drawing xmlns:dsp="urn:dsp" xmlns:a="urn:a"><dsp:spTree><dsp:sp><dsp:nvSpPr><dsp:cNvPr id="1" name="drawn', ten + i, '"/></dsp:nvSpPr><dsp:spPr/></dsp:sp></dsp:spTree></dsp:drawing>')
     drawn = slides.filter("n % 2 = 1").select("deck_id", F.inline(F.array(*(F.struct(put("ppt/diagrams/drawing", ten + i, ".xml").alias("part_path"), tree(i).alias("content")) for i in (1, 5)))))
     deck = Deck(builder.decks(slides, files.unionByName(drawn)))
-    deck.parts, deck.nodes = cut(deck.parts.drop("content")), cut(deck.nodes)
+    deck.parts = cut(deck.parts.drop("content"))
     deck.rels = cut(package.relationships(deck.nodes))
     found = cut(shapes.shapes(deck.nodes))
     chosen = frames.diagram_drawings(deck.nodes, deck.rels, deck.parts)

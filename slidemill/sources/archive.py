@@ -91,6 +91,26 @@ def parts(decks: DataFrame, max_entries: int | None = None, max_bytes: int | Non
     return found.withColumn("kind", kind(F.col("part_path")))
 
 
+#: Files in archives that are archives themselves.
+ARCHIVES = r"(?i)\.(docx|docm|xlsx|xlsm|pptx|pptm|zip)$"
+
+
+def embedded(found: DataFrame, depth: int = 1, **limits: int | bool) -> DataFrame:
+    """(deck_id, inside, ordinal, part_path, size, content, status) of the files in archives that lie among the embeddings of decks; found: ``parts``.
+
+    inside is the way to the archive: its path in the deck, and for those deeper down the path in each archive on the way.  ``depth`` levels are
+    unpacked.  Limits are those of ``parts``, for each archive: one beyond them, or none at all, has a row that says so.
+    """
+    named = lambda inside: F.to_json(F.struct("deck_id", inside.alias("inside"))).alias("deck_id")
+    level, out = found.filter("kind = 'embedding' AND content IS NOT NULL").select(named(F.col("part_path")), "content"), None
+    for _ in range(depth):
+        got = parts(level, **limits).withColumn("at", F.from_json("deck_id", "deck_id string, inside string"))
+        got = got.select("at.deck_id", "at.inside", "ordinal", "part_path", "size", "content", "status")
+        out = got if out is None else out.unionByName(got)
+        level = got.filter((F.col("status") == "ok") & F.col("part_path").rlike(ARCHIVES)).select(named(F.concat("inside", F.lit("/"), "part_path")), "content")
+    return out
+
+
 def pack(files: DataFrame) -> DataFrame:
     """(deck_id, content): archives of rows (deck_id, part_path, content), of which content is a string or bytes; files ordered by path.
 

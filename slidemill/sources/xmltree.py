@@ -79,6 +79,25 @@ def elements(parts: DataFrame) -> DataFrame:
     return parts.select("deck_id", "part_path", "content").mapInArrow(run, NODES)
 
 
+def fault(data: bytes) -> str | None:
+    """Why a document has no elements."""
+    if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
+        return "document type"
+    return None if walk(data) else "malformed"
+
+
+def faults(parts: DataFrame) -> DataFrame:
+    """(deck_id, part_path, fault) of parts that are not XML (malformed) or declare a type (document type); ``elements`` has no rows of these."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(d, p, why) for d, p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) if (why := fault((data.as_py() or b"").removeprefix(b"\xef\xbb\xbf")))]
+            columns = list(zip(*found, strict=True)) if found else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["deck_id", "part_path", "fault"])
+
+    return parts.select("deck_id", "part_path", "content").mapInArrow(run, "deck_id string, part_path string, fault string")
+
+
 def attr(name: str) -> Column:
     """An attribute of the element, or null."""
     return F.col("attrs")[name]
