@@ -1048,7 +1048,7 @@ def placeholder_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     """WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s FROM part)
-    SELECT p_partkey AS part, CAST(i AS INTEGER) AS i, letter, x, y, large, sweep FROM (
+    SELECT p_partkey AS part, CAST(i AS INTEGER) AS i, letter, x, y, CAST(coalesce(large, -1) AS INTEGER) AS large, CAST(coalesce(sweep, -1) AS INTEGER) AS sweep FROM (
     SELECT p_partkey, 0 AS i, 'M' AS letter, 2 * s AS x, 2 * s AS y, NULL AS large, NULL AS sweep, s FROM p UNION ALL SELECT p_partkey, 1, 'A', 4 * s, s, 0, 1, s FROM p UNION ALL SELECT p_partkey, 2, 'C', 4 * s, 8 * s, NULL, NULL, s FROM p
     UNION ALL SELECT p_partkey, 3, 'A', 4 * s, 8 * s - 4 * s, 0, 0, s FROM p WHERE s % 2 = 0 UNION ALL SELECT p_partkey, 3, 'A', 4 * s + 2 * s, 8 * s - 2 * s, 1, 0, s FROM p WHERE s % 2 = 1 UNION ALL SELECT p_partkey, 4, 'Z', NULL, NULL, NULL, NULL, s FROM p)"""
 )
@@ -1065,7 +1065,7 @@ def custom_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = shapes.shapes(nodes).select("deck_id", "part_path", F.col("nid").alias("owner"), "id").join(part.select(F.col("p_partkey").cast("string").alias("id"), (s * 20.0).alias("w"), (s * 20.0).alias("h")), "id")
     found = outlines.custom_paths(nodes, ids).join(ids, ["deck_id", "part_path", "owner"]).select("id", F.posexplode("commands").alias("i", "c"))
     v, from_end = F.col("c.values"), lambda i: F.round(F.try_element_at(F.col("c.values"), F.lit(i)), 6) + 0.0
-    flag = lambda i: F.when(F.col("c.letter") == "A", F.get(v, F.lit(i)).cast("int"))
+    flag = lambda i: F.when(F.col("c.letter") == "A", F.get(v, F.lit(i)).cast("int")).otherwise(-1)
     return found.select(_whole(F.col("id")).alias("part"), "i", F.col("c.letter").alias("letter"), from_end(-2).alias("x"), from_end(-1).alias("y"), flag(3).alias("large"), flag(4).alias("sweep"))
 
 
