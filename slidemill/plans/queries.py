@@ -1210,6 +1210,55 @@ def deck_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(_whole(F.col("deck_id")).alias("region"), _whole(F.col("slide_index")).alias("slide_index"), "e.type", "e.name", "e.content", F.round("size.width", 6).alias("width"), accent.alias("accent"))
 
 
+@_query(
+    """WITH e AS (SELECT s_suppkey, s_name, i, name FROM supplier, (VALUES (0, 'Title'), (1, 'Drawn'), (2, 'frame'), (3, 'Line')) t(i, name)),
+    f AS (SELECT *, '<div style="padding: 3.6pt 7.2pt 3.6pt 7.2pt;"><p><span style="font-size: 12pt;' AS o, '</span></p></div>' AS c FROM e)
+    SELECT CAST(s_suppkey AS BIGINT) AS supplier, name, CASE i WHEN 0 THEN 'text' WHEN 2 THEN 'table' ELSE 'shape' END AS type, CAST(CASE i WHEN 0 THEN 5 WHEN 1 THEN 10 WHEN 2 THEN 0 ELSE s_suppkey % 50 END AS DOUBLE) AS "left",
+    CAST(CASE i WHEN 0 THEN 70 WHEN 1 THEN 40 WHEN 2 THEN 2 ELSE 100 END AS DOUBLE) AS width, CASE i WHEN 0 THEN '#ED7D31' WHEN 1 THEN '#4472C4' WHEN 2 THEN '#DDDDDD' ELSE 'transparent' END AS fill, CASE WHEN i IN (1, 3) THEN '#123456' WHEN i = 0 THEN '#000000' END AS border,
+    CASE i WHEN 0 THEN o || 'color: #000000;">' || s_name || c WHEN 1 THEN o || 'color: #FFFFFE;">' || s_suppkey || c WHEN 2 THEN '<p><span style="font-size: 12pt;font-weight: bold;color: #FFFFFF;">' || s_suppkey || '</span></p>|<p><span style="font-size: 12pt;color: #AA0000;">x</span></p>' END AS content,
+    '#445566' AS background, 'note ' || s_suppkey AS note, CAST(1 AS BIGINT) AS behind FROM f"""
+)
+def deck_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, a slide to a supplier: a title placed and filled by its layout, a shape drawn by its theme, a styled table, a line, a note, a background and what lies behind."""
+    k = F.col("s_suppkey")
+    rows = _table(spark, sf_dir, "supplier").select(k, "s_name", (k / 50).cast("long").cast("string").alias("deck_id"), (k % 50 + 1).cast("int").alias("n"))
+    srgb = lambda c: f'<a:srgbClr val="{c}"/>'
+    solid = lambda c: f"<a:solidFill>{c}</a:solidFill>"
+    scheme = lambda c: f'<a:schemeClr val="{c}"/>'
+    style = "<p:style>" + "".join(f'<a:{t} idx="{i}">{scheme(c)}</a:{t}>' for t, i, c in (("lnRef", 1, "accent2"), ("fillRef", 1, "accent1"), ("fontRef", "minor", "lt1"))) + "</p:style>"
+    emu = lambda *c: [x * 12700 for x in map(F.lit, c)]
+    title = builder.shape(F.lit(2), F.lit("Title"), body=builder.paragraph(builder.run(F.col("s_name"))), ph='<p:ph type="title"/>')
+    drawn = put('<p:sp><p:nvSpPr><p:cNvPr id="3" name="Drawn"/></p:nvSpPr><p:spPr>', builder.xfrm(*emu(10, 10, 40, 20)), '<a:prstGeom prst="rect"/></p:spPr>', style, "<p:txBody><a:bodyPr/>", builder.paragraph(builder.run(k)), "</p:txBody></p:sp>")
+    cell = lambda inner: put("<a:tc><a:txBody>", inner, "</a:txBody></a:tc>")
+    cells = put(cell(builder.paragraph(builder.run(k))), cell(F.lit(f'<a:p><a:r><a:rPr b="0">{solid(srgb("AA0000"))}</a:rPr><a:t>x</a:t></a:r></a:p>')))
+    table = builder.frame(F.lit(4), put('<a:tbl><a:tblPr firstRow="1"><a:tableStyleId>{S}</a:tableStyleId></a:tblPr><a:tblGrid><a:gridCol w="12700"/><a:gridCol w="12700"/></a:tblGrid><a:tr h="12700">', cells, "</a:tr></a:tbl>"), "table")
+    line = put('<p:cxnSp><p:nvCxnSpPr><p:cNvPr id="5" name="Line"/></p:nvCxnSpPr><p:spPr>', builder.xfrm(k % 50 * 12700, *emu(5, 100, 0)), '<a:prstGeom prst="line"/></p:spPr>', style, "</p:cxnSp>")
+    slides = rows.select("deck_id", "n", F.col("n").alias("at"), builder.page(put(title, drawn, table, line)).alias("xml"))
+    link = builder.relationship
+    own = rows.select("deck_id", F.inline(F.array(
+        F.struct(put("ppt/slides/_rels/slide", F.col("n"), ".xml.rels").alias("part_path"), builder.relationships(put(link("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml"), link("rId2", "notesSlide", put("../notesSlides/notesSlide", F.col("n"), ".xml")))).alias("content")),
+        F.struct(put("ppt/notesSlides/notesSlide", F.col("n"), ".xml").alias("part_path"), builder.page(builder.shape(F.lit(2), F.lit("n"), body=builder.paragraph(builder.run(put("note ", k))), ph='<p:ph type="body"/>'), "notes").alias("content")),
+    )))
+    box = lambda x, y, w, h: '<a:xfrm><a:off x="{}" y="{}"/><a:ext cx="{}" cy="{}"/></a:xfrm>'.format(*(c * 12700 for c in (x, y, w, h)))
+    sp = lambda name, props, ph="": f'<p:sp><p:nvSpPr><p:cNvPr id="2" name="{name}"/><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:spPr>{props}</p:spPr></p:sp>'
+    layout = builder.page(F.lit(sp("l", box(5, 6, 70, 80) + solid(scheme("accent2")), '<p:ph type="title"/>') + sp("behind", box(1, 1, 1, 1) + '<a:prstGeom prst="rect"/>')), "sldLayout")
+    master = f'<p:sldMaster xmlns:p="urn:p" xmlns:a="urn:a"><p:cSld><p:bg><p:bgPr>{solid(scheme("bg1"))}</p:bgPr></p:bg><p:spTree/></p:cSld><p:clrMap bg1="dk1"/></p:sldMaster>'
+    colors_ = "".join(f"<a:{n}>{srgb(c)}</a:{n}>" for n, c in (("dk1", "445566"), ("lt1", "FFFFFE"), ("accent1", "4472C4"), ("accent2", "ED7D31")))
+    theme = f'<a:theme xmlns:a="urn:a"><a:themeElements><a:clrScheme>{colors_}</a:clrScheme><a:fmtScheme><a:fillStyleLst>{solid(scheme("phClr"))}</a:fillStyleLst><a:lnStyleLst><a:ln w="12700">{solid(srgb("123456"))}</a:ln></a:lnStyleLst></a:fmtScheme></a:themeElements></a:theme>'
+    styled = f'<a:tblStyleLst xmlns:a="urn:a"><a:tblStyle styleId="{{S}}"><a:firstRow><a:tcTxStyle b="on">{solid(srgb("FFFFFF"))}</a:tcTxStyle><a:tcStyle><a:fill>{solid(srgb("DDDDDD"))}</a:fill></a:tcStyle></a:firstRow></a:tblStyle></a:tblStyleLst>'
+    fixed = {
+        "ppt/slideLayouts/slideLayout1.xml": layout, "ppt/slideLayouts/_rels/slideLayout1.xml.rels": builder.relationships(link("rId1", "slideMaster", "../slideMasters/slideMaster1.xml")), "ppt/slideMasters/slideMaster1.xml": F.lit(master),
+        "ppt/slideMasters/_rels/slideMaster1.xml.rels": builder.relationships(link("rId1", "theme", "../theme/theme1.xml")), "ppt/theme/theme1.xml": F.lit(theme), "ppt/tableStyles.xml": F.lit(styled),
+    }
+    shared = rows.select("deck_id").distinct().select("deck_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, fixed)), F.array(*fixed.values()))).alias("part_path", "content"))
+    docs = documents(builder.decks(slides, own.unionByName(shared)))
+    content = F.coalesce(F.array_join(F.transform("e.cells", lambda c: c["text"]), "|"), "e.content")
+    fill = F.coalesce(F.get("e.cells", F.lit(0))["fill"], "e.fill.color")
+    number = F.col("deck_id").cast("long") * 50 + F.regexp_extract("s.slide_part", r"(\d+)\.xml$", 1).cast("long") - 1
+    each = docs.select("deck_id", F.explode("slides").alias("s")).select(number.alias("supplier"), "s.background", "s.note", _whole(F.size("s.layoutElements")).alias("behind"), F.explode("s.elements").alias("e"))
+    return each.select("supplier", "e.name", "e.type", F.round("e.left", 4).alias("left"), F.round("e.width", 4).alias("width"), fill.alias("fill"), F.col("e.border.color").alias("border"), content.alias("content"), F.col("background.color").alias("background"), "note", "behind")
+
+
 @_query()
 def deck_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as JSON strings."""

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     conf = {
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.python.sql.dataFrameDebugging.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
     }
     s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
