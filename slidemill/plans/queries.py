@@ -252,6 +252,22 @@ def picture_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(_whole(F.col("id")).alias("part"), "brightness", "contrast", "saturation", "temperature", "sharpen")
 
 
+@_query(
+    """SELECT CAST(p_partkey // 100 AS BIGINT) AS deck, CAST(count(*) AS BIGINT) AS pictures, md5(string_agg('ppt/media/i' || p_partkey || '.png', ',' ORDER BY p_partkey DESC)) AS targets_md5, (p_partkey // 100) % 3 = 0 AS other FROM part WHERE p_size % 2 = 0 GROUP BY p_partkey // 100"""
+)
+def all_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pictures that a slide has relationships to, in their order, among other relationships; and whether another office suite wrote the deck."""
+    k = F.col("p_partkey")
+    part = _table(spark, sf_dir, "part").withColumn("deck_id", (k / 100).cast("long").cast("string"))
+    kind = F.when(F.col("p_size") % 2 == 0, builder.relationship(put("rId", k), "image", put("../media/i", k, ".png"))).otherwise(builder.relationship(put("rId", k), "hyperlink", "https://example.org", "External"))
+    links = builder.gathered(part.select("deck_id", (-k).alias("at"), kind.alias("xml")), ["deck_id"], "at", "xml").select("deck_id", F.lit("ppt/slides/_rels/slide1.xml.rels").alias("part_path"), builder.relationships(F.col("xml")).alias("content"))
+    by = F.when(F.col("deck_id").cast("long") % 3 == 0, ' application="WPS Office"').otherwise("")
+    main = links.select("deck_id", F.lit("ppt/presentation.xml").alias("part_path"), put('<p:presentation xmlns:p="urn:p"', by, "/>").alias("content"))
+    deck = Deck(archive.pack(links.unionByName(main)))
+    found = package.all_rels(deck.rels, "image").join(package.written_by_other_office(deck.nodes), "deck_id")
+    return found.select(_whole(F.col("deck_id")).alias("deck"), _whole(F.size("targets")).alias("pictures"), F.md5(F.array_join("targets", ",").cast("binary")).alias("targets_md5"), "other")
+
+
 # ---- archives in archives, and what their documents hold
 
 
