@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.colors import css
+from ..functions.units import js_number
 from ..sources.xmltree import attr, number
 from .shapes import joined, runs
+from .styles import series_color
 
 #: Chart kinds in the order in which a part with several is looked through.
 CHARTS = ["lineChart", "line3DChart", "barChart", "bar3DChart", "pieChart", "pie3DChart", "doughnutChart", "areaChart", "area3DChart", "scatterChart", "bubbleChart", "radarChart", "stockChart", "surfaceChart", "surface3DChart"]
 #: Chart kinds that have numbers on both axes.
 SCATTERED = ["scatterChart", "bubbleChart"]
+#: Chart kinds that have a colour for each point of the first series.
+PIES = ["pieChart", "pie3DChart", "doughnutChart"]
+#: Where a series' colour may stand, in the order in which the first one counts.
+INKED = ["spPr/solidFill", "spPr/ln/solidFill", "marker/spPr/solidFill", "marker/spPr/ln/solidFill"]
 
 
 def cells(nodes: DataFrame) -> DataFrame:
@@ -41,25 +48,27 @@ def banded(rows: DataFrame, first_row: Column) -> DataFrame:
 def chart_series(nodes: DataFrame) -> DataFrame:
     """(deck_id, part_path, chart, series, name, categories, values) of each chart part's first kind, in the fixed order of kinds.
 
-    Points that are left out are '' among categories and 0 among values, ptCount telling how many there are.
+    Points that are left out are '' among categories and 0 among values, ptCount telling how many there are.  A series without a name goes by
+    the number of its order, or else by its place from 0.
     """
     keys = ["deck_id", "part_path"]
     place = F.array_position(F.array(*map(F.lit, CHARTS)), F.col("tag"))
     chart = nodes.filter(F.col("tag").isin(*CHARTS)).groupBy(*keys).agg(F.min_by(F.struct("nid", "last", "tag"), F.struct(place, "nid")).alias("c"))
     ser = nodes.filter(F.col("tag") == "ser").select(*keys, F.col("nid").alias("owner")).join(chart, keys).filter("owner > c.nid AND owner <= c.last")
     ser = ser.withColumn("series", F.row_number().over(Window.partitionBy(*keys).orderBy("owner")) - 1)
-    axis = F.when(F.col("way").rlike("^(cat|xVal)/"), "cat").when(F.col("way").rlike("^(val|yVal)/"), "val").when(F.col("way").startswith("tx/"), "tx")
+    axis = F.when(F.col("way").rlike("^(cat|xVal)/"), "cat").when(F.col("way").rlike("^(val|yVal)/"), "val")
     below = nodes.filter(F.col("owner").isNotNull()).withColumn("axis", axis).filter("axis IS NOT NULL")
     pt = below.filter(F.col("tag") == "pt").select(*keys, "owner", "axis", F.col("nid").alias("parent"), attr("idx").try_cast("int").alias("idx"))
     v = below.filter(F.col("tag") == "v").select(*keys, "parent", F.col("text").alias("v"))
     points = pt.join(v, [*keys, "parent"]).groupBy(*keys, "owner", "axis", "idx").agg(F.max_by("v", "parent").alias("v"))
-    dense = points.groupBy(*keys, "owner").pivot("axis", ["tx", "cat", "val"]).agg(F.map_from_entries(F.collect_list(F.struct("idx", "v"))))
+    dense = points.groupBy(*keys, "owner").pivot("axis", ["cat", "val"]).agg(F.map_from_entries(F.collect_list(F.struct("idx", "v"))))
     counts = below.filter(F.col("tag") == "ptCount").groupBy(*keys, "owner").pivot("axis", ["cat", "val"]).agg(F.min(attr("val").try_cast("int")))
     counts = counts.withColumnsRenamed({"cat": "n_cat", "val": "n_val"})
     filled = lambda m, n, other, as_: F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(as_(m[i]), F.lit(other)))).otherwise(F.array())
-    met = ser.join(dense, [*keys, "owner"], "left").join(counts, [*keys, "owner"], "left")
+    named = nodes.filter(F.col("owner").isNotNull() & F.col("way").isin("order", "tx/v", "tx/strRef/strCache/pt/v")).groupBy(*keys, "owner").agg(F.min_by("text", F.when(F.col("way") != "order", F.col("nid"))).alias("said"), F.min_by(number(attr("val")), F.when(F.col("way") == "order", F.col("nid"))).alias("order"))
+    met = ser.join(dense, [*keys, "owner"], "left").join(counts, [*keys, "owner"], "left").join(named, [*keys, "owner"], "left")
     return met.select(
-        *keys, F.col("c.tag").alias("chart"), F.col("c.nid").alias("chart_nid"), "owner", "series", F.coalesce(F.col("tx")[0], F.concat(F.lit("Series "), (F.col("series") + 1).cast("string"))).alias("name"), filled(F.col("cat"), F.col("n_cat"), "", lambda x: x).alias("categories"), filled(F.col("val"), F.col("n_val"), 0.0, lambda x: x.try_cast("double")).alias("values")
+        *keys, F.col("c.tag").alias("chart"), F.col("c.nid").alias("chart_nid"), "owner", "series", F.coalesce(F.nullif("said", F.lit("")), js_number(F.col("order")), F.col("series").cast("string")).alias("name"), filled(F.col("cat"), F.col("n_cat"), "", lambda x: x).alias("categories"), filled(F.col("val"), F.col("n_val"), 0.0, lambda x: x.try_cast("double")).alias("values")
     )
 
 
@@ -69,6 +78,30 @@ def scatter(series: DataFrame) -> DataFrame:
     return one.select("deck_id", "part_path", F.transform("categories", lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))).alias("xs"), F.col("values").alias("ys"))
 
 
+def series_colors(nodes: DataFrame, series: DataFrame, paint: DataFrame, palette: DataFrame) -> DataFrame:
+    """(deck_id, part_path, colors) of the charts whose series are given: a colour for each series, or for each point of a pie's first series.
+
+    What says no colour has the theme's six accents in turn; a pie without points of its own has all six.  paint, palette: of ``palette.with_charts``.
+    Colours are opaque; accents that nothing names, also where no slide shows the chart, are black.
+    """
+    keys = ["deck_id", "part_path"]
+    accent = lambda i: F.concat(F.lit("#"), F.regexp_replace(F.coalesce(F.col("theme")[F.concat(F.lit("accent"), i.cast("string"))], F.lit("000000")), "^#", ""))
+    six = F.transform(F.sequence(F.lit(1), F.lit(6)), accent)
+    said = nodes.filter(F.col("owner").isNotNull() & F.col("way").isin(*INKED, "dPt", "dPt/spPr/solidFill")).select(*keys, "owner", "nid", "way").join(paint.withColumnRenamed("holder", "nid"), [*keys, "nid"], "left")
+    said = said.withColumn("ink", F.when(F.col("way") != "dPt", F.coalesce(css(F.struct(F.col("color.hex").alias("hex"), F.lit(1.0).alias("alpha"))), F.lit("#000000"))))
+    # a point's fill follows it: the last point that has begun has it
+    order = Window.partitionBy(*keys, "owner").orderBy("nid").rowsBetween(Window.unboundedPreceding, 0)
+    said = said.withColumn("point", F.when(F.col("way").startswith("dPt"), F.last(F.when(F.col("way") == "dPt", F.col("nid")), True).over(order)))
+    own = said.groupBy(*keys, "owner", "point").agg(F.coalesce(*(F.min_by("ink", F.when(F.col("way") == w, F.col("nid"))) for w in [*INKED, "dPt/spPr/solidFill"])).alias("ink"))
+    own = own.groupBy(*keys, "owner").agg(F.max(F.when(F.col("point").isNull(), F.col("ink"))).alias("ink"), F.array_sort(F.collect_list(F.when(F.col("point").isNotNull(), F.struct("point", "ink")))).alias("points"))
+    met = series.select(*keys, "chart", "owner", "series").join(own, [*keys, "owner"], "left").join(palette.select(*keys, "theme"), keys, "left").withColumn("six", six)
+    one = F.struct("series", series_color(F.col("ink"), F.col("series"), F.col("six")).alias("ink"))
+    points = F.transform(F.col("points"), lambda p, i: series_color(p["ink"], i, F.col("six")))
+    pie = F.when(F.col("series") == 0, F.when(F.size(points) > 0, points).otherwise(F.col("six")))
+    met = met.select(*keys, "chart", one.alias("one"), pie.alias("pie")).groupBy(*keys).agg(F.first("chart").alias("chart"), F.array_sort(F.collect_list("one")).alias("all"), F.first("pie", True).alias("pie"))
+    return met.select(*keys, F.when(F.col("chart").isin(*PIES), F.col("pie")).otherwise(F.transform("all", lambda x: x["ink"])).alias("colors"))
+
+
 def chart_options(nodes: DataFrame, series: DataFrame) -> DataFrame:
     """(deck_id, part_path, bar_dir, grouping, marker, hole_size, style) of the charts whose series are given."""
     keys = ["deck_id", "part_path"]

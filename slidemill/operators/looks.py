@@ -143,12 +143,13 @@ def adjustments(nodes: DataFrame) -> DataFrame:
 
 
 def picture_filters(nodes: DataFrame) -> DataFrame:
-    """(deck_id, part_path, owner, brightness, contrast, saturation, temperature, sharpen): changes of pictures, those of the later format before a plain lum."""
-    rows = nodes.filter(F.col("owner").isNotNull() & F.col("tag").isin("lum", "brightnessContrast", "saturation", "colorTemperature", "sharpenSoften") & F.col("way").startswith("blipFill/blip/"))
+    """(deck_id, part_path, owner, brightness, contrast, saturation, temperature, sharpen, opacity): changes of pictures, those of the later format before a plain lum; opacity is null where it is 1."""
+    rows = nodes.filter(F.col("owner").isNotNull() & F.col("tag").isin("lum", "brightnessContrast", "saturation", "colorTemperature", "sharpenSoften", "alphaModFix", "alphaMod", "alphaOff") & F.col("way").startswith("blipFill/blip/"))
     of = lambda tag, name: F.min_by(number(attr(name)), F.when(F.col("tag") == tag, F.col("nid"))) / 100000.0
     both = lambda name: F.coalesce(of("brightnessContrast", name), of("lum", name))
     temperature = of("colorTemperature", "colorTemp") * 100000.0
-    return rows.groupBy(*KEYS, "owner").agg(both("bright").alias("brightness"), both("contrast").alias("contrast"), of("saturation", "sat").alias("saturation"), temperature.alias("temperature"), of("sharpenSoften", "amount").alias("sharpen"))
+    opacity = F.greatest(F.lit(0.0), F.coalesce(of("alphaModFix", "amt"), F.lit(1.0)) * F.coalesce(of("alphaMod", "val"), F.lit(1.0)) + F.coalesce(of("alphaOff", "val"), F.lit(0.0)))
+    return rows.groupBy(*KEYS, "owner").agg(both("bright").alias("brightness"), both("contrast").alias("contrast"), of("saturation", "sat").alias("saturation"), temperature.alias("temperature"), of("sharpenSoften", "amount").alias("sharpen"), F.when(opacity < 1, opacity).alias("opacity"))
 
 
 def crops(nodes: DataFrame) -> DataFrame:

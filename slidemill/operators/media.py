@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.media import media_type, needs_conversion, unsupported
+from .package import media_path
 
 #: Places of media up to which their table is broadcast; a larger one is joined by shuffling.
 SMALL = 200_000
@@ -38,6 +39,22 @@ def kept(parts: DataFrame, once: DataFrame) -> DataFrame:
     return found.join(F.broadcast(wanted) if small else wanted, ["deck_id", "part_path"]).select("media_id", "type", "content")
 
 
+def sources(found: DataFrame, rels: DataFrame, parts: DataFrame) -> DataFrame:
+    """(deck_id, part_path, nid, blob, poster) of shapes that play something; found: shapes with video_rid, audio_rid and rid.
+
+    blob is the medium, or the address of one on the web; null where the deck has neither.  poster is the picture of a video, null if browsers can't show it.
+    """
+    keys = ["deck_id", "part_path"]
+    plays = found.filter("video_rid IS NOT NULL OR audio_rid IS NOT NULL").select(*keys, "nid", F.inline(F.array(F.struct(F.coalesce("video_rid", "audio_rid").alias("rid"), F.lit(False).alias("still")), F.struct(F.when(F.col("video_rid").isNotNull(), F.col("rid")).alias("rid"), F.lit(True).alias("still")))))
+    target = rels.select("deck_id", F.col("source_part").alias("part_path"), "rid", "target", media_path(F.col("target")).alias("medium"))
+    there = parts.filter("kind = 'media'").select("deck_id", F.col("part_path").alias("medium")).distinct().withColumn("there", F.lit(True))
+    met = plays.join(target, [*keys, "rid"], "left").join(there, ["deck_id", "medium"], "left")
+    web = F.col("target").rlike("^https?://")
+    blob = F.when(~F.col("still"), F.when(web, F.col("target")).when(F.col("there"), F.col("medium")))
+    poster = F.when(F.col("still") & F.col("there") & ~unsupported(F.col("medium")), F.col("medium"))
+    return met.groupBy(*keys, "nid").agg(F.max(blob).alias("blob"), F.max(poster).alias("poster"))
+
+
 def used(found: DataFrame, rels: DataFrame, places: DataFrame) -> DataFrame:
     """(deck_id, part_path, nid, media_id): the medium of each shape that refers to one; found: shapes with rid."""
     target = rels.select("deck_id", F.col("source_part").alias("part_path"), "rid", F.col("resolved").alias("medium"))

@@ -60,6 +60,13 @@ def with_drawings(palette: DataFrame, drawn: DataFrame) -> DataFrame:
     return palette.unionByName(first.join(palette, KEYS).drop("part_path").withColumnRenamed("drawing", "part_path"))
 
 
+def with_charts(palette: DataFrame, rels: DataFrame) -> DataFrame:
+    """palette with rows for chart parts: they have the colours of the first slide that shows them."""
+    shown = rels.filter(F.col("type").endswith("/chart") & F.col("source_part").startswith("ppt/slides/") & F.col("resolved").isNotNull())
+    first = shown.groupBy("deck_id", "resolved").agg(F.min("source_part").alias("part_path"))
+    return palette.unionByName(first.join(palette, KEYS).drop("part_path").withColumnRenamed("resolved", "part_path"))
+
+
 def modifiers(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """of (keys, c) with mods: modifiers below the colour elements c, in order."""
     mod = nodes.filter(attr("val").isNotNull()).select(*KEYS, F.col("parent").alias("c"), F.struct("nid", F.col("tag").alias("name"), number(attr("val")).alias("val")).alias("mod"))

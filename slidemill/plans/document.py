@@ -9,8 +9,8 @@ from ..functions.colors import css
 from ..functions.media import media_type
 from ..functions.outlines import custom_paths, preset_path
 from ..functions.units import emu_to_px, px_to_pt
-from ..operators import frames, looks, matrix, package, shapes, styles, tables, textbody
-from ..operators.palette import painted, palettes, raw_colors, with_drawings
+from ..operators import frames, looks, matrix, media, package, shapes, styles, tables, textbody
+from ..operators.palette import painted, palettes, raw_colors, with_charts, with_drawings
 from ..sources import archive, xmltree
 from ..storage import cut
 
@@ -35,7 +35,7 @@ class Colors:
         raws = cut(raw_colors(deck.nodes))
         self.styles = matrix.Styles(deck.nodes, raws)
         self.drawings = cut(frames.diagram_drawings(deck.nodes, deck.rels, deck.parts))
-        self.palette = cut(self.styles.scopes(with_drawings(palettes(deck.nodes, deck.rels), self.drawings)))
+        self.palette = cut(self.styles.scopes(with_charts(with_drawings(palettes(deck.nodes, deck.rels), self.drawings), deck.rels)))
         self.paint = cut(painted(raws, self.palette))
 
 
@@ -95,19 +95,21 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
     options = frames.chart_options(nodes, series)
     data = series.groupBy(*keys, "chart").agg(F.transform(F.array_sort(F.collect_list(F.struct("series", "name", "categories", "values"))), lambda x: x.dropFields("series")).alias("data"))
     points = frames.scatter(series).select(*keys, F.struct("xs", "ys").alias("points"))
-    charts = data.join(options, keys, "left").join(points, keys, "left").select("deck_id", F.col("part_path").alias("target"), F.struct("chart", "data", "points", "bar_dir", "grouping", "marker", "hole_size", "style").alias("chart"))
+    inked = frames.series_colors(nodes, series, paint, palette)
+    charts = data.join(options, keys, "left").join(points, keys, "left").join(inked, keys, "left").select("deck_id", F.col("part_path").alias("target"), F.struct("chart", "data", "colors", "points", "bar_dir", "grouping", "marker", "hole_size", "style").alias("chart"))
     target = rels.select("deck_id", F.col("source_part").alias("part_path"), "rid", F.col("resolved").alias("target"))
     met = styles.links(found, rels).join(target, [*keys, "rid"], "left").join(charts, ["deck_id", "target"], "left")
     # what is known of shapes meets in one grouping instead of a join for each table
     bent = custom_paths(nodes, found.filter("custom").select(*keys, F.col("nid").alias("owner"), F.col("width").alias("w"), F.col("height").alias("h"))).select(*keys, F.col("owner").alias("nid"), F.col("path").alias("custom_path"))
     filters = looks.picture_filters(nodes)
-    filters = filters.select(*keys, "owner", F.struct(*(c for c in filters.columns if c not in {*keys, "owner"})).alias("filters"))
+    changes = [c for c in filters.columns if c not in {*keys, "owner"}]
+    filters = filters.select(*keys, "owner", F.when(F.coalesce(*changes).isNotNull(), F.struct(*changes)).alias("filters"))
     more = html
-    for rows in (seen, listed, look, bent, styles.inherited_bodies(found, styles.bodies(nodes)), *map(owned, (looks.adjustments(nodes), looks.crops(nodes), filters))):
+    for rows in (seen, listed, look, bent, styles.inherited_bodies(found, styles.bodies(nodes)), *map(owned, (looks.adjustments(nodes), looks.crops(nodes), filters)), media.sources(found, rels, deck.parts)):
         more = more.unionByName(rows, allowMissingColumns=True)
     more = more.groupBy(*by_nid).agg(*(F.first(c, True).alias(c) for c in more.columns if c not in by_nid))
     met = met.join(more, by_nid, "left").join(groups, [*keys, "group_nid"], "left")
-    drawn = F.col("shape").isin("sp", "cxnSp")
+    drawn, picture = F.col("shape").isin("sp", "cxnSp"), F.col("shape") == "pic"
     lineal = looks.line_like(F.col("shape"), F.col("prst"), F.col("width") / 0.75, F.col("height") / 0.75)
     own = F.when(F.col("own_fill.type") == "group", F.col("group_fill")).otherwise(F.col("own_fill"))
     met = met.withColumn("fill", F.when(~lineal, F.coalesce(own, "theme_fill", F.when(F.col("ph"), F.col("more_fill")))))
@@ -121,16 +123,17 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
         .when(F.col("shape") == "pic", F.when(F.col("video_rid").isNotNull(), "video").when(F.col("audio_rid").isNotNull(), "audio").otherwise("image")).when(text, "text").otherwise("shape")
     )
     path = F.when(drawn, F.coalesce(F.when(F.col("prst").isNotNull(), preset_path(F.col("prst"), F.col("width"), F.col("height"))), F.col("custom_path")))
-    outline = F.when(drawn, F.when((F.col("shape") == "cxnSp") & (F.col("prst") == "line"), "straightConnector1").otherwise(F.coalesce("prst", F.when(F.col("custom"), "custom"), F.lit("rect"))))
+    outline = F.when(drawn, F.when((F.col("shape") == "cxnSp") & (F.col("prst") == "line"), "straightConnector1").otherwise(F.coalesce("prst", F.when(F.col("custom"), "custom"), F.lit("rect")))).when(picture, F.coalesce("prst", F.lit("rect")))
     filled = F.when(drawn, F.coalesce(fill, matrix.plain(F.lit("transparent"))))
-    medium = F.when((F.col("shape") == "pic") | F.col("ole").isNotNull() | F.col("formula").isNotNull(), F.col("target"))
+    # a video shows its picture, or else itself; a sound has itself alone
+    medium = F.when(picture & F.col("video_rid").isNotNull(), F.coalesce("poster", "blob")).when(picture & F.col("audio_rid").isNotNull(), F.col("blob")).when(picture | F.col("ole").isNotNull() | F.col("formula").isNotNull(), F.col("target"))
     # a line along an axis is a pixel thick
     axis = F.when(drawn & lineal & ((F.col("width") >= 0.75) | (F.col("height") >= 0.75)), looks.line_axis(F.col("width") / 0.75, F.col("height") / 0.75))
     across = F.aggregate("table.col_widths", F.lit(0.0), lambda a, w: a + w)
     thick = {"width": F.when(across > 0, across).when((axis == "v") & (F.col("width") < 0.75), 0.75).otherwise(F.col("width")), "height": F.when((axis == "h") & (F.col("height") < 0.75), 0.75).otherwise(F.col("height"))}
     element = F.struct(
         "nid", kind.alias("type"), "name", "left", "top", *(c.alias(k) for k, c in thick.items()), "rotate", F.col("flip_h").alias("isFlipH"), F.col("flip_v").alias("isFlipV"), outline.alias("shapType"), path.alias("path"), F.col("html").alias("content"),
-        filled.alias("fill"), F.when(drawn, F.coalesce("border", looks.no_border())).alias("border"), "shadow", "link", F.when(drawn, F.col("valign")).alias("vAlign"), F.when(drawn, F.col("vertical")).alias("isVertical"), "autofit", "font_scale", "keypoints", "head", "tail", "crop", F.when(F.col("shape") == "pic", F.col("filters")).alias("filters"), medium.alias("ref"), media_type(medium).alias("media_type"),
+        filled.alias("fill"), F.when(drawn | picture, F.coalesce("border", looks.no_border())).alias("border"), "shadow", "link", F.when(drawn, F.col("valign")).alias("vAlign"), F.when(drawn, F.col("vertical")).alias("isVertical"), "autofit", "font_scale", "keypoints", "head", "tail", "crop", F.when(picture, F.col("filters")).alias("filters"), medium.alias("ref"), F.when(picture, F.col("blob")).alias("blob"), media_type(medium).alias("media_type"),
         F.col("cells").alias("cells"), "table", "chart", F.col("group_nid").alias("group"), F.col("formula").alias("text"),
     )
     every = met.select(*by_nid, "ph", "cx", "cy", F.contains("uri", F.lit("diagram")).alias("diagram"), element.alias("element")).filter("element.type <> 'frame'")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import colors, media, outlines, text, units
 from ..operators import fields, frames, lists, looks, matrix, package, shapes, styles, tables, textbody
 from ..operators import media as media_table
-from ..operators.palette import raw_colors
+from ..operators.palette import painted, palettes, raw_colors, with_charts
 from ..sources import archive, builder, xmltree
 from ..sources.builder import text as put
 from ..storage import cut
@@ -496,6 +496,83 @@ def chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- placeholders, groups, diagrams
 
 
+@_query(
+    """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber)),
+    t AS (SELECT *, list_extract(['#' || lpad(CAST(l_orderkey // 100 AS VARCHAR), 6, '0'), '#ED7D31', '#A5A5A5', '#FFC000', '#000000', '#70AD47'], CAST(i % 6 + 1 AS INTEGER)) AS accent FROM l)
+    SELECT CAST(l_orderkey AS BIGINT) AS order_key, CASE l_orderkey % 3 WHEN 0 THEN '0|7' ELSE string_agg(CASE WHEN i % 2 = 0 THEN 's' || l_linenumber ELSE CAST(l_linenumber + 10 AS VARCHAR) END, '|' ORDER BY i) END AS names,
+    string_agg(CASE WHEN q % 5 = 4 THEN accent WHEN l_orderkey % 3 = 0 OR q % 5 IN (0, 1) THEN '#' || lpad(CAST(q AS VARCHAR), 6, '0') WHEN q % 5 = 2 THEN '#445566' ELSE '#FF0000' END, ',' ORDER BY i) AS colors FROM t GROUP BY l_orderkey"""
+)
+def chart_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of charts, a chart to an order, on slides of their own themes: of series (their fill, line, marker or marker's line) or of a pie's points, else the theme's accents in turn; and what series without a name go by."""
+    q, n, i, key = F.col("q"), F.col("l_linenumber"), F.col("i"), F.col("l_orderkey")
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(_whole(F.max("l_quantity")).alias("q"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1)
+    srgb = put('<a:srgbClr val="', F.lpad(q.cast("string"), 6, "0"), '"><a:alpha val="50000"/></a:srgbClr>')
+    fill = lambda inner: put("<a:solidFill>", inner, "</a:solidFill>")
+    props = lambda inner: put("<c:spPr>", inner, "</c:spPr>")
+    line = lambda inner: put("<a:ln>", inner, "</a:ln>")
+    marker = lambda inner: put("<c:marker>", props(inner), "</c:marker>")
+    wrong = F.lit('<a:solidFill><a:srgbClr val="BADBAD"/></a:solidFill>')
+    own = F.when(q % 5 == 0, put(props(put(fill(srgb), line(wrong))), marker(wrong))).when(q % 5 == 1, put(props(line(fill(srgb))), marker(wrong))).when(q % 5 == 2, marker(put(fill(F.lit('<a:schemeClr val="tx1"/>')), line(wrong)))).when(q % 5 == 3, marker(line(fill(F.lit('<a:prstClr val="red"/>')))))
+    name = F.when(i % 2 == 0, put("<c:tx><c:v>s", n, "</c:v></c:tx>"))
+    series = put('<c:ser><c:order val="', n + 10, '"/>', name, own, "</c:ser>")
+    point = put("<c:dPt>", F.when(q % 5 != 4, props(fill(srgb))), "</c:dPt>")
+    other = '<c:ser><c:order val="7"/><c:dPt><c:spPr><a:solidFill><a:srgbClr val="BADBAD"/></a:solidFill></c:spPr></c:dPt></c:ser>'
+    body = builder.gathered(rows.select(key, i, F.when(key % 3 == 0, point).otherwise(series).alias("xml")), ["l_orderkey"], "i", "xml")
+    kind = F.when(key % 3 == 0, "pieChart").when(key % 3 == 1, "barChart").otherwise("lineChart")
+    inner = F.when(key % 3 == 0, put("<c:ser>", F.col("xml"), "</c:ser>", other)).otherwise(F.col("xml"))
+    deck = (key / 100).cast("long").cast("string").alias("deck_id")
+    charts = body.select(deck, "l_orderkey", put('<c:chartSpace xmlns:c="urn:c" xmlns:a="urn:a"><c:chart><c:plotArea><c:', kind, ">", inner, "</c:", kind, "></c:plotArea></c:chart></c:chartSpace>").alias("content"))
+    part = put("ppt/charts/chart", key, ".xml").alias("part_path")
+    link = builder.relationship
+    shown = builder.gathered(charts.select("deck_id", "l_orderkey", link(put("rId9", key), "chart", put("../charts/chart", key, ".xml")).alias("xml")), ["deck_id"], "l_orderkey", "xml")
+    accents = put(*(put(f'<a:{k}><a:srgbClr val="', v, f'"/></a:{k}>') for k, v in (("dk1", F.lit("445566")), ("accent1", F.lpad("deck_id", 6, "0")), ("accent2", F.lit("ED7D31")), ("accent3", F.lit("A5A5A5")), ("accent4", F.lit("FFC000")), ("accent6", F.lit("70AD47")))))
+    fixed = {
+        "ppt/slides/_rels/slide1.xml.rels": builder.relationships(put(link("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml"), F.col("xml"))), "ppt/slideLayouts/_rels/slideLayout1.xml.rels": builder.relationships(link("rId1", "slideMaster", "../slideMasters/slideMaster1.xml")),
+        "ppt/slideMasters/slideMaster1.xml": builder.page("", "sldMaster", '<p:clrMap tx1="dk1"/>'), "ppt/slideMasters/_rels/slideMaster1.xml.rels": builder.relationships(link("rId1", "theme", "../theme/theme1.xml")),
+        "ppt/theme/theme1.xml": put('<a:theme xmlns:a="urn:a"><a:themeElements><a:clrScheme>', accents, "</a:clrScheme></a:themeElements></a:theme>"),
+    }
+    more = shown.select("deck_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, fixed)), F.array(*fixed.values()))).alias("part_path", "content"))
+    slides = shown.select("deck_id", F.lit(1).alias("n"), F.lit(1).alias("at"), builder.page("").alias("xml"))
+    made = Deck(builder.decks(slides, more.unionByName(charts.select("deck_id", part, "content"))))
+    made.rels = cut(made.rels)
+    nodes = made.nodes
+    palette = cut(with_charts(palettes(nodes, made.rels), made.rels))
+    found = cut(frames.chart_series(nodes))
+    colors_ = frames.series_colors(nodes, found, painted(raw_colors(nodes), palette), palette)
+    names = found.groupBy("deck_id", "part_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("series", "name"))), lambda x: x["name"]), "|").alias("names"))
+    return names.join(colors_, ["deck_id", "part_path"]).select(_whole(F.regexp_extract("part_path", r"(\d+)\.xml$", 1)).alias("order_key"), "names", F.array_join("colors", ",").alias("colors"))
+
+
+@_query(
+    """SELECT p_partkey AS part, CASE k WHEN 2 THEN 'https://example.org/v' || p_partkey WHEN 1 THEN CASE WHEN p_size % 3 <> 0 THEN 'ppt/media/m' || p_partkey || '.mp4' END WHEN 3 THEN CASE WHEN p_size % 3 <> 0 THEN 'ppt/media/m' || p_partkey || '.mp3' END END AS blob,
+    CASE WHEN k IN (1, 2) AND p_size % 2 = 0 THEN 'ppt/media/still.png' END AS poster, CASE WHEN k = 0 AND p_size < 30 THEN greatest(0, CAST(p_size * 4000 - 20000 AS DOUBLE) / 100000) END AS opacity
+    FROM (SELECT *, p_partkey % 4 AS k FROM part)"""
+)
+def picture_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What videos and sounds play, in the deck or on the web, and the stills of videos, of which metafiles don't count; how opaque pictures are."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    kind = k % 4
+    part = _table(spark, sf_dir, "part").select(k, z, (k / 200).cast("long").cast("string").alias("deck_id"))
+    plays = F.when(kind.isin(1, 2), put('<a:videoFile r:link="rId7', k, '"/>')).when(kind == 3, put('<a:audioFile r:link="rId7', k, '"/>'))
+    alpha = F.when(kind == 0, put('<a:alphaModFix amt="', z * 8000, '"/><a:alphaMod val="50000"/><a:alphaOff val="-20000"/>'))
+    picture = put('<p:pic><p:nvPicPr><p:cNvPr id="', k, '" name="p"/><p:nvPr>', plays, '</p:nvPr></p:nvPicPr><p:blipFill><a:blip r:embed="rId', 2 + z % 2, '">', alpha, "</a:blip></p:blipFill><p:spPr/></p:pic>")
+    slides = _one_slide(part, (k / 200).cast("long"), picture, "p_partkey")
+    name = put("m", k, F.when(kind == 3, ".mp3").otherwise(".mp4"))
+    link = F.when(kind == 2, builder.relationship(put("rId7", k), "video", put("https://example.org/v", k), "External")).when(kind == 1, builder.relationship(put("rId7", k), "video", put("../media/", name))).when(kind == 3, builder.relationship(put("rId7", k), "audio", put("../media/", name)))
+    links = builder.gathered(part.select("deck_id", "p_partkey", F.coalesce(link, F.lit("")).alias("xml")), ["deck_id"], "p_partkey", "xml")
+    stills = put(builder.relationship("rId2", "image", "../media/still.png"), builder.relationship("rId3", "image", "../media/still.wmf"))
+    links = links.select("deck_id", F.lit("ppt/slides/_rels/slide1.xml.rels").alias("part_path"), builder.relationships(put(stills, F.col("xml"))).alias("content"))
+    held = part.filter(kind.isin(1, 3) & (z % 3 != 0)).select("deck_id", put("ppt/media/", name).alias("part_path"), F.lit("m").alias("content"))
+    still = part.select("deck_id").distinct().select("deck_id", F.explode(F.array(F.lit("ppt/media/still.png"), F.lit("ppt/media/still.wmf"))).alias("part_path"), F.lit("s").alias("content"))
+    deck = Deck(builder.decks(slides, links.unionByName(held).unionByName(still)))
+    keys = ["deck_id", "part_path", "nid"]
+    found = cut(shapes.shapes(deck.nodes))
+    seen = looks.picture_filters(deck.nodes).withColumnRenamed("owner", "nid").select(*keys, "opacity")
+    met = found.join(media_table.sources(found, deck.rels, deck.parts), keys, "left").join(seen, keys, "left")
+    return met.select(_whole(F.col("id")).alias("part"), "blob", "poster", F.round("opacity", 6).alias("opacity"))
+
+
 @_query(
     """SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 10 + n_nationkey WHEN n_nationkey % 3 = 1 THEN 100 ELSE 200 END AS DOUBLE) AS "left",
     CAST(CASE WHEN n_nationkey % 3 = 0 THEN 20 WHEN n_nationkey % 3 = 1 THEN 30 ELSE 40 END AS DOUBLE) AS width FROM nation"""

@@ -116,7 +116,7 @@ def test_a_full_slide(full):
     assert by["Pic"]["ref"] == "ppt/media/a.PNG" and by["Pic"]["media_type"] == "image/png" and by["Pic"]["crop"].asDict() == {"t": 0.1, "b": 0, "l": 0.25, "r": 0}
     assert [c["text"] for c in by["F7"]["cells"]] == [f'<p><span style="font-size: 12pt;color: #000000;font-family: Text;">{x}</span></p>' for x in "xy"]
     chart = by["F8"]["chart"]
-    assert chart["chart"] == "lineChart" and chart["data"][0]["values"] == [0, 7] and chart["data"][0]["name"] == "Series 1" and chart["grouping"] == "standard" and chart["marker"] and chart["bar_dir"] is None
+    assert chart["chart"] == "lineChart" and chart["data"][0]["values"] == [0, 7] and chart["data"][0]["name"] == "0" and chart["colors"] == ["#4472C4"] and chart["grouping"] == "standard" and chart["marker"] and chart["bar_dir"] is None
 
 
 def test_text_styles_by_levels(full):
@@ -258,6 +258,8 @@ def test_documents_take_looks_from_themes_groups_and_placeholders(spark):
     unknown = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="7" name="Unknown"/></p:nvGraphicFramePr><a:graphic><a:graphicData uri="urn:other"/></a:graphic></p:graphicFrame>'
     ole = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="8" name="Object"/></p:nvGraphicFramePr><p:xfrm><a:off x="12700" y="0"/><a:ext cx="25400" cy="12700"/></p:xfrm><a:graphic><a:graphicData uri="urn:ole"><mc:AlternateContent xmlns:mc="urn:mc"><mc:Choice><p:oleObj/></mc:Choice><mc:Fallback><p:oleObj><p:pic><p:nvPicPr><p:cNvPr id="0" name="inner"/></p:nvPicPr><p:blipFill><a:blip r:embed="rId7"/></p:blipFill></p:pic></p:oleObj></mc:Fallback></mc:AlternateContent></a:graphicData></a:graphic></p:graphicFrame>'
     line = '<p:cxnSp><p:nvCxnSpPr><p:cNvPr id="6" name="Line"/></p:nvCxnSpPr><p:spPr>' + box_xml(5, 5, 100, 0) + '<a:prstGeom prst="line"/></p:spPr>' + style + "</p:cxnSp>"
+    still = lambda name, plays, more="", props="": f'<p:pic><p:nvPicPr><p:cNvPr id="30" name="{name}"/><p:nvPr>{plays}</p:nvPr></p:nvPicPr><p:blipFill><a:blip r:embed="rId7">{more}</a:blip></p:blipFill><p:spPr>{box_xml(0, 0, 9, 9)}{props}</p:spPr></p:pic>'
+    pics = still("Video", '<a:videoFile r:link="rId10"/>') + still("Sound", '<a:audioFile r:link="rId11"/>') + still("Faint", "", '<a:alphaModFix amt="25000"/>', f'<a:prstGeom prst="ellipse"/><a:ln w="12700">{solid(srgb("00FF00"))}</a:ln>')
     title = shape_xml(5, "Title", "", '<p:ph type="title"/>', body="<p:txBody><a:bodyPr/><a:p/></p:txBody>")
     diagram = '<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="20" name="Diagram"/></p:nvGraphicFramePr><p:xfrm><a:off x="254000" y="127000"/><a:ext cx="1270000" cy="1270000"/></p:xfrm><a:graphic><a:graphicData uri="urn:diagram"><dgm:relIds xmlns:dgm="urn:d" r:dm="rId8"/></a:graphicData></a:graphic></p:graphicFrame>'
     arc = '<a:custGeom><a:pathLst><a:path w="10" h="10"><a:moveTo><a:pt x="0" y="5"/></a:moveTo><a:arcTo wR="5" hR="5" stAng="10800000" swAng="10800000"/><a:close/></a:path></a:pathLst></a:custGeom>'
@@ -273,15 +275,15 @@ def test_documents_take_looks_from_themes_groups_and_placeholders(spark):
     files = {
         "ppt/presentation.xml": f'<p:presentation {NS}><p:sldIdLst><p:sldId id="256" r:id="rId1"/></p:sldIdLst><p:sldSz cx="9144000" cy="6858000"/></p:presentation>',
         "ppt/_rels/presentation.xml.rels": rels_xml(("rId1", "slide", "slides/slide1.xml", "")),
-        "ppt/slides/slide1.xml": page("sld", drawn + own + group(flipped + solid(srgb("00AA00")), inner) + both + unknown + ole + line + diagram + title, f'<p:bg><p:bgRef idx="1001">{scheme("accent2")}</p:bgRef></p:bg>'),
-        "ppt/slides/_rels/slide1.xml.rels": rels_xml(("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml", ""), ("rId7", "image", "../media/o.png", ""), ("rId8", "diagramData", "../diagrams/data3.xml", ""), ("rId9", "diagramDrawing", "../diagrams/drawing3.xml", "")),
+        "ppt/slides/slide1.xml": page("sld", drawn + own + group(flipped + solid(srgb("00AA00")), inner) + both + unknown + ole + line + diagram + title + pics, f'<p:bg><p:bgRef idx="1001">{scheme("accent2")}</p:bgRef></p:bg>'),
+        "ppt/slides/_rels/slide1.xml.rels": rels_xml(("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml", ""), ("rId7", "image", "../media/o.png", ""), ("rId8", "diagramData", "../diagrams/data3.xml", ""), ("rId9", "diagramDrawing", "../diagrams/drawing3.xml", ""), ("rId10", "video", "https://example.org/v", ' TargetMode="External"'), ("rId11", "audio", "../media/gone.mp3", "")),
         "ppt/diagrams/drawing3.xml": drawing,
         "ppt/slideLayouts/slideLayout1.xml": page("sldLayout", layout), "ppt/slideLayouts/_rels/slideLayout1.xml.rels": rels_xml(("rId1", "slideMaster", "../slideMasters/slideMaster1.xml", "")),
         "ppt/slideMasters/slideMaster1.xml": page("sldMaster", ""), "ppt/slideMasters/_rels/slideMaster1.xml.rels": rels_xml(("rId1", "theme", "../theme/theme1.xml", "")), "ppt/theme/theme1.xml": theme, "ppt/media/o.png": b"o",
     }
     slide = documents(spark.createDataFrame([("a", deck(files))], "deck_id string, content binary")).collect()[0]["slides"][0]
     by = {e["name"]: e for e in slide["elements"]}
-    assert [e["name"] for e in slide["elements"]] == ["Drawn", "Own", "G", "G", "Grouped", "Bare", "Object", "Line", "Diagram", "Node", "Title"]
+    assert [e["name"] for e in slide["elements"]] == ["Drawn", "Own", "G", "G", "Grouped", "Bare", "Object", "Line", "Diagram", "Node", "Title", "Video", "Sound", "Faint"]
     assert slide["background"]["color"] == "#ED7D31"
     seen = by["Drawn"]
     assert seen["border"].asDict() == {"color": "#123456", "width": 1.0, "type": "solid", "dashes": ""} and "color: #FFFFFE" in seen["content"]
@@ -291,6 +293,8 @@ def test_documents_take_looks_from_themes_groups_and_placeholders(spark):
     assert by["Grouped"]["fill"]["color"] == "#00AA00" and by["Bare"]["fill"]["color"] == "transparent"
     assert (by["Grouped"]["left"], by["Grouped"]["isFlipH"], by["Bare"]["left"]) == (80, True, 30)
     assert (by["Object"]["type"], by["Object"]["ref"], by["Object"]["left"], by["Object"]["width"]) == ("image", "ppt/media/o.png", 1, 2)
+    assert [(by[n]["type"], by[n]["ref"], by[n]["blob"], by[n]["shapType"]) for n in ("Video", "Sound", "Faint")] == [("video", "ppt/media/o.png", "https://example.org/v", "rect"), ("audio", None, None, "rect"), ("image", "ppt/media/o.png", None, "ellipse")]
+    assert by["Faint"]["filters"]["opacity"] == 0.25 and by["Video"]["filters"] is None and (by["Faint"]["border"]["color"], by["Faint"]["border"]["width"], by["Video"]["border"]["width"]) == ("#00FF00", 1, 0)
     assert (by["Line"]["height"], by["Line"]["width"], by["Line"]["fill"]["color"], by["Line"]["border"]["color"]) == (0.75, 100, "transparent", "#123456")
     shown = by["Node"]
     assert by["Diagram"]["type"] == "group" and (shown["left"], shown["top"], shown["group"]) == (21, 12, by["Diagram"]["nid"]) and "color: #FFFFFE" in shown["content"]
