@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import symbols
 from ..functions.colors import css
 from ..functions.text import auto_number, escape, escape_attribute, run_html, safe_link
-from ..functions.units import emu_to_px, js_number
-from ..sources.xmltree import number
+from ..functions.units import angle_to_deg, emu_to_px, js_number
+from ..sources.xmltree import attr, number
 from ..storage import cut
 
 KEYS = ["deck_id", "part_path"]
@@ -26,15 +26,15 @@ ALIGN = {"l": "left", "ctr": "center", "r": "right", "just": "justify", "dist":
 LISTS = "lstStyle|titleStyle|bodyStyle|otherStyle|defaultTextStyle"
 
 
-def _run_style(first, attrs: Column, prefix: str, fill: Column) -> Column:
-    """A struct of what an rPr or defRPr says; first(tail): attributes of the first element on a way below it."""
+def _run_style(first, attrs: Column, prefix: str, fill: Column, props: Column) -> Column:
+    """A struct of what an rPr or defRPr says; first(tail): attributes of the first element on a way below it; props: its place."""
     on = lambda name: F.when(attrs[name].isNotNull(), attrs[name].isin("1", "true"))
     line = lambda name, off: F.when(attrs[name] == off, False).when(attrs[name].isNotNull(), True)
     face = lambda script: first(f"{prefix}{script}")["typeface"]
     return F.struct(
         (number(attrs["sz"]) / 100.0).alias("size"), on("b").alias("bold"), on("i").alias("italic"), line("u", "none").alias("under"), line("strike", "noStrike").alias("strike"), (number(attrs["spc"]) / 100.0).alias("spacing"),
         (number(attrs["kern"]) / 100.0).alias("kern"), attrs["cap"].alias("cap"), number(attrs["baseline"]).alias("baseline"), F.nullif(face("latin"), F.lit("")).alias("latin"), F.nullif(face("ea"), F.lit("")).alias("ea"),
-        F.nullif(face("cs"), F.lit("")).alias("cs"), fill.alias("fill"), first(f"{prefix}noFill").isNotNull().alias("no_fill"), first(f"{prefix}gradFill").isNotNull().alias("gradient"), F.coalesce(first(f"{prefix}hlinkClick")["r:id"], first(f"{prefix}hlinkClick")["id"]).alias("link_rid"), first(f"{prefix}sym")["typeface"].alias("sym"),
+        F.nullif(face("cs"), F.lit("")).alias("cs"), fill.alias("fill"), first(f"{prefix}noFill").isNotNull().alias("no_fill"), first(f"{prefix}gradFill").isNotNull().alias("gradient"), F.coalesce(first(f"{prefix}hlinkClick")["r:id"], first(f"{prefix}hlinkClick")["id"]).alias("link_rid"), first(f"{prefix}sym")["typeface"].alias("sym"), props.alias("props"),
     )
 
 
@@ -46,7 +46,7 @@ def _style(first, holder) -> Column:
         (val("spcBef/spcPts") / 100.0).alias("before"), (val("spcBef/spcPct") / 100000.0).alias("before_pct"), (val("spcAft/spcPts") / 100.0).alias("after"), (val("spcAft/spcPct") / 100000.0).alias("after_pct"),
         F.when(first("buChar").isNotNull(), F.coalesce(first("buChar")["char"], F.lit(""))).alias("char"), F.when(first("buAutoNum").isNotNull(), F.coalesce(F.nullif(first("buAutoNum")["type"], F.lit("")), F.lit("arabicPeriod"))).alias("auto"),
         first("buNone").isNotNull().alias("none"), first("buFont")["typeface"].alias("bu_font"), (val("buSzPct") / 100000.0).alias("bu_size"), holder("buClr").alias("bu_color"),
-        _run_style(first, first("defRPr"), "defRPr/", holder("defRPr/solidFill")).alias("run"),
+        _run_style(first, first("defRPr"), "defRPr/", holder("defRPr/solidFill"), holder("defRPr")).alias("run"),
     )
 
 
@@ -80,12 +80,36 @@ def run_rows(nodes: DataFrame) -> DataFrame:
     order = Window.partitionBy(*KEYS, "para").orderBy("nid").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("run", F.last(F.when(F.col("tail") == "", F.col("nid")), True).over(order))
     first = lambda tail: F.min_by("attrs", F.when(F.col("tail") == tail, F.col("nid")))
-    style = _run_style(first, first("rPr"), "rPr/", F.min(F.when(F.col("tail") == "rPr/solidFill", F.col("nid"))))
+    style = _run_style(first, first("rPr"), "rPr/", F.min(F.when(F.col("tail") == "rPr/solidFill", F.col("nid"))), F.min(F.when(F.col("tail") == "rPr", F.col("nid"))))
     got = rows.groupBy(*KEYS, "para", "run").agg(F.first("kind").alias("kind"), F.min_by("text", F.when(F.col("tail") == "t", F.col("nid"))).alias("text"), F.max((F.col("tail") == "rPr").cast("int")).alias("has"), style.alias("style"))
     text = F.when(F.col("kind") == "br", "\n").otherwise(F.coalesce("text", F.lit("")))
     return got.select(*KEYS, "para", "run", text.alias("text"), F.when(F.col("has") == 1, F.col("style")).alias("style"))
 
 
+def effects(nodes: DataFrame, paint: DataFrame) -> DataFrame:
+    """(deck_id, part_path, props, effect) of rPr and defRPr elements with a gradient or an outline: a struct gradient (of the text), width (pixels), color, fade (a gradient) of the outline, as CSS.
+
+    An outline that is said not to be there says nothing.
+    """
+    ink = paint.select(*KEYS, F.col("holder").alias("nid"), css(F.col("color")).alias("ink"))
+    of = lambda tag, *more: nodes.filter((F.col("tag") == tag) & F.col("way").rlike("[rR]Pr/(ln|(ln/)?(gradFill|solidFill|noFill)(/gsLst|/gsLst/gs|/lin)?)$")).select(*KEYS, "nid", "parent", *more)
+    stop = of("gs", (F.coalesce(number(attr("pos")), F.lit(0.0)) / 1000.0).alias("pos")).join(ink, [*KEYS, "nid"], "left").join(of("gsLst").select(*KEYS, F.col("nid").alias("parent"), F.col("parent").alias("holder")), [*KEYS, "parent"])
+    angles = nodes.filter((F.col("tag") == "lin") & F.col("way").rlike("[rR]Pr/(ln/)?gradFill/lin$")).groupBy(*KEYS, F.col("parent").alias("holder")).agg(F.min_by((angle_to_deg(F.coalesce(number(attr("ang")), F.lit(0.0))) + 90.0) % 360.0, "nid").alias("angle"))
+    shown = stop.groupBy(*KEYS, "holder").agg(F.array_sort(F.collect_list(F.struct("pos", "nid", F.coalesce("ink", F.lit("#000000")).alias("ink")))).alias("stops")).join(angles, [*KEYS, "holder"], "left")
+    stops = F.array_join(F.transform("stops", lambda s: F.concat(s["ink"], F.format_string(" %.1f%%", s["pos"]))), ", ")
+    shown = shown.select(*KEYS, F.col("holder").alias("nid"), F.concat(F.format_string("linear-gradient(%.1fdeg, ", F.coalesce("angle", F.lit(180.0))), stops, F.lit(")")).alias("gradient"))
+    # fills and outlines meet at the properties that hold them, fills of outlines at these first
+    fill = of("solidFill", "tag").unionByName(of("gradFill", "tag")).unionByName(of("noFill", "tag")).join(ink, [*KEYS, "nid"], "left").join(shown, [*KEYS, "nid"], "left")
+    fill = fill.withColumn("ink", F.when(F.col("tag") == "solidFill", F.coalesce("ink", F.lit("#000000"))))
+    first = lambda tag, what: F.min_by(what, F.when(F.col("tag") == tag, F.col("nid")))
+    held = fill.groupBy(*KEYS, F.col("parent").alias("nid")).agg(first("gradFill", "gradient").alias("gradient"), first("solidFill", "ink").alias("ink"), F.max(F.col("tag") == "noFill").alias("none"))
+    width = emu_to_px(F.when(F.col("w") != 0, F.col("w")))
+    outline = of("ln", number(attr("w")).alias("w")).join(held, [*KEYS, "nid"], "left").filter("none IS NULL OR NOT none")
+    outline = outline.groupBy(*KEYS, F.col("parent").alias("props")).agg(F.min_by(F.struct(F.coalesce(width, F.lit(0.75)).alias("width"), F.col("ink").alias("color"), F.col("gradient").alias("fade")), "nid").alias("o"))
+    whole = held.select(*KEYS, F.col("nid").alias("props"), "gradient").join(outline, [*KEYS, "props"], "full").filter("gradient IS NOT NULL OR o IS NOT NULL")
+    return whole.select(*KEYS, "props", F.struct("gradient", "o.width", "o.color", "o.fade").alias("effect"))
+
+
 def category(ph: Column, kind: Column) -> Column:
     """Which of the master's styles a shape takes."""
     return F.when(~ph, "otherStyle").when(kind.isin("title", "ctrTitle"), "titleStyle").when(kind.isNull() | (kind == "") | kind.isin(*BODY), "bodyStyle").otherwise("otherStyle")
@@ -118,7 +142,8 @@ def run_cascade(levels: list[Column]) -> Column:
     pick = lambda name: _fold(levels, lambda x: x[name]).alias(name)
     font = reduce(lambda weaker, x: F.coalesce(x["latin"], weaker, x["ea"], x["cs"]), levels, F.lit(None).cast("string"))
     no_fill = reduce(lambda a, x: a | F.coalesce(x["no_fill"], F.lit(False)), levels, F.lit(False))
-    return F.struct(*(pick(c) for c in ("size", "bold", "italic", "under", "strike", "spacing", "kern", "cap", "baseline", "color", "link_rid")), font.alias("font"), no_fill.alias("no_fill"))
+    effect = F.struct(*(_fold(levels, lambda x, c=c: x["effect"][c]).alias(c) for c in ("gradient", "width", "color", "fade")))
+    return F.struct(*(pick(c) for c in ("size", "bold", "italic", "under", "strike", "spacing", "kern", "cap", "baseline", "color", "link_rid")), font.alias("font"), no_fill.alias("no_fill"), effect.alias("effect"))
 
 
 def theme_font(face: Column, fonts: Column) -> Column:
@@ -135,6 +160,18 @@ def theme_fonts(nodes: DataFrame) -> DataFrame:
     return one.groupBy("deck_id", "theme_part").agg(F.map_from_entries(F.collect_list(F.struct("name", "face"))).alias("fonts"))
 
 
+def effect_css(effect: Column, no_fill: Column) -> list[Column]:
+    """Properties that gradients and outlines of a text need; a text that is not filled shows its outline alone, which may fade."""
+    px = F.concat(F.regexp_replace(F.coalesce(effect["width"], F.lit(0.75)).cast("string"), r"\.0$", ""), F.lit("px"))
+    stroke = lambda color: F.concat(F.lit("-webkit-text-stroke-width: "), px, F.lit(";-webkit-text-stroke-color: "), color, F.lit(";paint-order: stroke fill"))
+    fades, outlined = no_fill & effect["fade"].isNotNull(), effect["color"].isNotNull()
+    mask = F.concat(F.lit("mask-image: "), effect["fade"], F.lit(";-webkit-mask-image: "), effect["fade"])
+    return [
+        F.concat(F.lit("background: "), effect["gradient"], F.lit(";-webkit-background-clip: text;background-clip: text;color: transparent")), F.when(no_fill, "color: transparent"),
+        F.when(fades, stroke(F.lit("#ffffff"))).when(outlined, stroke(effect["color"])), F.when(fades, mask),
+    ]
+
+
 def run_css(style: Column, own: Column, link: Column, hlink: Column, fonts: Column, font_color: Column, font_bold: Column) -> Column:
     """The style attribute of a run: properties in a fixed order.  own: what the run itself says; link: where it leads; font_color, font_bold: of its shape's
     reference or its cell's style, which count before what is inherited and after the run's own.
@@ -151,7 +188,7 @@ def run_css(style: Column, own: Column, link: Column, hlink: Column, fonts: Colu
     shifted = F.coalesce(style["baseline"] != 0, F.lit(False))
     parts = [
         pt("font-size", size), F.when(F.coalesce(own["bold"], font_bold, style["bold"]), "font-weight: bold"), F.when(style["italic"], "font-style: italic"), F.when(F.size(lines) > 0, F.concat(F.lit("text-decoration: "), F.array_join(lines, " "))), F.concat(F.lit("color: "), color),
-        F.when(style["no_fill"], "color: transparent"), F.concat(F.lit("font-family: "), font), pt("letter-spacing", style["spacing"]), F.when(style["kern"].isNotNull(), F.when(size >= style["kern"], "font-kerning: normal").otherwise("font-kerning: none")),
+        *effect_css(style["effect"], style["no_fill"]), F.concat(F.lit("font-family: "), font), pt("letter-spacing", style["spacing"]), F.when(style["kern"].isNotNull(), F.when(size >= style["kern"], "font-kerning: normal").otherwise("font-kerning: none")),
         F.when(style["cap"] == "all", "text-transform: uppercase").when(style["cap"] == "small", "font-variant: small-caps"), F.when(shifted, F.concat(F.lit("vertical-align: "), js_number(shift), F.lit("%"))), F.when(shifted & (F.abs(shift) >= 20), pt("font-size", size * 0.65)),
     ]
     return F.concat(F.array_join(F.array_compact(F.array(*parts)), ";"), F.lit(";"))
@@ -178,14 +215,16 @@ def html(bodies: DataFrame, nodes: DataFrame, paint: DataFrame, rels: DataFrame,
     """
     styles = level_styles(nodes)
     colored = lambda rows, holder, name: rows.join(paint.select(*KEYS, F.col("holder").alias(holder), css(F.col("color")).alias(name)), [*KEYS, holder], "left")
-    styles = colored(styles.withColumn("__fill", F.col("style.run.fill")), "__fill", "__css").withColumn("style", F.struct("style.*", F.col("__css").alias("color")))
-    styles = colored(styles.withColumn("__bu", F.col("style.bu_color")), "__bu", "__bu_css").withColumn("style", F.col("style").withField("bu_css", F.col("__bu_css"))).drop("__fill", "__css", "__bu", "__bu_css")
+    drawn = cut(effects(nodes, paint))
+    effected = lambda rows, props: rows.withColumn("props", F.col(props)).join(drawn, [*KEYS, "props"], "left")
+    styles = colored(effected(styles, "style.run.props").withColumn("__fill", F.col("style.run.fill")), "__fill", "__css").withColumn("style", F.struct("style.*", F.col("__css").alias("color"), "effect"))
+    styles = colored(styles.withColumn("__bu", F.col("style.bu_color")), "__bu", "__bu_css").withColumn("style", F.col("style").withField("bu_css", F.col("__bu_css"))).drop("__fill", "__css", "__bu", "__bu_css", "props", "effect")
     styles = cut(styles)  # it is looked up ten times
     shape = bodies.withColumn("list", category(F.col("ph"), F.col("ph_type")))
     para = nodes.filter(F.col("tag") == "p").select(*KEYS, F.col("owner").alias("nid"), F.col("nid").alias("para"))
     own = paragraph_styles(nodes)
     level = nodes.filter((F.col("way") == "txBody/p/pPr")).groupBy(*KEYS, "para").agg(F.min_by(F.col("attrs")["lvl"].try_cast("int"), "nid").alias("level"))
-    own = colored(own.withColumn("__fill", F.col("style.run.fill")), "__fill", "__css").withColumn("style", F.struct("style.*", F.col("__css").alias("color")))
+    own = colored(effected(own, "style.run.props").withColumn("__fill", F.col("style.run.fill")), "__fill", "__css").withColumn("style", F.struct("style.*", F.col("__css").alias("color"), "effect"))
     own = colored(own.withColumn("__bu", F.col("style.bu_color")), "__bu", "__bu_css").withColumn("style", F.col("style").withField("bu_css", F.col("__bu_css"))).select(*KEYS, "para", F.col("style").alias("s6"))
     met = para.join(shape, [*KEYS, "nid"]).join(level, [*KEYS, "para"], "left").withColumn("level", F.coalesce("level", F.lit(0))).join(own, [*KEYS, "para"], "left")
 
@@ -204,11 +243,11 @@ def html(bodies: DataFrame, nodes: DataFrame, paint: DataFrame, rels: DataFrame,
     met = joined(met, "layout_part", F.col("l_ph"), lst, "s4")
     met = joined(met, "part_path", F.col("nid"), lst, "s5")
     levels = [F.col(f"s{i}") for i in range(1, 7)]
-    given = F.array(*(F.when(x.isNotNull(), x["run"].withField("color", x["color"])) for x in levels))
+    given = F.array(*(F.when(x.isNotNull(), x["run"].withField("color", x["color"]).withField("effect", x["effect"])) for x in levels))
     met = cut(met.select(*KEYS, "nid", "para", "ph_type", "font_color", "font_bold", cascade(levels).alias("style"), given.alias("given"), _fold(levels, lambda x: x["bu_css"]).alias("bu_css")))
     # runs with their own styles on top
     runs = run_rows(nodes)
-    runs = colored(runs.withColumn("__fill", F.col("style.fill")), "__fill", "__css").withColumn("own", F.col("style").withField("color", F.col("__css"))).select(*KEYS, "para", "run", "text", "own")
+    runs = colored(effected(runs, "style.props").withColumn("__fill", F.col("style.fill")), "__fill", "__css").withColumn("own", F.col("style").withField("color", F.col("__css")).withField("effect", F.col("effect"))).select(*KEYS, "para", "run", "text", "own")
     look = palette.join(theme_fonts(nodes), ["deck_id", "theme_part"], "left").select(*KEYS, F.col("theme")["hlink"].alias("hlink"), F.coalesce("fonts", F.create_map().cast("map<string,string>")).alias("fonts"))
     runs = runs.join(met.select(*KEYS, "para", "given", "font_color", "font_bold"), [*KEYS, "para"]).join(look, KEYS, "left").withColumn("fonts", F.coalesce("fonts", F.create_map().cast("map<string,string>")))
     given = [F.col("given")[i] for i in range(6)]

@@ -944,6 +944,36 @@ def text_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(ids, ["deck_id", "part_path", "nid"]).select(_whole(F.col("id")).alias("part"), F.col("element.content").alias("content"))
 
 
+@_query(
+    """WITH p AS (SELECT p_partkey, p_size, p_size % 6 AS k, p_size % 4 AS o, CAST(CASE WHEN p_size % 4 = 1 THEN CAST(p_size * 127 AS DOUBLE) ELSE 12700::DOUBLE END / 914400 * 96 AS VARCHAR) || 'px' AS w, 'linear-gradient(' || (p_size + 90) % 360 || '.0deg, #112233 0.0%, rgba(68,114,196,0.500) ' || p_size || '.0%)' AS g,
+    '-webkit-text-stroke-width: ' AS sw, ';-webkit-text-stroke-color: ' AS sc, ';paint-order: stroke fill;' AS po FROM part)
+    SELECT p_partkey AS part, '<div style="padding: 3.6pt 7.2pt 3.6pt 7.2pt;"><p><span style="font-size: 12pt;color: ' || CASE k WHEN 3 THEN '#ABCDEF' ELSE '#000000' END || ';' || CASE WHEN k IN (1, 4) THEN 'background: ' || g || ';-webkit-background-clip: text;background-clip: text;color: transparent;' ELSE '' END ||
+    CASE WHEN k = 2 THEN 'color: transparent;' ELSE '' END || CASE WHEN o = 2 AND k = 2 THEN sw || '0.75px' || sc || '#ffffff' || po || 'mask-image: ' || replace(g, '#112233', '#4472C4') || ';-webkit-mask-image: ' || replace(g, '#112233', '#4472C4') || ';'
+    WHEN o = 1 THEN sw || w || sc || '#FF0000' || po ELSE sw || CASE WHEN o = 2 THEN '0.75px' ELSE w END || sc || '#00AA00' || po END || 'font-family: Text;">' || p_partkey || '</span></p></div>' AS content FROM p"""
+)
+def text_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with gradients, with outlines of their own, of the master or fading ones, and texts that show nothing but these."""
+    s, k, o = F.col("p_size"), F.col("p_size") % 6, F.col("p_size") % 4
+    gradient = lambda first: put('<a:gradFill><a:gsLst><a:gs pos="', s * 1000, '"><a:schemeClr val="accent1"><a:alpha val="50000"/></a:schemeClr></a:gs><a:gs pos="0">', first, '</a:gs></a:gsLst><a:lin ang="', s * 60000, '"/></a:gradFill>')
+    scheme = F.lit('<a:schemeClr val="accent1"/>')
+    srgb = lambda c: F.lit(f'<a:srgbClr val="{c}"/>')
+    fill = F.when(k.isin(1, 4), gradient(srgb("112233"))).when(k == 2, "<a:noFill/>").when(k == 3, put("<a:solidFill>", srgb("ABCDEF"), "</a:solidFill>"))
+    line = F.when(o == 1, put('<a:ln w="', s * 127, '"><a:solidFill>', srgb("FF0000"), "</a:solidFill></a:ln>")).when(o == 2, put("<a:ln>", gradient(scheme), "</a:ln>")).when(o == 3, F.lit('<a:ln w="1"><a:noFill/></a:ln>'))
+    body = put("<a:p><a:r><a:rPr>", line, fill, "</a:rPr><a:t>", F.col("p_partkey"), "</a:t></a:r></a:p>")
+    master = '<p:txStyles><p:otherStyle><a:lvl1pPr><a:defRPr><a:ln w="12700"><a:solidFill><a:srgbClr val="00AA00"/></a:solidFill></a:ln></a:defRPr></a:lvl1pPr></p:otherStyle></p:txStyles>'
+    theme = '<a:clrScheme><a:accent1><a:srgbClr val="4472C4"/></a:accent1></a:clrScheme><a:fontScheme><a:minorFont><a:latin typeface="Text"/></a:minorFont></a:fontScheme>'
+    deck = _chained(spark, sf_dir, builder.shape(F.col("p_partkey"), F.lit("s"), body=body), master, "", theme)
+    nodes, keys = deck.nodes, ["deck_id", "part_path"]
+    palette = cut(palettes(nodes, deck.rels))
+    paint = cut(painted(raw_colors(nodes), palette))
+    found = cut(shapes.shapes(nodes))
+    chain = package.chain(deck.slides(), deck.rels).select("deck_id", F.col("slide_part").alias("part_path"), "layout_part", "master_part").distinct()
+    none = {c: F.lit(None).cast(t) for c, t in (("l_ph", "int"), ("m_ph", "int"), ("font_color", "string"), ("font_bold", "boolean"))}
+    bodies = found.join(chain, keys).select(*keys, "nid", "ph", "ph_type", "layout_part", "master_part").withColumns(none)
+    made = textbody.html(bodies, nodes, paint, deck.rels, palette)
+    return found.join(made, [*keys, "nid"]).select(_whole(F.col("id")).alias("part"), F.col("html").alias("content"))
+
+
 @_query(
     """SELECT p_partkey AS part, CASE p_size % 5 WHEN 2 THEN 'pattern' WHEN 3 THEN 'gradient' ELSE 'color' END AS type, CASE p_size % 5 WHEN 0 THEN '#FF6347' WHEN 1 THEN '#4472C4' WHEN 4 THEN 'transparent' END AS color,
     CASE WHEN p_size % 5 = 2 THEN 'pct50/#112233/#ffffff' END AS pattern, CASE p_size % 3 WHEN 0 THEN '#00ff00' WHEN 1 THEN '#4472C4' ELSE '#000000' END AS border, CAST(CASE p_size % 3 WHEN 0 THEN p_size WHEN 1 THEN 1.5 ELSE 0 END AS DOUBLE) AS width,
