@@ -3,8 +3,10 @@
 import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from slidemill import storage
 from slidemill.operators import fields, lists, matrix, media
 from slidemill.sources import archive, xmltree
 
@@ -98,3 +100,28 @@ def test_media_are_kept_once(spark):
 def test_fills_of_one_colour_have_all_fields(spark):
     got = spark.range(1).select(matrix.plain(F.lit("#102030")).alias("f")).first()["f"]
     assert got["type"] == "color" and got["color"] == "#102030" and got["stops"] is None and got["rid"] is None
+
+
+def test_workers_hold_little_of_large_tables(spark):
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    rows = spark.range(0, 1000, 1, 1).select(F.expr("repeat('x', 20000)").alias("x"))
+    got = [r["n"] for r in storage.written(rows.mapInArrow(sizes, "n long")).collect()]
+    assert sum(got) >= 20_000_000 and max(got) <= storage.BATCH + 100_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == held
+
+
+def test_elements_of_archives_are_those_of_their_parts(spark):
+    slide = b'<a xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><grpSp id="1"><sp r:id="x"><p>b<!-- -->c</p><p/></sp></grpSp></a>'
+    files = [("a", "ppt/slides/slide1.xml", slide), ("a", "b.rels", b"\xef\xbb\xbf<Relationships/>"), ("a", "c.xml", b"<broken"), ("a", "d.png", b"<a/>"), ("b", "ppt/slides/slide1.xml", b"<a>" + b"<b/>" * 25_000 + b"</a>")]
+    decks = archive.pack(spark.createDataFrame(files, "deck_id string, part_path string, content binary")).unionByName(spark.createDataFrame([("c", b"no deck"), ("d", None)], "deck_id string, content binary"))
+    for limits in ({}, {"max_entry_bytes": 1000}):
+        xml = archive.parts(decks, **limits).filter(F.col("part_path").rlike(r"\.(xml|rels)$"))
+        order = lambda df: sorted(map(str, df.collect()))
+        got = order(xmltree.deck_elements(decks, **limits))
+        assert got == order(xmltree.elements(xml)) and len(got) == (6 if limits else 25_007)
+    assert xmltree.deck_elements(decks).schema == storage.written(xmltree.deck_elements(decks)).schema
