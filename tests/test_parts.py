@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from slidemill import storage
-from slidemill.operators import fields, lists, matrix, media
+from slidemill.operators import fields, lists, matrix, media, shapes
 from slidemill.sources import archive, xmltree
 
 
@@ -125,3 +125,14 @@ def test_elements_of_archives_are_those_of_their_parts(spark):
         got = order(xmltree.deck_elements(decks, **limits))
         assert got == order(xmltree.elements(xml)) and len(got) == (6 if limits else 25_007)
     assert xmltree.deck_elements(decks).schema == storage.written(xmltree.deck_elements(decks)).schema
+
+
+def test_shapes_are_grouped_by_few_aggregates(spark, capsys):
+    files = [("a", "ppt/slides/slide1.xml", b'<a><sp><nvSpPr><cNvPr id="1" name="n"/></nvSpPr><spPr><xfrm rot="60000"><off x="1" y="2"/><off x="9"/><ext cx="3"/></xfrm></spPr><txBody><p/></txBody></sp></a>')]
+    nodes = xmltree.elements(spark.createDataFrame(files, "deck_id string, part_path string, content binary"))
+    found = shapes.shapes(nodes)
+    [row] = found.collect()
+    assert (row["id"], row["name"], row["x"], row["y"], row["cx"], row["cy"], row["rot"], row["group_nid"], row["ph"]) == ("1", "n", 1.0, 2.0, 3.0, None, 60000.0, 0, False)
+    found.select("id", *(c for c in found.columns if c != "id")).explain("formatted")
+    wide = max(line.count("min_by(") for line in capsys.readouterr().out.splitlines() if line.startswith("Functions"))
+    assert wide <= 50
