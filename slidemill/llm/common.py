@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..storage import checkpoint_dir, cut  # noqa: F401
+from ..storage import checkpoint_dir, cut, written  # noqa: F401
 
 #: Bytes of text that numpy handles at a time; a longer document is a piece of its own.
 PIECE = 1 << 18

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE, Powers, cut, extended, mix, pieces
+from .common import BYTE, Powers, cut, extended, mix, pieces, written
 
 #: Bytes of the strings that op8 removes and of anchors, and of passages, which fifty-one words hardly ever fall short of.
 WIDTH, GRAM, PASSAGE = 400, 128, 230
@@ -238,7 +238,7 @@ def spans(docs: DataFrame, id: str = "doc_id", width: int = WIDTH, gram: int = G
     # anchors that occur twice at least, whether or not their stretches are all equal
     # (written, here and below, so that the join shuffles both sides anew and a frequent anchor's rows can be split)
     twice = cut(_anchor_counts(texts, width, gram, passage).filter("n > 1").select("h"))
-    every = cut(sieved(_rows(texts, width, gram, passage), "h", twice).join(twice, "h"))
+    every = written(sieved(_rows(texts, width, gram, passage), "h", twice).join(twice, "h"), None)
     met = every.filter("c IS NOT NULL")
     kinds = met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "lo", "hi")).alias("one"))
     by_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
@@ -247,7 +247,7 @@ def spans(docs: DataFrame, id: str = "doc_id", width: int = WIDTH, gram: int = G
     sent = _with_text(single, texts, width).select("h", "c", "many", "id", "th", "lo", "data")
     few = _few(sent.filter("NOT many"), width)
     many = _many(sent.filter("many"), width)
-    parts = cut(few.unionByName(many)).groupBy("h", "c").agg(F.collect_list(F.struct("kind", "from", "to")).alias("parts"))
+    parts = written(few.unionByName(many), None).groupBy("h", "c").agg(F.collect_list(F.struct("kind", "from", "to")).alias("parts"))
     known = cut(kinds.select("h", "c", "n", "one").join(parts, ["h", "c"], "left"))
     each = met.join(known, ["h", "c"])
     # all windows of a stretch that occurs again repeat; of all but the first such stretch they have been there before
@@ -405,7 +405,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
 
-    met = _met(_keyed(docs, "doc_id"), cut(spans(docs, passage=PASSAGE)), "left").select("id", "text", "spans")
+    met = _met(_keyed(docs, "doc_id"), written(spans(docs, passage=PASSAGE), None).hint("merge"), "left").select("id", "text", "spans")
     return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_later long, n_shared long, longest_shared long")
 
 

@@ -48,13 +48,13 @@ def _settings(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, batch: int | None = BATCH) -> DataFrame:
     """df, written to the shared checkpoint folder by columns: whoever reads it later reads what they ask for.
 
-    Python workers of its plan have batches of ``BATCH`` bytes: what they hold doesn't grow with the table.
+    Python workers of its plan have batches of ``batch`` bytes (None: as the session has it): what they hold doesn't grow with the table.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4()}"
-    with _settings(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH)):
+    with _settings(spark, **({} if batch is None else {"spark__sql__execution__arrow__maxBytesPerBatch": str(batch)})):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
