@@ -3,6 +3,9 @@
 import hashlib
 
 import corpus_pipeline
+import pyarrow as pa
+from slidemill import storage
+from slidemill.llm import common
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +35,24 @@ def test_stages_take_empty_tables_and_clashing_columns(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_hand_texts_over_once_in_small_batches(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('some words ', 500) AS text").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    def stage(spark, docs, sf_dir):
+        assert docs.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] < 2 * storage.BATCH
+        return docs.mapInArrow(sizes, "n long")
+
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert max(r["n"] for r in corpus_pipeline.bounded(write=True)(stage)(spark, docs, "").collect()) < 2 * storage.BATCH
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == held
+    for _, made in corpus_pipeline.STAGES:
+        assert made.__wrapped__ and hasattr(made, "written")
+    got = common.map_text(docs.limit(5), lambda d, o: {"n": o[1:] - o[:-1]}, "n long", ["doc_id", "text"])
+    handed = got._jdf.queryExecution().analyzed().children().head().output().size()
+    assert handed == 2 and {(r["text"], r["n"]) for r in got.collect()} == {("some words " * 500, 5500)}
