@@ -12,7 +12,7 @@ from ..functions.units import emu_to_px, px_to_pt
 from ..operators import frames, looks, matrix, media, package, shapes, styles, tables, textbody
 from ..operators.palette import painted, palettes, raw_colors, with_charts, with_drawings
 from ..sources import archive, xmltree
-from ..storage import cut, written
+from ..storage import cut, small_broadcasts, written
 
 
 class Deck:
@@ -149,7 +149,14 @@ def elements(deck: Deck, order: DataFrame, colors: Colors | None = None) -> Data
 def documents(decks: DataFrame) -> DataFrame:
     """(deck_id, size, theme_colors, slides): slides in order, each with its elements in document order and those of its master and layout, its
     background, note and transition; texts as HTML.
+
+    Many tables meet here, each of which the driver would hold if it were broadcast: all but small ones are shuffled, and the result is cut, so that this goes for all jobs.
     """
+    with small_broadcasts(decks.sparkSession):
+        return cut(_documents(decks))
+
+
+def _documents(decks: DataFrame) -> DataFrame:
     deck = Deck(decks)
     # lineage is cut where several steps go on from a table: plans would hold the way there once for each
     deck.parts = cut(deck.parts.drop("content"))

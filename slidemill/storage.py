@@ -55,6 +55,19 @@ def small_batches(spark: SparkSession, batch: int = BATCH) -> Iterator[None]:
         yield
 
 
+#: Bytes of tables, as stored, that may be broadcast while whole documents are put together: elements take thirty and more times that in memory.
+BROADCAST = 256 << 10
+
+
+@contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Jobs that are started meanwhile broadcast tables of ``BROADCAST`` bytes at most, or of what the session allows if that is less."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    most = held if held.startswith("-") else str(min(BROADCAST, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held)))
+    with _settings(spark, spark__sql__autoBroadcastJoinThreshold=most, spark__sql__adaptive__autoBroadcastJoinThreshold=most):
+        yield
+
+
 def written(df: DataFrame, batch: int | None = BATCH) -> DataFrame:
     """df, written to the shared checkpoint folder by columns: whoever reads it later reads what they ask for.
 

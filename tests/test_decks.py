@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from slidemill.plans import queries
+from slidemill import storage
+from slidemill.plans import document, queries
 from slidemill.plans.document import documents
 from slidemill.sources import archive, xmltree
 from slidemill.streaming import landing
@@ -300,3 +301,32 @@ def test_documents_take_looks_from_themes_groups_and_placeholders(spark):
     assert by["Diagram"]["type"] == "group" and (shown["left"], shown["top"], shown["group"]) == (21, 12, by["Diagram"]["nid"]) and "color: #FFFFFE" in shown["content"]
     assert (shown["fill"]["color"], shown["shapType"], shown["border"]["color"]) == ("#4472C4", "custom", "#123456") and shown["path"].startswith("M0,5 A5,5 0 0,1 10,") and shown["path"].endswith(" Z")
     assert (by["Title"]["fill"]["color"], by["Title"]["vAlign"], by["Title"]["isVertical"], by["Title"]["left"]) == ("#ED7D31", "mid", True, 5)
+
+
+def test_documents_broadcast_small_tables_alone(spark, monkeypatch):
+    """What is stored in little space may be large on the driver: a table beyond storage.BROADCAST is shuffled, whatever Spark would broadcast."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    said = lambda: [spark.conf.get(n, None) for n in names]
+    held, seen = said(), []
+
+    class Seen(Exception):
+        pass
+
+    def stopped(decks):
+        seen.append(said())
+        table = storage.written(spark.range(100_000).selectExpr("id", "id % 7 AS k"))
+        for rows, kind in ((table, "SortMergeJoin"), (table.limit(3), "BroadcastHashJoin")):
+            plan = spark.range(1_000_000).join(rows, "id")._jdf.queryExecution().executedPlan().toString()
+            seen.append(kind in plan)
+        raise Seen
+
+    monkeypatch.setattr(document, "Deck", stopped)
+    with pytest.raises(Seen):
+        document.documents(spark.createDataFrame([], "deck_id string, content binary"))
+    assert seen == [[str(storage.BROADCAST)] * 2, True, True] and said() == held
+    spark.conf.set(names[0], "-1")
+    try:
+        with storage.small_broadcasts(spark):
+            assert said() == ["-1", "-1"]
+    finally:
+        spark.conf.unset(names[0])
