@@ -452,6 +452,53 @@ def test_toxicity_is_that_of_counts_by_hand(spark, learnable):
         assert np.corrcoef(x.T)[0, 1] > 0.97 and np.abs(x[:, 0] - x[:, 1]).mean() < 0.3
 
 
+
+def test_toxicity_models_are_whole(spark, learnable, monkeypatch):
+    """Mean log-likelihood ratios by plain dictionaries over all that either class has, also once; the same with pairs joined and with all joined."""
+    rows, labels = learnable
+    given = toxicity.marked(rows, labels).withColumn("part", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(toxicity.CURVE))).collect()
+    n, c, two, of_stem, size = (collections.Counter() for _ in range(5))
+    before, after, begun, stems, kinds = (collections.defaultdict(set) for _ in range(5))
+    stem = lambda w: w.encode()[: toxicity.STEM]
+    for r in given:
+        y, held = r["y"] if r["part"] != 0 else None, words(r["text"])
+        for v, w in zip(["^", *held], held):
+            before[w].add(v)
+            begun[stem(w)].add((v, w))
+            if y is not None:
+                for counter, k in ((n, w), (c, v), (two, (v, w)), (of_stem, stem(w))):
+                    counter[y, k] += 1
+                after[y, v].add(w)
+                stems[y].add(stem(w))
+                kinds[y].add(w)
+                size[y] += 1
+    d = toxicity.DISCOUNT
+    wide = sum(len(x) for x in before.values())
+
+    def p(y, v, w):
+        k = stem(w)
+        of_k = max(of_stem[y, k] - d, 0) / size[y] + d * len(stems[y]) / size[y] * len(begun[k]) / wide
+        of_w = max(n[y, w] - d, 0) / size[y] + d * len(kinds[y]) / size[y] * of_k * len(before[w]) / len(begun[k])
+        return max(two[y, (v, w)] - d, 0) / max(c[y, v], 1) + (d * len(after[y, v]) / c[y, v] if c[y, v] else 1.0) * of_w
+
+    assert any(two[0, k] == 1 and not two[1, k] for _, k in two) and any(two[1, k] == 1 and not two[0, k] for _, k in two)
+    model = toxicity.train(toxicity.marked(rows, labels))
+    near = {r["doc_id"]: r for r in toxicity._evidence(rows, model, ["doc_id"]).collect()}
+    got = []
+    for r in given:
+        held = words(r["text"])
+        got.append((np.mean([np.log(p(1, v, w) / p(0, v, w)) for v, w in zip(["^", *held], held)]), near[r["doc_id"]]["e"]))
+    got = np.array(got)
+    assert np.corrcoef(got.T)[0, 1] > 0.99 and np.abs(got[:, 0] - got[:, 1]).mean() < 0.3
+    for most in (model.word.count() + model.stem.count(), 0):
+        monkeypatch.setattr(toxicity, "SMALL", most)
+        far = toxicity.train(toxicity.marked(rows, labels))
+        assert far.ratios.pair is None if most else far.ratios is None
+        joined = {r["doc_id"]: r for r in toxicity._evidence(rows, far, ["doc_id"]).collect()}
+        assert joined.keys() == near.keys() and max(abs(joined[k][x] - near[k][x]) for k in near for x in "abcde") < 1e-3
+
+
+
 def test_language_learns(spark, learnable, docs, empty):
     rows, _ = learnable
     model = language.train(rows.filter(common.fold_of(rows["doc_id"], 3) != 1))
