@@ -14,6 +14,7 @@ from ..functions.colors import channels, let, on_white
 from ..functions.text import border_type
 from ..functions.units import angle_to_deg, emu_to_px
 from ..sources.xmltree import attr, number
+from ..storage import written
 from .palette import KEYS, inked, shown
 
 #: Fills in the order in which the first one counts; patterns without gaps; the width of a line without one, in EMU.
@@ -68,8 +69,8 @@ def gradients(nodes: DataFrame, raws: DataFrame) -> DataFrame:
     )
 
 
-def contents(nodes: DataFrame, raws: DataFrame) -> DataFrame:
-    """(deck_id, part_path, holder, parent, owner, way, pos, content) of every fill outside of texts; content is a struct tag, raw, gradient, rid, opacity, pattern, fore, back."""
+def contents(nodes: DataFrame, raws: DataFrame, graded: DataFrame) -> DataFrame:
+    """(deck_id, part_path, holder, parent, owner, way, pos, content) of every fill outside of texts; graded: ``gradients``; content is a struct tag, raw, gradient, rid, opacity, pattern, fore, back."""
     own = nodes.filter(F.col("tag").isin(*FILLS) & ~F.col("way").contains("txBody")).select(*KEYS, F.col("nid").alias("holder"), "parent", "owner", "way", "pos", "tag", attr("prst").alias("pattern"))
     below = nodes.filter(F.col("tag").isin("fgClr", "bgClr")).select(*KEYS, F.col("parent").alias("holder"), "tag", F.col("nid").alias("part")).join(raws.withColumnRenamed("holder", "part"), [*KEYS, "part"], "left")
     pattern = below.groupBy(*KEYS, "holder").agg(*(F.min_by("raw", F.when(F.col("tag") == t, F.col("part"))).alias(n) for t, n in (("fgClr", "fore"), ("bgClr", "back"))))
@@ -78,15 +79,15 @@ def contents(nodes: DataFrame, raws: DataFrame) -> DataFrame:
     alpha = alpha.groupBy(*KEYS, "blip").agg(*(F.min(F.when(F.col("tag") == t, F.col("v"))).alias(t) for t in ("alphaModFix", "alphaMod", "alphaOff")))
     opacity = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("alphaModFix", F.lit(1.0)) * F.coalesce("alphaMod", F.lit(1.0)) + F.coalesce("alphaOff", F.lit(0.0))))
     blip = blip.join(alpha, [*KEYS, "blip"], "left").groupBy(*KEYS, "holder").agg(F.min_by("rid", "blip").alias("rid"), F.min_by(opacity, "blip").alias("opacity"))
-    met = _gathered(own, raws, gradients(nodes, raws), pattern, blip, by="holder")
+    met = _gathered(own, raws, graded, pattern, blip, by="holder")
     return met.select(*KEYS, "holder", "parent", "owner", "way", "pos", F.struct("tag", "raw", "gradient", "rid", "opacity", "pattern", "fore", "back").cast(CONTENT).alias("content"))
 
 
-def line_contents(nodes: DataFrame, raws: DataFrame, tags: tuple[str, ...] = ("ln", "lnL", "lnR", "lnT", "lnB")) -> DataFrame:
-    """(deck_id, part_path, holder, owner, way, pos, line) of lines outside of texts; line is a struct w, none, plain, raw, gradient, dash, head, tail."""
+def line_contents(nodes: DataFrame, raws: DataFrame, graded: DataFrame, tags: tuple[str, ...] = ("ln", "lnL", "lnR", "lnT", "lnB")) -> DataFrame:
+    """(deck_id, part_path, holder, owner, way, pos, line) of lines outside of texts; graded: ``gradients``; line is a struct w, none, plain, raw, gradient, dash, head, tail."""
     own = nodes.filter(F.col("tag").isin(*tags) & ~F.col("way").contains("txBody")).select(*KEYS, F.col("nid").alias("holder"), "owner", "way", "pos", number(attr("w")).alias("w"))
     said = nodes.filter(F.col("tag").isin("noFill", "solidFill", "gradFill", "prstDash", "headEnd", "tailEnd")).select(*KEYS, F.col("parent").alias("line"), F.col("nid").alias("holder"), "tag", "attrs")
-    said = said.join(raws, [*KEYS, "holder"], "left").join(gradients(nodes, raws), [*KEYS, "holder"], "left")
+    said = said.join(raws, [*KEYS, "holder"], "left").join(graded, [*KEYS, "holder"], "left")
     first = lambda tag, what: F.min_by(what, F.when(F.col("tag") == tag, F.col("holder")))
     end = F.nullif(attr("type"), F.lit("none"))
     said = said.groupBy(*KEYS, F.col("line").alias("holder")).agg(
@@ -107,11 +108,12 @@ def effect_contents(nodes: DataFrame, raws: DataFrame) -> DataFrame:
 
 
 class Styles:
-    """What the fills, lines and effects of a deck's parts are made of; each table is read once."""
+    """What the fills, lines and effects of a deck's parts are made of: each table is written once, for several places read it."""
 
     def __init__(self, nodes: DataFrame, raws: DataFrame):
         self.nodes, self.raws = nodes, raws
-        self.fills, self.lines, self.effects = contents(nodes, raws), line_contents(nodes, raws), effect_contents(nodes, raws)
+        graded = written(gradients(nodes, raws))
+        self.fills, self.lines, self.effects = written(contents(nodes, raws, graded)), written(line_contents(nodes, raws, graded)), written(effect_contents(nodes, raws))
 
     def themes(self) -> DataFrame:
         """(deck_id, theme_part, fill_styles, line_styles, effect_styles): maps from places, counted from 1, to what a theme's lists hold there."""

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from slidemill import storage
+from slidemill.operators import matrix
+from slidemill.operators.palette import raw_colors
 from slidemill.plans import document, queries
 from slidemill.plans.document import documents
 from slidemill.sources import archive, xmltree
@@ -330,3 +332,16 @@ def test_documents_broadcast_small_tables_alone(spark, monkeypatch):
             assert said() == ["-1", "-1"]
     finally:
         spark.conf.unset(names[0])
+
+
+def test_contents_of_fills_and_lines_are_made_once(spark, monkeypatch):
+    """Whoever asks for fills, lines and effects reads tables: nothing is joined anew, and gradients are made once for all of them."""
+    sp = '<p:sp><p:spPr><a:gradFill><a:gsLst><a:gs pos="0"><a:srgbClr val="112233"/></a:gs></a:gsLst></a:gradFill><a:ln w="5"><a:solidFill><a:srgbClr val="445566"/></a:solidFill></a:ln></p:spPr></p:sp>'
+    table = spark.createDataFrame([("a", deck({"ppt/slides/slide1.xml": f"<p:sld {NS}>{sp}</p:sld>"}))], "deck_id string, content binary")
+    made, made_gradients = [], matrix.gradients
+    monkeypatch.setattr(matrix, "gradients", lambda *given: made.append(1) or made_gradients(*given))
+    nodes = storage.written(xmltree.deck_elements(table))
+    own = matrix.Styles(nodes, raw_colors(nodes)).own("spPr")
+    assert len(made) == 1 and "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
+    (got,) = own.collect()
+    assert got["content"]["gradient"]["stops"][0]["raw"]["attrs"]["val"] == "112233" and (got["line"]["w"], got["line"]["raw"]["attrs"]["val"]) == (5.0, "445566")
