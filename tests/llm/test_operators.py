@@ -393,6 +393,39 @@ def test_toxicity_by_joins_is_that_by_arrays(spark, learnable, docs, monkeypatch
     assert got.columns == ["doc_id", "a", "score"] and got.filter("a = 'given' AND score BETWEEN 0 AND 1").count() == docs.count()
 
 
+def test_toxicity_pairs_meet_in_buckets(spark, learnable, docs, monkeypatch):
+    """Pairs too many for an array are packed and looked up by buckets: evidence is that by arrays of all, texts keep what they carry, and a pair takes few bytes."""
+    rows, labels = learnable
+    near = toxicity.train(toxicity.marked(rows, labels))
+    assert near.rest is None
+    expected = {r["doc_id"]: r for r in toxicity._evidence(rows, near, ["doc_id"]).collect()}
+    few = near.word.count() + near.stem.count()
+    monkeypatch.setattr(toxicity, "SMALL", few)
+    monkeypatch.setattr(toxicity, "CHUNK", 5000)
+    monkeypatch.setattr(toxicity, "OFTEN", 0)
+    joined = toxicity.train(toxicity.marked(rows, labels))
+    assert joined.rest is None and joined.ratios is not None and joined.pair.count() == len(near.ratios.pair[0])
+    monkeypatch.setattr(toxicity, "OFTEN", 1 << 20)
+    far = toxicity.train(toxicity.marked(rows, labels))
+    assert far.rest is not None and far.pair is None and far.ratios.pair is None and 0 < len(far.ratios.often[0]) < len(near.ratios.pair[0])
+    held = sum(len(toxicity._sums(r["number"])) for r in far.rest.collect())
+    assert held + len(far.ratios.often[0]) == len(near.ratios.pair[0])
+    for model in (joined, far):
+        got = {r["doc_id"]: r for r in toxicity._evidence(rows, model, ["doc_id"]).collect()}
+        assert got.keys() == expected.keys() and max(abs(got[k][x] - expected[k][x]) for k in expected for x in "abcde") < 1e-3
+    texts = docs.withColumn("score", F.lit("given")).withColumn("a", F.lit("given"))
+    got = toxicity.score(spark, texts, far, ["doc_id", "a", "score"])
+    assert got.columns == ["doc_id", "a", "score"] and got.filter("a = 'given' AND score BETWEEN 0 AND 1").count() == docs.count()
+
+
+def test_toxicity_packed_numbers():
+    rng = np.random.default_rng(3)
+    for x in (np.zeros(0, np.uint64), np.zeros(9, np.uint64), np.array([(1 << 64) - 1, 0, 7], np.uint64), rng.integers(0, 300, 1000).astype(np.uint64)):
+        assert (toxicity._unpacked(toxicity._packed(x)) == x).all()
+        assert (toxicity._sums(toxicity._gaps(np.sort(x))) == np.sort(x)).all()
+    assert len(toxicity._gaps(np.sort(rng.integers(0, 1 << 38, 1 << 20).astype(np.uint64)))) < 3 << 20
+
+
 def test_toxicity_sketches(spark):
     for n in (0, 1, 4, 60, 5000):
         x = common.mix(np.arange(n, dtype=np.uint64) + np.uint64(n << 20))
