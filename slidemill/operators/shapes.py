@@ -109,17 +109,29 @@ def joined(rows: DataFrame, keys: list[str], order: str, text: str, sep: str = "
 
 def paragraphs(nodes: DataFrame) -> DataFrame:
     """(deck_id, part_path, owner, para, para_index, level, auto_kind, plain, text): paragraphs, also empty ones, para_index from 0 in their shape."""
-    p = nodes.filter(F.col("tag") == "p").select("deck_id", "part_path", "owner", F.col("nid").alias("para"))
-    props = nodes.filter(F.col("tag").isin("pPr", "buAutoNum", "buNone")).groupBy("deck_id", "part_path", "para").agg(
-        F.coalesce(F.min_by(attr("lvl").try_cast("int"), F.when(F.col("tag") == "pPr", F.col("nid"))), F.lit(0)).alias("level"),
-        F.min_by(attr("type"), F.when(F.col("tag") == "buAutoNum", F.col("nid"))).alias("auto_kind"),
-        F.max(F.col("tag") == "buNone").alias("plain"),
+    keys, tag = ["deck_id", "part_path", "para"], F.col("tag")
+    run = F.when(tag == "t", F.col("parent")).when(tag.isin("r", "br", "fld"), F.col("nid"))
+    said = F.collect_list(F.when(run.isNotNull(), F.struct(run.alias("run"), "nid", "tag", "text")))
+    each = nodes.filter(F.col("para").isNotNull() & tag.isin("p", "pPr", "buAutoNum", "buNone", "r", "br", "fld", "t")).groupBy(*keys).agg(
+        F.max(F.when(tag == "p", F.col("owner"))).alias("owner"),
+        F.min_by(attr("lvl").try_cast("int"), F.when(tag == "pPr", F.col("nid"))).alias("level"),
+        F.min_by(attr("type"), F.when(tag == "buAutoNum", F.col("nid"))).alias("auto_kind"),
+        F.max(F.when(tag.isin("pPr", "buAutoNum", "buNone"), tag == "buNone")).alias("plain"),
+        F.array_sort(said).alias("said"),
     )
-    text = joined(runs(nodes), ["deck_id", "part_path", "para"], "run_ord", "text")
-    keys = ["deck_id", "part_path", "para"]
     order = Window.partitionBy("deck_id", "part_path", "owner").orderBy("para")
-    met = p.join(props, keys, "left").join(text, keys, "left")
-    return met.select("deck_id", "part_path", "owner", "para", (F.row_number().over(order) - 1).alias("para_index"), F.coalesce("level", F.lit(0)).alias("level"), "auto_kind", F.coalesce("plain", F.lit(False)).alias("plain"), F.coalesce("text", F.lit("")).alias("text"))
+    return each.select("deck_id", "part_path", "owner", "para", (F.row_number().over(order) - 1).alias("para_index"), F.coalesce("level", F.lit(0)).alias("level"), "auto_kind", F.coalesce("plain", F.lit(False)).alias("plain"), _run_texts(F.col("said")).alias("text"))
+
+
+def _run_texts(said: Column) -> Column:
+    """Texts of runs, fields and breaks with their t, sorted by (run, nid), put together: of each run its first t, which stands next to it."""
+
+    def shown(x: Column, i: Column) -> Column:
+        before = F.get(said, i - 1)
+        first = (x["tag"] == "t") & (before["run"] == x["run"]) & before["tag"].isin("r", "fld")
+        return F.when(x["tag"] == "br", "\n").when(first, F.coalesce(x["text"], F.lit(""))).otherwise("")
+
+    return F.array_join(F.transform(said, shown), "")
 
 
 def numbered(paras: DataFrame) -> DataFrame:

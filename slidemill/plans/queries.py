@@ -146,8 +146,7 @@ _LINES = "SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(coale
 @_query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS paragraphs, CAST(sum(length(line)) AS BIGINT) AS chars, md5(string_agg(line, '|')) AS text_md5 FROM ({_LINES}) GROUP BY doc_id")
 def text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as shapes, a paragraph to a line, and back."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n").alias("lines"))
-    body = F.array_join(F.transform("lines", lambda x: builder.paragraph(builder.run(x))), "")
+    docs, body = _table(spark, sf_dir, "documents").select("doc_id", "text"), builder.lines(F.col("text"))
     slides = docs.select((F.col("doc_id") / 50).cast("long").cast("string").alias("deck_id"), F.col("doc_id").alias("n"), F.col("doc_id").alias("at"), builder.page(builder.shape(F.col("doc_id"), F.lit("body"), body=body)).alias("xml"))
     paras = shapes.paragraphs(Deck(written(builder.decks(slides))).nodes)
     doc = _whole(F.regexp_extract("part_path", r"(\d+)\.xml$", 1))

@@ -39,6 +39,11 @@ def paragraph(runs: Column, props: Column | str = "") -> Column:
     return text("<a:p>", props, runs, "</a:p>")
 
 
+def lines(value: Column) -> Column:
+    """A paragraph of one run for each line of a text, cleaned as a whole."""
+    return paragraph(text("<a:r><a:rPr /><a:t>", F.replace(clean(value), F.lit("\n"), F.lit("</a:t></a:r></a:p><a:p><a:r><a:rPr /><a:t>")), "</a:t></a:r>"))
+
+
 def shape(id: Column, name: Column, box: Column | str = "", body: Column | str = "", ph: Column | str = "", geometry: Column | str = "") -> Column:
     return text('<p:sp><p:nvSpPr><p:cNvPr id="', id, '" name="', clean(name), '"/><p:cNvSpPr/><p:nvPr>', ph, "</p:nvPr></p:nvSpPr><p:spPr>", box, geometry, "</p:spPr><p:txBody><a:bodyPr/>", body, "</p:txBody></p:sp>")
 

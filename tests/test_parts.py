@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slidemill import storage
 from slidemill.operators import fields, lists, matrix, media, shapes
-from slidemill.sources import archive, xmltree
+from slidemill.sources import archive, builder, xmltree
 
 
 def packed(files):
@@ -136,3 +136,22 @@ def test_shapes_are_grouped_by_few_aggregates(spark, capsys):
     found.select("id", *(c for c in found.columns if c != "id")).explain("formatted")
     wide = max(line.count("min_by(") for line in capsys.readouterr().out.splitlines() if line.startswith("Functions"))
     assert wide <= 50
+
+
+def test_paragraphs_take_one_grouping(spark):
+    """Texts of runs in the order of the runs: the first t of each alone, breaks, nested runs, a t outside; without a join of elements with themselves."""
+    p = lambda inner: f"<a:p>{inner}</a:p>"
+    body = p('<a:pPr lvl="2"><a:buNone/></a:pPr><a:r><a:t>one</a:t><a:t>not</a:t></a:r><a:br><a:t>no</a:t></a:br><a:fld><a:t>two</a:t></a:fld>') + p("") + p('<a:pPr lvl="x"><a:buAutoNum type="k"/></a:pPr><a:r><a:r><a:t>in</a:t></a:r><a:t>out</a:t></a:r><a:t>lost</a:t><a:r/><a:r><a:t/></a:r>')
+    xml = f'<p:sld xmlns:a="urn:a" xmlns:p="urn:p"><p:sp><p:txBody>{body}</p:txBody></p:sp><p:sp><p:txBody>{p("<a:r><a:t>z</a:t></a:r>")}</p:txBody></p:sp></p:sld>'
+    nodes = xmltree.elements(spark.createDataFrame([("d", "ppt/slides/slide1.xml", xml.encode())], "deck_id string, part_path string, content binary"))
+    found = shapes.paragraphs(nodes)
+    rows = [(r["para_index"], r["level"], r["auto_kind"], r["plain"], r["text"]) for r in found.orderBy("para").collect()]
+    assert rows == [(0, 2, None, True, "one\ntwo"), (1, 0, None, False, ""), (2, 0, "k", False, "outin"), (0, 0, None, False, "z")]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_paragraphs_of_each_line(spark):
+    texts = [None, "", "\n", "a", "a\r\nb\rc\n\nd", "x<&>\"\n\x01\t y\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    each = F.transform(F.split(F.regexp_replace(F.coalesce("t", F.lit("")), "\r\n?", "\n"), "\n"), lambda x: builder.paragraph(builder.run(x)))
+    assert all(r[0] == r[1] for r in rows.select(builder.lines(F.col("t")), F.array_join(each, "")).collect())
