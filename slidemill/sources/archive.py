@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import save
+
 PARTS = "deck_id string, ordinal int, part_path string, size long, content binary, status string"
 
 #: Which paths are parts of which kind; the first that matches counts.
@@ -149,7 +151,7 @@ def pack(files: DataFrame) -> DataFrame:
 
 def write_decks(decks: DataFrame, path: str) -> None:
     """Keep decks as a table of archives, one row each."""
-    decks.write.mode("overwrite").parquet(path)
+    save(decks, path, "overwrite")
 
 
 def archive_stats(found: DataFrame) -> DataFrame:

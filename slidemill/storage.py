@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -75,13 +76,25 @@ def short_shuffles(spark: SparkSession) -> Iterator[None]:
         yield
 
 
+#: How tables with bytes in rows (archives) are written: readers hold 4096 rows of a row group at once, whatever these weigh, so a row group has ``BATCH`` bytes, about.
+#: They are counted before compression, for pages are larger than that: they close with the row group.
+GROUPS = {"parquet.block.size": BATCH, "parquet.page.size": 2 * BATCH, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 16}
+
+
+def save(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Write df to a folder by columns; rows that hold bytes in groups that tasks can hold when they read them."""
+    heavy = any(isinstance(f.dataType, BinaryType) for f in df.schema)
+    df.write.mode(mode).options(**(GROUPS if heavy else {})).parquet(path)
+
+
 def written(df: DataFrame, batch: int | None = BATCH) -> DataFrame:
     """df, written to the shared checkpoint folder by columns: whoever reads it later reads what they ask for.
 
-    Python workers of its plan have batches of ``batch`` bytes (None: as the session has it): what they hold doesn't grow with the table.
+    Python workers of its plan have batches of ``batch`` bytes (None: as the session has it): what they hold doesn't grow with the table, nor does
+    what readers hold of it (``save``).
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4()}"
     with _settings(spark, **({} if batch is None else {"spark__sql__execution__arrow__maxBytesPerBatch": str(batch)})):
-        df.write.parquet(path)
+        save(df, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,9 +1,12 @@
 """Lists, fields, archives in archives, faults and media on small hand-made inputs, with their edge cases."""
 
+import glob
 import io
+import tempfile
 import zipfile
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from slidemill import storage
@@ -155,3 +158,18 @@ def test_lines_are_paragraphs_of_each_line(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     each = F.transform(F.split(F.regexp_replace(F.coalesce("t", F.lit("")), "\r\n?", "\n"), "\n"), lambda x: builder.paragraph(builder.run(x)))
     assert all(r[0] == r[1] for r in rows.select(builder.lines(F.col("t")), F.array_join(each, "")).collect())
+
+
+def test_tables_of_archives_are_read_a_few_at_a_time(spark):
+    # readers hold the rows of a row group at once (4096 at most): what these weigh is bounded, however well they are compressed
+    rows = spark.range(0, 64, 1, 1).select(F.col("id").cast("string").alias("deck_id"), F.concat("id", F.repeat(F.lit("x"), 400_000)).cast("binary").alias("content"))
+    kept = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    archive.write_decks(rows, kept)
+    found = storage.written(rows)
+    for files in ([x.removeprefix("file://") for x in found.inputFiles()], glob.glob(f"{kept}/*.parquet")):
+        groups = [m.row_group(i) for m in (pq.ParquetFile(f).metadata for f in files) for i in range(m.num_row_groups)]
+        assert sum(g.num_rows for g in groups) == 64
+        assert max(g.total_byte_size for g in groups) < 2 * storage.BATCH
+    assert [tuple(r) for r in found.orderBy(F.col("deck_id").cast("int")).select(F.sha1("content")).collect()] == [tuple(r) for r in rows.select(F.sha1("content")).collect()]
+    small = storage.written(rows.select("deck_id"))
+    assert [pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in small.inputFiles()] == [1]
