@@ -173,3 +173,31 @@ def test_tables_of_archives_are_read_a_few_at_a_time(spark):
     assert [tuple(r) for r in found.orderBy(F.col("deck_id").cast("int")).select(F.sha1("content")).collect()] == [tuple(r) for r in rows.select(F.sha1("content")).collect()]
     small = storage.written(rows.select("deck_id"))
     assert [pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in small.inputFiles()] == [1]
+
+
+def test_shapes_need_their_own_elements_alone(spark, capsys):
+    """Elements of some tags keep their numbers, owners and groups, and shapes are the same by those that tell of them; one aggregate for each kind."""
+    box = lambda tag, n: f'<{tag} rot="{n}" flipH="1"><off x="{n}" y="2"/><off x="9"/><ext cx="3" cy="4"/></{tag}>'
+    sp = lambda n, more="": f'<sp><nvSpPr><cNvPr id="{n}" name="n{n}"><hlinkClick r:id="h" action="a"/></cNvPr><cNvSpPr txBox="1"/><nvPr><ph type="body" idx="{n}"/></nvPr></nvSpPr><spPr>{box("xfrm", n)}<prstGeom prst="rect"/></spPr><txBody><p><r><t>x</t></r></p></txBody>{more}</sp>'
+    pic = f'<pic><nvPicPr><cNvPr id="7" name="p"/><nvPr><videoFile r:link="v"/></nvPr></nvPicPr><blipFill><blip r:embed="i"/></blipFill><spPr>{box("xfrm", 7)}<custGeom/></spPr></pic>'
+    chart = f'<graphicFrame><nvGraphicFramePr><cNvPr id="8" name="c"/></nvGraphicFramePr>{box("xfrm", 8)}<graphic><graphicData uri="u"><chart r:id="c"/></graphicData></graphic></graphicFrame>'
+    formula = f'<AlternateContent><Choice>{sp(5).replace("<t>x</t>", "<oMath><t>1</t><t>+2</t></oMath>")}</Choice><Fallback>{sp(6)}</Fallback></AlternateContent>'
+    group = f'<grpSp><nvGrpSpPr><cNvPr id="9" name="g"/></nvGrpSpPr><grpSpPr><xfrm><off x="1" y="1"/><ext cx="5" cy="5"/><chOff x="2" y="2"/><chExt cx="6" cy="6"/></xfrm></grpSpPr>{sp(2)}<grpSp>{pic}</grpSp></grpSp>'
+    names = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    files = [("a", "ppt/slides/slide1.xml", f"<sld {names}><cSld><spTree>{sp(1)}{group}{chart}{formula}{sp(3)}</spTree></cSld></sld>".encode()), ("a", "ppt/presentation.xml", b"<p><q/></p>"), ("b", "ppt/slides/slide1.xml", b"<broken")]
+    decks = archive.pack(spark.createDataFrame(files, "deck_id string, part_path string, content binary"))
+    every, some = storage.written(xmltree.deck_elements(decks)), storage.written(xmltree.deck_elements(decks, shapes.TAGS))
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(some) == order(every.filter(F.col("tag").isin(*shapes.TAGS))) and some.count() < every.count()
+    found = shapes.shapes(some)
+    assert order(found) == order(shapes.shapes(every))
+    rows = {r["id"]: r for r in found.collect()}
+    assert {k: (r["shape"], r["x"], r["cx"], r["rot"], r["flip_h"], r["formula"]) for k, r in rows.items()} == {
+        "1": ("sp", 1.0, 3.0, 1.0, True, None), "2": ("sp", 2.0, 3.0, 2.0, True, None), "3": ("sp", 3.0, 3.0, 3.0, True, None), "5": ("sp", 5.0, 3.0, 5.0, True, "1+2"),
+        "7": ("pic", 7.0, 3.0, 7.0, True, None), "8": ("graphicFrame", 8.0, 3.0, 8.0, True, None), "9": ("grpSp", 1.0, 5.0, 0.0, False, None), None: ("grpSp", None, None, 0.0, False, None),
+    }
+    assert (rows["9"]["ch_x"], rows["9"]["ch_cx"], rows["7"]["custom"], rows["7"]["video_rid"], rows["7"]["rid"], rows["8"]["rid"], rows["8"]["uri"]) == (2.0, 6.0, True, "v", "i", "c", "u")
+    assert (rows["1"]["ph"], rows["1"]["ph_type"], rows["1"]["ph_idx"], rows["1"]["prst"], rows["1"]["text_box"], rows["1"]["link_rid"], rows["1"]["link_action"]) == (True, "body", 1, "rect", True, "h", "a")
+    assert rows["2"]["group_nid"] == rows["9"]["nid"] and rows["7"]["group_nid"] == rows[None]["nid"]
+    found.explain("formatted")
+    assert max(line.count("min_by(") for line in capsys.readouterr().out.splitlines() if line.startswith("Functions")) <= 16
